@@ -136,6 +136,17 @@ class ColumnGroups:
                           {k: v for k, v in labels.items() if k in self._new_cols()})
         return ref, cur
 
+    def assignment(self) -> dict[str, list[str]]:
+        """Group name -> physical columns, as the contract names the groups."""
+        return {
+            "newdata_id": [self.new_id] if self.new_id else [],
+            "newdata": list(self.new_features),
+            "newdata_date": list(self.new_datetimes),
+            "refdata_id": [self.ref_id] if self.ref_id else [],
+            "refdata": list(self.ref_features),
+            "refdata_date": list(self.ref_datetimes),
+        }
+
     def _ref_cols(self):
         return set(self.ref_features) | set(self.ref_datetimes) | ({self.ref_id} if self.ref_id else set())
 

@@ -10,6 +10,7 @@ scored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.scalar import coerce_datetime
@@ -61,3 +62,18 @@ def define(df: DataFrame, id_col: str | None = None,
     coerced = df.withColumns({c: coerce_datetime(c, types[c], datetime_format)
                               for c in definition.datetime})
     return coerced, definition
+
+
+def definition_table(df: DataFrame, definition: DataDefinition) -> DataFrame:
+    """The definition as rows ``column_name, kind, non_null``, where
+    ``non_null`` counts the non-null values of the (coerced) column.
+
+    One global aggregate (one row per task before the exchange), unrolled
+    into one row per column with ``inline``.
+    """
+    rows = definition.rows()
+    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, (c, _) in enumerate(rows)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"),
+                 F.col(f"n{i}").cast("bigint").alias("non_null"))
+        for i, (c, k) in enumerate(rows)])))

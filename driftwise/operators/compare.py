@@ -13,6 +13,7 @@ from driftwise.operators.align import (
     split_groups,
 )
 from driftwise.operators.classify import define
+from driftwise.operators.contract import DRIFT_GROUPS, require_contract
 from driftwise.operators.drift import COLUMN_THRESHOLD, DATASET_SHARE, DriftReport, drift_report
 from driftwise.spec import DatasetSpec
 
@@ -48,6 +49,7 @@ def compare_groups(df: DataFrame, groups: ColumnGroups, *, strict: bool = True,
     The two projections read disjoint columns of the same scan, so column
     pruning keeps the total bytes read equal to one pass.
     """
+    require_contract(df, groups.assignment(), DRIFT_GROUPS)
     ref, cur, ref_spec, cur_spec = split_groups(df, groups)
     paired, definition, _ = prepare_pair(ref, cur, ref_spec, cur_spec, strict, datetime_format)
     return drift_report(paired, definition, threshold, share)

@@ -134,7 +134,7 @@ def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     counts = bin_counts(paired, only).where(F.col("bin").isNotNull())
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     return counts.select(
-        "column_name", "bin",
+        "column_name", F.col("bin").cast("bigint").alias("bin"),
         F.round(F.col("lo") + F.col("bin") * width, ROUND_DIGITS).alias("lower"),
         F.round(F.when(F.col("hi") == F.col("lo"), F.col("hi"))
                  .otherwise(F.col("lo") + (F.col("bin") + 1) * width), ROUND_DIGITS).alias("upper"),
