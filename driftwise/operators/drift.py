@@ -30,7 +30,7 @@ is collected to the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +99,8 @@ def _bin_index(v: Column, lo: Column, hi: Column, k: Column) -> Column:
         F.least(F.floor((v - lo) / width).cast("int"), (k - 1).cast("int")))
 
 
-def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+def bin_counts(paired: DataFrame, definition: DataDefinition,
+               stats: DataFrame | None = None) -> DataFrame:
     """Counts per side of every bin (numerical) and value (categorical).
 
     ``column_name, kind, lo, hi, k, nr, nc, bin, value, ref_count, cur_count``;
@@ -110,7 +111,8 @@ def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     per column holding a ``struct<v double, s string>``), one broadcast join
     with the per-column statistics and one aggregation.
     """
-    stats = column_stats(paired, definition)
+    if stats is None:
+        stats = column_stats(paired, definition)
     null_s = F.lit(None).cast("string")
     null_v = F.lit(None).cast("double")
     cells = {c: F.struct(usable(c).alias("v"), null_s.alias("s")) for c in definition.numerical}
@@ -160,7 +162,16 @@ def drift_columns(paired: DataFrame, definition: DataDefinition,
     ``psi`` is null (and ``drifted`` null) when either side has no usable
     value in that column.
     """
-    counts = bin_counts(paired, definition)
+    stats = column_stats(paired, definition)
+    counts = bin_counts(paired, definition, stats)
+    # One marker row per column keeps columns without any row (empty input)
+    # in the result.  It reads every column of ``stats``, exactly like the
+    # join in ``bin_counts``, so both plan the same subtree and Spark reuses
+    # its exchange instead of computing the statistics twice.
+    markers = stats.select("column_name", "kind", "lo", "hi", "k", "nr", "nc",
+                           F.lit(None).cast("int").alias("bin"), F.lit(None).cast("string").alias("value"),
+                           F.lit(0).cast("bigint").alias("ref_count"), F.lit(0).cast("bigint").alias("cur_count"))
+    counts = counts.unionByName(markers)
     in_bin = F.col("bin").isNotNull() | F.col("value").isNotNull()
     pr, pc = _share(F.col("ref_count"), F.col("nr")), _share(F.col("cur_count"), F.col("nc"))
     term = F.when(in_bin, (pc - pr) * F.ln(pc / pr))
@@ -206,18 +217,28 @@ def drift_tests(columns: DataFrame, share: float = DATASET_SHARE) -> DataFrame:
     return per_column.unionByName(summary)
 
 
-@dataclass(frozen=True)
 class DriftReport:
-    """The three result tables of one comparison (all lazy)."""
+    """The three result tables of one comparison.
+
+    All are lazy; ``summary`` and ``tests`` are derived from ``columns`` and
+    only built when asked for.
+    """
+
+    def __init__(self, columns: DataFrame, definition: DataDefinition,
+                 share: float = DATASET_SHARE):
+        self.columns = columns
+        self.definition = definition
+        self.share = share
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return drift_summary(self.columns, self.share)
 
-    columns: DataFrame
-    summary: DataFrame
-    tests: DataFrame
-    definition: DataDefinition
+    @cached_property
+    def tests(self) -> DataFrame:
+        return drift_tests(self.columns, self.share)
 
 
 def drift_report(paired: DataFrame, definition: DataDefinition,
                  threshold: float = COLUMN_THRESHOLD, share: float = DATASET_SHARE) -> DriftReport:
-    cols = drift_columns(paired, definition, threshold)
-    return DriftReport(columns=cols, summary=drift_summary(cols, share),
-                       tests=drift_tests(cols, share), definition=definition)
+    return DriftReport(drift_columns(paired, definition, threshold), definition, share)

@@ -22,6 +22,16 @@ from pyspark.sql import types as T
 DOC_SCHEMA = "columns array<string>, index array<bigint>, data array<array<string>>"
 
 
+def _typed(cell, dtype: T.DataType):
+    """Text cell -> ``dtype``; null when it does not convert.  Integral
+    targets also accept integral numbers written with a fraction ("1.0"), as
+    JSON writers emit for integer columns that hold nulls."""
+    if isinstance(dtype, T.IntegralType):
+        d = cell.try_cast("double")
+        return F.coalesce(cell.try_cast(dtype), F.when(d == F.floor(d), d.try_cast(dtype)))
+    return cell.try_cast(dtype)
+
+
 def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
                     multi_line: bool = False, index_col: str | None = "index") -> DataFrame:
     """Rows of all split documents under ``path``, typed by ``schema``."""
@@ -35,7 +45,7 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
     for f in schema.fields:
         pos = F.array_position(F.col("columns"), F.lit(f.name)).cast("int")
         cell = F.try_element_at(F.col("r.data"), pos)
-        cols.append(cell.try_cast(f.dataType).alias(f.name))
+        cols.append(_typed(cell, f.dataType).alias(f.name))
     return rows.select(*cols)
 
 
