@@ -204,6 +204,25 @@ def split_json_scan(spark, sf_dir):
     return read_split_json(spark, path, orders.schema, index_col=None)
 
 
+def drift_stream_events(spark, sf_dir):
+    """Events from 2024-01-16 on arrive as a stream (the events file is the
+    source); each micro-batch is scored against the earlier events."""
+    from driftwise.streaming.monitor import drift_stream, read_stream_results
+
+    events = table(spark, sf_dir, "events")
+    split = _ntz("2024-01-16 00:00:00")
+    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/"))
+              .where(F.col("ts") >= split))
+    out = scratch_path(spark, "drift-stream-out")
+    q = drift_stream(spark, stream, events.where(F.col("ts") < split), EVENTS_SPEC, out)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_stream_results(spark, out).select(
+        "epoch", "column_name", "kind", "bins", "ref_count", "cur_count", "psi", "threshold", "drifted")
+
+
 def _experiment_export(spark, sf_dir) -> DataFrame:
     """Raw experiment records derived from customer (an export's shape)."""
     c = table(spark, sf_dir, "customer")
@@ -249,11 +268,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roundtrip_csv": roundtrip_csv,
     "split_json_scan": split_json_scan,
     "experiments_table": experiments_table,
+    "drift_stream_events": drift_stream_events,
 }
 
 _ORDERS_COLS = oracle.drift_columns_sql(ORDERS_SRC, ["o_custkey", "o_totalprice"],
                                         ["o_orderstatus", "o_orderpriority"])
 
+_EVENTS_COLS = oracle.drift_columns_sql(EVENTS_SRC, ["user_id", "value"], ["event_type"])
+
 ORACLE_SQL: dict[str, str] = {
     "drift_columns_orders": _ORDERS_COLS,
     "drift_summary_orders": oracle.drift_summary_sql(_ORDERS_COLS),
@@ -261,7 +283,8 @@ ORACLE_SQL: dict[str, str] = {
     "drift_columns_lineitem": oracle.drift_columns_sql(
         LINEITEM_SRC, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
         ["l_returnflag", "l_linestatus"]),
-    "drift_columns_events": oracle.drift_columns_sql(EVENTS_SRC, ["user_id", "value"], ["event_type"]),
+    "drift_columns_events": _EVENTS_COLS,
+    "drift_stream_events": f"SELECT CAST(0 AS BIGINT) AS epoch, * FROM ({_EVENTS_COLS}) r",
     "drift_numeric_bins": oracle.numeric_bins_sql(ORDERS_SRC, "o_totalprice"),
     "drift_category_counts": oracle.category_counts_sql(ORDERS_SRC, "o_orderpriority"),
     "drift_shifted": oracle.drift_columns_sql(SHIFT_SRC, ["o_totalprice"], ["o_orderpriority"]),
