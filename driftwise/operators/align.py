@@ -92,16 +92,21 @@ def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = T
                           other=tuple(other))
 
 
-def _scored(df: DataFrame, definition: DataDefinition) -> list[Column]:
-    return ([F.col(c).cast("double").alias(c) for c in definition.numerical]
-            + [F.col(c).cast("string").alias(c) for c in definition.categorical])
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _scored(definition: DataDefinition) -> list[str]:
+    """SQL text casting the scored columns to one type per kind."""
+    return ([f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in definition.numerical]
+            + [f"CAST({_q(c)} AS STRING) AS {_q(c)}" for c in definition.categorical])
 
 
 def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> DataFrame:
     """One frame with a ``_side`` column (0 reference, 1 current) holding only
     the scored columns, cast to one type per kind.  ``UNION ALL``: no shuffle."""
-    left = ref.select(F.lit(REF).cast("tinyint").alias(SIDE), *_scored(ref, definition))
-    right = cur.select(F.lit(CUR).cast("tinyint").alias(SIDE), *_scored(cur, definition))
+    left = ref.selectExpr(f"CAST({REF} AS TINYINT) AS {SIDE}", *_scored(definition))
+    right = cur.selectExpr(f"CAST({CUR} AS TINYINT) AS {SIDE}", *_scored(definition))
     return left.unionByName(right)
 
 
@@ -109,8 +114,8 @@ def pair_by_condition(df: DataFrame, current_when: Column, definition: DataDefin
     """Split one table by rows: ``current_when`` true -> current, false ->
     reference, null -> neither.  One scan instead of two."""
     side = F.when(current_when, F.lit(CUR)).when(~current_when, F.lit(REF)).cast("tinyint")
-    return (df.select(side.alias(SIDE), *_scored(df, definition))
-              .where(F.col(SIDE).isNotNull()))
+    return (df.withColumn(SIDE, side).where(F.col(SIDE).isNotNull())
+              .selectExpr(SIDE, *_scored(definition)))
 
 
 @dataclass(frozen=True)

@@ -64,39 +64,56 @@ def sturges_bins(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.length(F.bin(n - 1)) + 1)
 
 
+def ident(name: str) -> str:
+    """A column name quoted for Spark SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(text: str) -> str:
+    """A string literal for Spark SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _usable_sql(name: str) -> str:
+    c = f"CAST({ident(name)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({c}) AND abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"
+
+
+_STURGES_SQL = "CASE WHEN nr + nc <= 1 THEN 1 ELSE length(bin(nr + nc - 1)) + 1 END"
+
+
 def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     """One row per scored column:
     ``column_name, kind, lo, hi, nr, nc, k`` (range and per-side count of
-    usable values; ``k`` is the number of equal-width bins)."""
-    side = F.col(SIDE)
+    usable values; ``k`` is the number of equal-width bins, see
+    :func:`sturges_bins`).
+
+    The expressions are written as SQL text: one call to the JVM per step
+    instead of several per column, which keeps driver-side planning cheap
+    for wide tables.
+    """
     aggs, rows = [], []
     for i, c in enumerate(definition.numerical):
-        v = usable(c)
-        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.count_if(v.isNotNull() & (side == REF)).alias(f"nr{i}"),
-                 F.count_if(v.isNotNull() & (side == CUR)).alias(f"nc{i}")]
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit("numerical").alias("kind"),
-                             F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"),
-                             F.col(f"nr{i}").alias("nr"), F.col(f"nc{i}").alias("nc")))
+        v = _usable_sql(c)
+        aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}",
+                 f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
+                 f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
+        rows.append(f"named_struct('column_name', {sql_str(c)}, 'kind', 'numerical', "
+                    f"'lo', lo{i}, 'hi', hi{i}, 'nr', nr{i}, 'nc', nc{i})")
     for j, c in enumerate(definition.categorical):
-        v = F.col(c)
-        aggs += [F.count_if(v.isNotNull() & (side == REF)).alias(f"cr{j}"),
-                 F.count_if(v.isNotNull() & (side == CUR)).alias(f"cc{j}")]
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit("categorical").alias("kind"),
-                             F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-                             F.col(f"cr{j}").alias("nr"), F.col(f"cc{j}").alias("nc")))
+        aggs += [f"count_if({ident(c)} IS NOT NULL AND {SIDE} = {REF}) AS cr{j}",
+                 f"count_if({ident(c)} IS NOT NULL AND {SIDE} = {CUR}) AS cc{j}"]
+        rows.append(f"named_struct('column_name', {sql_str(c)}, 'kind', 'categorical', "
+                    f"'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'nr', cr{j}, 'nc', cc{j})")
     if not rows:
         raise ValueError("nothing to score: no numerical or categorical column")
-    wide = paired.agg(*aggs)
-    return (wide.select(F.inline(F.array(*rows)))
-                .withColumn("k", sturges_bins(F.col("nr") + F.col("nc"))))
+    wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
+    return (wide.selectExpr(f"inline(array({', '.join(rows)}))")
+                .selectExpr("*", f"{_STURGES_SQL} AS k"))
 
 
-def _bin_index(v: Column, lo: Column, hi: Column, k: Column) -> Column:
-    """Equal-width bin over [lo, hi]; the top edge belongs to the last bin."""
-    width = (hi - lo) / k
-    return F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((v - lo) / width).cast("int"), (k - 1).cast("int")))
+_BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
+            "ELSE least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) END")
 
 
 def bin_counts(paired: DataFrame, definition: DataDefinition,
@@ -109,24 +126,23 @@ def bin_counts(paired: DataFrame, definition: DataDefinition,
 
     All scored columns go through one ``Expand`` (each row becomes one row
     per column holding a ``struct<v double, s string>``), one broadcast join
-    with the per-column statistics and one aggregation.
+    with the per-column statistics and one aggregation.  Equal-width bins
+    over [lo, hi]; the top edge belongs to the last bin.
     """
     if stats is None:
         stats = column_stats(paired, definition)
-    null_s = F.lit(None).cast("string")
-    null_v = F.lit(None).cast("double")
-    cells = {c: F.struct(usable(c).alias("v"), null_s.alias("s")) for c in definition.numerical}
-    cells.update({c: F.struct(null_v.alias("v"), F.col(c).alias("s")) for c in definition.categorical})
-    long = (paired.select(SIDE, *[e.alias(c) for c, e in cells.items()])
-                  .unpivot([SIDE], list(cells), "column_name", "cell")
-                  .select(SIDE, "column_name", F.col("cell.v").alias("v"), F.col("cell.s").alias("value")))
-    joined = long.join(F.broadcast(stats), "column_name")
-    bin_ = F.when(F.col("v").isNotNull(),
-                  _bin_index(F.col("v"), F.col("lo"), F.col("hi"), F.col("k")))
-    return (joined.groupBy("column_name", "kind", "lo", "hi", "k", "nr", "nc",
-                           bin_.alias("bin"), "value")
-                  .agg(F.count_if(F.col(SIDE) == REF).alias("ref_count"),
-                       F.count_if(F.col(SIDE) == CUR).alias("cur_count")))
+    cells = [f"named_struct('v', {_usable_sql(c)}, 's', CAST(NULL AS STRING)) AS {ident(c)}"
+             for c in definition.numerical]
+    cells += [f"named_struct('v', CAST(NULL AS DOUBLE), 's', CAST({ident(c)} AS STRING)) AS {ident(c)}"
+              for c in definition.categorical]
+    names = list(definition.numerical) + list(definition.categorical)
+    long = (paired.selectExpr(SIDE, *cells)
+                  .unpivot([SIDE], names, "column_name", "cell")
+                  .selectExpr(SIDE, "column_name", "cell.v AS v", "cell.s AS value"))
+    joined = long.join(F.broadcast(stats), "column_name").selectExpr("*", f"{_BIN_SQL} AS bin")
+    return (joined.groupBy("column_name", "kind", "lo", "hi", "k", "nr", "nc", "bin", "value")
+                  .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
+                       F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count")))
 
 
 def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
