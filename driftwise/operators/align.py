@@ -113,8 +113,10 @@ def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> D
 def pair_by_condition(df: DataFrame, current_when: Column, definition: DataDefinition) -> DataFrame:
     """Split one table by rows: ``current_when`` true -> current, false ->
     reference, null -> neither.  One scan instead of two."""
-    side = F.when(current_when, F.lit(CUR)).when(~current_when, F.lit(REF)).cast("tinyint")
-    return (df.withColumn(SIDE, side).where(F.col(SIDE).isNotNull())
+    side = F.when(current_when, F.lit(CUR)).otherwise(F.lit(REF)).cast("tinyint")
+    # ``current_when IS NOT NULL`` lets Catalyst derive null checks on the
+    # split column and push them into the scan.
+    return (df.where(current_when.isNotNull()).withColumn(SIDE, side)
               .selectExpr(SIDE, *_scored(definition)))
 
 

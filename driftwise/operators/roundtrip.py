@@ -88,6 +88,9 @@ def roundtrip_check(spark: SparkSession, df: DataFrame, path: str, fmt: str = "p
     never re-inferred).  The write happens now; the comparison is lazy.
     """
     options = dict(options or {})
+    if fmt == "csv":
+        from driftwise.sources.files import CSV_TIME_OPTIONS
+        options = {**CSV_TIME_OPTIONS, **options}
     df.write.mode("overwrite").format(fmt).options(**options).save(path)
     reader = spark.read.format(fmt).options(**options)
     if fmt in ("csv", "json", "text"):

@@ -197,6 +197,28 @@ def roundtrip_csv(spark, sf_dir):
                            fmt="csv", options={"header": "true"})
 
 
+def convert_csv_parquet(spark, sf_dir):
+    """The conversion script: orders to CSV, CSV to Parquet, then names,
+    types and contents of the Parquet table against the original."""
+    from driftwise.operators.roundtrip import compare_tables
+    from driftwise.sources.files import CSV_TIME_OPTIONS, csv_to_parquet, write_csv
+
+    orders = table(spark, sf_dir, "orders")
+    csv_path = scratch_path(spark, "convert-csv")
+    write_csv(orders, csv_path)
+    parquet = csv_to_parquet(spark, csv_path, scratch_path(spark, "convert-parquet"), orders.schema,
+                             **CSV_TIME_OPTIONS)
+    return compare_tables(spark, orders, parquet)
+
+
+def report_roundtrip(spark, sf_dir):
+    """The orders report written as tables and read back (its tests table)."""
+    from driftwise.sources.report import write_report
+
+    stored = write_report(spark, _orders_report(spark, sf_dir), scratch_path(spark, "report"))
+    return stored.tests
+
+
 def split_json_scan(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     path = scratch_path(spark, "split-json")
@@ -267,6 +289,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roundtrip_parquet": roundtrip_parquet,
     "roundtrip_csv": roundtrip_csv,
     "split_json_scan": split_json_scan,
+    "convert_csv_parquet": convert_csv_parquet,
+    "report_roundtrip": report_roundtrip,
     "experiments_table": experiments_table,
     "drift_stream_events": drift_stream_events,
 }
@@ -310,6 +334,8 @@ SELECT o_orderkey, date_text, try_strptime(date_text, '%Y-%m-%d') AS parsed,
     "roundtrip_parquet": ROUNDTRIP_OK,
     "roundtrip_csv": ROUNDTRIP_OK,
     "split_json_scan": "SELECT * FROM orders",
+    "convert_csv_parquet": ROUNDTRIP_OK,
+    "report_roundtrip": oracle.drift_tests_sql(_ORDERS_COLS),
     "experiments_table": """
 SELECT CAST(c_custkey AS BIGINT) AS experiment_id, c_name AS name, 'active' AS lifecycle_stage,
        'artifacts/' || CAST(c_custkey AS VARCHAR) AS artifact_location,

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# Timestamps are written with microseconds (Spark's CSV default keeps only
+# milliseconds), so a CSV written here reads back unchanged.
+CSV_TIME_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              header: bool = True, sep: str = ",", **options) -> DataFrame:
     """CSV with a header line.  Leading blanks after the separator are
@@ -23,7 +31,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
     """CSV with a header line and no index column; one file per partition."""
-    df.write.mode(mode).option("header", header).csv(path)
+    df.write.mode(mode).option("header", header).options(**CSV_TIME_OPTIONS).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +48,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str,
                    schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """Convert a CSV table to Parquet and return the Parquet scan."""
+    """Convert a CSV table to Parquet and return the Parquet scan.  For a CSV
+    written by :func:`write_csv` pass ``**CSV_TIME_OPTIONS``."""
     write_parquet(read_csv(spark, csv_path, schema, **options), parquet_path)
     return read_parquet(spark, parquet_path)

@@ -103,3 +103,9 @@ def test_report_written_and_read_back(spark, tmp_dir):
     assert stored.summary.first().scored_columns == 2
     again = read_report(spark, f"{tmp_dir}/report")
     assert again.tests.count() == 3
+
+
+def test_csv_keeps_microseconds(spark, tmp_dir):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    got = results(roundtrip_check(spark, ev, f"{tmp_dir}/ev", fmt="csv", options={"header": "true"}))
+    assert all(v == ("identical", 0) for v in got.values()), got
