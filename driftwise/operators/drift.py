@@ -13,15 +13,17 @@ Plan shape (every step is a built-in operator, no UDF):
    column, min / max of the usable values and the usable count per side; it is
    unrolled into one row per column (``inline``).  Partial aggregation leaves
    one row per task before the single-partition exchange.
-2. all scored columns are unpivoted in one ``Expand`` and joined on the
-   column name with that per-column table (broadcast: its size is the number
-   of columns, fixed by the schema).  Numerical values get an equal-width bin
-   over the pooled range; categorical values are their own bin.
-3. one aggregation counts rows per ``(column, bin or value)`` and side.
+2. all scored columns are unpivoted in one ``stack`` (an int column id, the
+   usable double, the text value) and joined on the id with that per-column
+   table (broadcast: its size is the number of columns, fixed by the
+   schema).  Numerical values get an equal-width bin over the pooled range;
+   categorical values are their own bin.
+3. one aggregation counts rows per ``(column id, bin, value)`` and side.
    Partial aggregation shrinks every task's output to at most
    columns x bins rows (plus the distinct values seen by the task) before the
    shuffle, so a hot value or a hot column costs nothing extra.
-4. a second, small aggregation sums the PSI terms per column.
+4. a second, small aggregation sums the PSI terms per column; names and
+   kinds come back from the column id through literal arrays.
 
 The statistics subtree is used once, so it runs once.  The data is read
 twice (statistics, then bins), each time only the scored columns.  Nothing
@@ -82,29 +84,51 @@ def _usable_sql(name: str) -> str:
 _STURGES_SQL = "CASE WHEN nr + nc <= 1 THEN 1 ELSE length(bin(nr + nc - 1)) + 1 END"
 
 
+def _columns(definition: DataDefinition) -> list[tuple[str, str]]:
+    """(name, kind) of every scored column; the list index is the column id."""
+    return ([(c, "numerical") for c in definition.numerical]
+            + [(c, "categorical") for c in definition.categorical])
+
+
+def _markers(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+    """One empty group per scored column (counts 0, constants null).
+
+    Added after the first aggregation, so a column without any row still
+    appears in the result (``psi`` null, 0 bins) while the statistics
+    subtree is used once only.  Built from the column list on a
+    one-partition ``range(1)``: no scan, no shuffle.
+    """
+    ids = ", ".join(f"named_struct('cid', {i})" for i in range(len(_columns(definition))))
+    return (paired.sparkSession.range(0, 1, 1, 1)
+            .selectExpr(f"inline(array({ids}))")
+            .selectExpr("cid", "CAST(NULL AS INT) AS bin", "CAST(NULL AS STRING) AS value",
+                        "CAST(0 AS BIGINT) AS ref_count", "CAST(0 AS BIGINT) AS cur_count",
+                        "CAST(NULL AS BIGINT) AS nr", "CAST(NULL AS BIGINT) AS nc",
+                        "CAST(NULL AS DOUBLE) AS lo", "CAST(NULL AS DOUBLE) AS hi",
+                        "CAST(NULL AS INT) AS k"))
+
+
 def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
-    """One row per scored column:
-    ``column_name, kind, lo, hi, nr, nc, k`` (range and per-side count of
-    usable values; ``k`` is the number of equal-width bins, see
-    :func:`sturges_bins`).
+    """One row per scored column: ``cid, lo, hi, nr, nc, k`` (column id,
+    range and per-side count of usable values; ``k`` is the number of
+    equal-width bins, see :func:`sturges_bins`).
 
     The expressions are written as SQL text: one call to the JVM per step
     instead of several per column, which keeps driver-side planning cheap
     for wide tables.
     """
     aggs, rows = [], []
-    for i, c in enumerate(definition.numerical):
-        v = _usable_sql(c)
-        aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}",
-                 f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
+    for i, (c, kind) in enumerate(_columns(definition)):
+        if kind == "numerical":
+            v = _usable_sql(c)
+            aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}"]
+            lo, hi = f"lo{i}", f"hi{i}"
+        else:
+            v = ident(c)
+            lo = hi = "CAST(NULL AS DOUBLE)"
+        aggs += [f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
                  f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
-        rows.append(f"named_struct('column_name', {sql_str(c)}, 'kind', 'numerical', "
-                    f"'lo', lo{i}, 'hi', hi{i}, 'nr', nr{i}, 'nc', nc{i})")
-    for j, c in enumerate(definition.categorical):
-        aggs += [f"count_if({ident(c)} IS NOT NULL AND {SIDE} = {REF}) AS cr{j}",
-                 f"count_if({ident(c)} IS NOT NULL AND {SIDE} = {CUR}) AS cc{j}"]
-        rows.append(f"named_struct('column_name', {sql_str(c)}, 'kind', 'categorical', "
-                    f"'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'nr', cr{j}, 'nc', cc{j})")
+        rows.append(f"named_struct('cid', {i}, 'lo', {lo}, 'hi', {hi}, 'nr', nr{i}, 'nc', nc{i})")
     if not rows:
         raise ValueError("nothing to score: no numerical or categorical column")
     wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
@@ -116,33 +140,40 @@ _BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
             "ELSE least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) END")
 
 
-def bin_counts(paired: DataFrame, definition: DataDefinition,
-               stats: DataFrame | None = None) -> DataFrame:
-    """Counts per side of every bin (numerical) and value (categorical).
+def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+    """Counts per side of every bin (numerical) and value (categorical):
+    ``cid, bin, value, ref_count, cur_count, nr, nc, lo, hi, k``.
 
-    ``column_name, kind, lo, hi, k, nr, nc, bin, value, ref_count, cur_count``;
-    ``bin`` is set for numerical columns, ``value`` for categorical ones, and a
+    ``bin`` is set for numerical columns, ``value`` for categorical ones; a
     row with both null counts the unusable values (null, NaN, infinity).
 
-    All scored columns go through one ``Expand`` (each row becomes one row
-    per column holding a ``struct<v double, s string>``), one broadcast join
-    with the per-column statistics and one aggregation.  Equal-width bins
-    over [lo, hi]; the top edge belongs to the last bin.
+    Each row becomes one row per scored column (``stack``: an int column id,
+    the usable double and the text value), is joined on the id with the
+    per-column statistics (broadcast; one row per column) and counted per
+    ``(cid, bin, value)``.  The per-column constants ride along as ``max``
+    aggregates instead of widening the grouping key.  Equal-width bins over
+    [lo, hi]; the top edge belongs to the last bin.
     """
-    if stats is None:
-        stats = column_stats(paired, definition)
-    cells = [f"named_struct('v', {_usable_sql(c)}, 's', CAST(NULL AS STRING)) AS {ident(c)}"
-             for c in definition.numerical]
-    cells += [f"named_struct('v', CAST(NULL AS DOUBLE), 's', CAST({ident(c)} AS STRING)) AS {ident(c)}"
-              for c in definition.categorical]
-    names = list(definition.numerical) + list(definition.categorical)
-    long = (paired.selectExpr(SIDE, *cells)
-                  .unpivot([SIDE], names, "column_name", "cell")
-                  .selectExpr(SIDE, "column_name", "cell.v AS v", "cell.s AS value"))
-    joined = long.join(F.broadcast(stats), "column_name").selectExpr("*", f"{_BIN_SQL} AS bin")
-    return (joined.groupBy("column_name", "kind", "lo", "hi", "k", "nr", "nc", "bin", "value")
+    stats = column_stats(paired, definition)
+    cells = []
+    for i, (c, kind) in enumerate(_columns(definition)):
+        if kind == "numerical":
+            cells.append(f"{i}, {_usable_sql(c)}, CAST(NULL AS STRING)")
+        else:
+            cells.append(f"{i}, CAST(NULL AS DOUBLE), CAST({ident(c)} AS STRING)")
+    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, v, value)")
+    joined = long.join(F.broadcast(stats), "cid").selectExpr("*", f"{_BIN_SQL} AS bin")
+    return (joined.groupBy("cid", "bin", "value")
                   .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
-                       F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count")))
+                       F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count"),
+                       F.max("nr").alias("nr"), F.max("nc").alias("nc"),
+                       F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("k").alias("k")))
+
+
+def _lookup(definition: DataDefinition, which: int, cid: str = "cid") -> Column:
+    """Column name (``which=0``) or kind (``which=1``) of a column id."""
+    values = ", ".join(sql_str(t[which]) for t in _columns(definition))
+    return F.expr(f"element_at(array({values}), {cid} + 1)")
 
 
 def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
@@ -152,7 +183,7 @@ def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     counts = bin_counts(paired, only).where(F.col("bin").isNotNull())
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     return counts.select(
-        "column_name", F.col("bin").cast("bigint").alias("bin"),
+        _lookup(only, 0).alias("column_name"), F.col("bin").cast("bigint").alias("bin"),
         F.round(F.col("lo") + F.col("bin") * width, ROUND_DIGITS).alias("lower"),
         F.round(F.when(F.col("hi") == F.col("lo"), F.col("hi"))
                  .otherwise(F.col("lo") + (F.col("bin") + 1) * width), ROUND_DIGITS).alias("upper"),
@@ -163,7 +194,7 @@ def category_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     """``column_name, value, ref_count, cur_count`` per distinct non-null value."""
     only = DataDefinition(definition.id_column, (), definition.categorical, ())
     return (bin_counts(paired, only).where(F.col("value").isNotNull())
-                .select("column_name", "value", "ref_count", "cur_count"))
+                .select(_lookup(only, 0).alias("column_name"), "value", "ref_count", "cur_count"))
 
 
 def _share(n: Column, total: Column) -> Column:
@@ -178,24 +209,18 @@ def drift_columns(paired: DataFrame, definition: DataDefinition,
     ``psi`` is null (and ``drifted`` null) when either side has no usable
     value in that column.
     """
-    stats = column_stats(paired, definition)
-    counts = bin_counts(paired, definition, stats)
-    # One marker row per column keeps columns without any row (empty input)
-    # in the result.  It reads every column of ``stats``, exactly like the
-    # join in ``bin_counts``, so both plan the same subtree and Spark reuses
-    # its exchange instead of computing the statistics twice.
-    markers = stats.select("column_name", "kind", "lo", "hi", "k", "nr", "nc",
-                           F.lit(None).cast("int").alias("bin"), F.lit(None).cast("string").alias("value"),
-                           F.lit(0).cast("bigint").alias("ref_count"), F.lit(0).cast("bigint").alias("cur_count"))
-    counts = counts.unionByName(markers)
+    counts = bin_counts(paired, definition).unionByName(_markers(paired, definition))
     in_bin = F.col("bin").isNotNull() | F.col("value").isNotNull()
     pr, pc = _share(F.col("ref_count"), F.col("nr")), _share(F.col("cur_count"), F.col("nc"))
     term = F.when(in_bin, (pc - pr) * F.ln(pc / pr))
-    per_col = (counts.groupBy("column_name", "kind", "nr", "nc")
-                     .agg(F.sum(term).alias("psi_raw"), F.count_if(in_bin).alias("bins")))
+    per_col = (counts.groupBy("cid")
+                     .agg(F.coalesce(F.max("nr"), F.lit(0)).alias("nr"),
+                          F.coalesce(F.max("nc"), F.lit(0)).alias("nc"),
+                          F.sum(term).alias("psi_raw"), F.count_if(in_bin).alias("bins")))
     scored = (F.col("nr") > 0) & (F.col("nc") > 0)
     value = F.when(scored, F.round(F.col("psi_raw"), ROUND_DIGITS))
-    return per_col.select("column_name", "kind",
+    return per_col.select(_lookup(definition, 0).alias("column_name"),
+                          _lookup(definition, 1).alias("kind"),
                           F.col("bins").cast("bigint").alias("bins"),
                           F.col("nr").cast("bigint").alias("ref_count"),
                           F.col("nc").cast("bigint").alias("cur_count"),
