@@ -135,3 +135,28 @@ def test_plan_reads_only_scored_columns(spark):
     plan = compare_frames(orders, orders, spec, spec).columns._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_totalprice:double>" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_hot_value_and_high_cardinality(spark):
+    """One value holds a third of the rows; another column is near-unique."""
+    import random
+    rnd = random.Random(11)
+    n = 3000
+    ref = [("hot" if i % 3 == 0 else f"v{rnd.randrange(50)}", f"u{i}") for i in range(n)]
+    cur = [("hot" if i % 2 == 0 else f"v{rnd.randrange(60)}", f"u{i + n // 2}") for i in range(n)]
+    rows = [(REF, a, b) for a, b in ref] + [(CUR, a, b) for a, b in cur]
+    paired = spark.createDataFrame(rows, f"{SIDE} tinyint, s string, u string").repartition(7)
+    got = {r.column_name: r for r in drift_columns(paired, DataDefinition(None, (), ("s", "u"), ())).collect()}
+    for col, idx in (("s", 0), ("u", 1)):
+        psi, bins = psi_categorical([x[idx] for x in ref], [x[idx] for x in cur])
+        assert got[col].psi == pytest.approx(psi, abs=1e-7) and got[col].bins == bins
+
+
+def test_numeric_bins_and_category_counts(spark):
+    from driftwise.operators.drift import category_counts, numeric_bins
+    p = paired_num(spark, [0.0, 1.0, 2.0, 10.0], [10.0, 10.0])
+    bins = sorted((r.bin, r.lower, r.upper, r.ref_count, r.cur_count) for r in numeric_bins(p, NUM).collect())
+    # n = 6 -> k = 4 bins of width 2.5; 10.0 falls in the last bin
+    assert bins == [(0, 0.0, 2.5, 3, 0), (3, 7.5, 10.0, 1, 2)]
+    c = paired_cat(spark, ["a", "a", None], ["b"])
+    assert sorted(tuple(r) for r in category_counts(c, CAT).collect()) == [("s", "a", 2, 0), ("s", "b", 0, 1)]

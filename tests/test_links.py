@@ -87,3 +87,14 @@ def test_unknown_kind(spark):
 def test_first_cell(spark):
     df = spark.createDataFrame([(3, 30), (1, 10), (2, 20)], "k bigint, v bigint")
     assert first_cell(df, "k", "v").collect()[0].v == 10
+
+
+def test_default_salting_kicks_in_for_many_partitions(spark):
+    from driftwise.operators.links import _salt_count
+    small = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
+    assert _salt_count(small.repartition(8), None) == 1
+    assert _salt_count(small.repartition(100), None) == 10
+    rows = [(0, i) for i in range(500)] + [(1, i) for i in range(10)]
+    df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(100)
+    got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid").collect()}
+    assert got == brute(rows)
