@@ -18,13 +18,17 @@ SIDE = "_side"
 REF, CUR = 0, 1
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def project_side(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Keep one side's columns in role order (id, features, datetimes),
     renamed from physical names to labels."""
     missing = [c for c in spec.columns() if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
-    return df.select(*[F.col(c).alias(spec.label(c)) for c in spec.columns()])
+    return df.selectExpr(*[f"{_q(c)} AS {_q(spec.label(c))}" for c in spec.columns()])
 
 
 def id_first(df: DataFrame, id_col: str | None) -> DataFrame:
@@ -92,10 +96,6 @@ def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = T
                           other=tuple(other))
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _scored(definition: DataDefinition) -> list[str]:
     """SQL text casting the scored columns to one type per kind."""
     return ([f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in definition.numerical]

@@ -108,17 +108,39 @@ def _markers(paired: DataFrame, definition: DataDefinition) -> DataFrame:
                         "CAST(NULL AS INT) AS k"))
 
 
-def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
-    """One row per scored column: ``cid, lo, hi, nr, nc, k`` (column id,
-    range and per-side count of usable values; ``k`` is the number of
-    equal-width bins, see :func:`sturges_bins`).
+# Scored columns are processed in chunks of this many.  Each chunk's
+# statistics aggregate, ``stack`` and counting aggregate stay small enough
+# for whole-stage code generation (wider expressions fall back to
+# interpreted evaluation, several times slower per row), and each chunk's
+# scan reads only its own columns, so chunking costs no extra bytes read.
+CHUNK_COLUMNS = 16
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """``UNION ALL`` of many frames with the same columns, as a balanced
+    tree: each step re-analyzes only its own subtree, so building the plan
+    stays O(n log n) in the number of parts instead of O(n^2)."""
+    if not parts:
+        raise ValueError("nothing to union")
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i]
+                 for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _chunks(definition: DataDefinition) -> list[tuple[int, list[tuple[str, str]]]]:
+    cols = _columns(definition)
+    return [(i, cols[i:i + CHUNK_COLUMNS]) for i in range(0, len(cols), CHUNK_COLUMNS)]
+
+
+def _chunk_stats(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
+    """``cid, lo, hi, nr, nc, k`` for the columns ``first, first + 1, ...``.
 
-    The expressions are written as SQL text: one call to the JVM per step
-    instead of several per column, which keeps driver-side planning cheap
-    for wide tables.
+    One global aggregate over the chunk's columns, written as SQL text: one
+    call to the JVM per step instead of several per column.
     """
     aggs, rows = [], []
-    for i, (c, kind) in enumerate(_columns(definition)):
+    for i, (c, kind) in enumerate(cols, start=first):
         if kind == "numerical":
             v = _usable_sql(c)
             aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}"]
@@ -128,48 +150,63 @@ def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
             lo = hi = "CAST(NULL AS DOUBLE)"
         aggs += [f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
                  f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
-        rows.append(f"named_struct('cid', {i}, 'lo', {lo}, 'hi', {hi}, 'nr', nr{i}, 'nc', nc{i})")
-    if not rows:
-        raise ValueError("nothing to score: no numerical or categorical column")
+        k = _STURGES_SQL.replace("nr + nc", f"nr{i} + nc{i}")
+        rows.append(f"named_struct('cid', {i}, 'lo', {lo}, 'hi', {hi}, 'nr', nr{i}, 'nc', nc{i}, 'k', {k})")
     wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
-    return (wide.selectExpr(f"inline(array({', '.join(rows)}))")
-                .selectExpr("*", f"{_STURGES_SQL} AS k"))
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-_BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
-            "ELSE least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) END")
+def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+    """One row per scored column: ``cid, lo, hi, nr, nc, k`` (column id,
+    range and per-side count of usable values; ``k`` is the number of
+    equal-width bins, see :func:`sturges_bins`)."""
+    chunks = _chunks(definition)
+    if not chunks:
+        raise ValueError("nothing to score: no numerical or categorical column")
+    return union_all([_chunk_stats(paired, first, cols) for first, cols in chunks])
 
 
-def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
-    """Counts per side of every bin (numerical) and value (categorical):
-    ``cid, bin, value, ref_count, cur_count, nr, nc, lo, hi, k``.
+_BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
+            "ELSE least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) END")
 
-    ``bin`` is set for numerical columns, ``value`` for categorical ones; a
-    row with both null counts the unusable values (null, NaN, infinity).
 
-    Each row becomes one row per scored column (``stack``: an int column id,
-    the usable double and the text value), is joined on the id with the
-    per-column statistics (broadcast; one row per column) and counted per
-    ``(cid, bin, value)``.  The per-column constants ride along as ``max``
-    aggregates instead of widening the grouping key.  Equal-width bins over
-    [lo, hi]; the top edge belongs to the last bin.
-    """
-    stats = column_stats(paired, definition)
+def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
+    stats = _chunk_stats(paired, first, cols)
     cells = []
-    for i, (c, kind) in enumerate(_columns(definition)):
+    for i, (c, kind) in enumerate(cols, start=first):
         if kind == "numerical":
             cells.append(f"{i}, {_usable_sql(c)}, CAST(NULL AS STRING)")
         else:
             cells.append(f"{i}, CAST(NULL AS DOUBLE), CAST({ident(c)} AS STRING)")
     long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, v, value)")
-    joined = long.join(F.broadcast(stats), "cid").selectExpr("*", f"{_BIN_SQL} AS bin")
-    return (joined.groupBy("cid", "bin", "value")
+    joined = long.join(F.broadcast(stats), "cid")
+    return (joined.groupBy("cid", F.expr(_BIN_SQL).alias("bin"), "value")
                   .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
                        F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count"),
                        F.max("nr").alias("nr"), F.max("nc").alias("nc"),
                        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("k").alias("k")))
 
 
+def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+    """Counts per side of every bin (numerical) and value (categorical):
+    ``cid, bin, value, ref_count, cur_count, nr, nc, lo, hi, k``.
+
+    ``bin`` is set for numerical columns, ``value`` for categorical ones; a
+    row with both null counts the unusable values (null, NaN, infinity).
+
+    Per chunk of columns, each row becomes one row per column (``stack``:
+    an int column id, the usable double and the text value), is joined on
+    the id with the chunk's statistics (broadcast; one row per column) and
+    counted per ``(cid, bin, value)``.  The per-column constants ride along
+    as ``max`` aggregates instead of widening the grouping key.  Equal-width
+    bins over [lo, hi]; the top edge belongs to the last bin.
+    """
+    chunks = _chunks(definition)
+    if not chunks:
+        raise ValueError("nothing to score: no numerical or categorical column")
+    return union_all([_chunk_counts(paired, first, cols) for first, cols in chunks])
+
+
 def _lookup(definition: DataDefinition, which: int, cid: str = "cid") -> Column:
     """Column name (``which=0``) or kind (``which=1``) of a column id."""
     values = ", ".join(sql_str(t[which]) for t in _columns(definition))

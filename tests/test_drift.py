@@ -160,3 +160,30 @@ def test_numeric_bins_and_category_counts(spark):
     assert bins == [(0, 0.0, 2.5, 3, 0), (3, 7.5, 10.0, 1, 2)]
     c = paired_cat(spark, ["a", "a", None], ["b"])
     assert sorted(tuple(r) for r in category_counts(c, CAT).collect()) == [("s", "a", 2, 0), ("s", "b", 0, 1)]
+
+
+def test_many_columns_span_chunks(spark):
+    """40 columns -> several chunks; every column equals its brute-force PSI."""
+    import random
+    from driftwise.operators.drift import CHUNK_COLUMNS
+    rnd = random.Random(5)
+    n_num, n_cat, rows_per_side = 25, 15, 60
+    assert n_num + n_cat > 2 * CHUNK_COLUMNS
+    num = [f"x{i}" for i in range(n_num)]
+    cat = [f"s{i}" for i in range(n_cat)]
+
+    def row(side):
+        return ((side,) + tuple(rnd.choice([None, rnd.gauss(i, 3)]) for i in range(n_num))
+                + tuple(rnd.choice([None, "a", "b", "c", f"d{side}"]) for _ in range(n_cat)))
+
+    data = [row(REF) for _ in range(rows_per_side)] + [row(CUR) for _ in range(rows_per_side)]
+    schema = ", ".join([f"{SIDE} tinyint"] + [f"{c} double" for c in num] + [f"{c} string" for c in cat])
+    paired = spark.createDataFrame(data, schema)
+    got = {r.column_name: r for r in drift_columns(paired, DataDefinition(None, tuple(num), tuple(cat), ())).collect()}
+    assert len(got) == n_num + n_cat
+    for j, c in enumerate(num + cat):
+        ref = [r[1 + j] for r in data if r[0] == REF]
+        cur = [r[1 + j] for r in data if r[0] == CUR]
+        psi, bins = (psi_numeric if c in num else psi_categorical)(ref, cur)
+        assert got[c].psi == pytest.approx(psi, abs=1e-7), c
+        assert got[c].bins == bins, c
