@@ -64,16 +64,22 @@ def define(df: DataFrame, id_col: str | None = None,
     return coerced, definition
 
 
-def definition_table(df: DataFrame, definition: DataDefinition) -> DataFrame:
+def definition_table(df: DataFrame, definition: DataDefinition, chunk: int = 64) -> DataFrame:
     """The definition as rows ``column_name, kind, non_null``, where
     ``non_null`` counts the non-null values of the (coerced) column.
 
-    One global aggregate (one row per task before the exchange), unrolled
-    into one row per column with ``inline``.
+    One global aggregate per chunk of columns (one row per task before the
+    exchange; chunks keep the generated code small on wide tables),
+    unrolled into one row per column with ``inline``.
     """
+    from driftwise.operators.drift import ident, sql_str, union_all
+
     rows = definition.rows()
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, (c, _) in enumerate(rows)])
-    return counts.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"),
-                 F.col(f"n{i}").cast("bigint").alias("non_null"))
-        for i, (c, k) in enumerate(rows)])))
+    parts = []
+    for start in range(0, len(rows), chunk):
+        part = rows[start:start + chunk]
+        counts = df.selectExpr(*[f"count({ident(c)}) AS n{i}" for i, (c, _) in enumerate(part)])
+        structs = ", ".join(f"named_struct('column_name', {sql_str(c)}, 'kind', {sql_str(k)}, "
+                            f"'non_null', CAST(n{i} AS BIGINT))" for i, (c, k) in enumerate(part))
+        parts.append(counts.selectExpr(f"inline(array({structs}))"))
+    return union_all(parts)
