@@ -18,7 +18,8 @@ SIDE = "_side"
 REF, CUR = 0, 1
 
 
-def _q(name: str) -> str:
+def quote(name: str) -> str:
+    """A column name quoted for Spark SQL text."""
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -28,7 +29,7 @@ def project_side(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     missing = [c for c in spec.columns() if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
-    return df.selectExpr(*[f"{_q(c)} AS {_q(spec.label(c))}" for c in spec.columns()])
+    return df.selectExpr(*[f"{quote(c)} AS {quote(spec.label(c))}" for c in spec.columns()])
 
 
 def id_first(df: DataFrame, id_col: str | None) -> DataFrame:
@@ -98,8 +99,8 @@ def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = T
 
 def _scored(definition: DataDefinition) -> list[str]:
     """SQL text casting the scored columns to one type per kind."""
-    return ([f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in definition.numerical]
-            + [f"CAST({_q(c)} AS STRING) AS {_q(c)}" for c in definition.categorical])
+    return ([f"CAST({quote(c)} AS DOUBLE) AS {quote(c)}" for c in definition.numerical]
+            + [f"CAST({quote(c)} AS STRING) AS {quote(c)}" for c in definition.categorical])
 
 
 def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> DataFrame:
@@ -110,6 +111,12 @@ def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> D
     return left.unionByName(right)
 
 
+def pair_selected(sided: DataFrame, definition: DataDefinition) -> DataFrame:
+    """Keep ``_side`` and the scored columns of a frame that already has a
+    side column, cast to one type per kind."""
+    return sided.selectExpr(SIDE, *_scored(definition))
+
+
 def pair_by_condition(df: DataFrame, current_when: Column, definition: DataDefinition) -> DataFrame:
     """Split one table by rows: ``current_when`` true -> current, false ->
     reference, null -> neither.  One scan instead of two."""

@@ -4,10 +4,15 @@ groups, or one table split by rows."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from driftwise.operators.align import (
+    CUR,
+    REF,
+    SIDE,
     ColumnGroups,
-    pair_by_condition,
+    quote,
+    pair_selected,
     prepare_pair,
     project_side,
     split_groups,
@@ -59,8 +64,11 @@ def compare_split(df: DataFrame, spec: DatasetSpec, current_when: Column, *,
                   datetime_format: str | None = None,
                   threshold: float = COLUMN_THRESHOLD, share: float = DATASET_SHARE) -> DriftReport:
     """Drift between the rows where ``current_when`` is false (reference) and
-    true (current) of one table, in a single scan."""
-    side_input = project_side(df, DatasetSpec(spec.features, spec.id, spec.datetimes))
-    _, definition = define(side_input, spec.id, spec.datetimes, datetime_format)
-    paired = pair_by_condition(df, current_when, definition)
-    return drift_report(paired, definition, threshold, share)
+    true (current) of one table, in a single scan.  Rows where it is null
+    belong to neither side.  Columns carry their labels in the result."""
+    labelled = spec.labelled()
+    side = F.when(current_when, F.lit(CUR)).otherwise(F.lit(REF)).cast("tinyint")
+    base = (df.where(current_when.isNotNull()).withColumn(SIDE, side)
+              .selectExpr(SIDE, *[f"{quote(c)} AS {quote(spec.label(c))}" for c in spec.columns()]))
+    _, definition = define(base.drop(SIDE), labelled.id, labelled.datetimes, datetime_format)
+    return drift_report(pair_selected(base, definition), definition, threshold, share)

@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.functions.scalar import millis_to_timestamp, parse_timestamp, to_bigint
-from driftwise.operators.align import ColumnGroups, pair_by_condition, project_side
+from driftwise.operators.align import ColumnGroups, pair_by_condition, project_side, split_groups
+from driftwise.operators.align import align_positional as align
 from driftwise.operators.classify import define, definition_table
 from driftwise.operators.compare import compare_frames, compare_groups, compare_split
 from driftwise.operators.drift import category_counts, numeric_bins
 from driftwise.operators.links import LIST_LINKS, RUN_LINKS, bounded_ids, view_links
-from driftwise.operators.roundtrip import roundtrip_check
+from driftwise.operators.roundtrip import compare_tables, roundtrip_check
 from driftwise.plans import oracle
 from driftwise.session import scratch_path
+from driftwise.sources.files import CSV_TIME_OPTIONS, csv_to_parquet, write_csv
+from driftwise.sources.report import write_report
 from driftwise.sources.split_json import read_split_json, write_split_json
 from driftwise.sources.tracking import experiments
 from driftwise.spec import DatasetSpec
+from driftwise.streaming.monitor import drift_stream, read_stream_results
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,7 +132,6 @@ def drift_column_groups(spark, sf_dir):
 
 
 def align_positional(spark, sf_dir):
-    from driftwise.operators.align import align_positional as align, split_groups
     ref, cur, ref_spec, cur_spec = split_groups(table(spark, sf_dir, "lineitem"), LINEITEM_GROUPS)
     return align(ref, cur, ref_spec, cur_spec).ref
 
@@ -200,9 +203,6 @@ def roundtrip_csv(spark, sf_dir):
 def convert_csv_parquet(spark, sf_dir):
     """The conversion script: orders to CSV, CSV to Parquet, then names,
     types and contents of the Parquet table against the original."""
-    from driftwise.operators.roundtrip import compare_tables
-    from driftwise.sources.files import CSV_TIME_OPTIONS, csv_to_parquet, write_csv
-
     orders = table(spark, sf_dir, "orders")
     csv_path = scratch_path(spark, "convert-csv")
     write_csv(orders, csv_path)
@@ -213,8 +213,6 @@ def convert_csv_parquet(spark, sf_dir):
 
 def report_roundtrip(spark, sf_dir):
     """The orders report written as tables and read back (its tests table)."""
-    from driftwise.sources.report import write_report
-
     stored = write_report(spark, _orders_report(spark, sf_dir), scratch_path(spark, "report"))
     return stored.tests
 
@@ -229,8 +227,6 @@ def split_json_scan(spark, sf_dir):
 def drift_stream_events(spark, sf_dir):
     """Events from 2024-01-16 on arrive as a stream (the events file is the
     source); each micro-batch is scored against the earlier events."""
-    from driftwise.streaming.monitor import drift_stream, read_stream_results
-
     events = table(spark, sf_dir, "events")
     split = _ntz("2024-01-16 00:00:00")
     stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")

@@ -162,3 +162,13 @@ def test_column_groups_end_to_end(spark):
     assert got["n_price"].psi > 0.1
     with pytest.raises(ValueError, match="contract"):
         compare_groups(df, ColumnGroups(new_features=(), ref_features=("r_price",)))
+
+
+def test_split_keeps_labels_and_drops_null_condition(spark):
+    from driftwise import compare_split
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (None, 9.0, "z"), (3, 1.0, "a")],
+                               "g bigint, v double, s string")
+    spec = DatasetSpec(features=("v", "s"), labels={"v": "value", "s": "flag"})
+    rep = compare_split(df, spec, F.col("g") >= 2)
+    got = {r.column_name: (r.ref_count, r.cur_count) for r in rep.columns.collect()}
+    assert got == {"value": (1, 2), "flag": (1, 2)}   # the row with a null g belongs to neither side
