@@ -9,6 +9,8 @@ PSI over bins *i* is ``sum_i (c_i - r_i) * ln(c_i / r_i)`` with ``r_i``,
 
 Plan shape (every step is a built-in operator, no UDF):
 
+Columns are processed in chunks of ``CHUNK_COLUMNS``; per chunk:
+
 1. one global aggregate over the paired rows -> a single row holding, per
    column, min / max of the usable values and the usable count per side; it is
    unrolled into one row per column (``inline``).  Partial aggregation leaves
@@ -22,8 +24,9 @@ Plan shape (every step is a built-in operator, no UDF):
    Partial aggregation shrinks every task's output to at most
    columns x bins rows (plus the distinct values seen by the task) before the
    shuffle, so a hot value or a hot column costs nothing extra.
-4. a second, small aggregation sums the PSI terms per column; names and
-   kinds come back from the column id through literal arrays.
+4. the chunks' counts (small) are unioned and a second aggregation sums the
+   PSI terms per column; names and kinds come back from the column id
+   through literal arrays.
 
 The statistics subtree is used once, so it runs once.  The data is read
 twice (statistics, then bins), each time only the scored columns.  Nothing
@@ -47,23 +50,18 @@ COLUMN_THRESHOLD = 0.1      # a column drifts when psi >= this
 DATASET_SHARE = 0.5         # the dataset drifts when this share of columns drifts
 ROUND_DIGITS = 8
 
-_INF = float("inf")
-
-
-def usable(c) -> Column:
-    """Double value, or null for null / NaN / +-infinity."""
-    v = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(_INF)), v)
+def _sturges_sql(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 1 ELSE length(bin({n} - 1)) + 1 END"
 
 
-def sturges_bins(n: Column) -> Column:
-    """``ceil(log2 n) + 1`` computed exactly on integers.
+def sturges_bins(n: str) -> Column:
+    """``ceil(log2 n) + 1`` for the count in column ``n``, exact on integers.
 
     For n >= 2, ceil(log2 n) is the bit length of n - 1, which ``bin`` gives
     without a floating-point logarithm (a float log2 can land a hair above an
     exact power of two and add a bin).
     """
-    return F.when(n <= 1, F.lit(1)).otherwise(F.length(F.bin(n - 1)) + 1)
+    return F.expr(_sturges_sql(ident(n)))
 
 
 def ident(name: str) -> str:
@@ -81,9 +79,6 @@ def _usable_sql(name: str) -> str:
     return f"CASE WHEN NOT isnan({c}) AND abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"
 
 
-_STURGES_SQL = "CASE WHEN nr + nc <= 1 THEN 1 ELSE length(bin(nr + nc - 1)) + 1 END"
-
-
 def _columns(definition: DataDefinition) -> list[tuple[str, str]]:
     """(name, kind) of every scored column; the list index is the column id."""
     return ([(c, "numerical") for c in definition.numerical]
@@ -150,7 +145,7 @@ def _chunk_stats(paired: DataFrame, first: int, cols: list[tuple[str, str]]) ->
             lo = hi = "CAST(NULL AS DOUBLE)"
         aggs += [f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
                  f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
-        k = _STURGES_SQL.replace("nr + nc", f"nr{i} + nc{i}")
+        k = _sturges_sql(f"(nr{i} + nc{i})")
         rows.append(f"named_struct('cid', {i}, 'lo', {lo}, 'hi', {hi}, 'nr', nr{i}, 'nc', nc{i}, 'k', {k})")
     wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")

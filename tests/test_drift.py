@@ -35,7 +35,7 @@ def one(df):
 def test_sturges_exact_at_powers_of_two(spark):
     ns = [1, 2, 3, 4, 5, 1023, 1024, 1025, 2 ** 29, 2 ** 29 + 1, 15000]
     df = spark.createDataFrame([(n,) for n in ns], "n bigint")
-    got = {r.n: r.k for r in df.select("n", sturges_bins(F.col("n")).alias("k")).collect()}
+    got = {r.n: r.k for r in df.select("n", sturges_bins("n").alias("k")).collect()}
     for n in ns:
         expected = 1 if n <= 1 else (n - 1).bit_length() + 1
         assert got[n] == expected, n
