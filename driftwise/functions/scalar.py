@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwise.functions.sqltext import col
+
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -50,7 +52,7 @@ def coerce_datetime(name: str, dtype: T.DataType, fmt: str | None = None) -> Col
     text -> parsed (null on failure); integer -> epoch milliseconds;
     date -> midnight; timestamps stay as they are.
     """
-    c = F.col(name)
+    c = col(name)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.DateType):

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.sqltext import quote
 from driftwise.operators.classify import define
 from driftwise.spec import DataDefinition, DatasetSpec
 
@@ -18,11 +19,6 @@ SIDE = "_side"
 REF, CUR = 0, 1
 
 
-def quote(name: str) -> str:
-    """A column name quoted for Spark SQL text."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def project_side(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Keep one side's columns in role order (id, features, datetimes),
     renamed from physical names to labels."""
@@ -36,7 +32,7 @@ def id_first(df: DataFrame, id_col: str | None) -> DataFrame:
     """Move the id column to position 0 (no-op without an id)."""
     if id_col is None:
         return df
-    return df.select(id_col, *[c for c in df.columns if c != id_col])
+    return df.selectExpr(quote(id_col), *[quote(c) for c in df.columns if c != id_col])
 
 
 @dataclass(frozen=True)
@@ -70,14 +66,15 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
     renamed = list(cur_cols[:n]) + list(ref_cols[n:])
     if len(set(renamed)) != len(renamed):
         raise ValueError(f"positional alignment produces duplicate names: {renamed}")
-    ref_aligned = ref.select(*ref_cols).toDF(*renamed).select(*cur_cols[:n])
+    keep = [quote(c) for c in cur_cols[:n]]
+    ref_aligned = ref.selectExpr(*[quote(c) for c in ref_cols]).toDF(*renamed).selectExpr(*keep)
     paired = set(cur_cols[:n])
     spec = DatasetSpec(
         features=tuple(c for c in c_spec.features if c in paired),
         id=c_spec.id if c_spec.id in paired else None,
         datetimes=tuple(c for c in c_spec.datetimes if c in paired),
     )
-    return Alignment(ref=ref_aligned, cur=cur.select(*cur_cols[:n]), spec=spec)
+    return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec)
 
 
 def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = True) -> DataDefinition:

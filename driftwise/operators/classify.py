@@ -72,7 +72,9 @@ def definition_table(df: DataFrame, definition: DataDefinition, chunk: int = 64)
     exchange; chunks keep the generated code small on wide tables),
     unrolled into one row per column with ``inline``.
     """
-    from driftwise.operators.drift import ident, sql_str, union_all
+    from driftwise.functions.sqltext import quote as ident
+    from driftwise.functions.sqltext import sql_str
+    from driftwise.operators.drift import union_all
 
     rows = definition.rows()
     parts = []

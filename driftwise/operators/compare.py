@@ -11,12 +11,12 @@ from driftwise.operators.align import (
     REF,
     SIDE,
     ColumnGroups,
-    quote,
     pair_selected,
     prepare_pair,
     project_side,
     split_groups,
 )
+from driftwise.functions.sqltext import quote
 from driftwise.operators.classify import define
 from driftwise.operators.contract import DRIFT_GROUPS, require_contract
 from driftwise.operators.drift import COLUMN_THRESHOLD, DATASET_SHARE, DriftReport, drift_report

@@ -40,6 +40,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.sqltext import quote as ident
+from driftwise.functions.sqltext import sql_str
 from driftwise.operators.align import CUR, REF, SIDE
 from driftwise.spec import DataDefinition
 
@@ -64,16 +66,6 @@ def sturges_bins(n: str) -> Column:
     return F.expr(_sturges_sql(ident(n)))
 
 
-def ident(name: str) -> str:
-    """A column name quoted for Spark SQL text."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def sql_str(text: str) -> str:
-    """A string literal for Spark SQL text."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _usable_sql(name: str) -> str:
     c = f"CAST({ident(name)} AS DOUBLE)"
     return f"CASE WHEN NOT isnan({c}) AND abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwise.functions.scalar import joined_or_default, sorted_id_list
+from driftwise.functions.sqltext import col
 
 CAP = 130          # list cap of the reference (ids per link)
 _RN = "_rn"
@@ -64,7 +65,7 @@ def _salt_count(df: DataFrame, salts: int | None) -> int:
 
 
 def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(id_col).asc_nulls_last())
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(id_col).asc_nulls_last())
     return (df.withColumn(_RN, F.row_number().over(w))
               .where(F.col(_RN) <= cap + 1))
 
@@ -79,17 +80,17 @@ def bounded_ids(df: DataFrame, run_col: str, id_col: str, cap: int = CAP,
     """
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    base = df.select(run_col, id_col)
+    base = df.select(col(run_col), col(id_col))
     s = _salt_count(base, salts)
     if s > 1:
         salted = base.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(s)))
-        base = _limit(salted, [run_col, _SALT], id_col, cap).select(run_col, id_col)
+        base = _limit(salted, [run_col, _SALT], id_col, cap).select(col(run_col), col(id_col))
     ranked = _limit(base, [run_col], id_col, cap)
-    listed = F.when(F.col(_RN) <= cap, F.col(id_col))
-    over = F.when((F.col(_RN) > cap) & F.col(id_col).isNotNull(), 1).otherwise(0)
-    return (ranked.groupBy(run_col)
+    listed = F.when(F.col(_RN) <= cap, col(id_col))
+    over = F.when((F.col(_RN) > cap) & col(id_col).isNotNull(), 1).otherwise(0)
+    return (ranked.groupBy(col(run_col))
                   .agg(F.collect_list(listed).alias("_ids"), F.max(over).alias(MAX_PARAM))
-                  .select(run_col, joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
+                  .select(col(run_col), joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
                           F.col(MAX_PARAM).cast("int").alias(MAX_PARAM)))
 
 
@@ -118,12 +119,12 @@ def view_links(df: DataFrame, kinds: list[str] | tuple[str, ...], run_col: str,
         if id_col is not None:
             per_run = bounded_ids(df, run_col, id_col, cap, salts)
         else:
-            per_run = df.select(run_col).distinct().select(
-                run_col, F.lit("0").alias("ids"), F.lit(0).alias(MAX_PARAM))
+            per_run = df.select(col(run_col)).distinct().select(
+                col(run_col), F.lit("0").alias("ids"), F.lit(0).alias(MAX_PARAM))
     else:
-        per_run = df.select(run_col).distinct().select(
-            run_col, F.lit(None).cast("string").alias("ids"), F.lit(None).cast("int").alias(MAX_PARAM))
-    run, ids, flag = F.col(run_col), F.col("ids"), F.col(MAX_PARAM)
+        per_run = df.select(col(run_col)).distinct().select(
+            col(run_col), F.lit(None).cast("string").alias("ids"), F.lit(None).cast("int").alias(MAX_PARAM))
+    run, ids, flag = col(run_col), F.col("ids"), F.col(MAX_PARAM)
     rows = []
     for k in kinds:
         if k in LIST_LINKS:
@@ -142,4 +143,4 @@ def first_cell(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
     ``orderBy().limit(1)`` plans as a ``TakeOrderedAndProject``: each task
     keeps its own minimum, so no full sort happens.
     """
-    return df.orderBy(F.col(order_col).asc_nulls_last()).select(value_col).limit(1)
+    return df.orderBy(col(order_col).asc_nulls_last()).select(col(value_col)).limit(1)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwise.functions.sqltext import col
+
 DOC_SCHEMA = "columns array<string>, index array<bigint>, data array<array<string>>"
 
 
@@ -54,7 +56,7 @@ def write_split_json(df: DataFrame, path: str, rows_per_doc: int = 1000,
     """Write ``df`` as split documents, one JSON document per line."""
     names = df.columns
     idx = F.monotonically_increasing_id()
-    cells = F.array(*[F.col(c).cast("string") for c in names])
+    cells = F.array(*[col(c).cast("string") for c in names])
     chunked = df.select(idx.alias("_i"), cells.alias("_row"))
     docs = (chunked.groupBy((F.col("_i") / rows_per_doc).cast("bigint").alias("_doc"))
                    .agg(F.array_sort(F.collect_list(F.struct("_i", "_row"))).alias("_rows")))

@@ -172,3 +172,14 @@ def test_split_keeps_labels_and_drops_null_condition(spark):
     rep = compare_split(df, spec, F.col("g") >= 2)
     got = {r.column_name: (r.ref_count, r.cur_count) for r in rep.columns.collect()}
     assert got == {"value": (1, 2), "flag": (1, 2)}   # the row with a null g belongs to neither side
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(1, 1.0, "x", 2.0, "y"), (2, 2.0, "x", 4.0, "z")],
+                               "`id.x` bigint, `a.b` double, `c d` string, `e``f` double, g string")
+    rs = DatasetSpec(features=("a.b", "c d"), id="id.x")
+    cs = DatasetSpec(features=("e`f", "g"), id="id.x")
+    rep = compare_frames(df, df, rs, cs)
+    got = {r.column_name: r.kind for r in rep.columns.collect()}
+    assert got == {"e`f": "numerical", "g": "categorical"}
+    assert id_first(df, "c d").columns[0] == "c d"

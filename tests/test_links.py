@@ -98,3 +98,11 @@ def test_default_salting_kicks_in_for_many_partitions(spark):
     df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(100)
     got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid").collect()}
     assert got == brute(rows)
+
+
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, 5), (1, 3)], "`run.id` bigint, `bld id` bigint")
+    got = bounded_ids(df, "run.id", "bld id").collect()
+    assert [(r["run.id"], r.ids, r.max) for r in got] == [(1, "3,5", 0)]
+    links = view_links(df, list(RUN_LINKS)[:1], "run.id").collect()
+    assert links[0].url.endswith("rechenlauf=1")
