@@ -12,10 +12,10 @@ run holds at most ``cap`` ids.  The ``cap + 1``-th row is the overflow signal;
 no ``count(*) over (...)`` is computed (it would disable the group limit).
 
 Hot runs: when one run holds a large share of all rows, every map task sends
-``cap + 1`` rows of it to the same reducer.  With many input partitions the
-limit is applied in two levels: first per ``(run, salt)`` where the salt
-is derived from the input partition (so each first-level group combines only
-a slice of the map tasks), then per run.  The top-``cap`` of a union equals
+``cap + 1`` rows of it to the same reducer.  On a large cluster (or with
+``salts`` given) the limit is applied in two levels: first per
+``(run, salt)`` where the salt is derived from the input partition (so each
+first-level group combines only a slice of the map tasks), then per run.  The top-``cap`` of a union equals
 the top-``cap`` of the parts' top-``cap``s, so the result is exact.
 """
 
@@ -56,12 +56,19 @@ RUN_PARAM, IDS_PARAM, MAX_PARAM = "rechenlauf", "gebid", "max"
 
 
 def _salt_count(df: DataFrame, salts: int | None) -> int:
+    """Number of first-level groups per run.
+
+    Without an explicit value: about the square root of the cluster's
+    parallelism (cores), from 64 cores up.  With ``s`` salts a hot run's
+    first-level reducers each combine 1/s of the map tasks and the
+    second level combines ``s * (cap + 1)`` rows, so neither grows with the
+    data the way a single reducer would.  Read from the context: planning
+    the input (``df.rdd``) could run its upstream stages under AQE.
+    """
     if salts is not None:
         return max(1, int(salts))
-    # ~sqrt(map tasks) balances the two levels: each first-level group
-    # combines ~sqrt(n) tasks, the second level combines ~sqrt(n) groups.
-    n = df.rdd.getNumPartitions()
-    return int(math.isqrt(n)) if n >= 64 else 1
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return int(math.isqrt(cores)) if cores >= 64 else 1
 
 
 def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:

