@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.scalar import verdict
+from driftwise.sources.files import CSV_EXACT_OPTIONS, CSV_READBACK_OPTIONS
 
 _W = "_w"
 
@@ -88,11 +89,12 @@ def roundtrip_check(spark: SparkSession, df: DataFrame, path: str, fmt: str = "p
     never re-inferred).  The write happens now; the comparison is lazy.
     """
     options = dict(options or {})
+    read_options = dict(options)
     if fmt == "csv":
-        from driftwise.sources.files import CSV_TIME_OPTIONS
-        options = {**CSV_TIME_OPTIONS, **options}
+        options = {**CSV_EXACT_OPTIONS, **options}
+        read_options = {**CSV_READBACK_OPTIONS, **read_options}
     df.write.mode("overwrite").format(fmt).options(**options).save(path)
-    reader = spark.read.format(fmt).options(**options)
+    reader = spark.read.format(fmt).options(**read_options)
     if fmt in ("csv", "json", "text"):
         reader = reader.schema(df.schema)
     back = reader.load(path)

@@ -20,7 +20,7 @@ from driftwise.operators.links import LIST_LINKS, RUN_LINKS, bounded_ids, view_l
 from driftwise.operators.roundtrip import compare_tables, roundtrip_check
 from driftwise.plans import oracle
 from driftwise.session import scratch_path
-from driftwise.sources.files import CSV_TIME_OPTIONS, csv_to_parquet, write_csv
+from driftwise.sources.files import CSV_READBACK_OPTIONS, csv_to_parquet, write_csv
 from driftwise.sources.report import write_report
 from driftwise.sources.split_json import read_split_json, write_split_json
 from driftwise.sources.tracking import experiments
@@ -207,7 +207,7 @@ def convert_csv_parquet(spark, sf_dir):
     csv_path = scratch_path(spark, "convert-csv")
     write_csv(orders, csv_path)
     parquet = csv_to_parquet(spark, csv_path, scratch_path(spark, "convert-parquet"), orders.schema,
-                             **CSV_TIME_OPTIONS)
+                             **CSV_READBACK_OPTIONS)
     return compare_tables(spark, orders, parquet)
 
 

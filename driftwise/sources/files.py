@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-# Timestamps are written with microseconds (Spark's CSV default keeps only
-# milliseconds), so a CSV written here reads back unchanged.
+# Options that make a CSV written here read back unchanged.  Spark's CSV
+# defaults lose data: the writer trims blanks around values, an empty
+# string and a null are both written as nothing, timestamps keep only
+# milliseconds, and values with line breaks need a multi-line read.  Nulls
+# are written as \N (the usual marker of Hive and database exports).
 CSV_TIME_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+CSV_EXACT_OPTIONS = {
+    **CSV_TIME_OPTIONS,
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "\\N",
+}
+# For reading back a CSV written with CSV_EXACT_OPTIONS (one task per file).
+CSV_READBACK_OPTIONS = {**CSV_EXACT_OPTIONS, "multiLine": "true"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -21,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     jobs; without it types are inferred, which costs an extra pass."""
     reader = (spark.read.option("header", header).option("sep", sep)
                    .option("ignoreLeadingWhiteSpace", True)
-                   .options(**options))
+                   .options(**{k: str(v) for k, v in options.items()}))
     if schema is not None:
         reader = reader.schema(schema)
     else:
@@ -30,8 +41,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
-    """CSV with a header line and no index column; one file per partition."""
-    df.write.mode(mode).option("header", header).options(**CSV_TIME_OPTIONS).csv(path)
+    """CSV with a header line and no index column; one file per partition.
+    Lossless with :data:`CSV_EXACT_OPTIONS` (read back with
+    :data:`CSV_READBACK_OPTIONS`)."""
+    df.write.mode(mode).option("header", header).options(**CSV_EXACT_OPTIONS).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +62,6 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str,
                    schema: T.StructType | str | None = None, **options) -> DataFrame:
     """Convert a CSV table to Parquet and return the Parquet scan.  For a CSV
-    written by :func:`write_csv` pass ``**CSV_TIME_OPTIONS``."""
+    written by :func:`write_csv` pass ``**CSV_READBACK_OPTIONS``."""
     write_parquet(read_csv(spark, csv_path, schema, **options), parquet_path)
     return read_parquet(spark, parquet_path)

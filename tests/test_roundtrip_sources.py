@@ -109,3 +109,11 @@ def test_csv_keeps_microseconds(spark, tmp_dir):
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     got = results(roundtrip_check(spark, ev, f"{tmp_dir}/ev", fmt="csv", options={"header": "true"}))
     assert all(v == ("identical", 0) for v in got.values()), got
+
+
+def test_csv_roundtrip_is_lossless_for_awkward_text(spark, tmp_dir):
+    rows = [("a,b", 1.0, 1), ('say "hi"', float("nan"), None), ("", float("inf"), 3),
+            (None, float("-inf"), 4), ("line1\nline2", -0.0, 5), ("  pad  ", 1e-300, 6)]
+    df = spark.createDataFrame(rows, "s string, d double, n bigint")
+    got = results(roundtrip_check(spark, df, f"{tmp_dir}/x", fmt="csv", options={"header": "true"}))
+    assert got["contents"] == ("identical", 0), got
