@@ -117,3 +117,12 @@ def test_csv_roundtrip_is_lossless_for_awkward_text(spark, tmp_dir):
     df = spark.createDataFrame(rows, "s string, d double, n bigint")
     got = results(roundtrip_check(spark, df, f"{tmp_dir}/x", fmt="csv", options={"header": "true"}))
     assert got["contents"] == ("identical", 0), got
+
+
+def test_split_json_awkward_values(spark, tmp_dir):
+    rows = [("a,b", 1.0, 1), ('say "hi"', float("nan"), None), ("", float("inf"), 3),
+            (None, float("-inf"), 4), ("line1\\nline2", -0.0, 5), ("  pad  ", 1e-300, 6)]
+    df = spark.createDataFrame(rows, "s string, d double, n bigint")
+    write_split_json(df, f"{tmp_dir}/j", rows_per_doc=2)
+    back = read_split_json(spark, f"{tmp_dir}/j", df.schema, index_col=None)
+    assert results(compare_tables(spark, df, back))["contents"] == ("identical", 0)
