@@ -33,25 +33,26 @@ CAP = 130          # list cap of the reference (ids per link)
 _RN = "_rn"
 _SALT = "_salt"
 
-# Link kinds and their target paths, as the reference registers
-# them (registered name -> path below the base URL).  Kinds with an id list
-# carry ``rechenlauf``, ``gebid`` and ``max``; the others only ``rechenlauf``.
-LIST_LINKS = {
-    "2d-individuelle-gebaeudefaerbung-wms": "app/2d-db-geb-eigfaerb-wms",
-    "25d-gebaeude-basmape-individuelle-faerbung": "app/2d-basemap-geb",
-    "3d-gelaende-basamp-gebaeude-basmap": "app/3d-base-gel-base-geb",
-    "3d-gelaende-basamp-gebaeude-db": "app/3d-basemap-gel-db-geb",
-    "3d-gelaende-eigen-gebaeude-db": "app/3d-eigen-gelaende-db-geb",
-    "3d-wms-simulationsdaten": "app/3d-wms-base-gel-db-geb",
-    "3d-wms-simulationsdaten-cookie": "app/3d-wms-base-gel-db-geb-co",
-    "25d-individuelle-gebaeudefaerbung-ohne-wms": "app/2d-db-geb-eigfaerb",
-}
-RUN_LINKS = {
-    "2d-alle-gebaeude-eingefaerbt-wms": "app/2d-db-geb-allefaerbung-wms",
-    "2d-alle-gebaeude-eingefaerbt-wms-cookie": "app/2d-db-geb-allefaerbung-wms-cookie",
-    "3d-wms-simulationsdaten-allefaerbung-cookie": "app/3d-wms-base-gel-db-geb-alleFaerbung-co",
-    "3d-wms-simulationsdaten-allefaerbung": "app/3d-wms-base-gel-db-geb-alleFaerbung",
-}
+# The link kinds of the reference in its order, as
+# (registered name, path below the base URL, shape).  Shape "list" links
+# carry ``rechenlauf``, ``gebid`` and ``max``; shape "run" links only
+# ``rechenlauf``.
+LINKS = (
+    ("2d-individuelle-gebaeudefaerbung-wms", "app/2d-db-geb-eigfaerb-wms", "list"),
+    ("2d-alle-gebaeude-eingefaerbt-wms", "app/2d-db-geb-allefaerbung-wms", "run"),
+    ("2d-alle-gebaeude-eingefaerbt-wms-cookie", "app/2d-db-geb-allefaerbung-wms-cookie", "run"),
+    ("25d-gebaeude-basmape-individuelle-faerbung", "app/2d-basemap-geb", "list"),
+    ("3d-gelaende-basamp-gebaeude-basmap", "app/3d-base-gel-base-geb", "list"),
+    ("3d-gelaende-basamp-gebaeude-db", "app/3d-basemap-gel-db-geb", "list"),
+    ("3d-gelaende-eigen-gebaeude-db", "app/3d-eigen-gelaende-db-geb", "list"),
+    ("3d-wms-simulationsdaten", "app/3d-wms-base-gel-db-geb", "list"),
+    ("3d-wms-simulationsdaten-cookie", "app/3d-wms-base-gel-db-geb-co", "list"),
+    ("3d-wms-simulationsdaten-allefaerbung-cookie", "app/3d-wms-base-gel-db-geb-alleFaerbung-co", "run"),
+    ("3d-wms-simulationsdaten-allefaerbung", "app/3d-wms-base-gel-db-geb-alleFaerbung", "run"),
+    ("25d-individuelle-gebaeudefaerbung-ohne-wms", "app/2d-db-geb-eigfaerb", "list"),
+)
+LIST_LINKS = {name: path for name, path, shape in LINKS if shape == "list"}
+RUN_LINKS = {name: path for name, path, shape in LINKS if shape == "run"}
 RUN_PARAM, IDS_PARAM, MAX_PARAM = "rechenlauf", "gebid", "max"
 
 
