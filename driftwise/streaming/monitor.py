@@ -38,8 +38,8 @@ def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         cols = compare_frames(reference, batch, ref_spec, spec, threshold=threshold).columns
-        (cols.withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-             .write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}"))
+        # The epoch is the folder name (``epoch=<n>``), read back as a column.
+        cols.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")
 
     writer = (current.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint_path or scratch_path(spark, "drift-stream-ckpt")))
@@ -52,4 +52,5 @@ def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
 
 def read_stream_results(spark: SparkSession, output_path: str) -> DataFrame:
     """All epochs written so far (``epoch`` comes from the folder names)."""
-    return spark.read.parquet(output_path)
+    out = spark.read.parquet(output_path)
+    return out.withColumn("epoch", F.col("epoch").cast("bigint"))
