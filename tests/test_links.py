@@ -99,3 +99,16 @@ def test_default_salting_follows_cluster_size(spark):
     df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(100)
     got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid", salts=10).collect()}
     assert got == brute(rows)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 400))), max_size=400),
+       st.integers(1, 140))
+def test_bounded_ids_property(spark, rows, cap):
+    df = spark.createDataFrame(rows, "run bigint, bid bigint")
+    got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid", cap=cap, salts=3).collect()}
+    assert got == brute(rows, cap)

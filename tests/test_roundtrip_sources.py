@@ -126,3 +126,20 @@ def test_split_json_awkward_values(spark, tmp_dir):
     write_split_json(df, f"{tmp_dir}/j", rows_per_doc=2)
     back = read_split_json(spark, f"{tmp_dir}/j", df.schema, index_col=None)
     assert results(compare_tables(spark, df, back))["contents"] == ("identical", 0)
+
+
+from collections import Counter  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_row = st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", ""])), st.one_of(st.none(), st.integers(0, 3)))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(_row, max_size=30), st.lists(_row, max_size=30))
+def test_content_differences_property(spark, a, b):
+    schema = "s string, n bigint"
+    d = content_differences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).first()
+    ca, cb = Counter(a), Counter(b)
+    assert (d.only_left, d.only_right) == (sum((ca - cb).values()), sum((cb - ca).values()))
