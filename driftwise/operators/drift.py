@@ -153,8 +153,14 @@ def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     return union_all([_chunk_stats(paired, first, cols) for first, cols in chunks])
 
 
+# Equal-width bin of v over [lo, hi] in k bins, the top edge in the last bin.
+# When the range itself overflows (hi - lo = infinity, values near the double
+# limits) the operands are halved first, which is exact in binary floating
+# point and keeps the quotient finite.
 _BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
-            "ELSE least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) END")
+            "WHEN abs(hi - lo) < CAST('Infinity' AS DOUBLE) "
+            "THEN least(CAST(floor((v - lo) / ((hi - lo) / k)) AS INT), CAST(k - 1 AS INT)) "
+            "ELSE least(CAST(floor((v / 2 - lo / 2) / ((hi / 2 - lo / 2) / k)) AS INT), CAST(k - 1 AS INT)) END")
 
 
 def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
@@ -205,7 +211,9 @@ def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     non-empty bin of every numerical column."""
     only = DataDefinition(definition.id_column, definition.numerical, (), ())
     counts = bin_counts(paired, only).where(F.col("bin").isNotNull())
-    width = (F.col("hi") - F.col("lo")) / F.col("k")
+    # bin width; computed from halves when hi - lo overflows (see _BIN_SQL)
+    width = F.expr("CASE WHEN abs(hi - lo) < CAST('Infinity' AS DOUBLE) THEN (hi - lo) / k "
+                   "ELSE ((hi / 2 - lo / 2) / k) * 2 END")
     return counts.select(
         _lookup(only, 0).alias("column_name"), F.col("bin").cast("bigint").alias("bin"),
         F.round(F.col("lo") + F.col("bin") * width, ROUND_DIGITS).alias("lower"),

@@ -187,3 +187,17 @@ def test_many_columns_span_chunks(spark):
         psi, bins = (psi_numeric if c in num else psi_categorical)(ref, cur)
         assert got[c].psi == pytest.approx(psi, abs=1e-7), c
         assert got[c].bins == bins, c
+
+
+def test_range_at_double_limits(spark):
+    ref = [-1.7e308, -1e308, 0.0, 1e308]
+    cur = [1.7e308, 1.6e308, 0.0, -1.7e308]
+    r = one(drift_columns(paired_num(spark, ref, cur), NUM))
+    assert r.bins >= 2 and r.psi is not None and r.psi >= 0
+    # same bins as an exact computation with rational arithmetic
+    from fractions import Fraction
+    pooled = ref + cur
+    lo, hi, k = Fraction(min(pooled)), Fraction(max(pooled)), sturges(len(pooled))
+    def b(v):
+        return min(int((Fraction(v) - lo) / ((hi - lo) / k)), k - 1)
+    assert r.bins == len({b(v) for v in pooled})
