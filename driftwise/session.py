@@ -47,19 +47,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and points at shared storage, so
-    every executor can read what another one wrote.  Only when it is unset (a
-    local test session) a fresh local folder is created and registered.
+    every executor can read what another one wrote.  Only when neither the
+    configuration nor the context names one (a local test session) a fresh
+    local folder is created and registered with the context
+    (``spark.checkpoint.dir`` itself cannot be changed at runtime).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftwise-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="driftwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    # setCheckpointDir is idempotent for the same folder and makes
-    # DataFrame.checkpoint() use it.
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -24,9 +24,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     # Tests set their own shared folder only where the environment has none.
     if not session.conf.get("spark.checkpoint.dir", None) and not session.sparkContext.getCheckpointDir():
-        folder = tempfile.mkdtemp(prefix="driftwise-test-ckpt-")
-        session.conf.set("spark.checkpoint.dir", folder)
-        session.sparkContext.setCheckpointDir(folder)
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftwise-test-ckpt-"))
     yield session
     session.stop()
 
