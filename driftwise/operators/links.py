@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from driftwise.functions.scalar import joined_or_default, sorted_id_list
 from driftwise.functions.sqltext import col
+from driftwise.operators.contract import SELECTION_GROUPS, require_contract
 
 CAP = 130          # list cap of the reference (ids per link)
 _RN = "_rn"
@@ -115,6 +116,9 @@ def view_links(df: DataFrame, kinds: list[str] | tuple[str, ...], run_col: str,
                salts: int | None = None) -> DataFrame:
     """One row per run and link kind: ``run_col, link, ids, max, url``.
 
+    The selection must meet the reference's contract: an integer run id and
+    at most one integer id column.
+
     List kinds need ``id_col``; without it the list is ``'0'`` and ``max`` 0
     (the reference's answer when no id column is selected).  Run-only kinds
     give ``ids``/``max`` as null.  Several kinds share one pass: the per-run
@@ -123,6 +127,9 @@ def view_links(df: DataFrame, kinds: list[str] | tuple[str, ...], run_col: str,
     unknown = [k for k in kinds if k not in LIST_LINKS and k not in RUN_LINKS]
     if unknown:
         raise ValueError(f"unknown link kinds: {unknown}")
+    run_group, id_group = (g.name for g in SELECTION_GROUPS)
+    require_contract(df, {run_group: [run_col], id_group: [id_col] if id_col else []},
+                     SELECTION_GROUPS)
     if any(k in LIST_LINKS for k in kinds):
         if id_col is not None:
             per_run = bounded_ids(df, run_col, id_col, cap, salts)

@@ -112,3 +112,9 @@ def test_bounded_ids_property(spark, rows, cap):
     df = spark.createDataFrame(rows, "run bigint, bid bigint")
     got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid", cap=cap, salts=3).collect()}
     assert got == brute(rows, cap)
+
+
+def test_selection_contract(spark):
+    df = spark.createDataFrame([(7, 1.5)], "run bigint, bid double")
+    with pytest.raises(ValueError, match="contract"):
+        view_links(df, list(LIST_LINKS)[:1], "run", "bid")
