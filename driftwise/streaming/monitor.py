@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from driftwise.functions.sqltext import col
 from driftwise.operators.compare import compare_frames
 from driftwise.operators.drift import COLUMN_THRESHOLD
 from driftwise.session import scratch_path
@@ -25,16 +26,29 @@ from driftwise.spec import DatasetSpec
 def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
                  spec: DatasetSpec, output_path: str, checkpoint_path: str | None = None,
                  ref_spec: DatasetSpec | None = None, threshold: float = COLUMN_THRESHOLD,
-                 available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                 available_now: bool = True, processing_time: str | None = None,
+                 materialize_reference: bool = True) -> StreamingQuery:
     """Start the monitoring query and return it.
 
     ``current`` is a streaming DataFrame; ``reference`` a batch one.  With
     ``available_now`` the query processes what is there and stops; otherwise
     it runs with ``processing_time`` triggers until stopped.
+
+    Pooled bins depend on each batch, so every batch reads the reference's
+    values again.  With ``materialize_reference`` they are read from a
+    narrow Parquet copy written once below ``spark.checkpoint.dir`` instead
+    of re-evaluating the reference DataFrame from its source.
     """
     if not current.isStreaming:
         raise ValueError("current must be a streaming DataFrame")
     ref_spec = ref_spec or spec
+    if materialize_reference:
+        # Written once, read by every batch: only the spec's columns, with the
+        # source's filters and joins already applied, and no lineage back to
+        # the source (a stable reference even if the source changes).
+        ref_path = scratch_path(spark, "drift-stream-reference")
+        reference.select(*[col(c) for c in ref_spec.columns()]).write.parquet(ref_path)
+        reference = spark.read.parquet(ref_path)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         cols = compare_frames(reference, batch, ref_spec, spec, threshold=threshold).columns
