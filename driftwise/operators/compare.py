@@ -30,14 +30,17 @@ def _require(df: DataFrame | None, what: str) -> DataFrame:
 
 
 def compare_frames(reference: DataFrame, current: DataFrame, ref_spec: DatasetSpec,
-                   cur_spec: DatasetSpec, *, strict: bool = True,
+                   cur_spec: DatasetSpec | None = None, *, strict: bool = True,
                    datetime_format: str | None = None,
                    threshold: float = COLUMN_THRESHOLD, share: float = DATASET_SHARE) -> DriftReport:
     """Drift of ``current`` against ``reference`` (two tables).
 
+    ``cur_spec`` defaults to ``ref_spec`` (same column names on both sides).
+
     Each side is cut to its spec's columns in role order and relabelled; the
     reference columns then take the current names by position.
     """
+    cur_spec = cur_spec or ref_spec
     reference = _require(reference, "reference data")
     current = _require(current, "current data")
     ref = project_side(reference, ref_spec)
