@@ -143,3 +143,18 @@ def test_content_differences_property(spark, a, b):
     d = content_differences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).first()
     ca, cb = Counter(a), Counter(b)
     assert (d.only_left, d.only_right) == (sum((ca - cb).values()), sum((cb - ca).values()))
+
+
+def test_runs_and_map_tags(spark, tmp_dir):
+    from driftwise.sources.tracking import read_export, runs
+    raw = spark.createDataFrame(
+        [("7", "e", "active", "loc", 0, 86_400_000, {"team": "x"})],
+        "experiment_id string, name string, lifecycle_stage string, artifact_location string, "
+        "creation_time bigint, last_update_time bigint, tags map<string,string>")
+    e = experiments(raw).first()
+    assert e.tags == {"team": "x"} and e.last_update_time == dt.datetime(1970, 1, 2)
+    raw.write.json(f"{tmp_dir}/runs")
+    assert runs(spark, f"{tmp_dir}/runs", fmt="json").count() == 1
+    assert read_export(spark, f"{tmp_dir}/runs", fmt="json").columns[0] == "artifact_location"
+    with pytest.raises(ValueError, match="lacks"):
+        experiments(raw.drop("tags"))
