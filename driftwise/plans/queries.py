@@ -16,7 +16,7 @@ from driftwise.operators.align import align_positional as align
 from driftwise.operators.classify import define, definition_table
 from driftwise.operators.compare import compare_frames, compare_groups, compare_split
 from driftwise.operators.drift import category_counts, numeric_bins
-from driftwise.operators.links import LIST_LINKS, RUN_LINKS, bounded_ids, view_links
+from driftwise.operators.links import LIST_LINKS, RUN_LINKS, bounded_ids, first_cell, view_links
 from driftwise.operators.roundtrip import compare_tables, roundtrip_check
 from driftwise.plans import oracle
 from driftwise.session import scratch_path
@@ -173,6 +173,11 @@ def selection(spark, sf_dir) -> DataFrame:
     return o.select(run.cast("bigint").alias("run_id"), F.col("o_orderkey").alias("building_id"))
 
 
+def first_run_cell(spark, sf_dir):
+    """The selection's first cell: the run id of the lowest id (one row)."""
+    return first_cell(selection(spark, sf_dir), "building_id", "run_id")
+
+
 def bounded_id_list(spark, sf_dir):
     return bounded_ids(selection(spark, sf_dir), "run_id", "building_id")
 
@@ -279,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_columns": classify_columns,
     "coerce_datetime": coerce_datetime,
     "millis_to_timestamp": millis_to_ts,
+    "first_run_cell": first_run_cell,
     "bounded_id_list": bounded_id_list,
     "view_links_list": view_links_list,
     "view_links_run": view_links_run,
@@ -324,6 +330,7 @@ WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH'
 SELECT o_orderkey, date_text, try_strptime(date_text, '%Y-%m-%d') AS parsed,
        try_strptime(date_text, '%Y-%d-%m') AS parsed_dm FROM t""",
     "millis_to_timestamp": "SELECT o_orderkey, o_orderkey * 1000 AS ms, epoch_ms(o_orderkey * 1000) AS ts FROM orders",
+    "first_run_cell": f"SELECT run_id FROM ({SELECTION_SQL}) s ORDER BY building_id NULLS LAST LIMIT 1",
     "bounded_id_list": oracle.bounded_ids_sql(SELECTION_SQL),
     "view_links_list": oracle.view_links_list_sql(SELECTION_SQL),
     "view_links_run": oracle.view_links_run_sql(SELECTION_SQL),
