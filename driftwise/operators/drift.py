@@ -7,30 +7,31 @@ string); see :mod:`driftwise.operators.align`.
 PSI over bins *i* is ``sum_i (c_i - r_i) * ln(c_i / r_i)`` with ``r_i``,
 ``c_i`` the shares of reference and current rows in bin *i*.
 
-Plan shape (every step is a built-in operator, no UDF):
+Plan shape (every step is a built-in operator, no UDF).  Columns are
+processed in chunks of ``CHUNK_COLUMNS``, numerical and categorical ones
+separately.
 
-Columns are processed in chunks of ``CHUNK_COLUMNS``; per chunk:
+Numerical chunk (two passes over the chunk's columns):
 
 1. one global aggregate over the paired rows -> a single row holding, per
-   column, min / max of the usable values and the usable count per side; it is
-   unrolled into one row per column (``inline``).  Partial aggregation leaves
-   one row per task before the single-partition exchange.
-2. all scored columns are unpivoted in one ``stack`` (an int column id, the
-   usable double, the text value) and joined on the id with that per-column
-   table (broadcast: its size is the number of columns, fixed by the
-   schema).  Numerical values get an equal-width bin over the pooled range;
-   categorical values are their own bin.
-3. one aggregation counts rows per ``(column id, bin, value)`` and side.
-   Partial aggregation shrinks every task's output to at most
-   columns x bins rows (plus the distinct values seen by the task) before the
-   shuffle, so a hot value or a hot column costs nothing extra.
-4. the chunks' counts (small) are unioned and a second aggregation sums the
-   PSI terms per column; names and kinds come back from the column id
-   through literal arrays.
-
-The statistics subtree is used once, so it runs once.  The data is read
-twice (statistics, then bins), each time only the scored columns.  Nothing
-is collected to the driver.
+   column, min / max of the usable values and the usable count per side; it
+   is unrolled into one row per column (``inline``).  Partial aggregation
+   leaves one row per task before the single-partition exchange.
+2. each row is unpivoted with ``stack`` (an int column id, the usable
+   double) and joined on the id with that per-column table (broadcast: its
+   size is the number of columns, fixed by the schema); values get an
+   equal-width bin over the pooled range and are counted per
+   ``(column id, bin)`` and side.  Partial aggregation shrinks every task's
+   output to at most columns x bins rows before the shuffle.
+
+Categorical chunk (one pass): each row is unpivoted with ``stack`` (an int
+column id, the text value) and counted per ``(column id, value)`` and side;
+partial aggregation folds a hot value map-side.  The per-side totals are a
+per-column sum over those counts (one row per column), broadcast back.
+
+Finally the chunks' counts (small) are unioned and a second aggregation sums
+the PSI terms per column; names and kinds come back from the column id
+through literal arrays.  Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -116,8 +117,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _chunks(definition: DataDefinition) -> list[tuple[int, list[tuple[str, str]]]]:
+    """(first column id, columns) per chunk; numerical and categorical
+    columns are chunked separately since they are counted differently."""
     cols = _columns(definition)
-    return [(i, cols[i:i + CHUNK_COLUMNS]) for i in range(0, len(cols), CHUNK_COLUMNS)]
+    n_num = len(definition.numerical)
+    out = []
+    for lo, hi in ((0, n_num), (n_num, len(cols))):
+        out += [(i, cols[i:min(i + CHUNK_COLUMNS, hi)]) for i in range(lo, hi, CHUNK_COLUMNS)]
+    return out
 
 
 def _chunk_stats(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
@@ -163,7 +170,34 @@ _BIN_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN hi = lo THEN 0 "
             "ELSE least(CAST(floor((v / 2 - lo / 2) / ((hi / 2 - lo / 2) / k)) AS INT), CAST(k - 1 AS INT)) END")
 
 
-def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
+def _categorical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]],
+                        totals: bool = True) -> DataFrame:
+    """Value counts of categorical columns, in one pass over the data.
+
+    No range is needed, so instead of a statistics pass the per-side totals
+    come from the counts themselves: a per-column sum over the (already
+    aggregated) counts, broadcast back on the column id (one row per
+    column).  Both read the same counts exchange, which Spark reuses.
+    """
+    cells = [f"{i}, CAST({ident(c)} AS STRING)" for i, (c, _) in enumerate(cols, start=first)]
+    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, value)")
+    counts = (long.where(F.col("value").isNotNull()).groupBy("cid", "value")
+                  .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
+                       F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count")))
+    if totals:
+        sums = counts.groupBy("cid").agg(F.sum("ref_count").alias("nr"), F.sum("cur_count").alias("nc"))
+        counts = counts.join(F.broadcast(sums), "cid")
+    else:
+        counts = counts.selectExpr("*", "CAST(NULL AS BIGINT) AS nr", "CAST(NULL AS BIGINT) AS nc")
+    return counts.selectExpr("cid", "CAST(NULL AS INT) AS bin", "value", "ref_count", "cur_count",
+                             "nr", "nc", "CAST(NULL AS DOUBLE) AS lo", "CAST(NULL AS DOUBLE) AS hi",
+                             "CAST(NULL AS INT) AS k")
+
+
+def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]],
+                  totals: bool = True) -> DataFrame:
+    if all(kind == "categorical" for _, kind in cols):
+        return _categorical_counts(paired, first, cols, totals)
     stats = _chunk_stats(paired, first, cols)
     cells = []
     for i, (c, kind) in enumerate(cols, start=first):
@@ -180,24 +214,26 @@ def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) ->
                        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("k").alias("k")))
 
 
-def bin_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
+def bin_counts(paired: DataFrame, definition: DataDefinition, totals: bool = True) -> DataFrame:
     """Counts per side of every bin (numerical) and value (categorical):
     ``cid, bin, value, ref_count, cur_count, nr, nc, lo, hi, k``.
 
     ``bin`` is set for numerical columns, ``value`` for categorical ones; a
-    row with both null counts the unusable values (null, NaN, infinity).
+    numerical row with a null bin counts the unusable values (null, NaN,
+    infinity).  Without ``totals`` the categorical ``nr`` / ``nc`` stay null.
 
-    Per chunk of columns, each row becomes one row per column (``stack``:
+    Per chunk of numerical columns, each row becomes one row per column (``stack``:
     an int column id, the usable double and the text value), is joined on
     the id with the chunk's statistics (broadcast; one row per column) and
     counted per ``(cid, bin, value)``.  The per-column constants ride along
     as ``max`` aggregates instead of widening the grouping key.  Equal-width
-    bins over [lo, hi]; the top edge belongs to the last bin.
+    bins over [lo, hi]; the top edge belongs to the last bin.  Categorical
+    chunks are counted in one pass (see :func:`_categorical_counts`).
     """
     chunks = _chunks(definition)
     if not chunks:
         raise ValueError("nothing to score: no numerical or categorical column")
-    return union_all([_chunk_counts(paired, first, cols) for first, cols in chunks])
+    return union_all([_chunk_counts(paired, first, cols, totals) for first, cols in chunks])
 
 
 def _lookup(definition: DataDefinition, which: int, cid: str = "cid") -> Column:
@@ -225,7 +261,7 @@ def numeric_bins(paired: DataFrame, definition: DataDefinition) -> DataFrame:
 def category_counts(paired: DataFrame, definition: DataDefinition) -> DataFrame:
     """``column_name, value, ref_count, cur_count`` per distinct non-null value."""
     only = DataDefinition(definition.id_column, (), definition.categorical, ())
-    return (bin_counts(paired, only).where(F.col("value").isNotNull())
+    return (bin_counts(paired, only, totals=False).where(F.col("value").isNotNull())
                 .select(_lookup(only, 0).alias("column_name"), "value", "ref_count", "cur_count"))
 
 
