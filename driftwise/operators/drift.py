@@ -312,18 +312,27 @@ def drift_summary(columns: DataFrame, share: float = DATASET_SHARE) -> DataFrame
 def drift_tests(columns: DataFrame, share: float = DATASET_SHARE) -> DataFrame:
     """One pass/fail row per column plus one for the dataset:
     ``test, column_name, value, limit, status`` with status SUCCESS / FAIL,
-    or SKIPPED for a column that could not be scored."""
-    per_column = columns.select(
-        F.lit("column_drift").alias("test"), "column_name",
-        F.col("psi").alias("value"), F.col("threshold").alias("limit"),
-        F.when(F.col("psi").isNull(), "SKIPPED").when(F.col("drifted"), "FAIL")
-         .otherwise("SUCCESS").alias("status"))
-    summary = drift_summary(columns, share).select(
-        F.lit("drifted_share").alias("test"), F.lit(None).cast("string").alias("column_name"),
-        F.col("drifted_share").alias("value"), F.lit(float(share)).alias("limit"),
-        F.when(F.col("drifted_share").isNull(), "SKIPPED").when(F.col("dataset_drifted"), "FAIL")
-         .otherwise("SUCCESS").alias("status"))
-    return per_column.unionByName(summary)
+    or SKIPPED for a column that could not be scored.
+
+    One ``rollup`` over the per-column table yields both: a group per column
+    (one row each) and the grand total, so the per-column plan runs once.
+    """
+    agg = columns.rollup("column_name").agg(
+        F.first("psi").alias("psi"), F.first("threshold").alias("threshold"),
+        F.first("drifted").alias("drifted"),
+        F.count_if(F.col("psi").isNotNull()).alias("scored"),
+        F.count_if(F.col("drifted")).alias("n_drifted"),
+        F.grouping("column_name").alias("total"))
+    total = F.col("total") == 1
+    ratio = F.when(F.col("scored") > 0, F.round(F.col("n_drifted") / F.col("scored"), ROUND_DIGITS))
+    value = F.when(total, ratio).otherwise(F.col("psi"))
+    failed = F.when(total, ratio >= F.lit(float(share))).otherwise(F.col("drifted"))
+    return agg.select(
+        F.when(total, "drifted_share").otherwise("column_drift").alias("test"),
+        F.when(~total, F.col("column_name")).alias("column_name"),
+        value.alias("value"),
+        F.when(total, F.lit(float(share))).otherwise(F.col("threshold")).alias("limit"),
+        F.when(value.isNull(), "SKIPPED").when(failed, "FAIL").otherwise("SUCCESS").alias("status"))
 
 
 class DriftReport:
