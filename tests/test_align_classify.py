@@ -183,3 +183,39 @@ def test_awkward_column_names(spark):
     got = {r.column_name: r.kind for r in rep.columns.collect()}
     assert got == {"e`f": "numerical", "g": "categorical"}
     assert id_first(df, "c d").columns[0] == "c d"
+
+
+def test_combined_drift_table_fixture(spark):
+    """FIXTURES §2: six groups in one table, nulls on one side, a constant
+    column, NaN and infinity, and labels that swap two names."""
+    import datetime as _dt
+    from tests.helpers import psi_categorical, psi_numeric
+    rows = []
+    for i in range(60):
+        rows.append((i, float("nan") if i == 3 else i * 1.5, 7, "a" if i % 3 else "b", _dt.datetime(2024, 1, 1 + i % 28),
+                     i + 100, float("inf") if i == 5 else (i % 10) * 2.0, None, "c" if i % 4 else "a",
+                     _dt.datetime(2023, 1, 1 + i % 28)))
+    schema = ("nid bigint, n_price double, n_qty bigint, n_flag string, n_ts timestamp, "
+              "rid bigint, r_price double, r_qty bigint, r_flag string, r_ts timestamp")
+    df = spark.createDataFrame(rows, schema)
+    groups = ColumnGroups(
+        new_features=("n_price", "n_qty", "n_flag"), ref_features=("r_price", "r_qty", "r_flag"),
+        new_id="nid", ref_id="rid", new_datetimes=("n_ts",), ref_datetimes=("r_ts",),
+        # the new side's labels swap two names
+        labels={"n_price": "qty", "n_qty": "price", "r_price": "p", "r_qty": "q"})
+    rep = compare_groups(df, groups)
+    got = {r.column_name: r for r in rep.columns.collect()}
+    assert set(got) == {"qty", "price", "n_flag"}            # current-side labels, by position
+    cur = {"qty": [r[1] for r in rows], "price": [r[2] for r in rows], "n_flag": [r[3] for r in rows]}
+    ref = {"qty": [r[6] for r in rows], "price": [r[7] for r in rows], "n_flag": [r[8] for r in rows]}
+    # "qty" holds n_price (NaN dropped) against r_price (inf dropped)
+    psi, bins = psi_numeric(ref["qty"], cur["qty"])
+    assert got["qty"].psi == pytest.approx(psi, abs=1e-7) and got["qty"].bins == bins
+    assert (got["qty"].ref_count, got["qty"].cur_count) == (59, 59)
+    # "price" is the constant n_qty against an all-null r_qty: no reference values
+    assert got["price"].psi is None and got["price"].ref_count == 0
+    psi, bins = psi_categorical(ref["n_flag"], cur["n_flag"])
+    assert got["n_flag"].psi == pytest.approx(psi, abs=1e-7)
+    assert got["n_flag"].kind == "categorical" and got["qty"].kind == "numerical"
+    # datetimes and ids are carried, never scored
+    assert {r.column_name for r in rep.columns.collect()}.isdisjoint({"n_ts", "nid"})

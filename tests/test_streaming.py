@@ -42,3 +42,22 @@ def test_whole_stream_equals_batch(spark, tmp_dir):
     want = {r.column_name: r.psi for r in compare_frames(
         reference, events.where(F.col("ts") >= split), SPEC, SPEC).columns.collect()}
     assert got == want
+
+
+def test_reference_without_materializing(spark, tmp_dir):
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    split = F.expr("TIMESTAMP_NTZ'2024-01-16 00:00:00'")
+    events.where(F.col("ts") >= split).coalesce(1).write.parquet(f"{tmp_dir}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_dir}/in")
+    reference = events.where(F.col("ts") < split)
+    q = drift_stream(spark, stream, reference, SPEC, f"{tmp_dir}/out", f"{tmp_dir}/ckpt",
+                     materialize_reference=False)
+    q.awaitTermination()
+    assert read_stream_results(spark, f"{tmp_dir}/out").count() == 3
+
+
+def test_batch_input_is_refused(spark):
+    import pytest
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    with pytest.raises(ValueError, match="streaming"):
+        drift_stream(spark, events, events, SPEC, "/nonexistent")
