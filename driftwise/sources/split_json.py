@@ -2,7 +2,8 @@
 "data": [[row], ...]}``.
 
 Reading: documents are parsed with an explicit schema (cells as text),
-``arrays_zip`` + ``explode`` turns every document into its rows, and every
+``posexplode`` turns every document into its rows (the document's index,
+or the row position when it has none), and every
 output column is looked up by name in the document's own ``columns`` list
 and converted with ``try_cast``.  Documents may be one per file
 (``multi_line=True``, one task per file) or one per line (splittable, the
@@ -40,13 +41,16 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     docs = spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).json(path)
-    rows = docs.select("columns", F.explode(F.arrays_zip("index", "data")).alias("r"))
+    rows = docs.select("columns", "index", F.posexplode("data").alias("pos", "row"))
     cols = []
     if index_col:
-        cols.append(F.col("r.index").alias(index_col))
+        # the document's own index, or the row position when it has none
+        index = F.coalesce(F.try_element_at(F.col("index"), (F.col("pos") + 1).cast("int")),
+                           F.col("pos").cast("bigint"))
+        cols.append(index.alias(index_col))
     for f in schema.fields:
         pos = F.array_position(F.col("columns"), F.lit(f.name)).cast("int")
-        cell = F.try_element_at(F.col("r.data"), pos)
+        cell = F.try_element_at(F.col("row"), pos)
         cols.append(_typed(cell, f.dataType).alias(f.name))
     return rows.select(*cols)
 

@@ -158,3 +158,11 @@ def test_runs_and_map_tags(spark, tmp_dir):
     assert read_export(spark, f"{tmp_dir}/runs", fmt="json").columns[0] == "artifact_location"
     with pytest.raises(ValueError, match="lacks"):
         experiments(raw.drop("tags"))
+
+
+def test_split_json_without_index(spark, tmp_dir):
+    pdf = pd.DataFrame({"a": [1, 2], "s": ["x", "y"]})
+    with open(f"{tmp_dir}/doc.json", "w") as fh:
+        fh.write(pdf.to_json(orient="split", index=False))
+    df = read_split_json(spark, tmp_dir, "a bigint, s string", multi_line=True)
+    assert sorted((r["index"], r.a, r.s) for r in df.collect()) == [(0, 1, "x"), (1, 2, "y")]
