@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwise.operators.drift import DATASET_SHARE, DriftReport, drift_summary, drift_tests
+from driftwise.operators.drift import DriftReport, drift_summary, drift_tests
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,10 @@ class StoredReport:
 
 
 def write_report(spark: SparkSession, report: DriftReport, path: str,
-                 share: float = DATASET_SHARE, fmt: str = "parquet") -> StoredReport:
-    """Write the three tables of ``report`` below ``path`` (overwriting)."""
+                 share: float | None = None, fmt: str = "parquet") -> StoredReport:
+    """Write the three tables of ``report`` below ``path`` (overwriting).
+    ``share`` defaults to the report's own dataset-drift share."""
+    share = report.share if share is None else share
     report.columns.write.mode("overwrite").format(fmt).save(f"{path}/columns")
     cols = spark.read.format(fmt).load(f"{path}/columns")
     drift_summary(cols, share).write.mode("overwrite").format(fmt).save(f"{path}/summary")
