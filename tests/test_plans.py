@@ -71,3 +71,13 @@ def test_drift_plan_prunes_and_broadcasts_bounded_side(spark):
 def test_links_plan_has_group_limit(spark):
     plan = E.queries()["bounded_id_list"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_python_and_no_pairwise_joins(spark, name):
+    df = E.queries()[name](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+                "CartesianProduct", "BroadcastNestedLoopJoin", "SortMergeJoin"):
+        assert bad not in plan, (name, bad)
