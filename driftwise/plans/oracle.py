@@ -140,6 +140,5 @@ FROM b, k"""
 def view_links_run_sql(selection: str, base_url: str = "/") -> str:
     kinds = " UNION ALL ".join(f"SELECT '{k}' AS link, '{p}' AS path" for k, p in RUN_LINKS.items())
     return f"""WITH b AS (SELECT DISTINCT run_id FROM ({selection}) s), k AS ({kinds})
-SELECT run_id, link, CAST(NULL AS VARCHAR) AS ids, CAST(NULL AS INTEGER) AS max,
-       '{base_url}' || path || '?rechenlauf=' || CAST(run_id AS VARCHAR) AS url
+SELECT run_id, link, '{base_url}' || path || '?rechenlauf=' || CAST(run_id AS VARCHAR) AS url
 FROM b, k"""

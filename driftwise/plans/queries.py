@@ -187,7 +187,8 @@ def view_links_list(spark, sf_dir):
 
 
 def view_links_run(spark, sf_dir):
-    return view_links(selection(spark, sf_dir), list(RUN_LINKS), "run_id")
+    # run-only links carry no id list: keep the meaningful columns
+    return view_links(selection(spark, sf_dir), list(RUN_LINKS), "run_id").select("run_id", "link", "url")
 
 
 # ------------------------------------------------------ conversion, scans
