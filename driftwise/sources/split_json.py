@@ -11,7 +11,8 @@ form :func:`write_split_json` produces).
 
 Writing: rows are grouped into documents of at most ``rows_per_doc`` rows
 (``index // rows_per_doc`` inside each input partition, so a document never
-spans partitions and no group is unbounded) and written one per line.
+spans partitions and no group is unbounded) and written one per line; with
+``rows_per_doc=1`` each row is a document and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -57,15 +58,28 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
 
 def write_split_json(df: DataFrame, path: str, rows_per_doc: int = 1000,
                      mode: str = "overwrite") -> None:
-    """Write ``df`` as split documents, one JSON document per line."""
+    """Write ``df`` as split documents, one JSON document per line.
+
+    ``rows_per_doc=1`` writes every row as its own document: no grouping,
+    so no shuffle (the form to use for large exports).  Larger documents
+    group the rows of each input partition, which costs one shuffle.
+    """
+    if rows_per_doc < 1:
+        raise ValueError("rows_per_doc must be at least 1")
     names = df.columns
     idx = F.monotonically_increasing_id()
     cells = F.array(*[col(c).cast("string") for c in names])
+    header = F.array(*[F.lit(c) for c in names]).alias("columns")
+    if rows_per_doc == 1:
+        one = df.select(F.to_json(F.struct(header, F.array(idx).alias("index"),
+                                           F.array(cells).alias("data"))).alias("value"))
+        one.write.mode(mode).text(path)
+        return
     chunked = df.select(idx.alias("_i"), cells.alias("_row"))
     docs = (chunked.groupBy((F.col("_i") / rows_per_doc).cast("bigint").alias("_doc"))
                    .agg(F.array_sort(F.collect_list(F.struct("_i", "_row"))).alias("_rows")))
     out = docs.select(F.to_json(F.struct(
-        F.array(*[F.lit(c) for c in names]).alias("columns"),
+        header,
         F.col("_rows._i").alias("index"),
         F.col("_rows._row").alias("data"))).alias("value"))
     out.write.mode(mode).text(path)

@@ -166,3 +166,12 @@ def test_split_json_without_index(spark, tmp_dir):
         fh.write(pdf.to_json(orient="split", index=False))
     df = read_split_json(spark, tmp_dir, "a bigint, s string", multi_line=True)
     assert sorted((r["index"], r.a, r.s) for r in df.collect()) == [(0, 1, "x"), (1, 2, "y")]
+
+
+def test_split_json_one_row_per_document_has_no_shuffle(spark, tmp_dir):
+    orders = spark.read.parquet(f"{SF001}/orders.parquet")
+    write_split_json(orders, f"{tmp_dir}/j1", rows_per_doc=1)
+    back = read_split_json(spark, f"{tmp_dir}/j1", orders.schema)
+    assert back.count() == orders.count()
+    assert results(compare_tables(spark, orders, back.drop("index")))["contents"] == ("identical", 0)
+    assert spark.read.text(f"{tmp_dir}/j1").count() == orders.count()
