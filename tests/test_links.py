@@ -118,3 +118,11 @@ def test_selection_contract(spark):
     df = spark.createDataFrame([(7, 1.5)], "run bigint, bid double")
     with pytest.raises(ValueError, match="contract"):
         view_links(df, list(LIST_LINKS)[:1], "run", "bid")
+
+
+def test_mixed_kinds_in_one_call(spark):
+    df = spark.createDataFrame([(7, 3), (7, 1)], "run bigint, bid bigint")
+    kinds = [list(LIST_LINKS)[0], list(RUN_LINKS)[0]]
+    rows = {r.link: r for r in view_links(df, kinds, "run", "bid").collect()}
+    assert rows[kinds[0]].ids == "1,3" and rows[kinds[0]].max == 0
+    assert rows[kinds[1]].ids is None and rows[kinds[1]].url.endswith("rechenlauf=7")
