@@ -7,6 +7,8 @@ input uses a ``try_`` form and yields null instead of failing the job.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,17 @@ def to_bigint(c) -> Column:
     return _col(c).try_cast("bigint")
 
 
+# a time of day followed by a zone offset ("10:00+02:00", "10:00:00.5Z")
+_OFFSET = r"[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?\s*(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+
+
+def _pattern_has_zone(fmt: str) -> bool:
+    """Whether a datetime pattern parses a zone or offset (letters outside
+    quoted literals)."""
+    unquoted = re.sub(r"'[^']*'", "", fmt)
+    return any(ch in unquoted for ch in "XxZzOV")
+
+
 def parse_timestamp(c, fmt: str | None = None) -> Column:
     """Text -> TIMESTAMP_NTZ; null where the text does not parse.
 
@@ -37,13 +50,21 @@ def parse_timestamp(c, fmt: str | None = None) -> Column:
     (``yyyy``, ``yyyy-[m]m``, ``yyyy-[m]m-[d]d`` with an optional time), decided
     row by row.  With ``fmt`` (a Spark datetime pattern such as
     ``yyyy-dd-MM``) the text must match it.
+
+    Text with a zone offset (``...+02:00``, ``...Z``) names an instant: it is
+    returned as the UTC reading of that instant.  Text without one is taken
+    as a wall-clock reading and returned unchanged.
     """
     c = _col(c)
     if fmt is None:
-        return c.try_cast("timestamp_ntz")
+        zoned = F.convert_timezone(None, F.lit("UTC"), c.try_cast("timestamp"))
+        return F.when(c.rlike(_OFFSET), zoned).otherwise(c.try_cast("timestamp_ntz"))
+    parsed = F.try_to_timestamp(c, F.lit(fmt))
+    if _pattern_has_zone(fmt):
+        return F.convert_timezone(None, F.lit("UTC"), parsed)
     # try_to_timestamp gives the wall-clock reading in the session zone;
     # casting back to NTZ keeps that reading as it is.
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return parsed.cast("timestamp_ntz")
 
 
 def coerce_datetime(name: str, dtype: T.DataType, fmt: str | None = None) -> Column:

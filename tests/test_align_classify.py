@@ -219,3 +219,19 @@ def test_combined_drift_table_fixture(spark):
     assert got["n_flag"].kind == "categorical" and got["qty"].kind == "numerical"
     # datetimes and ids are carried, never scored
     assert {r.column_name for r in rep.columns.collect()}.isdisjoint({"n_ts", "nid"})
+
+
+def test_parse_timestamp_offsets(spark):
+    from driftwise.functions.scalar import parse_timestamp
+    rows = [("2025-01-01T10:00:00+02:00",), ("2025-01-01T10:00:00Z",), ("2025-01-01 10:00:00",),
+            ("2025-01-01",), ("garbage",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [r.p for r in df.select(parse_timestamp("t").alias("p")).collect()]
+        assert got == [dt.datetime(2025, 1, 1, 8), dt.datetime(2025, 1, 1, 10), dt.datetime(2025, 1, 1, 10),
+                       dt.datetime(2025, 1, 1), None, None], zone
+        z = spark.createDataFrame([("01/01/2025 10:00 +0200",), ("01/01/2025 10:00 +0000",)], "t string")
+        got = [r.p for r in z.select(parse_timestamp("t", "dd/MM/yyyy HH:mm xx").alias("p")).collect()]
+        assert got == [dt.datetime(2025, 1, 1, 8), dt.datetime(2025, 1, 1, 10)], zone
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
