@@ -201,3 +201,43 @@ def test_range_at_double_limits(spark):
     def b(v):
         return min(int((Fraction(v) - lo) / ((hi - lo) / k)), k - 1)
     assert r.bins == len({b(v) for v in pooled})
+
+
+_cell = {
+    "bigint": st.one_of(st.none(), st.integers(-5, 5)),
+    "double": st.one_of(st.none(), st.floats(-100, 100),
+                        st.sampled_from([float("nan"), float("inf"), float("-inf")])),
+    "string": st.one_of(st.none(), st.sampled_from(["x", "y", "z"])),
+    "boolean": st.one_of(st.none(), st.booleans()),
+}
+_types = ["bigint", "double", "string", "boolean"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.data())
+def test_compare_frames_end_to_end_property(spark, data):
+    types = data.draw(st.lists(st.sampled_from(_types), min_size=1, max_size=5))
+    names = [f"c{i}" for i in range(len(types))]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types))
+
+    def table():
+        return data.draw(st.lists(st.tuples(*[_cell[t] for t in types]), max_size=25))
+
+    ref, cur = table(), table()
+    spec = DatasetSpec(features=tuple(names))
+    scored = [n for n, t in zip(names, types) if t != "boolean"]
+    if not scored:
+        return
+    got = {r.column_name: r for r in compare_frames(spark.createDataFrame(ref, schema),
+                                                    spark.createDataFrame(cur, schema), spec).columns.collect()}
+    assert set(got) == set(scored)      # booleans are not scored
+    for j, (n, t) in enumerate(zip(names, types)):
+        if t == "boolean":
+            continue
+        fn = psi_categorical if t == "string" else psi_numeric
+        psi, bins = fn([r[j] for r in ref], [r[j] for r in cur])
+        if psi is None:
+            assert got[n].psi is None, n
+        else:
+            assert got[n].psi == pytest.approx(psi, abs=1e-7), n
+            assert got[n].bins == bins, n
