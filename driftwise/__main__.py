@@ -1,9 +1,12 @@
 """Command line: run the library's entry points as batch jobs.
 
-    spark-submit -m driftwise drift --reference R --current C --features a,b --out DIR
+    python -m driftwise drift --reference R --current C --features a,b --out DIR
     python -m driftwise links --selection S --run run_id [--ids building_id] --out DIR
     python -m driftwise convert --csv IN --parquet OUT
 
+On a cluster, ship the package and submit this file:
+``spark-submit --py-files driftwise.zip driftwise/__main__.py drift ...``.
+
 Inputs are read with ``spark.read.format(--format)`` (Parquet by default);
 results are written below ``--out`` (the drift report as three tables) and a
 short summary is printed.  The session comes from ``spark-submit`` or is
