@@ -235,3 +235,18 @@ def test_parse_timestamp_offsets(spark):
         got = [r.p for r in z.select(parse_timestamp("t", "dd/MM/yyyy HH:mm xx").alias("p")).collect()]
         assert got == [dt.datetime(2025, 1, 1, 8), dt.datetime(2025, 1, 1, 10)], zone
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_csv_inferred_types_for_the_sample(spark, tmp_dir):
+    from driftwise.sources.files import read_csv
+    p = f"{tmp_dir}/s.txt"
+    with open(p, "w") as fh:
+        fh.write(SAMPLE_REF)
+    df = read_csv(spark, p)                      # no schema: types inferred (exploration only)
+    types = dict(df.dtypes)
+    assert types["str"] == "string" and types["flo"] == "double"
+    assert types["int"] in ("int", "bigint")
+    assert types["dat"] == "string"              # "2025-17-03" is not a date, so the column stays text
+    spec = DatasetSpec(features=("str", "int", "flo"), datetimes=("dat",))
+    got = {r.column_name: r.kind for r in compare_frames(df, df, spec).columns.collect()}
+    assert got == {"str": "categorical", "int": "numerical", "flo": "numerical"}
