@@ -10,7 +10,11 @@ def usable(xs):
 
 
 def sturges(n):
-    return 1 if n <= 1 else math.ceil(math.log2(n) - 1e-12) + 1 if n & (n - 1) else int(math.log2(n)) + 1
+    """ceil(log2 n) + 1 by counting doublings (1 bin for n <= 1)."""
+    k = 0
+    while (1 << k) < n:
+        k += 1
+    return k + 1
 
 
 def psi_numeric(ref, cur):
