@@ -252,3 +252,13 @@ def test_csv_inferred_types_for_the_sample(spark, tmp_dir):
     spec = DatasetSpec(features=("str", "int", "flo"), datetimes=("dat",))
     got = {r.column_name: r.kind for r in compare_frames(df, df, spec).columns.collect()}
     assert got == {"str": "categorical", "int": "numerical", "flo": "numerical"}
+
+
+def test_definition_table_chunks(spark):
+    df = spark.createDataFrame([(1, 2.0, "a", None, 5), (2, None, "b", "x", 6)],
+                               "k bigint, v double, s string, t string, n int")
+    coerced, d = define(df, "k")
+    whole = {tuple(r) for r in definition_table(coerced, d).collect()}
+    chunked = {tuple(r) for r in definition_table(coerced, d, chunk=2).collect()}
+    assert whole == chunked == {("k", "id", 2), ("v", "numerical", 1), ("n", "numerical", 2),
+                                ("s", "categorical", 2), ("t", "categorical", 1)}

@@ -126,3 +126,9 @@ def test_mixed_kinds_in_one_call(spark):
     rows = {r.link: r for r in view_links(df, kinds, "run", "bid").collect()}
     assert rows[kinds[0]].ids == "1,3" and rows[kinds[0]].max == 0
     assert rows[kinds[1]].ids is None and rows[kinds[1]].url.endswith("rechenlauf=7")
+
+
+def test_first_cell_skips_null_order_values(spark):
+    df = spark.createDataFrame([(None, 99), (2, 20), (1, 10)], "k bigint, v bigint")
+    assert [r.v for r in first_cell(df, "k", "v").collect()] == [10]
+    assert first_cell(df.where("false"), "k", "v").count() == 0
