@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.scalar import verdict
-from driftwise.sources.files import CSV_EXACT_OPTIONS, CSV_READBACK_OPTIONS
+from driftwise.sources.files import CSV_EXACT_OPTIONS, CSV_READBACK_OPTIONS, CSV_TIME_OPTIONS
 
 _W = "_w"
 
@@ -93,6 +93,10 @@ def roundtrip_check(spark: SparkSession, df: DataFrame, path: str, fmt: str = "p
     if fmt == "csv":
         options = {**CSV_EXACT_OPTIONS, **options}
         read_options = {**CSV_READBACK_OPTIONS, **read_options}
+    elif fmt == "json":
+        # JSON, like CSV, keeps only milliseconds of a timestamp by default
+        options = {**CSV_TIME_OPTIONS, **options}
+        read_options = {**CSV_TIME_OPTIONS, **read_options}
     df.write.mode("overwrite").format(fmt).options(**options).save(path)
     reader = spark.read.format(fmt).options(**read_options)
     if fmt in ("csv", "json", "text"):

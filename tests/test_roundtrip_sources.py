@@ -175,3 +175,9 @@ def test_split_json_one_row_per_document_has_no_shuffle(spark, tmp_dir):
     assert back.count() == orders.count()
     assert results(compare_tables(spark, orders, back.drop("index")))["contents"] == ("identical", 0)
     assert spark.read.text(f"{tmp_dir}/j1").count() == orders.count()
+
+
+def test_json_roundtrip_keeps_microseconds(spark, tmp_dir):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    got = results(roundtrip_check(spark, ev, f"{tmp_dir}/evj", fmt="json"))
+    assert all(v == ("identical", 0) for v in got.values()), got
