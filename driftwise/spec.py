@@ -31,6 +31,9 @@ class DatasetSpec:
         names = self.columns()
         if len(set(names)) != len(names):
             raise ValueError(f"a column appears in more than one role: {names}")
+        labels = [self.label(c) for c in names]
+        if len(set(labels)) != len(labels):
+            raise ValueError(f"labels must be distinct: {labels}")
 
     def columns(self) -> list[str]:
         """Physical names in role order: id, features, datetimes."""

@@ -262,3 +262,12 @@ def test_definition_table_chunks(spark):
     chunked = {tuple(r) for r in definition_table(coerced, d, chunk=2).collect()}
     assert whole == chunked == {("k", "id", 2), ("v", "numerical", 1), ("n", "numerical", 2),
                                 ("s", "categorical", 2), ("t", "categorical", 1)}
+
+
+def test_spec_rejects_clashing_labels():
+    with pytest.raises(ValueError, match="labels"):
+        DatasetSpec(features=("a", "b"), labels={"a": "x", "b": "x"})
+    with pytest.raises(ValueError, match="role"):
+        DatasetSpec(features=("a",), id="a")
+    with pytest.raises(ValueError, match="feature"):
+        DatasetSpec(features=())
