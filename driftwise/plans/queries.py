@@ -93,6 +93,18 @@ def drift_columns_lineitem(spark, sf_dir):
     return compare_split(li, LINEITEM_SPEC, F.col("l_shipdate") >= _ntz("1998-01-01 00:00:00")).columns
 
 
+LINEITEM_ALL_NUM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax")
+LINEITEM_ALL_CAT = ("l_returnflag", "l_linestatus")
+
+
+def drift_columns_lineitem_all(spark, sf_dir):
+    """Every lineitem column but the split date scored at once."""
+    li = table(spark, sf_dir, "lineitem")
+    spec = DatasetSpec(features=LINEITEM_ALL_NUM + LINEITEM_ALL_CAT, datetimes=("l_shipdate",))
+    return compare_split(li, spec, F.col("l_shipdate") >= _ntz("1998-01-01 00:00:00")).columns
+
+
 # --------------------------------------------------------------- drift: events
 EVENTS_SPEC = DatasetSpec(features=("user_id", "event_type", "value"), id="event_id", datetimes=("ts",))
 EVENTS_SRC = ("SELECT CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1 "
@@ -276,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_summary_orders": drift_summary_orders,
     "drift_tests_orders": drift_tests_orders,
     "drift_columns_lineitem": drift_columns_lineitem,
+    "drift_columns_lineitem_all": drift_columns_lineitem_all,
     "drift_columns_events": drift_columns_events,
     "drift_numeric_bins": drift_numeric_bins,
     "drift_category_counts": drift_category_counts,
@@ -310,6 +323,8 @@ ORACLE_SQL: dict[str, str] = {
     "drift_columns_lineitem": oracle.drift_columns_sql(
         LINEITEM_SRC, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
         ["l_returnflag", "l_linestatus"]),
+    "drift_columns_lineitem_all": oracle.drift_columns_sql(LINEITEM_SRC, list(LINEITEM_ALL_NUM),
+                                                           list(LINEITEM_ALL_CAT)),
     "drift_columns_events": _EVENTS_COLS,
     "drift_stream_events": f"SELECT CAST(0 AS BIGINT) AS epoch, * FROM ({_EVENTS_COLS}) r",
     "drift_numeric_bins": oracle.numeric_bins_sql(ORDERS_SRC, "o_totalprice"),
