@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import line_dedup, quality
-from driftwise.llm.common import fold, table
+from driftwise.llm import bpe, line_dedup, quality, token_store
+from driftwise.llm.common import fold, table, vocabulary
+from driftwise.session import scratch_path
+
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = token_store.write_store(docs, scratch_path(spark, "token-store"), vocabulary(TOKENIZER))
+    return token_store.fetch(spark, store, docs.select("doc_id").distinct()).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +36,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary(BPE_RANKS)
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 _OP3 = """
