@@ -230,7 +230,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_i
     fs, folder = FileSystem.from_uri(root)
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(partitions(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
     manifest = stored(dealt.mapInArrow(partial(_write, root=root, tokenizer=tokenizer, end_id=end_id, shard_bytes=shard_bytes), MANIFEST), "token-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return TokenStore(root, manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))))
