@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, line_dedup, quality, token_store
+from driftwise.llm import bpe, decontaminate, language, line_dedup, neighbours, quality, token_store
 from driftwise.llm.common import fold, table, vocabulary
 from driftwise.session import scratch_path
 
@@ -36,6 +36,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold("doc_id", 5) != 0))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary(BPE_RANKS)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -46,6 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_language": op8_language,
+    "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
 }
 
@@ -69,4 +88,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3}
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OP7 = f"""
+WITH texts AS (
+  SELECT 0 AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents),
+worded AS (
+  SELECT kind, id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
+  FROM texts),
+shingles AS (
+  SELECT DISTINCT kind, id, text, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s
+  FROM worded WHERE len(w) >= 5),
+sized AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS q FROM shingles WHERE kind = 0),
+pairs AS (
+  SELECT i.id AS item_id, d.id AS doc_id, i.text, d.text AS doc_text, count(*) AS matched, any_value(q) AS n_shingles
+  FROM sized i JOIN shingles d ON i.s = d.s AND d.kind = 1 GROUP BY 1, 2, 3, 4)
+SELECT item_id, doc_id, max(matched) AS matched, max(n_shingles) AS n_shingles, max(matched / n_shingles) AS containment
+FROM pairs WHERE 10 * matched >= 8 * n_shingles GROUP BY 1, 2
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3, "op7_decontaminate": _OP7}
