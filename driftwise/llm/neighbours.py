@@ -2,8 +2,9 @@
 
 Unit vectors are turned by one random rotation and dealt to the lists of the
 nearest of ``lists`` centres (k-means on at most ``fit_rows`` vectors, those of the
-smallest hash; every row is indexed).  A query looks into its ``probes`` nearest
-lists.  There, partial squared distances are summed over blocks of ``BLOCK`` rotated
+smallest hash; every row is indexed).  A query looks into the ``probe_share`` of the
+lists that are nearest to it (vectors without clusters need a large share: on the
+test tables 0.7 finds 96 of 100 true neighbours, 0.2 finds 60).  There, partial squared distances are summed over blocks of ``BLOCK`` rotated
 columns; after each block the hypothesis that a candidate is among the best is
 tested, and candidates whose partial distance is too large for the current k-th
 best are left.  What remains is scored by the exact cosine of the original vectors.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from driftwise.llm.common import stored
 
 FIT_ROWS = 8192
-PROBES = 24
+PROBE_SHARE = 0.7
 BLOCK = 16
 LIST_ROWS = 4096
 QUERY_ROWS = 4096
@@ -86,37 +87,47 @@ def _deal(batches, model, probes):
             names=["id", "vec", "turned", "cell"])
 
 
-def scan(query: np.ndarray, block: np.ndarray, k: int, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of ``block`` that the tests did not abandon for this query."""
+def scan(queries: np.ndarray, block: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query row, candidate row) that the tests did not abandon."""
     n, dims = block.shape
     lead = min(n, 4 * k)
-    first = ((block[:lead] - query) ** 2).sum(axis=1)
-    best = np.sort(first)[min(k, lead) - 1] if lead >= k else np.inf
-    alive, partial_sum = np.arange(lead, n), np.zeros(n - lead)
+    first = ((queries[:, None, :] - block[None, :lead, :]) ** 2).sum(axis=2)
+    best = np.partition(first, k - 1, axis=1)[:, k - 1] if lead >= k else np.full(len(queries), np.inf)
+    q, c = np.indices((len(queries), n - lead)).reshape(2, -1)
+    c = c + lead
+    so_far = np.zeros(len(q))
     for d in range(0, dims, BLOCK):
-        if not len(alive):
-            break
         e = min(dims, d + BLOCK)
-        partial_sum = partial_sum + ((block[alive, d:e] - query[d:e]) ** 2).sum(axis=1)
-        limit = best * (e / dims) * (1 + epsilon / np.sqrt(e)) ** 2 if e < dims else best
-        stay = partial_sum <= limit * (1 + 1e-5) + 1e-6
-        alive, partial_sum = alive[stay], partial_sum[stay]
-    return np.concatenate([np.arange(lead), alive])
+        if d == 0:
+            a, b = queries[:, :e], block[lead:, :e]
+            step = ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T).ravel()
+        else:
+            step = ((block[c, d:e] - queries[q, d:e]) ** 2).sum(axis=1)
+        so_far = so_far + step
+        limit = best[q] * (e / dims) * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dims else 1)
+        stay = so_far <= limit * (1 + 1e-5) + 1e-6
+        q, c, so_far = q[stay], c[stay], so_far[stay]
+    lq, lc = np.indices((len(queries), lead)).reshape(2, -1)
+    return np.concatenate([lq, q]), np.concatenate([lc, c])
 
 
 def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(candidates) and len(queries):
         block = np.frombuffer(b"".join(candidates["turned"]), np.float32).reshape(len(candidates), -1)
-        ids = candidates["id"].to_numpy()
-        exact = np.array(candidates["vec"].tolist(), np.float64)
-        norms = np.linalg.norm(exact, axis=1)
-        for query, turned, vec in zip(queries["id"], queries["turned"], queries["vec"], strict=True):
-            rows = scan(np.frombuffer(turned, np.float32), block, k)
-            vec = np.asarray(vec, np.float64)
-            score = exact[rows] @ vec / (norms[rows] * np.sqrt(vec @ vec))
-            order = np.lexsort((ids[rows], -score))[:k]
-            out.append(pd.DataFrame({"query": query, "id": ids[rows][order], "score": score[order]}))
+        asked = np.frombuffer(b"".join(queries["turned"]), np.float32).reshape(len(queries), -1)
+        ids, names = candidates["id"].to_numpy(), queries["id"].to_numpy()
+        exact, vecs = np.stack(candidates["vec"].to_numpy()), np.stack(queries["vec"].to_numpy())
+        norms, own = np.linalg.norm(exact, axis=1), np.linalg.norm(vecs, axis=1)
+        step = max(1, (1 << 20) // len(block))
+        for at in range(0, len(asked), step):
+            q, c = scan(asked[at:at + step], block, k)
+            q = q + at
+            score = np.einsum("ij,ij->i", vecs[q], exact[c]) / (own[q] * norms[c])
+            order = np.lexsort((ids[c], -score, q))
+            q, c, score = q[order], c[order], score[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+            out.append(pd.DataFrame({"query": names[q[keep]], "id": ids[c[keep]], "score": score[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
 
@@ -132,7 +143,7 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
-           lists: int | None = None, probes: int = PROBES, fit_rows: int = FIT_ROWS) -> DataFrame:
+           lists: int | None = None, probe_share: float = PROBE_SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors``: query_id, rank, id, score."""
     spark = vectors.sparkSession
     same = Window.partitionBy("h1", "h2").orderBy("id")
@@ -145,7 +156,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
         return spark.createDataFrame([], kind).withColumnRenamed("id", id_col)
     points = unit(np.array([r["vec"] for r in sample], np.float64))
     turn = rotation(points.shape[1])
-    middle = centres(points @ turn, lists or int(np.clip(np.sqrt(base.count()), 1, 1024)))
+    middle = centres(points @ turn, lists or int(np.clip(np.sqrt(base.count()) / 4, 1, 1024)))
+    probes = int(np.ceil(probe_share * len(middle)))
     model = spark.sparkContext.broadcast((turn, middle))
     shape = "id long, vec array<double>, turned binary, cell int"
     dealt = stored(base.select("id", "vec").mapInArrow(partial(_deal, model=model, probes=1), shape), "neighbour-lists")
