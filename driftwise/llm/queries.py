@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, decontaminate, language, line_dedup, neighbours, quality, token_store
+from driftwise.llm import bpe, decontaminate, jaccard_join, language, line_dedup, neighbours, quality, token_store
 from driftwise.llm.common import fold, table, vocabulary
 from driftwise.session import scratch_path
 
@@ -36,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
