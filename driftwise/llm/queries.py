@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, decontaminate, jaccard_join, language, line_dedup, neighbours, quality, token_store
+from driftwise.llm import bpe, decontaminate, jaccard_join, language, line_dedup, neighbours, quality, substring_dedup, token_store
 from driftwise.llm.common import fold, table, vocabulary
 from driftwise.session import scratch_path
 
@@ -40,6 +40,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
