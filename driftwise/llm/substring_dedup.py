@@ -8,15 +8,19 @@ to find which ranks are unique.  Starting from a quarter of ``length`` bytes:
 * half length: every ``length`` bytes hold some rank at half length that is the
   smallest among theirs; such smallest ranks (about one position in 26 for 100
   bytes) are shuffled and sorted, and positions whose smallest rank is unique are
-  finished.  The ranks seen twice go to all tasks as a Bloom filter of bounded size;
-* full length, past which doubling stops: the remaining positions' ranks are shuffled
-  and sorted with their places, and every position but the first of its rank starts
-  a repeat.
+  finished.  The ranks seen twice go to all tasks as a Bloom filter of bounded size.
+  Neighbouring positions with one smallest rank are a run; the runs left are sorted
+  by that rank and their own fingerprint.  In a run that equals an earlier run every
+  position is a repeat, so of equal runs only the first goes on, and only if runs of
+  other content share its rank or its rank comes back within it;
+* full length, past which doubling stops: the positions of those runs are ranked at
+  full length, shuffled and sorted with their places, and every position but the
+  first of its rank starts a repeat.
 
 Rows carry packed arrays (a block of texts and a range of ranks each), so a passage
 that everything holds costs eight bytes a place and no row of its own, and ranks of
 one value are spread over blocks until the one sort that compares them.  Repeats
-come back by block, become byte spans per document, and are cut out of the texts.
+become byte spans per document, which are merged and cut out of the texts.
 
 Defined cases: a null text counts as empty; ids are integers (cast to long); rows
 with a null id are returned whole and take no part; rows with one id are one
@@ -34,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Bits, block_ids, by_shard, collect_segments, cuts, groups, partitions, run_starts
-from driftwise.llm.hashing import _POWERS, blocks, mix, prefix
+from driftwise.llm.common import Bits, block_ids, by_shard, collect_segments, cuts, groups, partitions, ragged, run_starts, stored
+from driftwise.llm.hashing import _POWERS, blocks, mix, prefix, span_hash
 
 LENGTH = 100
 FILTER_BITS = 1 << 29
-BLOCK = 2 << 20
 _U = np.uint64
 _PAIR = _U(0x9FB21C651E98DF25)
-SENT = "block long, shard int, keys binary, places binary, docs array<long>, tags array<long>, offsets array<long>"
+PLACED = "block long, places binary, sizes binary, docs array<long>, tags array<long>, offsets array<long>"
+SENT = f"shard int, keys binary, prints binary, {PLACED}"
+JUDGED = f"shard int, keys binary, {PLACED}"
+_AGAIN = np.uint32(1 << 31)
 
 
 def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -54,15 +60,14 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(a[:len(a) - (width - span)], a[width - span:]) if span < width else a
 
 
-def rank(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks at half and at full length of every position of the block."""
+def rank(buf: np.ndarray, length: int) -> np.ndarray:
+    """Rank at half length of every position of the block."""
     quarter = length // 4
     sums = prefix(buf, lower=False)
     n = len(buf) - quarter + 1
     _, down = _POWERS.of(len(sums))
     own = mix((sums[quarter:] - sums[:n]) * down[:n])
-    half = mix(own[:n - quarter] * _PAIR + own[quarter:])
-    return half, mix(half[:len(half) - 2 * quarter] * _PAIR + half[2 * quarter:])
+    return mix(own[:n - quarter] * _PAIR + own[quarter:])
 
 
 def _open(offsets: np.ndarray, length: int) -> np.ndarray:
@@ -76,32 +81,38 @@ def _open(offsets: np.ndarray, length: int) -> np.ndarray:
 
 
 def _least(buf: np.ndarray, offsets: np.ndarray, length: int):
-    """Ranks, which places are open, and the smallest half rank of each place's bytes."""
-    half, full = rank(buf, length)
-    width = len(half) - len(full) + 1
-    return half, full, _open(offsets, length), _slide(half, width, np.minimum), width
+    """Half ranks, the smallest of each place's (0 where no ``length`` bytes start), and how many those are."""
+    half, open_ = rank(buf, length), _open(offsets, length)
+    width = len(half) - len(open_) + 1
+    return half, np.where(open_, _slide(half, width, np.minimum), _U(0)), width
+
+
+def _smallest(half: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """Which half ranks are the smallest of some place."""
+    padded = np.concatenate([np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)])
+    return _slide(padded, width, np.maximum) == half
 
 
 def _anchors(batches, shards, length):
     for batch in batches:
         found = []
         for _, _, buf, offsets in blocks(batch["text"]):
-            if len(buf) < length:
-                continue
-            half, _, open_, least, width = _least(buf, offsets, length)
-            least = np.where(open_, least, _U(0))
-            padded = np.concatenate([np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)])
-            found.append(half[_slide(padded, width, np.maximum) == half])
+            if len(buf) >= length:
+                half, least, width = _least(buf, offsets, length)
+                found.append(half[_smallest(half, least, width)])
         if not found:
             continue
         keys = np.sort(np.concatenate(found))
         keep = np.ones(len(keys), dtype=bool)
         keep[2:] = keys[2:] != keys[:-2]
-        keys = keys[keep]
-        at = cuts(keys, shards)
-        some = np.flatnonzero(np.diff(at))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([keys[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())],
-                                         names=["shard", "keys"])
+        yield _keyed(keys[keep], shards)
+
+
+def _keyed(keys: np.ndarray, shards: int) -> pa.RecordBatch:
+    at = cuts(keys, shards)
+    some = np.flatnonzero(np.diff(at))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([keys[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())],
+                                      names=["shard", "keys"])
 
 
 def _repeated(batches, most_bits):
@@ -112,80 +123,153 @@ def _repeated(batches, most_bits):
                                          names=["shard", "bits"])
 
 
-def _places(batches, bits, shards, length):
-    seen, ids = bits.value, block_ids()
+def _segments(batches, most_bits):
+    for shard, rows in groups(batches, "shard"):
+        keys = np.unique(np.frombuffer(b"".join(r["keys"] for r in rows), _U))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([Bits.segment(keys, most_bits)], pa.binary())], names=["shard", "bits"])
+
+
+def _run_keys(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return mix(mix(docs.view(_U)) + starts.astype(_U))
+
+
+def _runs(least: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each run of places with one smallest rank."""
+    own = np.searchsorted(offsets, np.arange(len(least)), "right") - 1
+    fresh = np.ones(len(least), dtype=bool)
+    fresh[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+    start = np.flatnonzero(fresh)
+    end = np.append(start[1:], len(least))
+    some = least[start] != 0
+    return start[some], end[some], own[start[some]]
+
+
+def _pack(block, shards, keys, prints, places, sizes, docs, tags, offsets) -> pa.RecordBatch | None:
+    """Entries of one block by the shard of their key, with the texts that each shard's entries lie in."""
+    which = np.searchsorted(np.array([(i << 64) // shards for i in range(shards)], dtype=_U), keys, "right") - 1
+    order = np.argsort(which, kind="stable")
+    at = np.searchsorted(which[order], np.arange(shards + 1))
+    keys, prints, places, sizes = keys[order], prints[order], places[order].astype(np.uint32), sizes[order].astype(np.uint32)
+    out = {n: [] for n in ("shard", "keys", "prints", "block", "places", "sizes", "docs", "tags", "offsets")}
+    for s in np.flatnonzero(np.diff(at)).tolist():
+        a, b = at[s], at[s + 1]
+        used = np.unique(np.searchsorted(offsets, places[a:b], "right") - 1)
+        row = (s, keys[a:b].tobytes(), prints[a:b].tobytes(), block, np.diff(places[a:b], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
+               sizes[a:b].tobytes(), docs[used], tags[used], offsets[used])
+        for name, value in zip(out, row, strict=True):
+            out[name].append(value)
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _texts(batches, length):
     for batch in batches:
         docs, tags = batch["doc"].to_numpy(zero_copy_only=False), batch["tag"].to_numpy(zero_copy_only=False)
-        for first, last, buf, offsets in blocks(batch["text"], BLOCK):
-            if len(buf) < length:
-                continue
-            _, full, open_, least, _ = _least(buf, offsets, length)
-            runs = run_starts(least)
-            hit = np.repeat(seen.has(least[runs]), np.diff(np.append(runs, len(least))))
-            place = np.flatnonzero(open_ & hit)
-            if not len(place):
-                continue
-            block, keys = next(ids), full[place]
-            which = np.searchsorted(np.array([(i << 64) // shards for i in range(shards)], dtype=_U), keys, "right") - 1
-            order = np.argsort(which, kind="stable")
-            keys, place, at = keys[order], place[order].astype(np.uint32), np.searchsorted(which[order], np.arange(shards + 1))
-            out = {n: [] for n in ("block", "shard", "keys", "places", "docs", "tags", "offsets")}
-            own = np.unique(np.searchsorted(offsets, place, "right") - 1)
-            head = (docs[first + own], tags[first + own], offsets[own])
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                a, b = at[s], at[s + 1]
-                used = np.unique(np.searchsorted(head[2], place[a:b], "right") - 1)
-                for name, value in zip(out, (block, s, keys[a:b].tobytes(), np.diff(place[a:b], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
-                                             head[0][used], head[1][used], head[2][used]), strict=True):
-                    out[name].append(value)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-
-def _later(batches):
-    """For each packed row the places that are not the first of their rank."""
+        for first, last, buf, offsets in blocks(batch["text"]):
+            if len(buf) >= length:
+                yield docs[first:last], tags[first:last], buf, offsets
+
+
+def _send_runs(batches, bits, shards, length):
+    seen, ids = bits.value, block_ids()
+    for docs, tags, buf, offsets in _texts(batches, length):
+        half, least, width = _least(buf, offsets, length)
+        start, end, _ = _runs(least, offsets)
+        hit = seen.has(least[start])
+        start, end = start[hit], end[hit]
+        if not len(start):
+            continue
+        # a smallest rank that comes back at once: places within the run may be equal
+        place = np.flatnonzero(_smallest(half, least, width))
+        back = np.zeros(len(half) + 1, np.int64)
+        back[place[1:][(half[place[1:]] == half[place[:-1]]) & (np.diff(place) < width)] + 1] = 1
+        back = np.cumsum(back)
+        again = back[np.minimum(end + width - 1, len(half))] > back[start]
+        sizes = (end - start).astype(np.uint32) | np.where(again, _AGAIN, np.uint32(0))
+        prints = span_hash(prefix(buf, lower=False), start, end + length - 1)
+        yield _pack(next(ids), shards, least[start], prints, start, sizes, docs, tags, offsets)
+
+
+def _send_places(batches, bits, shards, length):
+    chosen, ids = bits.value, block_ids()
+    for docs, tags, buf, offsets in _texts(batches, length):
+        half, least, _ = _least(buf, offsets, length)
+        start, end, own = _runs(least, offsets)
+        hit = chosen.has(_run_keys(docs[own].astype(np.int64), start - offsets[own]))
+        if not hit.any():
+            continue
+        place = ragged(start[hit], (end - start)[hit])
+        full = mix(half[place] * _PAIR + half[place + length // 2])
+        yield _pack(next(ids), shards, full, np.zeros(len(full), np.uint8), place, np.ones(len(full), np.uint32), docs, tags, offsets)
+
+
+def _entries(rows):
+    keys = np.concatenate([np.frombuffer(r["keys"], _U) for r in rows])
+    places = [np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64) for r in rows]
+    doc, start = [], []
+    for r, p in zip(rows, places, strict=True):
+        i = np.searchsorted(np.array(r["offsets"]), p, "right") - 1
+        doc.append(np.array(r["docs"], np.int64)[i])
+        start.append(p - np.array(r["offsets"], np.int64)[i])
+    return keys, places, np.concatenate(doc), np.concatenate(start)
+
+
+def _judged(shard, keys, row, places, sizes) -> pa.RecordBatch:
+    used = np.unique(np.searchsorted(np.array(row["offsets"]), places, "right") - 1) if row else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([row["block"] if row else None], pa.int64()),
+         pa.array([np.diff(places, prepend=0).astype(np.uint32).tobytes() if row else None], pa.binary()),
+         pa.array([sizes.astype(np.uint32).tobytes() if row else None], pa.binary()),
+         *[pa.array([[row[c][i] for i in used] if row else None], pa.list_(pa.int64())) for c in ("docs", "tags", "offsets")]],
+        names=["shard", "keys", "block", "places", "sizes", "docs", "tags", "offsets"])
+
+
+def _judge(batches, shards, whole):
+    """Of equal entries all but the first.  Of runs (``whole``) also the keys of those
+    whose places are to be ranked at full length."""
     for _, rows in groups(batches, "shard"):
-        keys = np.concatenate([np.frombuffer(r["keys"], _U) for r in rows])
-        places = [np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64) for r in rows]
-        doc, start = [], []
-        for r, p in zip(rows, places, strict=True):
-            i = np.searchsorted(np.array(r["offsets"]), p, "right") - 1
-            doc.append(np.array(r["docs"], np.int64)[i])
-            start.append(p - np.array(r["offsets"], np.int64)[i])
-        doc, start = np.concatenate(doc), np.concatenate(start)
+        keys, places, doc, start = _entries(rows)
+        sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
+        prints = np.concatenate([np.frombuffer(r["prints"], _U) for r in rows]) if whole else keys
+        length = sizes & ~_AGAIN
         order = np.argsort(keys)
-        runs = run_starts(keys[order])
-        size = np.diff(np.append(runs, len(keys)))
-        multiple = np.repeat(size > 1, size)
-        some, group = order[multiple], np.repeat(np.arange(len(runs)), size)[multiple]
-        some_order = np.lexsort((start[some], doc[some], group))
-        some, group = some[some_order], group[some_order]
-        head = run_starts(group)
-        lead = some[np.repeat(head, np.diff(np.append(head, len(some))))] if len(some) else some
+        size = np.diff(np.append(run_starts(keys[order]), len(keys)))
+        some = order[np.repeat(size > 1, size)] if not whole else order
+        some = some[np.lexsort((start[some], doc[some], prints[some], keys[some]))]
+        head = np.ones(len(some), dtype=bool)
+        head[1:] = (keys[some][1:] != keys[some][:-1]) | (prints[some][1:] != prints[some][:-1])
+        lead = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
         late = np.zeros(len(keys), dtype=bool)
         late[some] = (doc[some] != doc[lead]) | (start[some] != start[lead])
-        ends = np.cumsum([len(p) for p in places])
-        for r, p, flags in zip(rows, places, np.split(late, ends[:-1]), strict=True):
+        if whole:
+            at = run_starts(keys[some])
+            kinds = np.add.reduceat(head.astype(np.int64), at)
+            again = np.maximum.reduceat((sizes[some] & _AGAIN) > 0, at)
+            open_ = some[np.repeat((kinds > 1) | again, np.diff(np.append(at, len(some)))) & ~late[some]]
+            if len(open_):
+                part = _keyed(np.unique(_run_keys(doc[open_], start[open_])), shards)
+                for s, k in zip(part["shard"].to_pylist(), part["keys"].to_pylist(), strict=True):
+                    yield _judged(s, k, None, None, None)
+        ends = np.cumsum([len(p) for p in places])[:-1]
+        for r, p, flags, n in zip(rows, places, np.split(late, ends), np.split(length, ends), strict=True):
             if flags.any():
-                gone = p[flags]
-                used = np.unique(np.searchsorted(np.array(r["offsets"]), gone, "right") - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["block"]], pa.int64()), pa.array([np.diff(gone, prepend=0).astype(np.uint32).tobytes()], pa.binary()),
-                     *[pa.array([[r[c][i] for i in used]], pa.list_(pa.int64())) for c in ("docs", "tags", "offsets")]],
-                    names=["block", "places", "docs", "tags", "offsets"])
+                yield _judged(None, None, r, p[flags], n[flags])
 
 
 def _spans(batches, length):
     """Byte spans per document from the repeats of its block."""
     for _, rows in groups(batches, "block"):
-        place = np.sort(np.concatenate([np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64) for r in rows]))
+        place = np.concatenate([np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64) for r in rows])
+        end = place + np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]) + length - 1
         names = {o: (d, t) for r in rows for d, t, o in zip(r["docs"], r["tags"], r["offsets"], strict=True)}
         offsets = np.array(sorted(names), np.int64)
+        order = np.argsort(place)
+        place, end = place[order], np.maximum.accumulate(end[order])
         own = np.searchsorted(offsets, place, "right") - 1
         fresh = np.ones(len(place), dtype=bool)
-        fresh[1:] = (place[1:] > place[:-1] + length) | (own[1:] != own[:-1])
+        fresh[1:] = (place[1:] > end[:-1]) | (own[1:] != own[:-1])
         head = np.flatnonzero(fresh)
-        starts, ends, owner = place[head], place[np.append(head[1:], len(place)) - 1] + length, own[head]
+        starts, ends, owner = place[head], end[np.append(head[1:], len(place)) - 1], own[head]
         cut = np.flatnonzero(np.diff(owner)) + 1
         docs = owner[np.concatenate([[0], cut])]
         yield pa.RecordBatch.from_arrays(
@@ -195,6 +279,17 @@ def _spans(batches, length):
             names=["_doc", "_tag", "_starts", "_ends"])
 
 
+def _merged(starts: list[bytes], ends: list[bytes]) -> list[tuple[int, int]]:
+    spans = sorted(zip(np.frombuffer(b"".join(starts), np.int64).tolist(), np.frombuffer(b"".join(ends), np.int64).tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _cut(batches):
     for batch in batches:
         kept, bytes_, removed, spans = [], [], [], []
@@ -206,10 +301,11 @@ def _cut(batches):
                 removed.append(0)
                 spans.append(0)
                 continue
-            a, b = np.frombuffer(starts, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist()
-            kept.append(b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True)))
+            gone = _merged(starts, ends)
+            edges = [0, *[x for span in gone for x in span], len(data)]
+            kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             removed.append(len(data) - len(kept[-1]))
-            spans.append(len(a))
+            spans.append(len(gone))
         rest = [n for n in batch.schema.names if n not in ("_text", "_starts", "_ends")]
         yield pa.RecordBatch.from_arrays(
             [batch[n] for n in rest] + [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (bytes_, removed, spans)]],
@@ -229,10 +325,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = texts.select("text").mapInArrow(partial(_anchors, shards=shards, length=length), "shard int, keys binary")
     repeated = by_shard(anchors, shards).mapInArrow(partial(_repeated, most_bits=max(64, filter_bits // shards)), "shard int, bits binary")
     bits = spark.sparkContext.broadcast(collect_segments(repeated, shards))
-    sent = by_shard(texts.mapInArrow(partial(_places, bits=bits, shards=shards, length=length), SENT), shards)
-    later = sent.mapInArrow(_later, "block long, places binary, docs array<long>, tags array<long>, offsets array<long>")
-    spans = (later.repartition(partitions(spark), "block").sortWithinPartitions("block")
-             .mapInArrow(partial(_spans, length=length), "_doc long, _tag long, _starts binary, _ends binary").dropDuplicates(["_doc", "_tag"]))
+    most = max(64, filter_bits // shards)
+    sent = by_shard(texts.mapInArrow(partial(_send_runs, bits=bits, shards=shards, length=length), SENT), shards)
+    runs = stored(sent.mapInArrow(partial(_judge, shards=shards, whole=True), JUDGED), "runs")
+    open_ = by_shard(runs.where("shard IS NOT NULL").select("shard", "keys"), shards).mapInArrow(partial(_segments, most_bits=most), "shard int, bits binary")
+    chosen = spark.sparkContext.broadcast(collect_segments(open_, shards))
+    placed = by_shard(texts.mapInArrow(partial(_send_places, bits=chosen, shards=shards, length=length), SENT), shards)
+    places = placed.mapInArrow(partial(_judge, shards=shards, whole=False), JUDGED)
+    names = ["block", "places", "sizes", "docs", "tags", "offsets"]
+    late = runs.where("block IS NOT NULL").select(F.lit(0).alias("step"), *names).union(places.select(F.lit(1), *names))
+    spans = (late.withColumn("block", F.xxhash64("step", "block")).drop("step")
+             .repartition(partitions(spark), "block").sortWithinPartitions("block")
+             .mapInArrow(partial(_spans, length=length), "_doc long, _tag long, _starts binary, _ends binary")
+             .groupBy("_doc", "_tag").agg(F.collect_list("_starts").alias("_starts"), F.collect_list("_ends").alias("_ends")))
     results = ("kept", "n_bytes", "n_removed", "n_spans")
     rest = [c for c in docs.columns if c not in results]
     left = docs.select(*rest, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_doc"), tag.alias("_tag"))
