@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, decontaminate, jaccard_join, language, line_dedup, neighbours, quality, substring_dedup, token_store
+from driftwise.llm import bpe, decontaminate, jaccard_join, language, language_model, line_dedup, neighbours, quality, substring_dedup, token_store
 from driftwise.llm.common import fold, table, vocabulary
 from driftwise.session import scratch_path
 
@@ -36,6 +36,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.score_corpus(docs, fold("doc_id", 10)).select(
+        "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_model": op4_language_model,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
