@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import ragged, ranks
+from driftwise.llm.common import Lean, ragged, ranks
 from driftwise.llm.hashing import blocks
 from driftwise.llm.pieces import PieceEncoder, encode_block, split
 
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf_bytes: int =
     """``docs`` with ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
     frame = docs.select(*[c for c in docs.columns if c not in (*RESULTS, "_text")], F.col(text_col).alias("_text"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_text")
-    return frame.mapInArrow(partial(_encode, path=path, leaf_bytes=leaf_bytes), f"{types}ids binary, n_tokens long")
+    return frame.mapInArrow(Lean(_encode, path=path, leaf_bytes=leaf_bytes), f"{types}ids binary, n_tokens long")
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,4 +155,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of the ids in ``ids_col`` (null: none)."""
     frame = encoded.select(*[c for c in encoded.columns if c not in ("decoded", "_ids")], F.col(ids_col).alias("_ids"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_ids")
-    return frame.mapInArrow(partial(_decode, path=path), f"{types}decoded binary")
+    return frame.mapInArrow(Lean(_decode, path=path), f"{types}decoded binary")

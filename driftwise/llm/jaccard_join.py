@@ -33,14 +33,12 @@ documents; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Bits, by_shard, cuts, groups, partitions, ragged, run_starts, stored
+from driftwise.llm.common import Bits, Lean, by_shard, cuts, groups, partitions, ragged, run_starts, stored
 from driftwise.llm.components import components
 from driftwise.llm.hashing import blocks, mix, sets, words
 
@@ -105,9 +103,9 @@ def _filters(batches, most_bits, frequent):
 def filters(texts: DataFrame, n: int, frequent: int, filter_bits: int) -> tuple[Bits, Bits]:
     spark = texts.sparkSession
     shards = max(4, 4 * partitions(spark))
-    sent = texts.select("text").mapInArrow(partial(_send, shards=shards, n=n), "shard int, keys binary, counts binary")
+    sent = texts.select("text").mapInArrow(Lean(_send, shards=shards, n=n), "shard int, keys binary, counts binary")
     made = by_shard(sent, shards).mapInArrow(
-        partial(_filters, most_bits=max(64, filter_bits // shards), frequent=frequent), "shard int, shared binary, frequent binary").collect()
+        Lean(_filters, most_bits=max(64, filter_bits // shards), frequent=frequent), "shard int, shared binary, frequent binary").collect()
     found = {r["shard"]: r for r in made}
     return tuple(Bits([bytes(found[s][c]) if s in found else bytes(8) for s in range(shards)]) for c in ("shared", "frequent"))
 
@@ -153,7 +151,7 @@ def _spread(batches):
 
 def regions(points: DataFrame) -> DataFrame:
     """(region, p, kind): the members of each region; kind 1, all still to compare."""
-    held = points.select("first", "s1").mapInArrow(_spread, "key long, p long")
+    held = points.select("first", "s1").mapInArrow(Lean(_spread), "key long, p long")
     pivots = held.groupBy("key").agg(F.min("p").alias("region"), F.max("p").alias("last")).where("region < last").select("key", "region")
     rows = held.join(pivots, "key").select("region", "p").distinct()
     return rows.withColumn("kind", F.lit(1))
@@ -304,7 +302,7 @@ def divide(big: DataFrame, points: DataFrame, percent: int, leaf_points: int, pi
     rows = chosen.select("region", "part", "is_pivot", "p", "kind").unionByName(dealt.select("region", "part", "is_pivot", "p", "kind")).join(body, "p")
     spark = big.sparkSession
     sorted_rows = rows.repartition(partitions(spark), "region", "part").sortWithinPartitions("region", "part", F.desc("is_pivot"))
-    far = stored(sorted_rows.mapInArrow(partial(_distances, percent=percent),
+    far = stored(sorted_rows.mapInArrow(Lean(_distances, percent=percent),
                                         "region long, p long, kind int, dist array<double>, mask int, pivots array<long>"), "distances")
     edges = (far.where("mask != 0").select("p", F.posexplode("pivots").alias("j", "q"), "mask")
              .where("(shiftright(mask, j) & 1) = 1 AND p != q").select(F.col("p").alias("u"), F.col("q").alias("v")))
@@ -347,7 +345,7 @@ def links(points: DataFrame, percent: int, leaf_points: int, pivots: int, depth:
         leaves = leaves.union(more)
     body = points.select(F.col("s1").alias("p"), "shingles")
     dealt = leaves.join(body, "p").repartition(partitions(spark), "cell").sortWithinPartitions("cell")
-    out = dealt.mapInArrow(partial(_leaves, percent=percent), "u long, v long")
+    out = dealt.mapInArrow(Lean(_leaves, percent=percent), "u long, v long")
     for more in edges:
         out = out.union(more)
     return out
@@ -361,7 +359,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(filters(texts, n, frequent, filter_bits))
     kind = texts.schema["doc"].dataType.simpleString()
-    every = stored(texts.mapInArrow(partial(_points, filters=shared, n=n, percent=percent), SETS.format(kind=kind)), "points")
+    every = stored(texts.mapInArrow(Lean(_points, filters=shared, n=n, percent=percent), SETS.format(kind=kind)), "points")
     open_ = every.where("first IS NOT NULL AND doc IS NOT NULL")
     one = Window.partitionBy("s1").orderBy("doc")
     points = stored(open_.withColumn("i", F.row_number().over(one)).where("i = 1").drop("i"), "distinct-points")

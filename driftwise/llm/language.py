@@ -19,13 +19,12 @@ to the language that sorts first.  Columns named like the results are replaced.
 from __future__ import annotations
 
 import pickle
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.llm.common import Lean
 from driftwise.llm.hashing import LOWER, blocks
 
 BUCKET_BITS = 16
@@ -118,8 +117,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
               .withColumn("ord", F.xxhash64("_id")).orderBy("ord", "_id").limit(fit_rows))
     picked = (some.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
               .groupBy("_id").agg(F.min("lang").alias("lang"), F.min("ord").alias("ord"), F.min("text").alias("text")).select("lang", "ord", "text"))
-    rows = picked.mapInArrow(_sampled, "lang string, ord long, grams binary").repartition(1)
-    found = rows.mapInArrow(partial(_fitted, per_language=per_language), "model binary").collect()
+    rows = picked.mapInArrow(Lean(_sampled), "lang string, ord long, grams binary").repartition(1)
+    found = rows.mapInArrow(Lean(_fitted, per_language=per_language), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else {"names": []}
 
 
@@ -154,4 +153,4 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     frame = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "_text")], F.col(text_col).alias("_text"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return frame.mapInArrow(partial(_predict, model=shared), f"{types}lang_pred string, score double")
+    return frame.mapInArrow(Lean(_predict, model=shared), f"{types}lang_pred string, score double")

@@ -26,14 +26,12 @@ known; ids are integers (cast to long).
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import block_ids, cuts, groups, partitions, run_starts
+from driftwise.llm.common import Lean, block_ids, cuts, groups, partitions, run_starts
 from driftwise.llm.hashing import blocks, mix, words
 
 VOCABULARY = 65_532
@@ -157,10 +155,10 @@ def vocabulary(texts: DataFrame, size: int) -> Model:
     spark = texts.sparkSession
     shards = max(4, partitions(spark))
     train = texts.where("part > 0")
-    sent = train.select("text", "part").mapInArrow(partial(_send_words, shards=shards), "shard int, keys binary, counts binary, apart binary")
+    sent = train.select("text", "part").mapInArrow(Lean(_send_words, shards=shards), "shard int, keys binary, counts binary, apart binary")
     # a shard's share of the vocabulary, with ample room: keys are dealt by hash
     counted = (sent.repartition(shards, "shard").sortWithinPartitions("shard")
-               .mapInArrow(partial(_count_words, most=4 * size // shards + 64), "key long, count long, apart long, types long"))
+               .mapInArrow(Lean(_count_words, most=4 * size // shards + 64), "key long, count long, apart long, types long"))
     top = counted.orderBy(F.desc("types"), F.desc("count"), "key").limit(size + shards).collect()
     totals = [r for r in top if r["types"]]
     kept = [r for r in top if not r["types"]][:size]
@@ -240,9 +238,9 @@ def train(texts: DataFrame, size: int = VOCABULARY) -> Model:
     shards = max(4, partitions(spark))
     shared = spark.sparkContext.broadcast(model)
     sent = (texts.where("part > 0").select("text", "part")
-            .mapInArrow(partial(_send_pairs, model=shared, shards=shards), "shard int, keys binary, counts binary, apart binary"))
+            .mapInArrow(Lean(_send_pairs, model=shared, shards=shards), "shard int, keys binary, counts binary, apart binary"))
     cells = (sent.repartition(shards, "shard").sortWithinPartitions("shard")
-             .mapInArrow(partial(_histogram, model=shared), "cell long, bucket long, n double, pair double, single double")
+             .mapInArrow(Lean(_histogram, model=shared), "cell long, bucket long, n double, pair double, single double")
              .groupBy("cell", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "pair", "single")]))
     model.weights = mixture(cells.collect(), model.rare + 1)
     return model
@@ -363,10 +361,10 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     spark = texts.sparkSession
     shards = max(4, partitions(spark))
     shared = spark.sparkContext.broadcast(model)
-    sent = texts.select("id", "text", "part").mapInArrow(partial(_send_scores, model=shared, shards=shards), SCORED)
-    answers = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(partial(_answer, model=shared), ANSWERED)
+    sent = texts.select("id", "text", "part").mapInArrow(Lean(_send_scores, model=shared, shards=shards), SCORED)
+    answers = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(Lean(_answer, model=shared), ANSWERED)
     total = (answers.repartition(partitions(spark), "block").sortWithinPartitions("block")
-             .mapInArrow(partial(_total, model=shared), "id long, n_tokens long, n_known long, base_score double, score double"))
+             .mapInArrow(Lean(_total, model=shared), "id long, n_tokens long, n_known long, base_score double, score double"))
     return total.select("id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

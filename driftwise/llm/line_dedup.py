@@ -17,14 +17,12 @@ Columns of the input named like the results are replaced.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Bits, by_shard, collect_segments, cuts, groups, partitions, stored
+from driftwise.llm.common import Bits, Lean, by_shard, collect_segments, cuts, groups, partitions, stored
 from driftwise.llm.hashing import LOWER, blocks, prefix, span_hash, spans
 
 MIN_CHARS = 10
@@ -152,8 +150,8 @@ def twice_seen(lines: DataFrame, min_chars: int, filter_bits: int) -> Bits:
     spark = lines.sparkSession
     shards = max(4, 4 * partitions(spark))
     segment = 1 << max(6, (filter_bits // shards).bit_length() - 1)
-    sent = lines.select("text").mapInArrow(partial(_send, shards=shards, min_chars=min_chars), "shard int, keys binary")
-    return collect_segments(by_shard(sent, shards).mapInArrow(partial(_two_filters, segment_bits=segment), "shard int, bits binary"), shards)
+    sent = lines.select("text").mapInArrow(Lean(_send, shards=shards, min_chars=min_chars), "shard int, keys binary")
+    return collect_segments(by_shard(sent, shards).mapInArrow(Lean(_two_filters, segment_bits=segment), "shard int, bits binary"), shards)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -164,7 +162,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
     bits = spark.sparkContext.broadcast(twice_seen(lines, min_chars, filter_bits))
     kind = lines.schema["doc"].dataType.simpleString()
-    suspects = stored(lines.mapInArrow(partial(_suspects, bits=bits, min_chars=min_chars), f"doc {kind}, tag long, line int, key string"), "line-suspects")
+    suspects = stored(lines.mapInArrow(Lean(_suspects, bits=bits, min_chars=min_chars), f"doc {kind}, tag long, line int, key string"), "line-suspects")
     repeats = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
     gone = (suspects.join(repeats, "key").where("doc > first")
             .groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("line").alias("gone")))
@@ -172,4 +170,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = docs.select(*rest, F.col(text_col).alias("kept_text"), F.col(id_col).alias("_doc"), tag.alias("_tag"))
     joined = left.join(gone, ["_doc", "_tag"], "left").select(*rest, "kept_text", "gone")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("gone", "kept_text"))
-    return joined.mapInArrow(_drop, f"{types}, kept_text string, n_lines long, n_dropped long")
+    return joined.mapInArrow(Lean(_drop), f"{types}, kept_text string, n_lines long, n_dropped long")

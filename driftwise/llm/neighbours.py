@@ -22,15 +22,13 @@ id are separate candidates but none of them answers a query of that id; fewer th
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import stored
+from driftwise.llm.common import Lean, stored
 
 FIT_ROWS = 8192
 PROBE_SHARE = 0.7
@@ -160,9 +158,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     probes = int(np.ceil(probe_share * len(middle)))
     model = spark.sparkContext.broadcast((turn, middle))
     shape = "id long, vec array<double>, turned binary, cell int"
-    dealt = stored(base.select("id", "vec").mapInArrow(partial(_deal, model=model, probes=1), shape), "neighbour-lists")
+    dealt = stored(base.select("id", "vec").mapInArrow(Lean(_deal, model=model, probes=1), shape), "neighbour-lists")
     once = asked.withColumn("n", F.row_number().over(same)).where("n = 1")
-    probing = once.select("id", "vec").mapInArrow(partial(_deal, model=model, probes=probes), shape)
+    probing = once.select("id", "vec").mapInArrow(Lean(_deal, model=model, probes=probes), shape)
     # a list of many rows, or with many queries, is worked on in several groups
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
     loads = probing.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns"))

@@ -18,13 +18,12 @@ replaced.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.llm.common import Lean
 from driftwise.llm.hashing import blocks, ngrams, words
 
 BUCKET_BITS = 18
@@ -103,8 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .join(F.broadcast(marked), "_id")
               .groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("ord").alias("ord"))
               .select("text", "label", "ord", F.pmod(F.col("ord"), F.lit(learners)).cast("int").alias("share")))
-    rows = picked.mapInArrow(partial(_featured, bits=bits), "label double, ord long, share int, feats binary")
-    fits = rows.repartition(learners, "share").mapInArrow(partial(_learn, bits=bits, epochs=epochs), "n long, weights binary").collect()
+    rows = picked.mapInArrow(Lean(_featured, bits=bits), "label double, ord long, share int, feats binary")
+    fits = rows.repartition(learners, "share").mapInArrow(Lean(_learn, bits=bits, epochs=epochs), "n long, weights binary").collect()
     if not fits:
         return np.zeros((1 << bits) + 1, np.float32)
     return np.average([np.frombuffer(r["weights"], np.float32) for r in fits], axis=0, weights=[r["n"] for r in fits]).astype(np.float32)
@@ -133,4 +132,4 @@ def score_texts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", bi
     frame = docs.select(*rest, F.col(text_col).alias("_text"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_text")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    return frame.mapInArrow(partial(_scores, weights=shared, bits=bits, threshold=threshold), f"{types}score double, predicted int")
+    return frame.mapInArrow(Lean(_scores, weights=shared, bits=bits, threshold=threshold), f"{types}score double, predicted int")

@@ -31,14 +31,12 @@ share a rank with a chance of 2**-64.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Bits, block_ids, by_shard, collect_segments, cuts, groups, partitions, ragged, run_starts, stored
+from driftwise.llm.common import Bits, Lean, block_ids, by_shard, collect_segments, cuts, groups, partitions, ragged, run_starts, stored
 from driftwise.llm.hashing import _POWERS, blocks, mix, prefix, span_hash
 
 LENGTH = 100
@@ -322,25 +320,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = max(4, 4 * partitions(spark))
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
-    anchors = texts.select("text").mapInArrow(partial(_anchors, shards=shards, length=length), "shard int, keys binary")
-    repeated = by_shard(anchors, shards).mapInArrow(partial(_repeated, most_bits=max(64, filter_bits // shards)), "shard int, bits binary")
+    anchors = texts.select("text").mapInArrow(Lean(_anchors, shards=shards, length=length), "shard int, keys binary")
+    repeated = by_shard(anchors, shards).mapInArrow(Lean(_repeated, most_bits=max(64, filter_bits // shards)), "shard int, bits binary")
     bits = spark.sparkContext.broadcast(collect_segments(repeated, shards))
     most = max(64, filter_bits // shards)
-    sent = by_shard(texts.mapInArrow(partial(_send_runs, bits=bits, shards=shards, length=length), SENT), shards)
-    runs = stored(sent.mapInArrow(partial(_judge, shards=shards, whole=True), JUDGED), "runs")
-    open_ = by_shard(runs.where("shard IS NOT NULL").select("shard", "keys"), shards).mapInArrow(partial(_segments, most_bits=most), "shard int, bits binary")
+    sent = by_shard(texts.mapInArrow(Lean(_send_runs, bits=bits, shards=shards, length=length), SENT), shards)
+    runs = stored(sent.mapInArrow(Lean(_judge, shards=shards, whole=True), JUDGED), "runs")
+    open_ = by_shard(runs.where("shard IS NOT NULL").select("shard", "keys"), shards).mapInArrow(Lean(_segments, most_bits=most), "shard int, bits binary")
     chosen = spark.sparkContext.broadcast(collect_segments(open_, shards))
-    placed = by_shard(texts.mapInArrow(partial(_send_places, bits=chosen, shards=shards, length=length), SENT), shards)
-    places = placed.mapInArrow(partial(_judge, shards=shards, whole=False), JUDGED)
+    placed = by_shard(texts.mapInArrow(Lean(_send_places, bits=chosen, shards=shards, length=length), SENT), shards)
+    places = placed.mapInArrow(Lean(_judge, shards=shards, whole=False), JUDGED)
     names = ["block", "places", "sizes", "docs", "tags", "offsets"]
     late = runs.where("block IS NOT NULL").select(F.lit(0).alias("step"), *names).union(places.select(F.lit(1), *names))
     spans = (late.withColumn("block", F.xxhash64("step", "block")).drop("step")
              .repartition(partitions(spark), "block").sortWithinPartitions("block")
-             .mapInArrow(partial(_spans, length=length), "_doc long, _tag long, _starts binary, _ends binary")
+             .mapInArrow(Lean(_spans, length=length), "_doc long, _tag long, _starts binary, _ends binary")
              .groupBy("_doc", "_tag").agg(F.collect_list("_starts").alias("_starts"), F.collect_list("_ends").alias("_ends")))
     results = ("kept", "n_bytes", "n_removed", "n_spans")
     rest = [c for c in docs.columns if c not in results]
     left = docs.select(*rest, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_doc"), tag.alias("_tag"))
     joined = left.join(spans, ["_doc", "_tag"], "left").select(*rest, "_text", "_starts", "_ends")
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name in rest)
-    return joined.mapInArrow(_cut, f"{types}kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(Lean(_cut), f"{types}kept binary, n_bytes long, n_removed long, n_spans long")

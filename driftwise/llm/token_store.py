@@ -26,8 +26,6 @@ import functools
 import json
 import os
 from dataclasses import dataclass
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSystem, FileType
@@ -35,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import partitions, ragged, run_starts, stored
+from driftwise.llm.common import Lean, partitions, ragged, run_starts, stored
 from driftwise.llm.hashing import blocks, mix
 from driftwise.llm.pieces import PieceEncoder, encode_block, split
 
@@ -231,7 +229,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_i
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(partitions(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
-    manifest = stored(dealt.mapInArrow(partial(_write, root=root, tokenizer=tokenizer, end_id=end_id, shard_bytes=shard_bytes), MANIFEST), "token-manifest")
+    manifest = stored(dealt.mapInArrow(Lean(_write, root=root, tokenizer=tokenizer, end_id=end_id, shard_bytes=shard_bytes), MANIFEST), "token-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return TokenStore(root, manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))))
 
@@ -312,7 +310,7 @@ def fetch(spark: SparkSession, store: TokenStore, keys: DataFrame, key_col: str
     listed = [(r["first_key"], r["last_key"], r["path"].rsplit("/", 1)[-1], r["start"]) for r in store.manifest.orderBy("part", "seq").collect()]
     shards = spark.sparkContext.broadcast(listed)
     rows = keys.select(F.col(key_col).cast("long").alias("key"))
-    routed = rows.mapInArrow(partial(_route, shards=shards), "key long, shard int")
+    routed = rows.mapInArrow(Lean(_route, shards=shards), "key long, shard int")
     dealt = routed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "key")
-    found = dealt.mapInArrow(partial(_fetch, root=store.root, shards=shards), "key long, start long, n_tokens long, ids binary")
+    found = dealt.mapInArrow(Lean(_fetch, root=store.root, shards=shards), "key long, start long, n_tokens long, ids binary")
     return found.withColumnRenamed("key", key_col)
