@@ -40,8 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of what they decode to."""
-    path = vocabulary(BPE_RANKS)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary(BPE_RANKS))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

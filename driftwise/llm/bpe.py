@@ -156,3 +156,18 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     frame = encoded.select(*[c for c in encoded.columns if c not in ("decoded", "_ids")], F.col(ids_col).alias("_ids"))
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_ids")
     return frame.mapInArrow(Lean(_decode, path=path), f"{types}decoded binary")
+
+
+def _round_trip(batches, path, leaf_bytes):
+    def coded():
+        for b in _encode(batches, path, leaf_bytes):
+            yield pa.RecordBatch.from_arrays([*b.columns, b["ids"]], names=[*b.schema.names, "_ids"])
+
+    yield from _decode(coded(), path)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``: both steps in one worker, block by block."""
+    frame = docs.select(*[c for c in docs.columns if c not in (*RESULTS, "decoded", "_text", "_ids")], F.col(text_col).alias("_text"))
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name != "_text")
+    return frame.mapInArrow(Lean(_round_trip, path=path, leaf_bytes=leaf_bytes), f"{types}ids binary, n_tokens long, decoded binary")
