@@ -19,7 +19,7 @@ import argparse
 import sys
 
 from driftwise.operators.compare import compare_frames
-from driftwise.operators.links import LIST_LINKS, RUN_LINKS, view_links
+from driftwise.operators.links import CAP, LIST_LINKS, RUN_LINKS, view_links
 from driftwise.operators.roundtrip import compare_tables
 from driftwise.session import get_session
 from driftwise.sources.files import csv_to_parquet, read_csv
@@ -48,7 +48,7 @@ def _links(spark, a) -> int:
     sel = spark.read.format(a.format).load(a.selection)
     kinds = {"all": list(LIST_LINKS) + list(RUN_LINKS), "list": list(LIST_LINKS),
              "run": list(RUN_LINKS)}.get(a.kinds) or list(_names(a.kinds))
-    out = view_links(sel, kinds, a.run, a.ids, base_url=a.base_url)
+    out = view_links(sel, kinds, a.run, a.ids, base_url=a.base_url, cap=CAP)
     out.write.mode("overwrite").parquet(a.out)
     print(f"links written to {a.out}")
     return 0

@@ -43,6 +43,11 @@ def _pattern_has_zone(fmt: str) -> bool:
     return any(ch in unquoted for ch in "XxZzOV")
 
 
+def _utc_reading(instant: Column) -> Column:
+    """TIMESTAMP -> its reading in UTC, from the instant itself."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def parse_timestamp(c, fmt: str | None = None) -> Column:
     """Text -> TIMESTAMP_NTZ; null where the text does not parse.
 
@@ -57,14 +62,12 @@ def parse_timestamp(c, fmt: str | None = None) -> Column:
     """
     c = _col(c)
     if fmt is None:
-        zoned = F.convert_timezone(None, F.lit("UTC"), c.try_cast("timestamp"))
+        zoned = _utc_reading(c.try_cast("timestamp"))
         return F.when(c.rlike(_OFFSET), zoned).otherwise(c.try_cast("timestamp_ntz"))
-    parsed = F.try_to_timestamp(c, F.lit(fmt))
     if _pattern_has_zone(fmt):
-        return F.convert_timezone(None, F.lit("UTC"), parsed)
-    # try_to_timestamp gives the wall-clock reading in the session zone;
-    # casting back to NTZ keeps that reading as it is.
-    return parsed.cast("timestamp_ntz")
+        return _utc_reading(F.try_to_timestamp(c, F.lit(fmt)))
+    # read as if in UTC: the session zone, with its missing and double hours, has no say
+    return _utc_reading(F.try_to_timestamp(F.concat(c, F.lit(" Z")), F.lit(fmt + " X")))
 
 
 def coerce_datetime(name: str, dtype: T.DataType, fmt: str | None = None) -> Column:

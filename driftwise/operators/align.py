@@ -51,8 +51,8 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
     Both frames must already be in role order with label names (see
     :func:`project_side`).  With ``strict`` the two sides must agree on
     whether they have an id and on the number of features and of datetimes.
-    Without it the columns are zipped by position, excess columns on either
-    side are left out of the comparison, and a name clash raises.
+    Without it columns are paired by position within their role, and what
+    only one side has is left out of the comparison; a name clash raises.
     """
     r_spec, c_spec = ref_spec.labelled(), cur_spec.labelled()
     if strict:
@@ -61,19 +61,19 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
         if shape_r != shape_c:
             raise ValueError(
                 f"sides differ in shape (has id, features, datetimes): reference {shape_r}, current {shape_c}")
-    ref_cols, cur_cols = r_spec.columns(), c_spec.columns()
-    n = min(len(ref_cols), len(cur_cols))
-    renamed = list(cur_cols[:n]) + list(ref_cols[n:])
+    # id with id, features with features, datetimes with datetimes
+    has_id = r_spec.id is not None and c_spec.id is not None
+    features = list(zip(r_spec.features, c_spec.features))
+    datetimes = list(zip(r_spec.datetimes, c_spec.datetimes))
+    pairs = ([(r_spec.id, c_spec.id)] if has_id else []) + features + datetimes
+    ref_cols, cur_cols = [r for r, _ in pairs], [c for _, c in pairs]
+    renamed = cur_cols + [c for c in r_spec.columns() if c not in ref_cols]
     if len(set(renamed)) != len(renamed):
         raise ValueError(f"positional alignment produces duplicate names: {renamed}")
-    keep = [quote(c) for c in cur_cols[:n]]
-    ref_aligned = ref.selectExpr(*[quote(c) for c in ref_cols]).toDF(*renamed).selectExpr(*keep)
-    paired = set(cur_cols[:n])
-    spec = DatasetSpec(
-        features=tuple(c for c in c_spec.features if c in paired),
-        id=c_spec.id if c_spec.id in paired else None,
-        datetimes=tuple(c for c in c_spec.datetimes if c in paired),
-    )
+    keep = [quote(c) for c in cur_cols]
+    ref_aligned = ref.selectExpr(*[quote(c) for c in ref_cols]).toDF(*cur_cols)
+    spec = DatasetSpec(features=tuple(c for _, c in features), id=c_spec.id if has_id else None,
+                       datetimes=tuple(c for _, c in datetimes))
     return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec)
 
 

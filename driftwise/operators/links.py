@@ -11,28 +11,30 @@ Plan: a ``row_number`` window filtered to ``rn <= cap + 1`` becomes
 run holds at most ``cap`` ids.  The ``cap + 1``-th row is the overflow signal;
 no ``count(*) over (...)`` is computed (it would disable the group limit).
 
-Hot runs: when one run holds a large share of all rows, every map task sends
-``cap + 1`` rows of it to the same reducer.  On a large cluster (or with
-``salts`` given) the limit is applied in two levels: first per
-``(run, salt)`` where the salt is derived from the input partition (so each
-first-level group combines only a slice of the map tasks), then per run.  The top-``cap`` of a union equals
-the top-``cap`` of the parts' top-``cap``s, so the result is exact.
+Hot runs: when one run holds a large share of all rows, every map task would send
+``cap + 1`` rows of it to the same reducer.  The limit is therefore always applied in
+two levels, one plan on every cluster: first per ``(run, salt)`` where the salt is
+derived from the input partition (so each first-level group combines only a slice
+of the map tasks), then per run.  The top-``cap`` of a union equals the top-``cap`` of
+the parts' top-``cap``s, so the result is exact.  Ids past ``cap`` are counted
+(``n_ids``) and are all in :func:`id_pages`.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwise.functions.scalar import joined_or_default, sorted_id_list
 from driftwise.functions.sqltext import col
 from driftwise.operators.contract import SELECTION_GROUPS, require_contract
+from driftwise.session import scratch_path
 
 CAP = 130          # list cap of the reference (ids per link)
 _RN = "_rn"
 _SALT = "_salt"
+SALTS = 16         # first-level groups of a run
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 # The link kinds of the reference in its order, as
 # (registered name, path below the base URL, shape).  Shape "list" links
@@ -57,20 +59,14 @@ RUN_LINKS = {name: path for name, path, shape in LINKS if shape == "run"}
 RUN_PARAM, IDS_PARAM, MAX_PARAM = "rechenlauf", "gebid", "max"
 
 
-def _salt_count(df: DataFrame, salts: int | None) -> int:
-    """Number of first-level groups per run.
-
-    Without an explicit value: about the square root of the cluster's
-    parallelism (cores), from 64 cores up.  With ``s`` salts a hot run's
-    first-level reducers each combine 1/s of the map tasks and the
-    second level combines ``s * (cap + 1)`` rows, so neither grows with the
-    data the way a single reducer would.  Read from the context: planning
-    the input (``df.rdd``) could run its upstream stages under AQE.
-    """
-    if salts is not None:
-        return max(1, int(salts))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(math.isqrt(cores)) if cores >= 64 else 1
+def _check_cap(df: DataFrame, cap: int) -> None:
+    """The group limit that keeps a hot run's rows from meeting in one task exists
+    only up to a setting of the session; beyond it the plan would not scale."""
+    if cap < 1:
+        raise ValueError("cap must be at least 1")
+    most = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
+    if cap + 1 > most:
+        raise ValueError(f"cap {cap} needs {GROUP_LIMIT} above {cap}, it is {most}; raise it or use id_pages")
 
 
 def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:
@@ -79,28 +75,54 @@ def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:
               .where(F.col(_RN) <= cap + 1))
 
 
-def bounded_ids(df: DataFrame, run_col: str, id_col: str, cap: int = CAP,
-                salts: int | None = None) -> DataFrame:
-    """Per run: ``run_col, ids, max``.
+def bounded_ids(df: DataFrame, run_col: str, id_col: str, cap: int,
+                salts: int = SALTS) -> DataFrame:
+    """Per run: ``run_col, ids, max, n_ids``.
 
     ``ids`` is the ascending comma list of the ``cap`` smallest non-null ids
     (duplicates kept), or ``'0'`` when the run has none; ``max`` is 1 when the
-    run has more than ``cap`` non-null ids, else 0.
+    run has more than ``cap`` non-null ids, else 0; ``n_ids`` is the number of
+    its non-null ids.
+    """
+    _check_cap(df, cap)
+    base = df.select(col(run_col).alias("run"), col(id_col).alias("id"))
+    salted = base.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(max(1, int(salts)))))
+    first = _limit(salted, ["run", _SALT], "id", cap).select("run", "id")
+    ranked = _limit(first, ["run"], "id", cap)
+    listed = F.when(F.col(_RN) <= cap, F.col("id"))
+    over = F.when((F.col(_RN) > cap) & F.col("id").isNotNull(), 1).otherwise(0)
+    lists = ranked.groupBy("run").agg(F.collect_list(listed).alias("_ids"), F.max(over).alias(MAX_PARAM), F.lit(0).cast("bigint").alias("n_ids"))
+    counts = (base.groupBy("run").agg(F.count("id").alias("n_ids"))
+              .select("run", F.lit(None).cast(lists.schema["_ids"].dataType).alias("_ids"), F.lit(None).cast("int").alias(MAX_PARAM), "n_ids"))
+    # one row a run on either side: joined by a small aggregation, null runs included
+    both = lists.unionByName(counts).groupBy("run").agg(F.max("_ids").alias("_ids"), F.max(MAX_PARAM).alias(MAX_PARAM), F.max("n_ids").alias("n_ids"))
+    return both.select(F.col("run").alias(run_col), joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
+                       F.col(MAX_PARAM).cast("int").alias(MAX_PARAM), "n_ids")
+
+
+def id_pages(df: DataFrame, run_col: str, id_col: str, cap: int) -> DataFrame:
+    """All non-null ids of every run, ``cap`` to a page: ``run_col, page, ids, n_ids``.
+
+    Page 0 is the list of :func:`bounded_ids`; no id is left out.  The ids are
+    range-partitioned by (run, id), ranked inside each slice of a run and moved up by
+    the ids in the slices before it, so no task holds a whole run.
     """
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    base = df.select(col(run_col), col(id_col))
-    s = _salt_count(base, salts)
-    if s > 1:
-        salted = base.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(s)))
-        base = _limit(salted, [run_col, _SALT], id_col, cap).select(col(run_col), col(id_col))
-    ranked = _limit(base, [run_col], id_col, cap)
-    listed = F.when(F.col(_RN) <= cap, col(id_col))
-    over = F.when((F.col(_RN) > cap) & col(id_col).isNotNull(), 1).otherwise(0)
-    return (ranked.groupBy(col(run_col))
-                  .agg(F.collect_list(listed).alias("_ids"), F.max(over).alias(MAX_PARAM))
-                  .select(col(run_col), joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
-                          F.col(MAX_PARAM).cast("int").alias(MAX_PARAM)))
+    spark = df.sparkSession
+    dealt = (df.select(col(run_col).alias("run"), col(id_col).alias("id")).where(F.col("id").isNotNull())
+             .repartitionByRange("run", "id").withColumn("slice", F.spark_partition_id()))
+    path = scratch_path(spark, "id-slices")  # both uses must see the same slices
+    dealt.write.parquet(path)
+    rows = spark.read.parquet(path)
+    order = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("run", "slice").agg(F.count("*").alias("n"))
+              .select(F.col("run").alias("_run"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
+    rank = F.row_number().over(Window.partitionBy("run", "slice").orderBy("id"))
+    placed = (rows.withColumn("r", rank).join(before, F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice")))
+              .withColumn("page", F.floor((F.col("before") + F.col("r") - 1) / cap).cast("bigint")))
+    return (placed.groupBy("run", "page").agg(F.collect_list("id").alias("_ids"))
+            .select(F.col("run").alias(run_col), "page", sorted_id_list(F.col("_ids")).alias("ids"), F.size("_ids").cast("bigint").alias("n_ids")))
 
 
 def _url(base_url: str, path: str, run: Column, ids: Column | None = None,
@@ -112,8 +134,8 @@ def _url(base_url: str, path: str, run: Column, ids: Column | None = None,
 
 
 def view_links(df: DataFrame, kinds: list[str] | tuple[str, ...], run_col: str,
-               id_col: str | None = None, base_url: str = "/", cap: int = CAP,
-               salts: int | None = None) -> DataFrame:
+               id_col: str | None = None, base_url: str = "/", *, cap: int,
+               salts: int = SALTS) -> DataFrame:
     """One row per run and link kind: ``run_col, link, ids, max, url``.
 
     The selection must meet the reference's contract: an integer run id and

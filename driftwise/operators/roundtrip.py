@@ -77,7 +77,7 @@ def compare_tables(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame
         # Columns do not line up: contents cannot be compared row by row.
         contents = spark.createDataFrame([("contents", None)], "check string, differences bigint")
     rows = schema_rows.unionByName(contents)
-    return rows.select("check", verdict(F.col("differences") == 0).alias("result"),
+    return rows.select("check", verdict(F.coalesce(F.col("differences") == 0, F.lit(False))).alias("result"),
                        "differences")
 
 

@@ -4,7 +4,9 @@ registered query must return.  Tables are the driver's pre-registered views.
 
 from __future__ import annotations
 
-from driftwise.operators.links import CAP, LIST_LINKS, RUN_LINKS
+from driftwise.operators.links import LIST_LINKS, RUN_LINKS
+
+CAP = 130  # stated here on its own: the check must not follow the code
 
 THRESHOLD = 0.1
 SHARE = 0.5
@@ -124,10 +126,27 @@ def bounded_ids_sql(selection: str, cap: int = CAP) -> str:
 SELECT run_id,
        coalesce(nullif(string_agg(CAST(building_id AS VARCHAR), ',' ORDER BY building_id)
                        FILTER (WHERE rn <= {cap}), ''), '0') AS ids,
-       CAST(max(CASE WHEN rn > {cap} AND building_id IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS max
+       CAST(max(CASE WHEN rn > {cap} AND building_id IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS max,
+       count(building_id) AS n_ids
 FROM r GROUP BY run_id"""
 
 
+def id_pages_sql(selection: str, cap: int = CAP) -> str:
+    return f"""WITH r AS (SELECT run_id, building_id,
+                  (row_number() OVER (PARTITION BY run_id ORDER BY building_id) - 1) // {cap} AS page
+           FROM ({selection}) s WHERE building_id IS NOT NULL)
+SELECT run_id, page, string_agg(CAST(building_id AS VARCHAR), ',' ORDER BY building_id) AS ids, count(*) AS n_ids
+FROM r GROUP BY run_id, page"""
+
+
+def view_links_no_ids_sql(selection: str, base_url: str = "/") -> str:
+    kinds = " UNION ALL ".join(f"SELECT '{k}' AS link, '{p}' AS path" for k, p in LIST_LINKS.items())
+    return f"""WITH b AS (SELECT DISTINCT run_id FROM ({selection}) s), k AS ({kinds})
+SELECT run_id, link, '0' AS ids, CAST(0 AS INTEGER) AS max,
+       '{base_url}' || path || '?rechenlauf=' || CAST(run_id AS VARCHAR) || '&gebid=0&max=0' AS url
+FROM b, k"""
+
+
 def view_links_list_sql(selection: str, base_url: str = "/", cap: int = CAP) -> str:
     kinds = " UNION ALL ".join(f"SELECT '{k}' AS link, '{p}' AS path" for k, p in LIST_LINKS.items())
     return f"""WITH b AS ({bounded_ids_sql(selection, cap)}), k AS ({kinds})

@@ -16,7 +16,7 @@ from driftwise.operators.align import align_positional as align
 from driftwise.operators.classify import define, definition_table
 from driftwise.operators.compare import compare_frames, compare_groups, compare_split
 from driftwise.operators.drift import category_counts, numeric_bins
-from driftwise.operators.links import LIST_LINKS, RUN_LINKS, bounded_ids, first_cell, view_links
+from driftwise.operators.links import CAP, LIST_LINKS, RUN_LINKS, bounded_ids, first_cell, id_pages, view_links
 from driftwise.operators.roundtrip import compare_tables, roundtrip_check
 from driftwise.plans import oracle
 from driftwise.session import scratch_path
@@ -185,22 +185,46 @@ def selection(spark, sf_dir) -> DataFrame:
     return o.select(run.cast("bigint").alias("run_id"), F.col("o_orderkey").alias("building_id"))
 
 
+SELECTION_NULLS_SQL = (f"SELECT run_id, CASE WHEN run_id % 7 = 0 OR building_id % 5 = 0 THEN NULL ELSE building_id END "
+                       f"AS building_id FROM ({SELECTION_SQL}) s")
+
+
+def selection_with_nulls(spark, sf_dir) -> DataFrame:
+    """The selection with null ids, and with runs that have none."""
+    gone = (F.col("run_id") % 7 == 0) | (F.col("building_id") % 5 == 0)
+    return selection(spark, sf_dir).withColumn("building_id", F.when(~gone, F.col("building_id")))
+
+
 def first_run_cell(spark, sf_dir):
     """The selection's first cell: the run id of the lowest id (one row)."""
     return first_cell(selection(spark, sf_dir), "building_id", "run_id")
 
 
 def bounded_id_list(spark, sf_dir):
-    return bounded_ids(selection(spark, sf_dir), "run_id", "building_id")
+    return bounded_ids(selection(spark, sf_dir), "run_id", "building_id", CAP)
+
+
+def id_list_pages(spark, sf_dir):
+    """Every id of every run, 130 to a page; some ids null, some runs with none."""
+    return id_pages(selection_with_nulls(spark, sf_dir), "run_id", "building_id", CAP)
+
+
+def bounded_id_list_nulls(spark, sf_dir):
+    return bounded_ids(selection_with_nulls(spark, sf_dir), "run_id", "building_id", CAP)
+
+
+def view_links_no_ids(spark, sf_dir):
+    """No id column selected: every list is the default."""
+    return view_links(selection(spark, sf_dir), list(LIST_LINKS), "run_id", cap=CAP)
 
 
 def view_links_list(spark, sf_dir):
-    return view_links(selection(spark, sf_dir), list(LIST_LINKS), "run_id", "building_id")
+    return view_links(selection(spark, sf_dir), list(LIST_LINKS), "run_id", "building_id", cap=CAP)
 
 
 def view_links_run(spark, sf_dir):
     # run-only links carry no id list: keep the meaningful columns
-    return view_links(selection(spark, sf_dir), list(RUN_LINKS), "run_id").select("run_id", "link", "url")
+    return view_links(selection(spark, sf_dir), list(RUN_LINKS), "run_id", cap=CAP).select("run_id", "link", "url")
 
 
 # ------------------------------------------------------ conversion, scans
@@ -247,8 +271,8 @@ def drift_stream_events(spark, sf_dir):
     source); each micro-batch is scored against the earlier events."""
     events = table(spark, sf_dir, "events")
     split = _ntz("2024-01-16 00:00:00")
-    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/"))
+    # a pattern matches the table as one file and as a folder of part files alike
+    stream = (spark.readStream.schema(events.schema).parquet(f"{sf_dir.rstrip('/')}/event[s].parquet")
               .where(F.col("ts") >= split))
     out = scratch_path(spark, "drift-stream-out")
     q = drift_stream(spark, stream, events.where(F.col("ts") < split), EVENTS_SPEC, out)
@@ -300,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "millis_to_timestamp": millis_to_ts,
     "first_run_cell": first_run_cell,
     "bounded_id_list": bounded_id_list,
+    "bounded_id_list_nulls": bounded_id_list_nulls,
+    "id_list_pages": id_list_pages,
+    "view_links_no_ids": view_links_no_ids,
     "view_links_list": view_links_list,
     "view_links_run": view_links_run,
     "roundtrip_parquet": roundtrip_parquet,
@@ -348,6 +375,9 @@ SELECT o_orderkey, date_text, try_strptime(date_text, '%Y-%m-%d') AS parsed,
     "millis_to_timestamp": "SELECT o_orderkey, o_orderkey * 1000 AS ms, epoch_ms(o_orderkey * 1000) AS ts FROM orders",
     "first_run_cell": f"SELECT run_id FROM ({SELECTION_SQL}) s ORDER BY building_id NULLS LAST LIMIT 1",
     "bounded_id_list": oracle.bounded_ids_sql(SELECTION_SQL),
+    "bounded_id_list_nulls": oracle.bounded_ids_sql(SELECTION_NULLS_SQL),
+    "id_list_pages": oracle.id_pages_sql(SELECTION_NULLS_SQL),
+    "view_links_no_ids": oracle.view_links_no_ids_sql(SELECTION_SQL),
     "view_links_list": oracle.view_links_list_sql(SELECTION_SQL),
     "view_links_run": oracle.view_links_run_sql(SELECTION_SQL),
     "roundtrip_parquet": ROUNDTRIP_OK,

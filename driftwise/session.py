@@ -9,6 +9,7 @@ from the caller and every setting already present is respected.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftwise-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

@@ -29,8 +29,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
              header: bool = True, sep: str = ",", **options) -> DataFrame:
     """CSV with a header line.  Leading blanks after the separator are
     ignored (``a, 1`` reads as ``a`` and ``1``).  Pass ``schema`` for real
-    jobs; without it types are inferred, which costs an extra pass."""
-    reader = (spark.read.option("header", header).option("sep", sep)
+    jobs; without it types are inferred, which costs an extra pass.  A cell that
+    does not convert and a row of another width raise (``mode="PERMISSIVE"``: null)."""
+    reader = (spark.read.option("header", header).option("sep", sep).option("mode", "FAILFAST")
                    .option("ignoreLeadingWhiteSpace", True)
                    .options(**{k: str(v) for k, v in options.items()}))
     if schema is not None:

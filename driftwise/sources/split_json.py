@@ -37,11 +37,18 @@ def _typed(cell, dtype: T.DataType):
 
 
 def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
-                    multi_line: bool = False, index_col: str | None = "index") -> DataFrame:
-    """Rows of all split documents under ``path``, typed by ``schema``."""
+                    multi_line: bool = False, index_col: str | None = "index",
+                    bad_cells: str = "raise") -> DataFrame:
+    """Rows of all split documents under ``path``, typed by ``schema``.
+
+    A malformed document raises, and so does a cell that does not convert
+    (``bad_cells="null"``: it becomes null).
+    """
+    if bad_cells not in ("raise", "null"):
+        raise ValueError("bad_cells is 'raise' or 'null'")
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    docs = spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).json(path)
+    docs = spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     rows = docs.select("columns", "index", F.posexplode("data").alias("pos", "row"))
     cols = []
     if index_col:
@@ -52,7 +59,11 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
     for f in schema.fields:
         pos = F.array_position(F.col("columns"), F.lit(f.name)).cast("int")
         cell = F.try_element_at(F.col("row"), pos)
-        cols.append(_typed(cell, f.dataType).alias(f.name))
+        value = _typed(cell, f.dataType)
+        if bad_cells == "raise":
+            said = F.concat(F.lit(f"column {f.name}: not a {f.dataType.simpleString()}: "), cell)
+            value = F.when(cell.isNotNull() & value.isNull(), F.raise_error(said).cast(f.dataType)).otherwise(value)
+        cols.append(value.alias(f.name))
     return rows.select(*cols)
 
 

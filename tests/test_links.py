@@ -1,10 +1,13 @@
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftwise.operators.links import (CAP, LIST_LINKS, RUN_LINKS, bounded_ids, first_cell,
-                                       view_links)
+from driftwise.operators import links
+from driftwise.operators.links import CAP, LIST_LINKS, RUN_LINKS, first_cell, id_pages
+
+bounded_ids, view_links = partial(links.bounded_ids, cap=CAP), partial(links.view_links, cap=CAP)
 
 
 def brute(rows, cap=CAP):
@@ -89,16 +92,36 @@ def test_first_cell(spark):
     assert first_cell(df, "k", "v").collect()[0].v == 10
 
 
-def test_default_salting_follows_cluster_size(spark):
-    from driftwise.operators.links import _salt_count
-    small = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
-    cores = spark.sparkContext.defaultParallelism
-    assert _salt_count(small, None) == (1 if cores < 64 else int(cores ** 0.5))
-    assert _salt_count(small, 10) == 10
+def test_two_levels_everywhere(spark):
     rows = [(0, i) for i in range(500)] + [(1, i) for i in range(10)]
     df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(100)
-    got = {r.run: (r.ids, r.max) for r in bounded_ids(df, "run", "bid", salts=10).collect()}
-    assert got == brute(rows)
+    plan = bounded_ids(df, "run", "bid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4      # partial and final, twice
+    for salts in (1, 10, 16):
+        got = {r.run: (r.ids, r.max, r.n_ids) for r in bounded_ids(df, "run", "bid", salts=salts).collect()}
+        assert got == {k: (*v, 500 if k == 0 else 10) for k, v in brute(rows).items()}
+
+
+def test_cap_beyond_the_group_limit_is_refused(spark):
+    df = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
+    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+        links.bounded_ids(df, "run", "bid", 1500)
+    with pytest.raises(TypeError):
+        links.bounded_ids(df, "run", "bid")
+
+
+@pytest.mark.parametrize("cap", [1, 7, 130, 1500])
+def test_pages_lose_no_id(spark, cap):
+    rows = [(0, i % 900) for i in range(2000)] + [(1, 3), (1, None), (2, None), (None, 4)]
+    df = spark.createDataFrame(rows, "run bigint, bid bigint").repartition(7)
+    got = {(r.run, r.page): (r.ids, r.n_ids) for r in id_pages(df, "run", "bid", cap).collect()}
+    want = {}
+    for run in (0, 1, None):
+        ids = sorted(i for r, i in rows if r == run and i is not None)
+        for page in range(0, len(ids), cap):
+            part = ids[page:page + cap]
+            want[run, page // cap] = (",".join(map(str, part)), len(part))
+    assert got == want
 
 
 from hypothesis import given, settings  # noqa: E402

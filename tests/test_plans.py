@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from driftwise.plans.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -35,7 +36,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_smoke(spark):
@@ -44,10 +45,10 @@ def test_entry_smoke(spark):
     assert df.count() == 4
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF001)
-    res = duck.execute(E.oracle_sql()[name])
+    sdf = QUERIES[name](spark, SF001)
+    res = duck.execute(ORACLE_SQL[name])
     dnames = [c[0] for c in res.description]
     assert sorted(sdf.columns) == sorted(dnames)
     assert _rows(sdf.columns, sdf.collect()) == _rows(dnames, res.fetchall())
@@ -55,7 +56,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_drift_plan_prunes_and_broadcasts_bounded_side(spark):
     import re
-    df = E.queries()["drift_columns_orders"](spark, SF001)
+    df = QUERIES["drift_columns_orders"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert schemas
@@ -69,13 +70,13 @@ def test_drift_plan_prunes_and_broadcasts_bounded_side(spark):
 
 
 def test_links_plan_has_group_limit(spark):
-    plan = E.queries()["bounded_id_list"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["bounded_id_list"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_pairwise_joins(spark, name):
-    df = E.queries()[name](spark, SF001)
+    df = QUERIES[name](spark, SF001)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
