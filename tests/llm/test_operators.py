@@ -1,0 +1,269 @@
+import random
+import zlib
+from functools import partial
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from driftwise.llm import (bpe, decontaminate, jaccard_join, language, language_model, line_dedup, neighbours, pieces, quality,
+                           queries, substring_dedup, token_store)
+from driftwise.llm.common import Bits, fold, ragged
+from driftwise.llm.hashing import blocks
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, n_lines string, score string, `a b` int"
+
+
+def _frame(spark, docs, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, "x", "y", 1) for i, t in docs], schema)
+
+
+def _corpus(n=60, seed=3):
+    """Random texts with copies, near copies, a passage and a line that many hold, and odd rows."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    passage, line = " ".join(word() for _ in range(40)), "  The Same LINE everywhere\t"
+    docs = []
+    for i in range(n):
+        w = [word() for _ in range(r.randint(3, 120))]
+        if i % 3 == 0:
+            w[1:1] = passage.split()
+        text = " ".join(w)
+        if i % 4 == 0:
+            text += "\n" + line + "\n" + line
+        if i % 5 == 0 and docs:
+            text = docs[r.randrange(len(docs))][1]
+        if i % 7 == 0 and docs:
+            parts = (docs[r.randrange(len(docs))][1] or "x").split(" ")
+            parts[r.randrange(len(parts))] = "edited"
+            text = " ".join(parts)
+        docs.append((i + 1, text))
+    return docs + [(900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "one two"), (905, "a " * 3000), (906, "b" * 5000)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    return _corpus()
+
+
+def test_lines(spark, corpus):
+    frame = _frame(spark, [*corpus, (None, "The same line everywhere")])
+    got = line_dedup.dedup_lines(frame)
+    assert set(got.columns) == {"doc_id", "text", "score", "a b", "kept_text", "n_lines", "n_dropped"}
+    rows = got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("s"), "kept_text").collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.s) for r in rows if r.doc_id is not None} == brute.lines(corpus)
+    assert [(r.n_dropped, r.kept_text) for r in rows if r.doc_id is None] == [(0, "The same line everywhere")]
+    assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
+    tiny = line_dedup.dedup_lines(frame.where("doc_id IS NOT NULL"), filter_bits=256).agg(F.sum("n_dropped")).first()[0]
+    assert tiny == sum(v[1] for v in brute.lines(corpus).values())
+
+
+def test_substrings(spark, corpus):
+    docs = [*corpus, (907, "xy" * 400), (908, "q" + "xy" * 300)]
+    got = substring_dedup.dedup_substrings(_frame(spark, [*docs, (None, "z" * 300)]))
+    rows = got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows if r.doc_id is not None} == brute.substrings(docs)
+    assert [r.n_removed for r in rows if r.doc_id is None] == [0]
+    short = substring_dedup.dedup_substrings(_frame(spark, docs), length=16).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in short.collect()} == brute.substrings(docs, 16)
+    assert substring_dedup.dedup_substrings(_frame(spark, docs).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [2000, 3])
+def test_components(spark, corpus, leaf):
+    """Leaf 3 takes the Voronoi cells and the chunk pairs."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    docs = list(corpus)
+    for i in range(40):  # a chain of near copies, each an edit away from one before it
+        base = list(base)
+        base[r.randrange(60)] = f"e{i}"
+        docs.append((2000 + i, " ".join(base)))
+    got = jaccard_join.join(_frame(spark, [*docs, (None, " ".join(base))]), leaf_points=leaf, pivots=2, depth=2)
+    rows = got.collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == brute.components(docs)
+    assert [r.component_id for r in rows if r.doc_id is None] == [None]
+
+
+def test_first_of_each_keeps_one(spark, corpus):
+    kept = {r.doc_id for r in jaccard_join.first_of_each(_frame(spark, corpus)).collect()}
+    assert kept == {c for _, c in brute.components(corpus).values()}
+    assert jaccard_join.join(_frame(spark, corpus).limit(0)).count() == 0
+
+
+def test_language_model(spark, corpus):
+    frame = _frame(spark, corpus)
+    rows = language_model.score_corpus(frame, fold("doc_id", 10)).collect()
+    want = brute.base_scores(corpus)
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {i: v[:3] for i, v in want.items()}
+    assert all(abs(r.base_score - want[r.doc_id][3]) < 1e-6 for r in rows)
+    assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
+    small = language_model.score_corpus(frame, fold("doc_id", 10), size=20).collect()
+    assert all(abs(r.base_score - want[r.doc_id][3]) < 1e-6 for r in small)
+    untrained = language_model.score_corpus(spark.createDataFrame([(None, "a b")], "doc_id bigint, text string"), F.lit(2)).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in untrained] == [(3, 0, 0)]
+    assert language_model.score_corpus(frame.limit(0), F.lit(2)).count() == 0
+
+
+def test_language_model_beats_single_words(spark):
+    rows = queries.op4_language_model(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+
+
+def test_mixture_is_a_probability(spark):
+    """The classes' probabilities after a context add up to one."""
+    docs = _frame(spark, [(i, "a b a c") for i in range(30)]).select(F.lit(2).alias("part"), "text")
+    model = language_model.train(docs)
+    classes = np.arange(model.rare + 1, dtype=np.uint32)
+    words = model.classes(language_model.words(*list(blocks(pa.array(["a b c"])))[0][2:])[0])
+    context = np.uint32(words[0]) << np.uint32(16)
+    together = np.zeros(len(classes))
+    together[words[1]] = together[words[2]] = 30
+    assert 10 ** model.log10(context | classes, together) @ np.ones(len(classes)) == pytest.approx(1)
+
+
+def test_pieces_and_tree_match_the_libraries():
+    r = random.Random(1)
+    parts = [*"abestlmdrvABC019  \t\n'!., é\x85×¼-_\r", "'s", "'re", "'ll", "   ", " '", "x" * 20, "日本", "\x1c"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(800)] + [""]
+    encoding, encoder = bpe._codec(public_tokenizers.path(queries.BPE_RANKS))
+    for cutter in (pieces.split, partial(bpe.tree_split, leaf_bytes=8), bpe.tree_split):
+        ids, counts = next((pieces.encode_block(b, o, encoder, lambda xs: [encoding.encode_ordinary(x) for x in xs], cutter))
+                           for _, _, b, o in blocks(pa.array(texts), 1 << 24))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoding.encode_ordinary(t) for t in texts]
+    _, encoder, whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))
+    ids, counts = next(pieces.encode_block(b, o, encoder, whole) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole(texts)
+
+
+def test_bpe_round_trip(spark, corpus):
+    path = public_tokenizers.path(queries.BPE_RANKS)
+    frame = _frame(spark, [*corpus, (None, "x")]).withColumn("ids", F.lit("mine"))
+    for coded in (bpe.encode_and_decode(frame, path, leaf_bytes=64), bpe.decode(bpe.encode(frame, path), path)):
+        assert all(bytes(r.decoded).decode() == (r.text or "") and len(r.ids) == 4 * r.n_tokens for r in coded.collect())
+    assert bpe.encode_and_decode(frame.limit(0), path).count() == 0
+
+
+def test_token_store(spark, tmp_dir, corpus):
+    docs = [*corpus, (900, "a second text"), (None, "no key")]
+    whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))[2]
+    store = token_store.write_store(_frame(spark, docs), f"{tmp_dir}/store", public_tokenizers.path(queries.TOKENIZER), shard_bytes=2000)
+    assert store.manifest.count() > 3
+    keys = spark.createDataFrame([(i,) for i in {d[0] for d in docs} | {-5, 10 ** 9}], "doc_id bigint")
+    rows = token_store.fetch(spark, store, keys).collect()
+    got = sorted((r.doc_id is not None, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows)
+    assert got == sorted((i is not None, i, [*ids, 0]) for (i, _), ids in zip(docs, whole([t or "" for _, t in docs]), strict=True))
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    empty = token_store.write_store(_frame(spark, docs).limit(0), f"{tmp_dir}/none", public_tokenizers.path(queries.TOKENIZER))
+    assert token_store.fetch(spark, empty, keys).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64))
+    index = token_store.PerfectHash.build(keys)
+    assert sorted(index.slot(keys).tolist()) == list(range(len(keys)))
+    body, head = index.dump()
+    assert (token_store.PerfectHash.load(body, head).slot(keys) == index.slot(keys)).all()
+
+
+def test_filter_has_no_false_negatives():
+    keys = np.random.default_rng(0).integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2)
+    halves = [keys[keys < (1 << 63)], keys[keys >= (1 << 63)]]
+    assert Bits([Bits.segment(h, 1 << 16) for h in halves]).has(keys).all()
+    assert ragged(np.array([5, 9, 2]), np.array([2, 0, 3])).tolist() == [5, 6, 2, 3, 4]
+
+
+def test_quality(spark):
+    good, bad = [f"good words number {i} here" for i in range(40)], [f"junk junk junk {i}" for i in range(40)]
+    docs = [*enumerate(good + bad), (500, None), (501, ""), (None, "junk junk junk")]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
+    frame = _frame(spark, docs)
+    scored = quality.score_texts(frame, quality.train(frame, labels))
+    got = {r.doc_id: r for r in scored.collect()}
+    assert scored.columns.count("score") == 1 and len(got) == len(docs)
+    assert all(got[i].predicted == 1 for i in range(40)) and all(got[i].predicted == 0 for i in range(40, 80))
+    assert got[500].score == got[501].score
+    none = quality.score_texts(frame, quality.train(frame, labels.limit(0)))
+    assert {r.score for r in none.collect()} == {0.5}
+    assert quality.score_texts(frame.limit(0), quality.train(frame, labels)).count() == 0
+
+
+def test_quality_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = quality.score_texts(docs, quality.train(docs, labels.where(fold("doc_id", 5) != 0))).where(fold("doc_id", 5) == 0)
+    rows = scored.join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def test_language(spark):
+    rows = queries.op8_language(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.9 and all(0 <= r.score <= 1 for r in rows)
+    docs = spark.createDataFrame([(1, "the and of", "en"), (2, "le la les", "fr"), (3, None, "en"), (4, "12 34!", "en"), (5, "x", None), (None, "y", "z")],
+                                 "doc_id bigint, text string, lang string").withColumn("score", F.lit("mine"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, language.train(docs)).collect()}
+    assert got[1][0] == "en" and got[2][0] == "fr" and got[3] == got[4] == ("und", 0.0)
+    nothing = language.train(docs.limit(0))
+    assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((300, 8)).astype(np.float32)
+    x[100:200] = x[100]          # a third of all rows are one vector
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    odd = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] + [0.0] * 6, 0), (1004, [1.0], 0), (None, [1.0] * 8, 0)]
+    frame = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, rank int")
+    asked = frame.where("vec_id % 20 = 0 OR vec_id IS NULL OR vec_id >= 1000")
+    got = {}
+    for row in neighbours.search(frame, asked, lists=6, probe_share=1.0).collect():
+        got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 300, 20):
+        s = u @ u[q]
+        want = [i for i in np.lexsort((np.arange(300), -np.round(s, 12))) if i != q][:5]
+        scores = [got[q][k][1] for k in range(1, 6)]
+        assert scores == sorted(scores, reverse=True) and scores == pytest.approx([s[got[q][k][0]] for k in range(1, 6)])
+        hits += len(set(want) & {got[q][k][0] for k in range(1, 6)})
+    assert set(got) == set(range(0, 300, 20)) and hits >= 0.9 * 75
+    assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
+    assert neighbours.search(frame.limit(0), asked.limit(0)).count() == 0
+    few = neighbours.search(frame.where("vec_id < 3"), frame.where("vec_id = 0")).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_contamination(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(1, f"before {item.upper()}\nafter"), (2, item.replace("ten", "x")), (3, item.replace("five", "x")), (4, None), (5, ""),
+            (6, "short one"), (None, f"no id {item}"), (7, f"{item} {item}"), (1, "another text of one id")]
+    items = spark.createDataFrame([(10, item), (11, "short one"), (12, None), (13, " ")], "item_id bigint, text string")
+    frame = _frame(spark, docs)
+    want = {(10, 1, 6, 6), (10, 2, 5, 6), (10, None, 6, 6), (10, 7, 6, 6), (11, 6, 1, 1)}
+    for limit in (1_000_000, 0):
+        got = decontaminate.contaminated(frame, items, broadcast_rows=limit).collect()
+        assert {(r.item_id, r.doc_id, r.matched, r.n_shingles) for r in got} == want
+    assert {r.doc_id for r in decontaminate.clean(frame, items).collect()} == {3, 4, 5}
+    assert decontaminate.contaminated(frame, items.limit(0)).count() == 0 and decontaminate.contaminated(frame.limit(0), items).count() == 0
+    plan = decontaminate.contaminated(frame, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_token_store_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))[2]
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op1_token_store(spark, SF).collect()}
+    at = 0
+    for d, ids in zip(docs, whole([d.text or "" for d in docs]), strict=True):
+        ids = [*ids, 0]
+        assert got[d.doc_id] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(got) == len(docs)
