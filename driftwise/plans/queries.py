@@ -58,6 +58,35 @@ def drift_summary_orders(spark, sf_dir):
     return _orders_report(spark, sf_dir).summary
 
 
+# orders with nulls, NaN, infinities, a constant column and a column that one side lacks
+EDGES_SPEC = DatasetSpec(features=("odd", "same", "one_side", "shifted", "status"))
+EDGES_SRC = """SELECT side, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN CAST('NaN' AS DOUBLE)
+  WHEN o_orderkey % 17 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN o_orderkey % 19 = 0 THEN CAST('-Infinity' AS DOUBLE)
+  ELSE CAST(o_totalprice AS DOUBLE) END AS odd, CAST(1 AS DOUBLE) AS same,
+  CASE WHEN side = 0 THEN CAST(o_totalprice AS DOUBLE) END AS one_side,
+  CAST(o_totalprice AS DOUBLE) * (1 + side) AS shifted, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status
+FROM (""" + ORDERS_SRC + ") o"
+
+
+def _edges_report(spark, sf_dir):
+    price, key = F.col("o_totalprice").cast("double"), F.col("o_orderkey")
+    later = F.col("o_orderdate") >= _ntz(ORDERS_SPLIT)
+    odd = (F.when(key % 11 == 0, None).when(key % 13 == 0, float("nan")).when(key % 17 == 0, float("inf"))
+           .when(key % 19 == 0, float("-inf")).otherwise(price))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderdate", odd.alias("odd"), F.lit(1.0).alias("same"), F.when(~later, price).alias("one_side"),
+        (price * F.when(later, 2).otherwise(1)).alias("shifted"), F.when(key % 7 != 0, F.col("o_orderstatus")).alias("status"))
+    return compare_split(rows, EDGES_SPEC, later)
+
+
+def drift_columns_edges(spark, sf_dir):
+    return _edges_report(spark, sf_dir).columns
+
+
+def drift_tests_edges(spark, sf_dir):
+    return _edges_report(spark, sf_dir).tests
+
+
 def drift_tests_orders(spark, sf_dir):
     return _orders_report(spark, sf_dir).tests
 
@@ -228,9 +257,30 @@ def view_links_run(spark, sf_dir):
 
 
 # ------------------------------------------------------ conversion, scans
-ROUNDTRIP_OK = ("SELECT * FROM (VALUES ('columns', 'identical', CAST(0 AS BIGINT)), "
-                "('types', 'identical', CAST(0 AS BIGINT)), ('contents', 'identical', CAST(0 AS BIGINT))) "
-                "AS t(\"check\", result, differences)")
+def _roundtrip_sql(name: str) -> str:
+    """Names, types and contents of a lossless copy, counted over the table itself."""
+    copy = f"SELECT * FROM {name}"
+    return f"""WITH d AS (
+  SELECT (SELECT count(*) FROM ({copy} EXCEPT ALL {copy}) l) + (SELECT count(*) FROM ({copy} EXCEPT ALL {copy}) r) AS n)
+SELECT k AS "check", CASE WHEN k <> 'contents' OR n = 0 THEN 'identical' ELSE 'different' END AS result,
+       CASE WHEN k = 'contents' THEN n ELSE 0 END AS differences
+FROM d, (VALUES ('columns'), ('types'), ('contents')) t(k)"""
+
+
+PLANTED_CHANGED = "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderpriority END"
+PLANTED_SQL = f"""WITH b AS (SELECT * REPLACE ({PLANTED_CHANGED} AS o_orderpriority) FROM orders WHERE o_orderkey % 101 <> 0),
+d AS (SELECT (SELECT count(*) FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM b) l)
+           + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM orders) r) AS n)
+SELECT k AS "check", CASE WHEN k <> 'contents' OR n = 0 THEN 'identical' ELSE 'different' END AS result,
+       CASE WHEN k = 'contents' THEN n ELSE 0 END AS differences
+FROM d, (VALUES ('columns'), ('types'), ('contents')) t(k)"""
+
+
+def compare_planted(spark, sf_dir):
+    """Orders against a copy with cells set to null and rows left out."""
+    orders = table(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderpriority"))
+    return compare_tables(spark, orders, orders.where("o_orderkey % 101 <> 0").withColumn("o_orderpriority", changed))
 
 
 def roundtrip_parquet(spark, sf_dir):
@@ -335,6 +385,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "convert_csv_parquet": convert_csv_parquet,
     "report_roundtrip": report_roundtrip,
     "experiments_table": experiments_table,
+    "compare_planted": compare_planted,
+    "drift_tests_edges": drift_tests_edges,
+    "drift_columns_edges": drift_columns_edges,
     "drift_stream_events": drift_stream_events,
 }
 
@@ -343,7 +396,12 @@ _ORDERS_COLS = oracle.drift_columns_sql(ORDERS_SRC, ["o_custkey", "o_totalprice"
 
 _EVENTS_COLS = oracle.drift_columns_sql(EVENTS_SRC, ["user_id", "value"], ["event_type"])
 
+_EDGES_COLS = oracle.drift_columns_sql(EDGES_SRC, ["odd", "same", "one_side", "shifted"], ["status"])
+
 ORACLE_SQL: dict[str, str] = {
+    "compare_planted": PLANTED_SQL,
+    "drift_columns_edges": _EDGES_COLS,
+    "drift_tests_edges": oracle.drift_tests_sql(_EDGES_COLS),
     "drift_columns_orders": _ORDERS_COLS,
     "drift_summary_orders": oracle.drift_summary_sql(_ORDERS_COLS),
     "drift_tests_orders": oracle.drift_tests_sql(_ORDERS_COLS),
@@ -380,10 +438,10 @@ SELECT o_orderkey, date_text, try_strptime(date_text, '%Y-%m-%d') AS parsed,
     "view_links_no_ids": oracle.view_links_no_ids_sql(SELECTION_SQL),
     "view_links_list": oracle.view_links_list_sql(SELECTION_SQL),
     "view_links_run": oracle.view_links_run_sql(SELECTION_SQL),
-    "roundtrip_parquet": ROUNDTRIP_OK,
-    "roundtrip_csv": ROUNDTRIP_OK,
+    "roundtrip_parquet": _roundtrip_sql("customer"),
+    "roundtrip_csv": _roundtrip_sql("supplier"),
     "split_json_scan": "SELECT * FROM orders",
-    "convert_csv_parquet": ROUNDTRIP_OK,
+    "convert_csv_parquet": _roundtrip_sql("orders"),
     "report_roundtrip": oracle.drift_tests_sql(_ORDERS_COLS),
     "experiments_table": """
 SELECT CAST(c_custkey AS BIGINT) AS experiment_id, c_name AS name, 'active' AS lifecycle_stage,
