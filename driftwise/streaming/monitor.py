@@ -6,8 +6,9 @@ compared with the reference table by the same batch plan
 (:func:`driftwise.operators.compare.compare_frames`) inside ``foreachBatch``.
 Each epoch's per-column result is written to ``<output>/epoch=<n>`` with
 overwrite, so a batch replayed after a failure replaces its own output
-instead of duplicating it (exactly-once at the sink).  Progress lives in the
-query's checkpoint folder below the shared ``spark.checkpoint.dir``.
+instead of duplicating it (exactly-once at the sink).  Progress lives in
+``<output>/_checkpoint`` unless another folder is given, so a query started again
+for the same output goes on where the last one stopped.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from driftwise.operators.drift import COLUMN_THRESHOLD
 from driftwise.session import scratch_path
 from driftwise.spec import DatasetSpec
 
+RESULTS = ("column_name string, kind string, bins bigint, ref_count bigint, cur_count bigint, "
+           "psi double, threshold double, drifted boolean, epoch bigint")
+
 
 def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
                  spec: DatasetSpec, output_path: str, checkpoint_path: str | None = None,
@@ -56,7 +60,7 @@ def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
         cols.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")
 
     writer = (current.writeStream.foreachBatch(per_batch)
-              .option("checkpointLocation", checkpoint_path or scratch_path(spark, "drift-stream-ckpt")))
+              .option("checkpointLocation", checkpoint_path or f"{output_path.rstrip('/')}/_checkpoint"))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -65,6 +69,6 @@ def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
 
 
 def read_stream_results(spark: SparkSession, output_path: str) -> DataFrame:
-    """All epochs written so far (``epoch`` comes from the folder names)."""
-    out = spark.read.parquet(output_path)
+    """All epochs written so far (``epoch`` comes from the folder names); no rows before the first."""
+    out = spark.read.schema(RESULTS).parquet(output_path)
     return out.withColumn("epoch", F.col("epoch").cast("bigint"))

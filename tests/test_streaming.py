@@ -61,3 +61,30 @@ def test_batch_input_is_refused(spark):
     events = spark.read.parquet(f"{SF001}/events.parquet")
     with pytest.raises(ValueError, match="streaming"):
         drift_stream(spark, events, events, SPEC, "/nonexistent")
+
+
+def test_stream_query_reads_a_table_stored_as_a_folder(spark, tmp_dir):
+    from driftwise.plans.queries import drift_stream_events
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_dir}/events.parquet")
+    got, want = (sorted(map(tuple, drift_stream_events(spark, d).collect())) for d in (tmp_dir, SF001))
+    assert got == want and got
+
+
+def test_restart_goes_on_and_an_empty_stream_has_no_rows(spark, tmp_dir):
+    from driftwise.streaming import drift_stream, read_stream_results
+    source, out = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    spark.range(0).selectExpr("CAST(id AS DOUBLE) v").write.parquet(source)
+    reference, spec = spark.range(50).selectExpr("CAST(id AS DOUBLE) v"), DatasetSpec(features=("v",))
+
+    def run():
+        stream = spark.readStream.schema("v double").parquet(source)
+        drift_stream(spark, stream, reference, spec, out).awaitTermination()
+        return [(r.epoch, r.cur_count) for r in read_stream_results(spark, out).orderBy("epoch").collect() if r.cur_count]
+
+    assert run() == []
+    reference.write.mode("append").parquet(source)
+    first = run()
+    assert [n for _, n in first] == [50]
+    reference.limit(20).coalesce(1).write.mode("append").parquet(source)
+    assert [n for _, n in run()] == [50, 20]
