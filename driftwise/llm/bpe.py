@@ -9,8 +9,9 @@ far enough from the window's end.  The cut at a place depends only on text from
 there to at most three characters past the piece's end, so pieces before the
 window and after the meeting cut provably stay as they are.  The merges of a piece
 are its own, so ids are taken piece by piece, each distinct one once a block.
-Decoding concatenates the bytes of the ids.  Texts beyond Latin letters (see
-``pieces``) are encoded whole by the tiktoken library.
+Decoding concatenates the bytes of the ids.  Every text goes this way, in whatever
+script: which code points are letters, numbers or white space is read once a worker
+from the tokenizer library's own pattern engine.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are
 encoded each; special tokens do not exist, their strings are ordinary text;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from driftwise.llm.common import Lean, ragged, ranks
 from driftwise.llm.hashing import blocks
-from driftwise.llm.pieces import PieceEncoder, encode_block, split
+from driftwise.llm.pieces import LATIN, LETTER, NUMBER, POINTS, SPACE, PieceEncoder, encode_block, split
 
 LEAF_BYTES = 1 << 14
 SEAM = 16
@@ -56,7 +57,7 @@ def _bounds(tree: list) -> list[tuple[int, int]]:
     return [tuple(tree)] if isinstance(tree[0], int) else _bounds(tree[0]) + _bounds(tree[1])
 
 
-def join(buf: np.ndarray, left: np.ndarray, right: np.ndarray, seam: int, end: int) -> np.ndarray:
+def join(buf: np.ndarray, left: np.ndarray, right: np.ndarray, seam: int, end: int, kinds: np.ndarray) -> np.ndarray:
     """Cuts of a stretch from those of its two sides; ``seam`` is where the right starts."""
     at = max(0, int(np.searchsorted(left, seam - SEAM, "right")) - 1)
     start, reach = int(left[at]), 4 * SEAM
@@ -64,7 +65,7 @@ def join(buf: np.ndarray, left: np.ndarray, right: np.ndarray, seam: int, end: i
         stop = min(end, seam + reach)
         while stop < end and buf[stop] & 0xC0 == 0x80:
             stop += 1
-        fresh = split(buf[start:stop], np.array([0, stop - start])) + start
+        fresh = split(buf[start:stop], np.array([0, stop - start]), kinds) + start
         if stop == end:
             return np.concatenate([left[:at], fresh])
         meet = np.intersect1d(fresh[(fresh >= seam) & (fresh <= stop - SEAM)], right, assume_unique=True)
@@ -73,25 +74,37 @@ def join(buf: np.ndarray, left: np.ndarray, right: np.ndarray, seam: int, end: i
         reach *= 2
 
 
-def _joined(buf: np.ndarray, tree: list, cut: dict) -> tuple[np.ndarray, int, int]:
+def _joined(buf: np.ndarray, tree: list, cut: dict, kinds: np.ndarray) -> tuple[np.ndarray, int, int]:
     if isinstance(tree[0], int):
         return cut[tree[0]], tree[0], tree[1]
-    left, lo, seam = _joined(buf, tree[0], cut)
-    right, _, hi = _joined(buf, tree[1], cut)
-    return join(buf, left, right, seam, hi), lo, hi
+    left, lo, seam = _joined(buf, tree[0], cut, kinds)
+    right, _, hi = _joined(buf, tree[1], cut, kinds)
+    return join(buf, left, right, seam, hi, kinds), lo, hi
 
 
-def tree_split(buf: np.ndarray, offsets: np.ndarray, leaf_bytes: int = LEAF_BYTES) -> np.ndarray:
+def tree_split(buf: np.ndarray, offsets: np.ndarray, leaf_bytes: int = LEAF_BYTES, kinds: np.ndarray = LATIN) -> np.ndarray:
     """Start of every piece: all leaves of the block are cut at once, then joined."""
     trees = [leaves(buf, int(a), int(b), leaf_bytes) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if b > a]
     bounds = [x for t in trees for x in _bounds(t)]
     if not bounds:
         return np.zeros(0, np.int64)
     edges = np.array([b[0] for b in bounds] + [len(buf)])
-    cuts = split(buf, edges)
+    cuts = split(buf, edges, kinds)
     by_leaf = np.split(cuts, np.searchsorted(cuts, edges[1:-1]))
     cut = {b[0]: c for b, c in zip(bounds, by_leaf, strict=True)}
-    return np.concatenate([_joined(buf, t, cut)[0] for t in trees])
+    return np.concatenate([_joined(buf, t, cut, kinds)[0] for t in trees])
+
+
+@functools.lru_cache(maxsize=1)
+def library_kinds() -> np.ndarray:
+    """The class of every code point, as the tokenizer library's pattern engine finds them."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, POINTS))))
+    kinds = np.zeros(POINTS, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        finder = tiktoken.Encoding(f"kind-{kind}", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = finder.decode_bytes(finder.encode_ordinary(every)).decode()
+        kinds[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
+    return kinds
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,12 +121,12 @@ def _codec(path: str) -> tuple[tiktoken.Encoding, PieceEncoder]:
 
 
 def _encode(batches, path, leaf_bytes):
-    encoding, encoder = _codec(path)
-    cutter = partial(tree_split, leaf_bytes=leaf_bytes)
+    _, encoder = _codec(path)
+    cutter = partial(tree_split, leaf_bytes=leaf_bytes, kinds=library_kinds())
     for batch in batches:
         rest = [n for n in batch.schema.names if n != "_text"]
         for first, last, buf, offsets in blocks(batch["_text"]):
-            ids, counts = encode_block(buf, offsets, encoder, lambda xs: [encoding.encode_ordinary(x) for x in xs], cutter)
+            ids, counts = encode_block(buf, offsets, encoder, None, cutter)
             ends = np.cumsum(counts, dtype=np.int64) * 4
             packed = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(

@@ -2,9 +2,9 @@
 
 The split pattern of the public rank files cuts a text into pieces that are merged
 each on its own, so a block of texts needs each distinct piece encoded once.
-Texts of ASCII and Latin letters (code points below U+0240, without the four
-control characters U+001C to U+001F) are split here on whole byte arrays; any
-other text is left to the tokenizer library, which splits it itself.
+Texts are split here on whole byte arrays, by a table with the class of every code
+point.  The table ``LATIN`` stops at U+0240 and leaves U+001C to U+001F out, so a
+caller that uses it names a function for texts beyond it (see ``encode_block``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from driftwise.llm.hashing import prefix, span_hash
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CACHE_PIECES = 1_000_000
+CACHE_IDS = 1 << 24
+POINTS = 0x110000
 
 
 def _kind(point: int) -> int:
@@ -28,29 +30,41 @@ def _kind(point: int) -> int:
     return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
 
 
-_ONE = np.array([_kind(i) if i < 128 else OTHER for i in range(256)], dtype=np.uint8)
-_TWO = np.zeros((256, 256), dtype=np.uint8)
-for _p in range(0x80, 0x240):
-    _TWO[tuple(chr(_p).encode())] = _kind(_p)
+LATIN = np.zeros(POINTS, dtype=np.uint8)
+LATIN[:0x240] = [_kind(i) for i in range(0x240)]
 FOREIGN = np.zeros(256, dtype=bool)
 FOREIGN[0xC9:] = True
 FOREIGN[0x1C:0x20] = True
 
 
 def foreign(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts hold a byte that this module leaves to the library."""
+    """Which texts hold a character that ``LATIN`` does not know."""
     marks = np.concatenate([[0], np.cumsum(FOREIGN[buf], dtype=np.int64)])
     return marks[offsets[1:]] > marks[offsets[:-1]]
 
 
-def split(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Start of every piece of the texts laid end to end in ``buf``."""
+def classes(buf: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    kind = kinds[buf]
+    lead = np.flatnonzero(buf >= 0xC2)
+    width = 2 + (buf[lead] >= 0xE0) + (buf[lead] >= 0xF0)
+    for size, bits in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        at = lead[width == size]
+        point = buf[at].astype(np.int32) & bits
+        for i in range(1, size):
+            point = (point << 6) | (buf[at + i] & 0x3F)
+        found = kinds[point]
+        for i in range(size):
+            kind[at + i] = found
+    return kind
+
+
+def split(buf: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = LATIN) -> np.ndarray:
+    """Start of every piece of the texts laid end to end in ``buf``; ``kinds`` is the class of every code point."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _ONE[buf]
-    lead = np.flatnonzero(buf >= 0xC2)
-    kind[lead] = kind[lead + 1] = _TWO[buf[lead], buf[lead + 1]]
+    kind = classes(buf, kinds)
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     new = first[:n].copy()
@@ -63,7 +77,9 @@ def split(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     a, b = runs[space], ends[space]
     led = ~first[b]
     a, b = a[led], b[led]
-    last = b - 1 - ((buf[b - 1] & 0xC0) == 0x80)
+    last = b - 1
+    for _ in range(3):
+        last = last - ((buf[last] & 0xC0) == 0x80)
     start[last] = True
     start[b[buf[last] == 0x20]] = False
     # 's 't 'm 'd 're 've 'll after an apostrophe that starts a piece
@@ -86,8 +102,8 @@ def split(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of pieces.  ``encode_new`` gives the ids of distinct pieces, one after the
     other, and how many each has; they are kept by the piece's 64-bit hash (which
-    includes its length) while there are at most ``CACHE_PIECES``: two of so many
-    pieces share a hash with a chance of about 3e-8."""
+    includes its length) while there are at most ``CACHE_PIECES`` and ``CACHE_IDS`` ids:
+    two of so many pieces share a hash with a chance of about 3e-8."""
 
     def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode_new = encode_new
@@ -120,7 +136,7 @@ class PieceEncoder:
         which[order] = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(keys))))
         pick = order[runs]
         distinct = keys[pick]
-        if len(self.keys) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES or self.used > CACHE_IDS:
             self._forget()
         place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = np.ones(len(distinct), dtype=bool) if not len(self.keys) else self.keys[place] != distinct
@@ -133,9 +149,10 @@ class PieceEncoder:
 
 
 def encode_block(buf: np.ndarray, offsets: np.ndarray, encoder: PieceEncoder,
-                 whole: Callable[[list[str]], list[list[int]]], splitter=split) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a block, and how many each text has."""
-    odd = foreign(buf, offsets)
+                 whole: Callable[[list[str]], list[list[int]]] | None, splitter=split) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block, and how many each text has.  ``whole`` encodes texts beyond ``LATIN``;
+    without it ``splitter`` takes every text."""
+    odd = foreign(buf, offsets) if whole else np.zeros(len(offsets) - 1, dtype=bool)
     if not odd.any():
         return _encode_plain(buf, offsets, encoder, splitter)
     plain = np.flatnonzero(~odd)

@@ -128,12 +128,12 @@ def test_mixture_is_a_probability(spark):
 
 def test_pieces_and_tree_match_the_libraries():
     r = random.Random(1)
-    parts = [*"abestlmdrvABC019  \t\n'!., é\x85×¼-_\r", "'s", "'re", "'ll", "   ", " '", "x" * 20, "日本", "\x1c"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(800)] + [""]
+    parts = [*"abestlmdrvABC019  \t\n'!., é\x85×¼-_\r", "'s", "'re", "'ll", "   ", " '", "x" * 20, "日本", "\x1c", *"жΩéع۳नि한Ⅷ²🙂𝒜\u0301\u200b\ufeff\u3000\u2003\u2028\u1680\u0378", "\u3000 ", " \u2003"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(1500)] + [""]
     encoding, encoder = bpe._codec(public_tokenizers.path(queries.BPE_RANKS))
-    for cutter in (pieces.split, partial(bpe.tree_split, leaf_bytes=8), bpe.tree_split):
-        ids, counts = next((pieces.encode_block(b, o, encoder, lambda xs: [encoding.encode_ordinary(x) for x in xs], cutter))
-                           for _, _, b, o in blocks(pa.array(texts), 1 << 24))
+    kinds = bpe.library_kinds()
+    for cutter in (partial(pieces.split, kinds=kinds), partial(bpe.tree_split, leaf_bytes=8, kinds=kinds), partial(bpe.tree_split, kinds=kinds)):
+        ids, counts = next((pieces.encode_block(b, o, encoder, None, cutter)) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoding.encode_ordinary(t) for t in texts]
     _, encoder, whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))
     ids, counts = next(pieces.encode_block(b, o, encoder, whole) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
