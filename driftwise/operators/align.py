@@ -6,6 +6,7 @@ so Catalyst prunes every column that is not used and pushes it into the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from driftwise.functions.sqltext import quote
 from driftwise.operators.classify import define
 from driftwise.spec import DataDefinition, DatasetSpec
 
-SIDE = "_side"
+SIDE = "_side_of_row"       # reserved: no scored column may have this name
 REF, CUR = 0, 1
 
 
@@ -42,6 +43,7 @@ class Alignment:
     ref: DataFrame
     cur: DataFrame
     spec: DatasetSpec            # roles in current-side names, paired columns only
+    ref_labels: dict[str, str]   # current-side name -> the reference's own label
 
 
 def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
@@ -74,7 +76,7 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
     ref_aligned = ref.selectExpr(*[quote(c) for c in ref_cols]).toDF(*cur_cols)
     spec = DatasetSpec(features=tuple(c for _, c in features), id=c_spec.id if has_id else None,
                        datetimes=tuple(c for _, c in datetimes))
-    return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec)
+    return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec, ref_labels=dict(zip(cur_cols, ref_cols)))
 
 
 def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = True) -> DataDefinition:
@@ -100,9 +102,15 @@ def _scored(definition: DataDefinition) -> list[str]:
             + [f"CAST({quote(c)} AS STRING) AS {quote(c)}" for c in definition.categorical])
 
 
+def check_reserved(names: Iterable[str]) -> None:
+    if SIDE in names:
+        raise ValueError(f"a column may not be named {SIDE}: give it a label")
+
+
 def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> DataFrame:
     """One frame with a ``_side`` column (0 reference, 1 current) holding only
     the scored columns, cast to one type per kind.  ``UNION ALL``: no shuffle."""
+    check_reserved((*definition.numerical, *definition.categorical))
     left = ref.selectExpr(f"CAST({REF} AS TINYINT) AS {SIDE}", *_scored(definition))
     right = cur.selectExpr(f"CAST({CUR} AS TINYINT) AS {SIDE}", *_scored(definition))
     return left.unionByName(right)
@@ -111,9 +119,21 @@ def pair_frames(ref: DataFrame, cur: DataFrame, definition: DataDefinition) -> D
 def pair_selected(sided: DataFrame, definition: DataDefinition) -> DataFrame:
     """Keep ``_side`` and the scored columns of a frame that already has a
     side column, cast to one type per kind."""
+    check_reserved((*definition.numerical, *definition.categorical))
     return sided.selectExpr(SIDE, *_scored(definition))
 
 
+def pair_columns(df: DataFrame, definition: DataDefinition, ref_of: dict[str, str], cur_of: dict[str, str]) -> DataFrame:
+    """Both sides of a combined table in one scan: every row gives a reference
+    row and a current row.  ``ref_of`` and ``cur_of`` give each scored
+    column's physical name on either side."""
+    check_reserved((*definition.numerical, *definition.categorical))
+    typed = [(c, "DOUBLE") for c in definition.numerical] + [(c, "STRING") for c in definition.categorical]
+    sides = [", ".join([f"CAST({side} AS TINYINT)", *[f"CAST({quote(of[c])} AS {kind})" for c, kind in typed]])
+             for side, of in ((REF, ref_of), (CUR, cur_of))]
+    return df.selectExpr(f"stack(2, {', '.join(sides)}) AS ({', '.join([SIDE, *[quote(c) for c, _ in typed]])})")
+
+
 def pair_by_condition(df: DataFrame, current_when: Column, definition: DataDefinition) -> DataFrame:
     """Split one table by rows: ``current_when`` true -> current, false ->
     reference, null -> neither.  One scan instead of two."""

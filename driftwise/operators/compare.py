@@ -12,6 +12,8 @@ from driftwise.operators.align import (
     REF,
     SIDE,
     ColumnGroups,
+    check_reserved,
+    pair_columns,
     pair_selected,
     prepare_pair,
     project_side,
@@ -54,12 +56,13 @@ def compare_groups(df: DataFrame, groups: ColumnGroups, *, strict: bool = True,
                    threshold: float = COLUMN_THRESHOLD, share: float = DATASET_SHARE) -> DriftReport:
     """Drift between two column groups of one table (the combined-table form).
 
-    The two projections read disjoint columns of the same scan, so column
-    pruning keeps the total bytes read equal to one pass.
+    Both sides come from the same scan (see :func:`pair_columns`).
     """
     require_contract(df, groups.assignment(), DRIFT_GROUPS)
     ref, cur, ref_spec, cur_spec = split_groups(df, groups)
-    paired, definition, _ = prepare_pair(ref, cur, ref_spec, cur_spec, strict, datetime_format)
+    _, definition, aligned = prepare_pair(ref, cur, ref_spec, cur_spec, strict, datetime_format)
+    ref_names, cur_names = ({spec.label(c): c for c in spec.columns()} for spec in (ref_spec, cur_spec))
+    paired = pair_columns(df, definition, {c: ref_names[r] for c, r in aligned.ref_labels.items()}, cur_names)
     return drift_report(paired, definition, threshold, share)
 
 
@@ -70,8 +73,9 @@ def compare_split(df: DataFrame, spec: DatasetSpec, current_when: Column, *,
     true (current) of one table, in a single scan.  Rows where it is null
     belong to neither side.  Columns carry their labels in the result."""
     labelled = spec.labelled()
+    check_reserved(labelled.columns())
     side = F.when(current_when, F.lit(CUR)).otherwise(F.lit(REF)).cast("tinyint")
-    base = (df.where(current_when.isNotNull()).withColumn(SIDE, side)
-              .selectExpr(SIDE, *[f"{quote(c)} AS {quote(spec.label(c))}" for c in spec.columns()]))
+    base = (df.where(current_when.isNotNull())
+              .select(side.alias(SIDE), *[F.col(quote(c)).alias(spec.label(c)) for c in spec.columns()]))
     _, definition = define(base.drop(SIDE), labelled.id, labelled.datetimes, datetime_format)
     return drift_report(pair_selected(base, definition), definition, threshold, share)

@@ -96,12 +96,11 @@ def _markers(paired: DataFrame, definition: DataDefinition) -> DataFrame:
                         "CAST(NULL AS INT) AS k"))
 
 
-# Scored columns are processed in chunks of this many.  Each chunk's
-# statistics aggregate, ``stack`` and counting aggregate stay small enough
-# for whole-stage code generation (wider expressions fall back to
-# interpreted evaluation, several times slower per row), and each chunk's
-# scan reads only its own columns, so chunking costs no extra bytes read.
-CHUNK_COLUMNS = 16
+# Scored columns are processed in chunks of this many: four aggregates a column
+# have to stay below the 100 fields up to which Spark generates code (wider
+# aggregates are evaluated several times slower per row).  On Parquet each
+# chunk's scan reads only its own columns.
+CHUNK_COLUMNS = 24
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -128,38 +127,24 @@ def _chunks(definition: DataDefinition) -> list[tuple[int, list[tuple[str, str]]
 
 
 def _chunk_stats(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
-    """``cid, lo, hi, nr, nc, k`` for the columns ``first, first + 1, ...``.
+    """``cid, lo, hi, nr, nc, k`` for the numerical columns ``first, first + 1, ...``:
+    range and per-side count of usable values, number of equal-width bins.
 
     One global aggregate over the chunk's columns, written as SQL text: one
     call to the JVM per step instead of several per column.
     """
     aggs, rows = [], []
-    for i, (c, kind) in enumerate(cols, start=first):
-        if kind == "numerical":
-            v = _usable_sql(c)
-            aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}"]
-            lo, hi = f"lo{i}", f"hi{i}"
-        else:
-            v = ident(c)
-            lo = hi = "CAST(NULL AS DOUBLE)"
-        aggs += [f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
+    for i, (c, _) in enumerate(cols, start=first):
+        v = _usable_sql(c)
+        aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}",
+                 f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
                  f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
         k = _sturges_sql(f"(nr{i} + nc{i})")
-        rows.append(f"named_struct('cid', {i}, 'lo', {lo}, 'hi', {hi}, 'nr', nr{i}, 'nc', nc{i}, 'k', {k})")
+        rows.append(f"named_struct('cid', {i}, 'lo', lo{i}, 'hi', hi{i}, 'nr', nr{i}, 'nc', nc{i}, 'k', {k})")
     wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def column_stats(paired: DataFrame, definition: DataDefinition) -> DataFrame:
-    """One row per scored column: ``cid, lo, hi, nr, nc, k`` (column id,
-    range and per-side count of usable values; ``k`` is the number of
-    equal-width bins, see :func:`sturges_bins`)."""
-    chunks = _chunks(definition)
-    if not chunks:
-        raise ValueError("nothing to score: no numerical or categorical column")
-    return union_all([_chunk_stats(paired, first, cols) for first, cols in chunks])
-
-
 # Equal-width bin of v over [lo, hi] in k bins, the top edge in the last bin.
 # When the range itself overflows (hi - lo = infinity, values near the double
 # limits) the operands are halved first, which is exact in binary floating
@@ -194,24 +179,18 @@ def _categorical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str
                              "CAST(NULL AS INT) AS k")
 
 
-def _chunk_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]],
-                  totals: bool = True) -> DataFrame:
-    if all(kind == "categorical" for _, kind in cols):
-        return _categorical_counts(paired, first, cols, totals)
+def _numerical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
     stats = _chunk_stats(paired, first, cols)
-    cells = []
-    for i, (c, kind) in enumerate(cols, start=first):
-        if kind == "numerical":
-            cells.append(f"{i}, {_usable_sql(c)}, CAST(NULL AS STRING)")
-        else:
-            cells.append(f"{i}, CAST(NULL AS DOUBLE), CAST({ident(c)} AS STRING)")
-    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, v, value)")
+    cells = [f"{i}, {_usable_sql(c)}" for i, (c, _) in enumerate(cols, start=first)]
+    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, v)")
     joined = long.join(F.broadcast(stats), "cid")
-    return (joined.groupBy("cid", F.expr(_BIN_SQL).alias("bin"), "value")
-                  .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
-                       F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count"),
-                       F.max("nr").alias("nr"), F.max("nc").alias("nc"),
-                       F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("k").alias("k")))
+    counts = (joined.groupBy("cid", F.expr(_BIN_SQL).alias("bin"))
+                    .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
+                         F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count"),
+                         F.max("nr").alias("nr"), F.max("nc").alias("nc"),
+                         F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("k").alias("k")))
+    return counts.selectExpr("cid", "bin", "CAST(NULL AS STRING) AS value", "ref_count", "cur_count",
+                             "nr", "nc", "lo", "hi", "k")
 
 
 def bin_counts(paired: DataFrame, definition: DataDefinition, totals: bool = True) -> DataFrame:
@@ -223,9 +202,9 @@ def bin_counts(paired: DataFrame, definition: DataDefinition, totals: bool = Tru
     infinity).  Without ``totals`` the categorical ``nr`` / ``nc`` stay null.
 
     Per chunk of numerical columns, each row becomes one row per column (``stack``:
-    an int column id, the usable double and the text value), is joined on
+    an int column id and the usable double), is joined on
     the id with the chunk's statistics (broadcast; one row per column) and
-    counted per ``(cid, bin, value)``.  The per-column constants ride along
+    counted per ``(cid, bin)``.  The per-column constants ride along
     as ``max`` aggregates instead of widening the grouping key.  Equal-width
     bins over [lo, hi]; the top edge belongs to the last bin.  Categorical
     chunks are counted in one pass (see :func:`_categorical_counts`).
@@ -233,7 +212,8 @@ def bin_counts(paired: DataFrame, definition: DataDefinition, totals: bool = Tru
     chunks = _chunks(definition)
     if not chunks:
         raise ValueError("nothing to score: no numerical or categorical column")
-    return union_all([_chunk_counts(paired, first, cols, totals) for first, cols in chunks])
+    return union_all([_numerical_counts(paired, first, cols) if cols[0][1] == "numerical"
+                      else _categorical_counts(paired, first, cols, totals) for first, cols in chunks])
 
 
 def _lookup(definition: DataDefinition, which: int, cid: str = "cid") -> Column:

@@ -163,11 +163,11 @@ def test_numeric_bins_and_category_counts(spark):
 
 
 def test_many_columns_span_chunks(spark):
-    """40 columns -> several chunks; every column equals its brute-force PSI."""
+    """150 columns -> several chunks; every column equals its brute-force PSI."""
     import random
     from driftwise.operators.drift import CHUNK_COLUMNS
     rnd = random.Random(5)
-    n_num, n_cat, rows_per_side = 25, 15, 60
+    n_num, n_cat, rows_per_side = 80, 70, 60
     assert n_num + n_cat > 2 * CHUNK_COLUMNS
     num = [f"x{i}" for i in range(n_num)]
     cat = [f"s{i}" for i in range(n_cat)]
@@ -241,3 +241,20 @@ def test_compare_frames_end_to_end_property(spark, data):
         else:
             assert got[n].psi == pytest.approx(psi, abs=1e-7), n
             assert got[n].bins == bins, n
+
+
+def test_groups_share_one_scan_a_pass(spark):
+    """Both sides of a combined table come from one scan: one for the ranges, one for the bins."""
+    from driftwise import ColumnGroups, compare_groups
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = compare_groups(df, ColumnGroups(new_features=("l_quantity", "l_tax"), ref_features=("l_discount", "l_extendedprice"))).columns
+    plan = cols._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_side_column_name(spark):
+    from driftwise import DatasetSpec, compare_split
+    df = spark.createDataFrame([(float(i), i) for i in range(20)], "_side double, k int")
+    assert one(compare_split(df, DatasetSpec(features=("_side",)), F.col("k") >= 10).columns).ref_count == 10
+    with pytest.raises(ValueError, match="label"):
+        compare_split(df.withColumnRenamed("_side", SIDE), DatasetSpec(features=(SIDE,)), F.col("k") >= 10)
