@@ -19,7 +19,8 @@ is at most ``1 - percent / 100``.  Documents with the same set are one point.
    and what is not connected by that goes to the Voronoi cell of its nearest pivot,
    with every point inside the cell's triangle-inequality window (nearest distance
    plus twice the limit, and the limit around the cell's own distances).  Cells are
-   divided likewise, ``depth`` times; what then is still large is compared in pairs
+   divided likewise, ``depth`` times, each with one connected set that is not compared
+   within itself; what then is still large is compared in pairs
    of bounded chunks, so no task holds more than a bounded number of sets.
 4. A leaf compares each point with those that the triangle inequality leaves, until
    all are connected; it emits one edge a point, never all pairs.  Components of the
@@ -283,20 +284,28 @@ def _pivoted(batches):
 
 
 def _main(pdf):
-    """The pivots (as bits) that are connected with those most points link to."""
-    masks, counts = pdf["mask"].to_numpy(), pdf["count"].to_numpy()
-    best, most = 0, -1
+    """What a cell leaves out of the comparisons: one set of connected points, the largest.
+    Either the set that was connected before (``kept``) with the pivots (as bits) that its
+    points link to, or a group of pivots alone; nothing connects one with the other, so the
+    points of the sets not taken are compared."""
+    masks, counts, held = pdf["mask"].to_numpy(), pdf["count"].to_numpy(), pdf["held"].to_numpy()
     left = set(masks[masks > 0].tolist())
-    while left:
-        group = left.pop()
+
+    def closed(group):
         while more := [m for m in left if m & group]:
             for m in more:
                 group |= m
                 left.discard(m)
+        return group
+
+    best = closed(int(np.bitwise_or.reduce(masks[held]))) if held.any() else 0
+    most, kept = counts[held | ((masks & best) > 0)].sum(), True
+    while left:
+        group = closed(left.pop())
         size = counts[(masks & group) > 0].sum()
         if size > most:
-            best, most = group, size
-    return pdf.iloc[:1][["region"]].assign(main=best)
+            best, most, kept = group, size, False
+    return pdf.iloc[:1][["region"]].assign(main=best, kept=kept)
 
 
 def divide(big: DataFrame, points: DataFrame, percent: int, leaf_points: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -315,10 +324,11 @@ def divide(big: DataFrame, points: DataFrame, percent: int, leaf_points: int, pi
                                         "region long, p long, kind int, dist array<double>, mask int, pivots array<long>"), "distances")
     edges = (far.where("mask != 0").select("p", F.posexplode("pivots").alias("j", "q"), "mask")
              .where("(shiftright(mask, j) & 1) = 1 AND p != q").select(F.col("p").alias("u"), F.col("q").alias("v")))
-    main = far.groupBy("region", "mask").count().groupBy("region").applyInPandas(_main, "region long, main int")
-    seen = (far.join(main, "region").withColumn("joined", (F.col("mask").bitwiseAND(F.col("main")) != 0) | (F.col("kind") == 2))
+    main = (far.groupBy("region", "mask", (F.col("kind") == 2).alias("held")).count()
+            .groupBy("region").applyInPandas(_main, "region long, main int, kept boolean"))
+    seen = (far.join(main, "region").withColumn("joined", (F.col("mask").bitwiseAND(F.col("main")) != 0) | (F.col("kept") & (F.col("kind") == 2)))
             .withColumn("least", F.array_min("dist")).withColumn("home", (F.array_position("dist", F.col("least")) - 1).cast("int")))
-    active = seen.where("NOT joined AND kind = 1")
+    active = seen.where("NOT joined AND kind > 0")
     cells = active.groupBy("region", "home").agg(F.min("least").alias("lo"), F.max("least").alias("hi"))
     window = (seen.select("region", "p", "kind", "joined", "least", "home", F.posexplode("dist").alias("j", "d"))
               .where(F.col("d") <= F.col("least") + 2 * limit + 1e-9)
