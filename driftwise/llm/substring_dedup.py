@@ -177,10 +177,11 @@ def _send_runs(batches, bits, shards, length):
         start, end = start[hit], end[hit]
         if not len(start):
             continue
-        # a smallest rank that comes back at once: places within the run may be equal
+        # a smallest rank that comes back at once (every place of the run sees one, so after at most
+        # ``width``): places within the run may be equal
         place = np.flatnonzero(_smallest(half, least, width))
         back = np.zeros(len(half) + 1, np.int64)
-        back[place[1:][(half[place[1:]] == half[place[:-1]]) & (np.diff(place) < width)] + 1] = 1
+        back[place[1:][(half[place[1:]] == half[place[:-1]]) & (np.diff(place) <= width)] + 1] = 1
         back = np.cumsum(back)
         again = back[np.minimum(end + width - 1, len(half))] > back[start]
         sizes = (end - start).astype(np.uint32) | np.where(again, _AGAIN, np.uint32(0))

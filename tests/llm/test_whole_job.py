@@ -1,10 +1,11 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import hashlib
 import random
 
 import pytest
 
-from driftwise.llm import jaccard_join
+from driftwise.llm import jaccard_join, substring_dedup
 from tests.llm import brute
 
 
@@ -34,3 +35,20 @@ def test_families_in_divided_cells(spark, seed, shift):
     docs = list(enumerate(texts))
     got = {x.doc_id: x.component_id for x in jaccard_join.join(_docs(spark, docs), leaf_points=3, pivots=2, depth=3).collect()}
     assert got == {i: c for i, (_, c) in brute.components(docs).items()}
+
+
+def test_substrings_of_every_period(spark):
+    """Periodic texts, alone and as copies: each unit has letters of its own, so periods do not meet."""
+    r = random.Random(4)
+    docs = []
+    for period in range(1, 111):
+        unit = "".join(chr(r.randrange(0x100, 0x800)) if k % 2 and period % 2 == 0 else r.choice("abcdefghijklmnopqrstuvwxyz") for k in range(period))
+        size = 4 * period + 200
+        alone = (unit * (size // period + 1))[:size]
+        twin = (unit[::-1].upper() * (size // period + 1))[:size]
+        docs += [(3 * period, alone), (3 * period + 1, twin), (3 * period + 2, twin)]
+    docs += [(1000, "".join(r.choice("0123456789") for _ in range(50)).join(["", *["\n"] * 40, ""]))]
+    got = substring_dedup.dedup_substrings(_docs(spark, docs)).collect()
+    want = brute.substrings(docs)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got} == want
+    assert want[1000][1] > 0
