@@ -9,10 +9,12 @@ columns; after each block the hypothesis that a candidate is among the best is
 tested, and candidates whose partial distance is too large for the current k-th
 best are left.  What remains is scored by the exact cosine of the original vectors.
 
-Equal vectors: of each distinct vector only the ``k + 1`` smallest ids can be in
-any answer (ties go to the smaller id and a query leaves out only itself), so the
-rest are not searched, and queries with equal vectors are searched once.  Lists
-longer than ``LIST_ROWS`` are split, and so are their queries.
+Equal vectors: of each distinct vector only the ``k + 1`` smallest distinct ids, and
+``k`` rows of each, can be in any answer (ties go to the smaller id and a query leaves
+out all rows of its own id and no others), so the rest are not searched, and queries
+with equal vectors are searched once.  The best rows of a query are cut alike: ``k + 1``
+distinct ids, ``k`` rows of each.  Lists longer than ``LIST_ROWS`` are split, and so
+are their queries.
 
 Defined cases: rows whose id or vector is null, whose vector is zero, holds a null
 or non-finite component, or has another length than most, take no part; rows of one
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Lean, stored
+from driftwise.llm.common import Lean, partitions, stored
 
 FIT_ROWS = 8192
 PROBE_SHARE = 0.7
@@ -85,10 +87,10 @@ def _deal(batches, model, probes):
             names=["id", "vec", "turned", "cell"])
 
 
-def scan(queries: np.ndarray, block: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, candidate row) that the tests did not abandon."""
+def scan(queries: np.ndarray, block: np.ndarray, k: int, lead: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query row, candidate row) that the tests did not abandon; the first
+    ``lead`` rows are of different ids, and the k-th best of them is the limit."""
     n, dims = block.shape
-    lead = min(n, 4 * k)
     first = ((queries[:, None, :] - block[None, :lead, :]) ** 2).sum(axis=2)
     best = np.partition(first, k - 1, axis=1)[:, k - 1] if lead >= k else np.full(len(queries), np.inf)
     q, c = np.indices((len(queries), n - lead)).reshape(2, -1)
@@ -109,22 +111,38 @@ def scan(queries: np.ndarray, block: np.ndarray, k: int, epsilon: float = EPSILO
     return np.concatenate([lq, q]), np.concatenate([lc, c])
 
 
+def _within(q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each query's rows, best first, those of the first ``k + 1`` ids, ``k`` rows of each."""
+    order = np.lexsort((ids, q))  # stable: the rows of an id stay best first
+    fresh = np.ones(len(q), dtype=bool)
+    fresh[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    head = np.flatnonzero(fresh)
+    turn = np.empty(len(q), np.int64)
+    turn[order] = np.arange(len(q)) - head[np.cumsum(fresh) - 1] if len(q) else 0
+    names = np.concatenate([[0], np.cumsum(turn == 0)])  # ids that appeared before each row
+    so_far = names[1:] - names[np.searchsorted(q, q, "left")]
+    return (so_far <= k + 1) & (turn < k)
+
+
 def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(candidates) and len(queries):
         block = np.frombuffer(b"".join(candidates["turned"]), np.float32).reshape(len(candidates), -1)
         asked = np.frombuffer(b"".join(queries["turned"]), np.float32).reshape(len(queries), -1)
+        first = np.sort(np.unique(candidates["id"].to_numpy(), return_index=True)[1])[:4 * (k + 1)]
+        order = np.concatenate([first, np.setdiff1d(np.arange(len(candidates)), first)])
+        candidates, block = candidates.iloc[order], block[order]
         ids, names = candidates["id"].to_numpy(), queries["id"].to_numpy()
         exact, vecs = np.stack(candidates["vec"].to_numpy()), np.stack(queries["vec"].to_numpy())
         norms, own = np.linalg.norm(exact, axis=1), np.linalg.norm(vecs, axis=1)
         step = max(1, (1 << 20) // len(block))
         for at in range(0, len(asked), step):
-            q, c = scan(asked[at:at + step], block, k)
+            q, c = scan(asked[at:at + step], block, k + 1, len(first))
             q = q + at
             score = np.einsum("ij,ij->i", vecs[q], exact[c]) / (own[q] * norms[c])
             order = np.lexsort((ids[c], -score, q))
             q, c, score = q[order], c[order], score[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+            keep = _within(q, ids[c], k)
             out.append(pd.DataFrame({"query": names[q[keep]], "id": ids[c[keep]], "score": score[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
@@ -145,7 +163,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors``: query_id, rank, id, score."""
     spark = vectors.sparkSession
     same = Window.partitionBy("h1", "h2").orderBy("id")
-    base = valid(vectors, id_col, vec_col).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
+    base = (valid(vectors, id_col, vec_col).groupBy("h1", "h2", "id").agg(F.first("vec").alias("vec"), F.least(F.count("*"), F.lit(k)).alias("times"))
+            .withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+            .select("id", "vec", "h1", "h2", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("n")).drop("n"))
     base = stored(base, "neighbour-base")
     asked = valid(queries, id_col, vec_col)
     sample = base.groupBy("h1", "h2").agg(F.min_by("vec", "id").alias("vec")).orderBy("h1", "h2").limit(fit_rows).select("vec").collect()
@@ -171,9 +191,12 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "turns"))
     keys = ["cell", "part", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda a, b: _search(a, b, k + 1), "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+        lambda a, b: _search(a, b, k), "query long, id long, score double")
+    alike = Window.partitionBy("query", "id").orderBy(F.desc("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "n")
+    top = (found.repartition(partitions(spark), "query").withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k)
+           .withColumn("ids", F.sum((F.col("n") == 1).cast("int")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+           .where(F.col("ids") <= k + 1).drop("n", "ids"))
     heads = once.select("h1", "h2", F.col("id").alias("query"))
     answers = top.join(heads, "query").select("h1", "h2", "id", "score")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from driftwise.llm import jaccard_join, substring_dedup
+from driftwise.llm import jaccard_join, neighbours, substring_dedup
 from tests.llm import brute
 
 
@@ -52,3 +53,20 @@ def test_substrings_of_every_period(spark):
     want = brute.substrings(docs)
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got} == want
     assert want[1000][1] > 0
+
+
+@pytest.mark.parametrize("times", [2, 7])
+def test_neighbours_of_repeated_rows(spark, times):
+    """Each row stands several times, and one id holds many near vectors."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((60, 8)).astype(np.float32)
+    near = x[0] + r.standard_normal((12, 8)).astype(np.float32) / 100
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * times + [(0, v.tolist()) for v in near]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 60, 6)], frame.schema)
+    for row in neighbours.search(frame, asked, lists=4, probe_share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.score)
+    ids, vecs = np.array([i for i, _ in rows]), neighbours.unit(np.array([v for _, v in rows]))
+    for q in range(0, 60, 6):
+        assert got[q] == pytest.approx(np.sort((vecs @ neighbours.unit(x[q:q + 1])[0])[ids != q])[::-1][:5], abs=1e-6)
