@@ -328,7 +328,7 @@ def _answer(batches, model):
             add = lambda x, i, t: np.bincount(x[0], weights=x[i], minlength=size).astype(t) if x is not None else np.zeros(size, t)
             touched = np.flatnonzero(sum(np.bincount(x[0], minlength=size) for x in (rare, pairs) if x is not None))
             yield _row(_ANSWER, block=block, docs=touched.astype(np.uint16).tobytes(), rare=add(rare, 1, np.float64)[touched].tobytes(),
-                       pairs=add(pairs, 1, np.float64)[touched].astype(np.float32).tobytes(), known=add(rare, 2, np.uint16)[touched].tobytes())
+                       pairs=add(pairs, 1, np.float64)[touched].astype(np.float32).tobytes(), known=add(rare, 2, np.int64)[touched].tobytes())
         for r in rows:
             if r["kind"] == HEAD:
                 yield _row(_ANSWER, **{n: r.get(n) for n in _ANSWER if n not in ("docs", "rare", "pairs")})
@@ -345,7 +345,7 @@ def _total(batches, model):
                 at = np.frombuffer(r["docs"], np.uint16)
                 rare[at] += np.frombuffer(r["rare"], np.float64)
                 pairs[at] += np.frombuffer(r["pairs"], np.float32)
-                known[at] += np.frombuffer(r["known"], np.uint16)
+                known[at] += np.frombuffer(r["known"], np.int64)
         of_rare = model.counts[model.rare] + ALPHA * (model.types - len(model.keys) + 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(head["ids"], pa.int64()), pa.array(n), pa.array(np.where(model.total > 0, known, 0)),

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from driftwise.llm import jaccard_join, neighbours, substring_dedup
+from driftwise.llm import jaccard_join, language_model, neighbours, substring_dedup
 from tests.llm import brute
 
 
@@ -70,3 +71,10 @@ def test_neighbours_of_repeated_rows(spark, times):
     ids, vecs = np.array([i for i, _ in rows]), neighbours.unit(np.array([v for _, v in rows]))
     for q in range(0, 60, 6):
         assert got[q] == pytest.approx(np.sort((vecs @ neighbours.unit(x[q:q + 1])[0])[ids != q])[::-1][:5], abs=1e-6)
+
+
+def test_known_words_of_a_long_text(spark):
+    """More words outside the vocabulary in one text and shard than 16 bits count."""
+    frame = _docs(spark, [(1, " ".join(map(str, range(600_000))))])
+    row = language_model.score_corpus(frame, F.lit(2), size=5).first()
+    assert (row.n_tokens, row.n_known) == (600_001, 600_001)
