@@ -1,9 +1,8 @@
 """Language-model scoring by deleted interpolation.
 
 Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one
-end.  The ``VOCABULARY`` most frequent training tokens are classes of their own and
-all others share one; given its class, such a rare word has a probability by its own
-smoothed count.  The class of a token is predicted by
+end.  Every training word is a class of its own, and all words that training does not
+know share one.  The class of a token is predicted by
 
     w2(b) * c(u, v) / c(u)  +  w1(b) * c(v) / N  +  w0(b) / classes
 
@@ -12,12 +11,16 @@ from counts of all training texts; ``b`` is the frequency bucket of the context
 by expectation-maximisation: counts are taken from one part of the training texts
 and the likelihood is that of the pair counts of the other, held-out part.
 
-Every count is exact and over all training texts.  What tasks exchange are packed
-arrays: a block of texts sends each of its distinct words or pairs once to the shard
-of its hash, with the texts that hold it; the shard adds up the counts, looks the
-probabilities up and returns one partial sum per text.  A word that every text holds
-so costs one entry a block.  Only the vocabulary (a fixed number of entries) and the
-histogram for the mixture weights (a fixed number of cells) pass the driver.
+Every count is exact and over all training texts.  The ``VOCABULARY`` most frequent
+words are numbered and all tasks know their counts, which makes what is exchanged
+small and changes no result.  What tasks exchange are packed arrays: a block of texts
+sends each of its distinct pairs once to the shard of its hash, with the texts that
+hold it; the shard adds up the counts, looks the probabilities up and returns one
+partial sum per text.  Other words, and the pairs that hold one, go under 64-bit hashes
+and their counts come back to the block, which knows where they stand.  A word that
+every text holds so costs one entry a block.  Only the vocabulary (a fixed number of
+entries) and the histogram for the mixture weights (a fixed number of cells) pass the
+driver.
 
 Defined cases: a null or empty text is one end; a null id never trains; repeated rows
 are scored each; without training texts every class is equally likely and no token is
@@ -41,7 +44,9 @@ ALPHA = 0.1
 CELLS = 40
 _U = np.uint64
 END = mix(np.array([0xE0D], dtype=_U))[0]
-UNIGRAMS, PAIRS, HEAD = 0, 1, 2
+START = mix(np.array([0x57A], dtype=_U))[0]
+WORDS, PAIRS, HEAD, OPEN, CELL = range(5)
+OUTSIDE = 1 << 16  # from here on, places among a block's words outside the vocabulary
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +144,26 @@ class Model:
     def parts(self, pairs: np.ndarray, together: np.ndarray, fit_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucket of the context, and the pair and single estimates."""
         counts = self.counts - self.apart if fit_only else self.counts
+        return self.estimates(counts[pairs >> np.uint32(16)], counts[pairs & np.uint32(0xFFFF)], together, fit_only)
+
+    def estimates(self, context: np.ndarray, single: np.ndarray, together: np.ndarray, fit_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = self.total - self.total_apart if fit_only else self.total
-        u, v = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-        context = counts[u]
         bucket = np.floor(np.log2(context + 1)).astype(np.int64)
-        return bucket, together / np.maximum(context, 1), counts[v] / max(total, 1)
+        return bucket, together / np.maximum(context, 1), single / max(total, 1)
 
-    def log10(self, pairs: np.ndarray, together: np.ndarray) -> np.ndarray:
-        bucket, pair, single = self.parts(pairs, together, fit_only=False)
+    def mixed(self, bucket: np.ndarray, pair: np.ndarray, single: np.ndarray) -> np.ndarray:
         w = self.weights[bucket]
-        return np.log10(w[:, 0] / (self.rare + 1) + w[:, 1] * single + w[:, 2] * pair)
+        return np.log10(w[:, 0] / (self.types + 1) + w[:, 1] * single + w[:, 2] * pair)
+
+    def log10(self, pairs: np.ndarray, together: np.ndarray) -> np.ndarray:
+        return self.mixed(*self.parts(pairs, together, fit_only=False))
+
+    def known(self, codes: np.ndarray, words: np.ndarray, fit_only: bool) -> np.ndarray:
+        """Counts of classes, and of the block's ``words`` outside the vocabulary (from ``OUTSIDE`` on)."""
+        counts = self.counts - self.apart if fit_only else self.counts
+        out = counts[np.where(codes < OUTSIDE, codes, 0)]
+        out[codes >= OUTSIDE] = words[codes[codes >= OUTSIDE] - OUTSIDE]
+        return out
 
 
 def vocabulary(texts: DataFrame, size: int) -> Model:
@@ -173,40 +188,154 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(keys) >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
+def _distinct(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by shard, where each shard's start, and the place of every key among them."""
+    names, inverse = np.unique(keys, return_inverse=True)
+    which = _shard_of(names, shards)
+    order = np.argsort(which, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    return names[order], np.searchsorted(which[order], np.arange(shards + 1)), place[inverse]
+
+
+def _outside(model: Model, found: np.ndarray, starts: np.ndarray, pairs: np.ndarray):
+    """Where words outside the vocabulary stand, where pairs that hold one end, and the hashes of those pairs."""
+    rare = (pairs & np.uint32(0xFFFF)) == model.rare
+    open_ = rare | ((pairs >> np.uint32(16)) == model.rare)
+    before = np.empty_like(found)
+    before[1:] = found[:-1]
+    before[starts[:-1]] = START
+    return rare, open_, mix(mix(before[open_]) + found[open_])
+
+
+def _codes(pairs: np.ndarray, rare_class: int, rare: np.ndarray, open_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and token of the open pairs: classes, or places among the words outside the vocabulary."""
+    own = pairs & np.uint32(0xFFFF)
+    own[rare] = OUTSIDE + place
+    at = np.flatnonzero(open_)
+    context = pairs[at] >> np.uint32(16)
+    outside = context == rare_class
+    context[outside] = own[at[outside] - 1]
+    return context, own[at]
+
+
+TRAINED = "block long, shard int, kind int, keys binary, counts binary, apart binary, u binary, v binary"
+_TRAINED = [x.split()[0] for x in TRAINED.split(", ")]
+
+
+def _rows_of(names, block, kind, at, **columns):
+    """One row a shard of arrays in the order of the shards."""
+    for i in np.flatnonzero(np.diff(at)).tolist():
+        yield _row(names, block=block, shard=i, kind=kind, **{n: x[at[i]:at[i + 1]].tobytes() for n, x in columns.items()})
+
+
 def _send_pairs(batches, model, shards):
+    model, ids = model.value, block_ids()
     for found, starts, columns in _gathered(batches, ["part"]):
-        pairs = model.value.pairs(found, starts)
+        block = next(ids)
+        pairs = model.pairs(found, starts)
         apart = np.repeat(columns["part"].to_numpy(), np.diff(starts)) == 1
-        order = np.argsort(pairs)
-        keys = pairs[order]
-        runs = run_starts(keys)
-        held = np.add.reduceat(apart[order].astype(np.int64), runs)
-        fit = np.diff(np.append(runs, len(keys))) - held
-        keys = keys[runs]
-        which = _shard_of(keys.astype(_U), shards)
-        order = np.argsort(which, kind="stable")
-        at = np.searchsorted(which[order], np.arange(shards + 1))
-        some = np.flatnonzero(np.diff(at)).tolist()
-        cut = lambda x: pa.array([x[order[at[s]:at[s + 1]]].astype(np.uint32).tobytes() for s in some], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(keys), cut(fit), cut(held)], names=["shard", "keys", "counts", "apart"])
+        rare, open_, hashes = _outside(model, found, starts, pairs)
+        both = lambda place, n, held: (np.bincount(place, weights=w, minlength=n).astype(np.uint32) for w in (~held, held))
+        keys, at, place = _distinct(pairs[~open_].astype(_U), shards)
+        fit, held = both(place, len(keys), apart[~open_])
+        yield from _rows_of(_TRAINED, block, PAIRS, at, keys=keys.astype(np.uint32), counts=fit, apart=held)
+        if not open_.any():
+            continue
+        keys, at, place = _distinct(hashes, shards)
+        fit, held = both(place, len(keys), apart[open_])
+        yield from _rows_of(_TRAINED, block, OPEN, at, keys=keys, counts=fit, apart=held)
+        keys, at, word = _distinct(found[rare], shards)
+        u, v = _codes(pairs, model.rare, rare, open_, word)
+        first = np.empty(len(held), np.int64)
+        first[place] = np.arange(len(place))
+        u, v = u[first[held > 0]], v[first[held > 0]]
+        # of the words, only those in held-out pairs are answered
+        asked = np.zeros(len(keys), bool)
+        for codes in (u, v):
+            asked[codes[codes >= OUTSIDE] - OUTSIDE] = True
+        among = np.cumsum(asked) - 1
+        for codes in (u, v):
+            codes[codes >= OUTSIDE] = OUTSIDE + among[codes[codes >= OUTSIDE] - OUTSIDE]
+        fit, _ = both(word, len(keys), apart[rare])
+        yield from _rows_of(_TRAINED, block, WORDS, at, keys=keys, counts=fit, apart=asked.astype(np.uint32))
+        if len(u):
+            yield _row(_TRAINED, block=block, shard=block % shards, kind=HEAD, u=u.tobytes(), v=v.tobytes(), apart=held[held > 0].tobytes())
+
+
+def _told(rows, kind):
+    """For each row of the kind, its keys' counts over all blocks."""
+    rows = [r for r in rows if r["kind"] == kind]
+    if not rows:
+        return
+    keys = [np.frombuffer(r["keys"], _U) for r in rows]
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    at = run_starts(every[order])
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32).astype(np.int64)
+    per = np.empty(len(every), np.int64)
+    per[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(every))))
+    yield from zip(rows, np.split(per, np.cumsum([len(k) for k in keys])[:-1]), strict=True)
+
+
+CELL_NAMES = ("cell", "bucket", "n", "pair", "single")
+
+
+def _cells(held, bucket, pair, single) -> dict[str, np.ndarray]:
+    grid = lambda p: np.where(p > 0, np.clip(CELLS + 4 * np.log2(np.maximum(p, 1e-30)), 1, CELLS) // 1, 0).astype(np.int64)
+    cell = (bucket * (CELLS + 1) + grid(pair)) * (CELLS + 1) + grid(single)
+    names, inverse = np.unique(cell, return_inverse=True)
+    add = lambda x: np.bincount(inverse, weights=x, minlength=len(names)).astype(np.float64)
+    return dict(zip(CELL_NAMES, (names, names // (CELLS + 1) ** 2, add(held), add(held * pair), add(held * single)), strict=True))
+
+
+TOLD = "block long, shard int, kind int, told binary, u binary, v binary, apart binary, " + ", ".join(f"{c} binary" for c in CELL_NAMES)
+_TOLD = [x.split()[0] for x in TOLD.split(", ")]
 
 
 def _histogram(batches, model):
-    """Held-out pair counts by bucket and by rounded logarithms of the two estimates."""
-    for _, rows in groups(batches, "shard"):
-        keys, fit, held = (np.frombuffer(b"".join(r[c] for r in rows), np.uint32) for c in ("keys", "counts", "apart"))
-        order = np.argsort(keys)
-        runs = run_starts(keys[order])
-        fit, held = np.add.reduceat(fit[order].astype(np.int64), runs), np.add.reduceat(held[order].astype(np.int64), runs)
-        keys = keys[order][runs]
-        bucket, pair, single = model.value.parts(keys[held > 0], fit[held > 0], fit_only=True)
-        held = held[held > 0]
-        grid = lambda p: np.where(p > 0, np.clip(CELLS + 4 * np.log2(np.maximum(p, 1e-30)), 1, CELLS) // 1, 0).astype(np.int64)
-        cell = (bucket * (CELLS + 1) + grid(pair)) * (CELLS + 1) + grid(single)
-        names, inverse = np.unique(cell, return_inverse=True)
-        add = lambda x: pa.array(np.bincount(inverse, weights=x, minlength=len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names // (CELLS + 1) ** 2), add(held), add(held * pair), add(held * single)],
-                                         names=["cell", "bucket", "n", "pair", "single"])
+    """Held-out pair counts by bucket and by rounded logarithms of the two estimates;
+    of words outside the vocabulary and their pairs, the counts for the blocks that asked."""
+    for shard, rows in groups(batches, "shard"):
+        pairs = [r for r in rows if r["kind"] == PAIRS]
+        if pairs:
+            keys, fit, held = (np.frombuffer(b"".join(r[c] for r in pairs), np.uint32) for c in ("keys", "counts", "apart"))
+            order = np.argsort(keys)
+            runs = run_starts(keys[order])
+            fit, held = np.add.reduceat(fit[order].astype(np.int64), runs), np.add.reduceat(held[order].astype(np.int64), runs)
+            keys = keys[order][runs]
+            found = _cells(held[held > 0], *model.value.parts(keys[held > 0], fit[held > 0], fit_only=True))
+            yield _row(_TOLD, block=-1 - shard, shard=shard, kind=CELL, **{n: x.tobytes() for n, x in found.items()})
+        for kind in (WORDS, OPEN):
+            for r, counts in _told(rows, kind):
+                asked = counts[np.frombuffer(r["apart"], np.uint32) > 0]
+                if len(asked):
+                    yield _row(_TOLD, block=r["block"], shard=shard, kind=kind, told=asked.tobytes())
+        for r in rows:
+            if r["kind"] == HEAD:
+                yield _row(_TOLD, **{n: r.get(n) for n in ("block", "shard", "kind", "u", "v", "apart")})
+
+
+def _answers(rows, kind):
+    """What the shards told a block, in the order in which it asked."""
+    told = sorted((r["shard"], r["told"]) for r in rows if r["kind"] == kind)
+    return np.frombuffer(b"".join(x for _, x in told), np.int64)
+
+
+def _open_cells(batches, model):
+    for block, rows in groups(batches, "block"):
+        if block < 0:
+            found = [{n: np.frombuffer(r[n], np.int64 if n in ("cell", "bucket") else np.float64) for n in CELL_NAMES} for r in rows]
+        else:
+            head = next((r for r in rows if r["kind"] == HEAD), None)
+            if head is None:
+                continue
+            u, v, held = (np.frombuffer(head[c], np.uint32) for c in ("u", "v", "apart"))
+            words = _answers(rows, WORDS)
+            context, single = (model.value.known(x, words, fit_only=True) for x in (u, v))
+            found = [_cells(held, *model.value.estimates(context, single, _answers(rows, OPEN), fit_only=True))]
+        for x in found:
+            yield pa.RecordBatch.from_arrays([pa.array(x[n]) for n in CELL_NAMES], names=list(CELL_NAMES))
 
 
 def mixture(rows: list, classes: int, rounds: int = 30) -> np.ndarray:
@@ -238,16 +367,18 @@ def train(texts: DataFrame, size: int = VOCABULARY) -> Model:
     shards = max(4, partitions(spark))
     shared = spark.sparkContext.broadcast(model)
     sent = (texts.where("part > 0").select("text", "part")
-            .mapInArrow(Lean(_send_pairs, model=shared, shards=shards), "shard int, keys binary, counts binary, apart binary"))
-    cells = (sent.repartition(shards, "shard").sortWithinPartitions("shard")
-             .mapInArrow(Lean(_histogram, model=shared), "cell long, bucket long, n double, pair double, single double")
+            .mapInArrow(Lean(_send_pairs, model=shared, shards=shards), TRAINED))
+    told = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(Lean(_histogram, model=shared), TOLD)
+    cells = (told.repartition(partitions(spark), "block").sortWithinPartitions("block")
+             .mapInArrow(Lean(_open_cells, model=shared), "cell long, bucket long, n double, pair double, single double")
              .groupBy("cell", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "pair", "single")]))
-    model.weights = mixture(cells.collect(), model.rare + 1)
+    model.weights = mixture(cells.collect(), model.types + 1)
     return model
 
 
 # ------------------------------------------------------------ scores
-SCORED = "block long, shard int, kind int, keys binary, runs binary, docs binary, train binary, ids array<long>, base binary, n binary, known binary"
+SCORED = ("block long, shard int, kind int, keys binary, counts binary, runs binary, docs binary, train binary, ids array<long>, base binary, "
+          "n binary, known binary, u binary, v binary")
 
 
 def _row(names, **values):
@@ -275,20 +406,28 @@ def _send_scores(batches, model, shards):
     for found, starts, columns in _gathered(batches, ["part", "id"]):
         block, n = next(ids), len(starts) - 1
         docs = np.repeat(np.arange(n, dtype=np.uint16), np.diff(starts))
-        train = np.packbits(columns["part"].to_numpy() > 0).tobytes()
+        trains = columns["part"].to_numpy() > 0
         pairs = model.pairs(found, starts)
         own = pairs & np.uint32(0xFFFF)
-        rare = own == model.rare
+        rare, open_, hashes = _outside(model, found, starts, pairs)
         base = np.bincount(docs[~rare], weights=np.log10(model.counts[own[~rare]] + ALPHA), minlength=n)
         known = np.bincount(docs[~rare], minlength=n)
+        yield from _by_shard(block, PAIRS, pairs[~open_], docs[~open_], _shard_of(pairs[~open_].astype(_U), shards), shards, np.packbits(trains).tobytes())
+        weight = trains[docs].astype(np.int64)
+        words_, at, word = _distinct(found[rare], shards)
+        yield from _rows_of(_NAMES, block, WORDS, at, keys=words_, counts=np.bincount(word, weights=weight[rare], minlength=len(words_)).astype(np.uint32))
+        keys, at, place = _distinct(hashes, shards)
+        yield from _rows_of(_NAMES, block, OPEN, at, keys=keys, counts=np.bincount(place, weights=weight[open_], minlength=len(keys)).astype(np.uint32))
+        u, v = _codes(pairs, model.rare, rare, open_, word)
+        order = np.argsort(place, kind="stable")
+        first = order[run_starts(place[order])]
         yield _row(_NAMES, block=block, shard=block % shards, kind=HEAD, ids=columns["id"].to_pylist(), base=base.tobytes(),
-                   n=np.diff(starts).astype(np.int64).tobytes(), known=known.astype(np.int64).tobytes())
-        words_, in_ = found[rare], docs[rare]
-        yield from _by_shard(block, UNIGRAMS, words_, in_, _shard_of(words_, shards), shards, train)
-        yield from _by_shard(block, PAIRS, pairs, docs, _shard_of(pairs.astype(_U), shards), shards, train)
+                   n=np.diff(starts).astype(np.int64).tobytes(), known=known.astype(np.int64).tobytes(), u=u[first].tobytes(), v=v[first].tobytes(),
+                   runs=np.bincount(place, minlength=len(keys)).astype(np.uint32).tobytes(), docs=docs[open_][order].tobytes())
 
 
-ANSWERED = "block long, ids array<long>, docs binary, rare binary, pairs binary, base binary, n binary, known binary"
+ANSWERED = ("block long, shard int, kind int, told binary, ids array<long>, docs binary, pairs binary, base binary, n binary, known binary, "
+            "u binary, v binary, runs binary")
 _ANSWER = [x.split()[0] for x in ANSWERED.split(", ")]
 
 
@@ -315,42 +454,41 @@ def _values(rows, kind, dtype, value):
 
 
 def _answer(batches, model):
-    """Partial sums per text, one row a block and shard."""
+    """Partial sums per text, one row a block and shard, and the counts for what is outside the vocabulary."""
     model = model.value
-    for _, rows in groups(batches, "shard"):
-        sums: dict[int, list] = {}
-        for block, docs, value, known in _values(rows, UNIGRAMS, _U, lambda k, c: np.log10(c + ALPHA)):
-            sums.setdefault(block, [None, None])[0] = (docs, value, known)
+    for shard, rows in groups(batches, "shard"):
         for block, docs, value, _ in _values(rows, PAIRS, np.uint32, model.log10):
-            sums.setdefault(block, [None, None])[1] = (docs, value)
-        for block, (rare, pairs) in sums.items():
-            size = 1 + max(int(x[0].max()) for x in (rare, pairs) if x is not None)
-            add = lambda x, i, t: np.bincount(x[0], weights=x[i], minlength=size).astype(t) if x is not None else np.zeros(size, t)
-            touched = np.flatnonzero(sum(np.bincount(x[0], minlength=size) for x in (rare, pairs) if x is not None))
-            yield _row(_ANSWER, block=block, docs=touched.astype(np.uint16).tobytes(), rare=add(rare, 1, np.float64)[touched].tobytes(),
-                       pairs=add(pairs, 1, np.float64)[touched].astype(np.float32).tobytes(), known=add(rare, 2, np.int64)[touched].tobytes())
+            sums = np.bincount(docs, weights=value)
+            touched = np.flatnonzero(np.bincount(docs))
+            yield _row(_ANSWER, block=block, shard=shard, kind=PAIRS, docs=touched.astype(np.uint16).tobytes(),
+                       pairs=sums[touched].astype(np.float32).tobytes())
+        for kind in (WORDS, OPEN):
+            for r, counts in _told(rows, kind):
+                yield _row(_ANSWER, block=r["block"], shard=shard, kind=kind, told=counts.tobytes())
         for r in rows:
             if r["kind"] == HEAD:
-                yield _row(_ANSWER, **{n: r.get(n) for n in _ANSWER if n not in ("docs", "rare", "pairs")})
+                yield _row(_ANSWER, **{n: r.get(n) for n in _ANSWER})
 
 
 def _total(batches, model):
     model = model.value
     for _, rows in groups(batches, "block"):
-        head = next(r for r in rows if r["ids"] is not None)
+        head = next(r for r in rows if r["kind"] == HEAD)
         n, base, known = (np.frombuffer(head[c], t).copy() for c, t in (("n", np.int64), ("base", np.float64), ("known", np.int64)))
-        rare, pairs, plain = np.zeros(len(n)), np.zeros(len(n)), known.copy()
+        u, v, runs = (np.frombuffer(head[c], np.uint32) for c in ("u", "v", "runs"))
+        docs, words_ = np.frombuffer(head["docs"], np.uint16), _answers(rows, WORDS)
+        context, single = (model.known(x, words_, fit_only=False) for x in (u, v))
+        value = model.mixed(*model.estimates(context, single, _answers(rows, OPEN), fit_only=False))
+        pairs = np.zeros(len(n)) + np.bincount(docs, weights=np.repeat(value, runs), minlength=len(n))
+        outside = v >= OUTSIDE
+        base += np.bincount(docs, weights=np.repeat(np.where(outside, np.log10(single + ALPHA), 0), runs), minlength=len(n))
+        known += np.bincount(docs[np.repeat(outside & (single > 0), runs)], minlength=len(n))
         for r in rows:
-            if r["docs"] is not None:
-                at = np.frombuffer(r["docs"], np.uint16)
-                rare[at] += np.frombuffer(r["rare"], np.float64)
-                pairs[at] += np.frombuffer(r["pairs"], np.float32)
-                known[at] += np.frombuffer(r["known"], np.int64)
-        of_rare = model.counts[model.rare] + ALPHA * (model.types - len(model.keys) + 1)
+            if r["kind"] == PAIRS:
+                pairs[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["pairs"], np.float32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(head["ids"], pa.int64()), pa.array(n), pa.array(np.where(model.total > 0, known, 0)),
-             pa.array(base + rare - n * np.log10(model.total + ALPHA * (model.types + 1))),
-             pa.array(pairs + rare - (n - plain) * np.log10(of_rare))],
+             pa.array(base - n * np.log10(model.total + ALPHA * (model.types + 1))), pa.array(pairs)],
             names=["id", "n_tokens", "n_known", "base_score", "score"])
 
 

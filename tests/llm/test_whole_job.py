@@ -78,3 +78,15 @@ def test_known_words_of_a_long_text(spark):
     frame = _docs(spark, [(1, " ".join(map(str, range(600_000))))])
     row = language_model.score_corpus(frame, F.lit(2), size=5).first()
     assert (row.n_tokens, row.n_known) == (600_001, 600_001)
+
+
+def test_scores_do_not_depend_on_the_vocabulary(spark):
+    """Pairs and contexts exist for words outside the vocabulary too."""
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{min(r.randrange(1, 400), r.randrange(1, 400))}" for _ in range(r.randrange(60)))) for i in range(300)]
+    part = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 1).otherwise(2)
+    whole, few, one = ({x.doc_id: tuple(x)[1:] for x in language_model.score_corpus(_docs(spark, docs), part, **o).collect()}
+                       for o in ({}, {"size": 30}, {"size": 1}))
+    for other in (few, one):
+        assert {i: x[:3] for i, x in other.items()} == {i: x[:3] for i, x in whole.items()}
+        assert all(other[i] == pytest.approx(x, rel=1e-5) for i, x in whole.items())
