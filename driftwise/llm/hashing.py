@@ -99,6 +99,14 @@ def prefix(buf: np.ndarray, lower: bool = True) -> np.ndarray:
     return out
 
 
+def value_prefix(values: np.ndarray) -> np.ndarray:
+    """Like :func:`prefix` over 64-bit values, each spread by :func:`mix`."""
+    out = np.zeros(len(values) + 1, dtype=_U)
+    up, _ = _POWERS.of(len(values) + 1)
+    np.cumsum(mix(values) * up[:len(values)], out=out[1:])
+    return out
+
+
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = _POWERS.of(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, decontaminate, jaccard_join, language, language_model, line_dedup, neighbours, quality, substring_dedup, token_store
+from driftwise.llm import (bpe, decontaminate, importance, jaccard_join, language, language_model, line_dedup, neighbours, periodic_runs,
+                           quality, substring_dedup, token_counts, token_store)
 from driftwise.llm.common import fold, table, vocabulary
 from driftwise.session import scratch_path
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the hash of its id, goes on from one of its words with a period taken from that hash."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(hashed % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    chosen = docs.withColumns({"_w": words, "_h": hashed}).withColumns({"_n": F.size("_w").cast("bigint"), "_g": F.floor(F.col("_h") / 10)})
+    rest = F.col("_n") - F.col("_a")
+    sized = chosen.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn("_p", 1 + F.floor(rest / (3 + F.col("_g") % 8)))
+    unit = F.slice("_w", (F.col("_a") + 1).cast("int"), F.col("_p").cast("int"))
+    again = F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("_p")).cast("int")))
+    tail = F.slice(again, F.lit(1), rest.cast("int"))
+    head = F.slice("_w", F.lit(1), F.col("_a").cast("int"))
+    text = F.when(F.col("_n") > 0, F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text"))
+    return sized.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ordered = F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    best = found.withColumn("_best", F.array_max(ordered))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"), F.expr("(1000 * _best.length) div -_best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECES))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality": op2_quality,
@@ -83,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_counts": op12_token_counts,
+    "op13_importance": op13_importance,
 }
 
 _OP3 = """

@@ -76,3 +76,67 @@ def base_scores(docs):
     n, v = sum(train.values()), len(train)
     return {i: (len(ws), sum(train[w] > 0 for w in ws), n, sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
             for i, ws in tokens.items()}
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def planted(doc_id, words):
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    g = h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs(words, least=12):
+    """(start, length, period) of every run, lag by lag."""
+    n, best = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q):
+                best.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, size, q) for (s, size), q in best.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, size, q in found for i in range(s + q, s + size)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def run_row(doc_id, text):
+    words = planted(doc_id, plain_words(text))
+    found = runs(words)
+    best = min(((-size, s, q) for s, size, q in found), default=None)
+    longest = (None,) * 4 if best is None else (best[1], -best[0], best[2], 1000 * -best[0] // best[2])
+    listed = "".join(f"{s},{size},{q}\n" for s, size, q in found)
+    return (len(found), *longest, hashlib.sha256(listed.encode()).hexdigest(),
+            hashlib.sha256(collapsed(words, found).encode()).hexdigest())
+
+
+def importance(docs, items, buckets=10_000, least=20, percent=25):
+    """doc_id -> n_features, weight, score, rank."""
+    def codes(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        return [zlib.crc32(x.encode()) % buckets for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]], len(w)
+
+    found = {i: codes(t) for i, t in docs}
+    s, t = Counter(c for f, _ in found.values() for c in f), Counter(c for x in items for c in codes(x)[0])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in range(buckets)]
+    rows = {}
+    for i, (f, n) in found.items():
+        weight = sum(gain[c] for c in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{i}".encode()).hexdigest()[:8], 16)
+        rows[i] = (len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n)
+    able = sorted((i for i, r in rows.items() if r[3] >= least), key=lambda i: (-rows[i][2], i))
+    rank = {i: k + 1 for k, i in enumerate(able[:percent * len(able) // 100])}
+    return {i: (*r[:3], rank.get(i)) for i, r in rows.items()}
