@@ -14,7 +14,7 @@ from driftwise.operators.drift import (
     numeric_bins,
 )
 from driftwise.operators.links import bounded_ids, first_cell, view_links
-from driftwise.operators.roundtrip import compare_tables, content_differences, roundtrip_check
+from driftwise.operators.roundtrip import column_differences, compare_tables, content_differences, roundtrip_check, row_differences
 from driftwise.spec import DataDefinition, DatasetSpec
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "category_counts",
     "check_contract",
     "classify",
+    "column_differences",
     "compare_frames",
     "compare_groups",
     "compare_split",
@@ -44,5 +45,6 @@ __all__ = [
     "project_side",
     "require_contract",
     "roundtrip_check",
+    "row_differences",
     "view_links",
 ]
