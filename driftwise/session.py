@@ -65,3 +65,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique location below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/driftwise/{name}-{uuid.uuid4().hex}"
+
+
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, unless it was shipped to them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)

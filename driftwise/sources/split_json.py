@@ -7,21 +7,27 @@ or the row position when it has none), and every
 output column is looked up by name in the document's own ``columns`` list
 and converted with ``try_cast``.  Documents may be one per file
 (``multi_line=True``, one task per file) or one per line (splittable, the
-form :func:`write_split_json` produces).
+form :func:`write_split_json` produces).  A single document too large for a
+task is read by :func:`driftwise.sources.split_document.read_split_document`.
 
-Writing: rows are grouped into documents of at most ``rows_per_doc`` rows
-(``index // rows_per_doc`` inside each input partition, so a document never
-spans partitions and no group is unbounded) and written one per line; with
-``rows_per_doc=1`` each row is a document and nothing is shuffled.
+Writing: neighbouring rows of a partition become documents of at most
+``rows_per_doc`` rows, one a line.  Rows are turned into JSON text by Spark's own
+functions and grouped where they lie, a batch after the other, so nothing is
+shuffled; with ``rows_per_doc=1`` each row is a document without any grouping.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.sqltext import col
+from driftwise.session import workers_find_package
 
 DOC_SCHEMA = "columns array<string>, index array<bigint>, data array<array<string>>"
 
@@ -36,6 +42,17 @@ def _typed(cell, dtype: T.DataType):
     return cell.try_cast(dtype)
 
 
+def typed_cell(cell: Column, field: T.StructField, bad_cells: str) -> Column:
+    """A text cell as the field's type; one that does not convert raises, or is null."""
+    if bad_cells not in ("raise", "null"):
+        raise ValueError("bad_cells is 'raise' or 'null'")
+    value = _typed(cell, field.dataType)
+    if bad_cells == "null":
+        return value
+    said = F.concat(F.lit(f"column {field.name}: not a {field.dataType.simpleString()}: "), cell)
+    return F.when(cell.isNotNull() & value.isNull(), F.raise_error(said).cast(field.dataType)).otherwise(value)
+
+
 def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
                     multi_line: bool = False, index_col: str | None = "index",
                     bad_cells: str = "raise") -> DataFrame:
@@ -44,8 +61,6 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
     A malformed document raises, and so does a cell that does not convert
     (``bad_cells="null"``: it becomes null).
     """
-    if bad_cells not in ("raise", "null"):
-        raise ValueError("bad_cells is 'raise' or 'null'")
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     docs = spark.read.schema(DOC_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
@@ -58,39 +73,55 @@ def read_split_json(spark: SparkSession, path: str, schema: T.StructType | str,
         cols.append(index.alias(index_col))
     for f in schema.fields:
         pos = F.array_position(F.col("columns"), F.lit(f.name)).cast("int")
-        cell = F.try_element_at(F.col("row"), pos)
-        value = _typed(cell, f.dataType)
-        if bad_cells == "raise":
-            said = F.concat(F.lit(f"column {f.name}: not a {f.dataType.simpleString()}: "), cell)
-            value = F.when(cell.isNotNull() & value.isNull(), F.raise_error(said).cast(f.dataType)).otherwise(value)
-        cols.append(value.alias(f.name))
+        cols.append(typed_cell(F.try_element_at(F.col("row"), pos), f, bad_cells).alias(f.name))
     return rows.select(*cols)
 
 
-def write_split_json(df: DataFrame, path: str, rows_per_doc: int = 1000,
-                     mode: str = "overwrite") -> None:
-    """Write ``df`` as split documents, one JSON document per line.
+def _grouped(batches: Iterator[pa.RecordBatch], header: str, rows_per_doc: int) -> Iterator[pa.RecordBatch]:
+    """Documents from a partition's rows, in their order; a document may span batches."""
+    ids: list[str] = []
+    rows: list[str] = []
 
-    ``rows_per_doc=1`` writes every row as its own document: no grouping,
-    so no shuffle (the form to use for large exports).  Larger documents
-    group the rows of each input partition, which costs one shuffle.
+    def document() -> str:
+        return f'{{"columns":{header},"index":[{",".join(ids)}],"data":[{",".join(rows)}]}}'
+
+    for batch in batches:
+        out, at, new_ids, new_rows = [], 0, [str(i) for i in batch["_i"].to_pylist()], batch["_row"].to_pylist()
+        while at < len(new_rows):
+            take = min(len(new_rows) - at, rows_per_doc - len(rows))
+            ids += new_ids[at:at + take]
+            rows += new_rows[at:at + take]
+            at += take
+            if len(rows) == rows_per_doc:
+                out.append(document())
+                ids, rows = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([document()], pa.string())], names=["value"])
+
+
+def split_documents(df: DataFrame, rows_per_doc: int = 1000) -> DataFrame:
+    """``df`` as split documents: one column ``value``, one JSON document a row.
+
+    A document holds up to ``rows_per_doc`` neighbouring rows of one partition; its
+    index holds integers that rise within a partition and are unique over all.
     """
     if rows_per_doc < 1:
         raise ValueError("rows_per_doc must be at least 1")
     names = df.columns
     idx = F.monotonically_increasing_id()
     cells = F.array(*[col(c).cast("string") for c in names])
-    header = F.array(*[F.lit(c) for c in names]).alias("columns")
     if rows_per_doc == 1:
-        one = df.select(F.to_json(F.struct(header, F.array(idx).alias("index"),
-                                           F.array(cells).alias("data"))).alias("value"))
-        one.write.mode(mode).text(path)
-        return
-    chunked = df.select(idx.alias("_i"), cells.alias("_row"))
-    docs = (chunked.groupBy((F.col("_i") / rows_per_doc).cast("bigint").alias("_doc"))
-                   .agg(F.array_sort(F.collect_list(F.struct("_i", "_row"))).alias("_rows")))
-    out = docs.select(F.to_json(F.struct(
-        header,
-        F.col("_rows._i").alias("index"),
-        F.col("_rows._row").alias("data"))).alias("value"))
-    out.write.mode(mode).text(path)
+        header = F.array(*[F.lit(c) for c in names]).alias("columns")
+        return df.select(F.to_json(F.struct(header, F.array(idx).alias("index"), F.array(cells).alias("data"))).alias("value"))
+    workers_find_package(df.sparkSession)
+    header = json.dumps(names, ensure_ascii=False)
+    lined = df.select(idx.alias("_i"), F.to_json(cells).alias("_row"))
+    return lined.mapInArrow(lambda batches: _grouped(batches, header, rows_per_doc), "value string")
+
+
+def write_split_json(df: DataFrame, path: str, rows_per_doc: int = 1000,
+                     mode: str = "overwrite") -> None:
+    """Write ``df`` as split documents (:func:`split_documents`), one a line.  No
+    row leaves its partition; a document is held whole by its task."""
+    split_documents(df, rows_per_doc).write.mode(mode).text(path)
