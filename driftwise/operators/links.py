@@ -17,7 +17,8 @@ two levels, one plan on every cluster: first per ``(run, salt)`` where the salt
 derived from the input partition (so each first-level group combines only a slice
 of the map tasks), then per run.  The top-``cap`` of a union equals the top-``cap`` of
 the parts' top-``cap``s, so the result is exact.  Ids past ``cap`` are counted
-(``n_ids``) and are all in :func:`id_pages`.
+(``n_ids``, on request) and are all in :func:`id_pages`.  Caps beyond the session's group
+limit take range slices instead: no window limit and no whole run in one task.
 """
 
 from __future__ import annotations
@@ -59,14 +60,12 @@ RUN_LINKS = {name: path for name, path, shape in LINKS if shape == "run"}
 RUN_PARAM, IDS_PARAM, MAX_PARAM = "rechenlauf", "gebid", "max"
 
 
-def _check_cap(df: DataFrame, cap: int) -> None:
-    """The group limit that keeps a hot run's rows from meeting in one task exists
-    only up to a setting of the session; beyond it the plan would not scale."""
+def _group_limited(df: DataFrame, cap: int) -> bool:
+    """Whether the group limit that keeps a hot run's rows from meeting in one task
+    exists at this cap: it does up to a setting of the session."""
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    most = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
-    if cap + 1 > most:
-        raise ValueError(f"cap {cap} needs {GROUP_LIMIT} above {cap}, it is {most}; raise it or use id_pages")
+    return cap + 1 <= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
 
 
 def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:
@@ -75,23 +74,37 @@ def _limit(df: DataFrame, keys: list[str], id_col: str, cap: int) -> DataFrame:
               .where(F.col(_RN) <= cap + 1))
 
 
+def _listed(ranked: DataFrame, cap: int) -> DataFrame:
+    """``run, _ids, max`` from a run's first ``cap + 1`` rows and their ranks."""
+    listed = F.when(F.col(_RN) <= cap, F.col("id"))
+    over = F.when((F.col(_RN) > cap) & F.col("id").isNotNull(), 1).otherwise(0)
+    return ranked.groupBy("run").agg(F.collect_list(listed).alias("_ids"), F.max(over).alias(MAX_PARAM))
+
+
 def bounded_ids(df: DataFrame, run_col: str, id_col: str, cap: int,
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, count: bool = True) -> DataFrame:
     """Per run: ``run_col, ids, max, n_ids``.
 
     ``ids`` is the ascending comma list of the ``cap`` smallest non-null ids
     (duplicates kept), or ``'0'`` when the run has none; ``max`` is 1 when the
     run has more than ``cap`` non-null ids, else 0; ``n_ids`` is the number of
-    its non-null ids.
+    its non-null ids, which costs a second pass over the ids (``count=False``: no
+    such column and no such pass).
+
+    A cap beyond ``spark.sql.optimizer.windowGroupLimitThreshold`` has no group limit;
+    the ids are then cut into range slices (see :func:`id_slices`), of which a run
+    needs only the first ones.
     """
-    _check_cap(df, cap)
     base = df.select(col(run_col).alias("run"), col(id_col).alias("id"))
+    if not _group_limited(df, cap):
+        return _sliced_ids(base, run_col, cap, count)
     salted = base.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(max(1, int(salts)))))
     first = _limit(salted, ["run", _SALT], "id", cap).select("run", "id")
-    ranked = _limit(first, ["run"], "id", cap)
-    listed = F.when(F.col(_RN) <= cap, F.col("id"))
-    over = F.when((F.col(_RN) > cap) & F.col("id").isNotNull(), 1).otherwise(0)
-    lists = ranked.groupBy("run").agg(F.collect_list(listed).alias("_ids"), F.max(over).alias(MAX_PARAM), F.lit(0).cast("bigint").alias("n_ids"))
+    lists = _listed(_limit(first, ["run"], "id", cap), cap)
+    if not count:
+        return lists.select(F.col("run").alias(run_col), joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
+                            F.col(MAX_PARAM).cast("int").alias(MAX_PARAM))
+    lists = lists.withColumn("n_ids", F.lit(0).cast("bigint"))
     counts = (base.groupBy("run").agg(F.count("id").alias("n_ids"))
               .select("run", F.lit(None).cast(lists.schema["_ids"].dataType).alias("_ids"), F.lit(None).cast("int").alias(MAX_PARAM), "n_ids"))
     # one row a run on either side: joined by a small aggregation, null runs included
@@ -100,6 +113,46 @@ def bounded_ids(df: DataFrame, run_col: str, id_col: str, cap: int,
                        F.col(MAX_PARAM).cast("int").alias(MAX_PARAM), "n_ids")
 
 
+def id_slices(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Range slices of ``run, id`` over all rows: the rows with their ``slice``, and
+    ``_run, _slice, before``, the rows of a run in the slices before.
+
+    A run of any size is spread over as many slices as it fills, in the order of its
+    ids.  The slices are stored, so that both uses see the same ones.
+    """
+    spark = base.sparkSession
+    dealt = base.repartitionByRange("run", "id").withColumn("slice", F.spark_partition_id())
+    path = scratch_path(spark, "id-slices")
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    order = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("run", "slice").agg(F.count("*").alias("n"))
+              .select(F.col("run").alias("_run"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
+    return rows, before
+
+
+def _placed(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows with ``r``, their number in their run from 1."""
+    rank = F.row_number().over(Window.partitionBy("run", "slice").orderBy("id"))
+    same = F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice"))
+    return rows.join(before, same).withColumn(_RN, rank).withColumn("r", F.col("before") + F.col(_RN))
+
+
+def _sliced_ids(base: DataFrame, run_col: str, cap: int, count: bool) -> DataFrame:
+    """:func:`bounded_ids` for any cap.  Null ids only say that their run exists.  A slice
+    that begins past a run's first ``cap + 1`` ids is dropped before its rows are ranked."""
+    rows, before = id_slices(base.where(F.col("id").isNotNull()))
+    lists = _listed(_placed(rows, before.where(F.col("before") <= cap)).where(F.col("r") <= cap + 1)
+                    .select("run", "id", F.col("r").alias(_RN)), cap)
+    none = F.lit(None).cast(lists.schema["_ids"].dataType).alias("_ids")
+    sizes = base.groupBy("run").agg(F.count("id").alias("n_ids")) if count else base.select("run").distinct().withColumn("n_ids", F.lit(0).cast("bigint"))
+    both = (lists.withColumn("n_ids", F.lit(0).cast("bigint"))
+            .unionByName(sizes.select("run", none, F.lit(0).alias(MAX_PARAM), "n_ids"))
+            .groupBy("run").agg(F.max("_ids").alias("_ids"), F.max(MAX_PARAM).alias(MAX_PARAM), F.max("n_ids").alias("n_ids")))
+    return both.select(F.col("run").alias(run_col), joined_or_default(sorted_id_list(F.col("_ids"))).alias("ids"),
+                       F.col(MAX_PARAM).cast("int").alias(MAX_PARAM), *(["n_ids"] if count else []))
+
+
 def id_pages(df: DataFrame, run_col: str, id_col: str, cap: int) -> DataFrame:
     """All non-null ids of every run, ``cap`` to a page: ``run_col, page, ids, n_ids``.
 
@@ -109,18 +162,9 @@ def id_pages(df: DataFrame, run_col: str, id_col: str, cap: int) -> DataFrame:
     """
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    spark = df.sparkSession
-    dealt = (df.select(col(run_col).alias("run"), col(id_col).alias("id")).where(F.col("id").isNotNull())
-             .repartitionByRange("run", "id").withColumn("slice", F.spark_partition_id()))
-    path = scratch_path(spark, "id-slices")  # both uses must see the same slices
-    dealt.write.parquet(path)
-    rows = spark.read.parquet(path)
-    order = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = (rows.groupBy("run", "slice").agg(F.count("*").alias("n"))
-              .select(F.col("run").alias("_run"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
-    rank = F.row_number().over(Window.partitionBy("run", "slice").orderBy("id"))
-    placed = (rows.withColumn("r", rank).join(before, F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice")))
-              .withColumn("page", F.floor((F.col("before") + F.col("r") - 1) / cap).cast("bigint")))
+    base = df.select(col(run_col).alias("run"), col(id_col).alias("id")).where(F.col("id").isNotNull())
+    rows, before = id_slices(base)
+    placed = _placed(rows, before).withColumn("page", F.floor((F.col("r") - 1) / cap).cast("bigint"))
     return (placed.groupBy("run", "page").agg(F.collect_list("id").alias("_ids"))
             .select(F.col("run").alias(run_col), "page", sorted_id_list(F.col("_ids")).alias("ids"), F.size("_ids").cast("bigint").alias("n_ids")))
 
@@ -154,7 +198,7 @@ def view_links(df: DataFrame, kinds: list[str] | tuple[str, ...], run_col: str,
                      SELECTION_GROUPS)
     if any(k in LIST_LINKS for k in kinds):
         if id_col is not None:
-            per_run = bounded_ids(df, run_col, id_col, cap, salts)
+            per_run = bounded_ids(df, run_col, id_col, cap, salts, count=False)
         else:
             per_run = df.select(col(run_col)).distinct().select(
                 col(run_col), F.lit("0").alias("ids"), F.lit(0).alias(MAX_PARAM))

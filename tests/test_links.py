@@ -102,14 +102,36 @@ def test_two_levels_everywhere(spark):
         assert got == {k: (*v, 500 if k == 0 else 10) for k, v in brute(rows).items()}
 
 
-def test_cap_beyond_the_group_limit_is_refused(spark):
-    df = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
-    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
-        links.bounded_ids(df, "run", "bid", 1500)
+def _big(spark):
+    rnd = random.Random(3)
+    rows = [(0, rnd.randrange(50_000)) for _ in range(20_000)] + [(1, i) for i in range(5_000)] + [(2, i) for i in range(5_001)]
+    rows += [(3, None), (4, 7), (4, 7), (None, 3), (None, None)] + [(5, None)] * 50 + [(1, None)]
+    return rows, spark.createDataFrame(rows, "run bigint, bid bigint").repartition(9)
+
+
+@pytest.mark.parametrize("cap", [1_000, 5_000, 30_000])
+def test_caps_beyond_the_group_limit(spark, cap):
+    """The list, the flag and the count stay exact; no window holds a whole run."""
+    rows, df = _big(spark)
+    got = {r.run: (r.ids, r.max, r.n_ids) for r in links.bounded_ids(df, "run", "bid", cap).collect()}
+    assert got == {k: (*v, sum(r == k and i is not None for r, i in rows)) for k, v in brute(rows, cap).items()}
+    listed = links.bounded_ids(df, "run", "bid", cap, count=False)
+    assert listed.columns == ["run", "ids", "max"] and {r.run: (r.ids, r.max) for r in listed.collect()} == brute(rows, cap)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "row_number() windowspecdefinition(run" in plan and ", slice" in plan.split("row_number()")[1][:200]
+    assert links.bounded_ids(df.limit(0), "run", "bid", cap).count() == 0
     with pytest.raises(TypeError):
         links.bounded_ids(df, "run", "bid")
 
 
+def test_links_do_not_count(spark):
+    """View links need no second pass for a number that they do not show."""
+    df = spark.createDataFrame([(1, 2)], "run bigint, bid bigint")
+    with_count, without = (links.bounded_ids(df, "run", "bid", CAP, count=c)._jdf.queryExecution().executedPlan().toString() for c in (True, False))
+    links_plan = view_links(df, list(LIST_LINKS), "run", "bid")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in with_count and "Union" not in without and "Union" not in links_plan
+
+
 @pytest.mark.parametrize("cap", [1, 7, 130, 1500])
 def test_pages_lose_no_id(spark, cap):
     rows = [(0, i % 900) for i in range(2000)] + [(1, 3), (1, None), (2, None), (None, 4)]
