@@ -20,13 +20,18 @@ from pyspark.sql.streaming import StreamingQuery
 from driftwise.functions.sqltext import col
 from driftwise.operators.compare import compare_frames
 from driftwise.operators.drift import COLUMN_THRESHOLD
-from driftwise.session import scratch_path
 from driftwise.spec import DatasetSpec
 
 RESULTS = ("column_name string, kind string, bins bigint, ref_count bigint, cur_count bigint, "
            "psi double, threshold double, drifted boolean, epoch bigint")
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end at ``path``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
                  spec: DatasetSpec, output_path: str, checkpoint_path: str | None = None,
                  ref_spec: DatasetSpec | None = None, threshold: float = COLUMN_THRESHOLD,
@@ -40,27 +45,31 @@ def drift_stream(spark: SparkSession, current: DataFrame, reference: DataFrame,
 
     Pooled bins depend on each batch, so every batch reads the reference's
     values again.  With ``materialize_reference`` they are read from a
-    narrow Parquet copy written once below ``spark.checkpoint.dir`` instead
-    of re-evaluating the reference DataFrame from its source.
+    narrow Parquet copy beside the checkpoint, written when the query first
+    starts, instead of re-evaluating the reference DataFrame from its source.
     """
     if not current.isStreaming:
         raise ValueError("current must be a streaming DataFrame")
     ref_spec = ref_spec or spec
+    checkpoint = checkpoint_path or f"{output_path.rstrip('/')}/_checkpoint"
     if materialize_reference:
         # Written once, read by every batch: only the spec's columns, with the
         # source's filters and joins already applied, and no lineage back to
-        # the source (a stable reference even if the source changes).
-        ref_path = scratch_path(spark, "drift-stream-reference")
-        reference.select(*[col(c) for c in ref_spec.columns()]).write.parquet(ref_path)
-        reference = spark.read.parquet(ref_path)
+        # the source.  The copy lies beside the checkpoint, so a query that is
+        # started again scores against the same rows even if the source changed.
+        ref_path = f"{checkpoint.rstrip('/')}-reference"
+        narrow = reference.select(*[col(c) for c in ref_spec.columns()])
+        if not _finished(spark, ref_path):
+            narrow.write.mode("overwrite").parquet(ref_path)
+        reference = spark.read.schema(narrow.schema).parquet(ref_path)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        cols = compare_frames(reference, batch, ref_spec, spec, threshold=threshold).columns
+        cols = compare_frames(reference, batch, ref_spec, spec, threshold=threshold, empty="null").columns
         # The epoch is the folder name (``epoch=<n>``), read back as a column.
         cols.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")
 
     writer = (current.writeStream.foreachBatch(per_batch)
-              .option("checkpointLocation", checkpoint_path or f"{output_path.rstrip('/')}/_checkpoint"))
+              .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

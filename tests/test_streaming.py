@@ -88,3 +88,21 @@ def test_restart_goes_on_and_an_empty_stream_has_no_rows(spark, tmp_dir):
     assert [n for _, n in first] == [50]
     reference.limit(20).coalesce(1).write.mode("append").parquet(source)
     assert [n for _, n in run()] == [50, 20]
+
+
+def test_restart_keeps_the_reference_it_began_with(spark, tmp_dir):
+    """The source of the reference changes between two starts: both score against the same rows."""
+    source, out = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    rows = spark.range(100).selectExpr("CAST(id AS DOUBLE) v")
+    rows.write.parquet(source)
+    spec = DatasetSpec(features=("v",))
+
+    def run(reference):
+        stream = spark.readStream.schema("v double").parquet(source)
+        drift_stream(spark, stream, reference, spec, out).awaitTermination()
+        return [(r.ref_count, r.psi) for r in read_stream_results(spark, out).orderBy("epoch").collect() if r.cur_count]
+
+    first = run(rows)
+    rows.write.mode("append").parquet(source)
+    again = run(rows.where("v < 10"))
+    assert first == [(100, 0.0)] and again == first * 2
