@@ -44,6 +44,8 @@ class Alignment:
     cur: DataFrame
     spec: DatasetSpec            # roles in current-side names, paired columns only
     ref_labels: dict[str, str]   # current-side name -> the reference's own label
+    ref_alone: tuple[str, ...] = ()     # labels that only one side has (loose alignment)
+    cur_alone: tuple[str, ...] = ()
 
 
 def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
@@ -53,8 +55,9 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
     Both frames must already be in role order with label names (see
     :func:`project_side`).  With ``strict`` the two sides must agree on
     whether they have an id and on the number of features and of datetimes.
-    Without it columns are paired by position within their role, and what
-    only one side has is left out of the comparison; a name clash raises.
+    Without it columns are paired by position within their role; what only one
+    side has is not compared but named in ``ref_alone`` and ``cur_alone``; a name
+    clash raises.
     """
     r_spec, c_spec = ref_spec.labelled(), cur_spec.labelled()
     if strict:
@@ -76,7 +79,9 @@ def align_positional(ref: DataFrame, cur: DataFrame, ref_spec: DatasetSpec,
     ref_aligned = ref.selectExpr(*[quote(c) for c in ref_cols]).toDF(*cur_cols)
     spec = DatasetSpec(features=tuple(c for _, c in features), id=c_spec.id if has_id else None,
                        datetimes=tuple(c for _, c in datetimes))
-    return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec, ref_labels=dict(zip(cur_cols, ref_cols)))
+    alone = [tuple(c for c in own.columns() if c not in paired) for own, paired in ((r_spec, ref_cols), (c_spec, cur_cols))]
+    return Alignment(ref=ref_aligned, cur=cur.selectExpr(*keep), spec=spec, ref_labels=dict(zip(cur_cols, ref_cols)),
+                     ref_alone=alone[0], cur_alone=alone[1])
 
 
 def reconcile(ref_def: DataDefinition, cur_def: DataDefinition, strict: bool = True) -> DataDefinition:

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from driftwise.functions.scalar import millis_to_timestamp, parse_timestamp, to_bigint
 from driftwise.operators.align import ColumnGroups, pair_by_condition, project_side, split_groups
 from driftwise.operators.align import align_positional as align
+from driftwise.operators.align import prepare_pair
 from driftwise.operators.classify import define, definition_table
 from driftwise.operators.compare import compare_frames, compare_groups, compare_split
 from driftwise.operators.drift import category_counts, numeric_bins
 from driftwise.operators.links import CAP, LIST_LINKS, RUN_LINKS, bounded_ids, first_cell, id_pages, view_links
-from driftwise.operators.roundtrip import compare_tables, roundtrip_check
+from driftwise.operators.roundtrip import column_differences, compare_tables, roundtrip_check, row_differences
 from driftwise.plans import oracle
 from driftwise.session import scratch_path
-from driftwise.sources.files import CSV_READBACK_OPTIONS, csv_to_parquet, write_csv
+from driftwise.sources.files import csv_to_parquet, read_exact_csv, write_csv
 from driftwise.sources.report import write_report
+from driftwise.sources.split_document import read_split_document
 from driftwise.sources.split_json import read_split_json, write_split_json
-from driftwise.sources.tracking import experiments
+from driftwise.sources.tracking import experiments, merge_runs
 from driftwise.spec import DatasetSpec
 from driftwise.streaming.monitor import drift_stream, read_stream_results
 
@@ -177,6 +179,38 @@ def align_positional(spark, sf_dir):
     return align(ref, cur, ref_spec, cur_spec).ref
 
 
+# a reference with a feature more and a datetime less, both sides with an id that is not in front
+LOOSE_REF = DatasetSpec(features=("o_custkey", "o_orderpriority", "o_totalprice"), id="o_orderkey")
+LOOSE_CUR = DatasetSpec(features=("half", "status"), id="key", datetimes=("day",))
+LOOSE_SRC = ("SELECT 0 AS side, o_custkey AS half, o_orderpriority AS status FROM orders UNION ALL "
+             "SELECT 1, o_custkey / 2, o_orderstatus FROM orders")
+
+
+def _loose_sides(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    cur = orders.select((F.col("o_custkey") / 2).alias("half"), F.col("o_orderstatus").alias("status"),
+                        F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("day"))
+    return orders, cur
+
+
+def drift_unpaired(spark, sf_dir):
+    """Sides of different shape: what has a partner is scored, the rest is listed."""
+    return compare_frames(*_loose_sides(spark, sf_dir), LOOSE_REF, LOOSE_CUR, strict=False).columns
+
+
+def aligned_sides(spark, sf_dir):
+    """Both sides as they are compared, column by column: the id moved to the front under the current
+    names, a declared datetime that the table lacks left out of the definition."""
+    orders, cur = _loose_sides(spark, sf_dir)
+    _, _, al = prepare_pair(project_side(orders, LOOSE_REF), project_side(cur, LOOSE_CUR), LOOSE_REF, LOOSE_CUR, strict=False)
+    parts = []
+    for side, frame in (("reference", al.ref), ("current", al.cur)):
+        _, definition = define(frame, al.spec.id, ("gone", *al.spec.datetimes))
+        place = F.array_position(F.array(*[F.lit(c) for c in frame.columns]), F.col("column_name")).cast("int")
+        parts.append(definition_table(frame, definition).select(F.lit(side).alias("side"), place.alias("position"), "column_name", "kind", "non_null"))
+    return parts[0].unionByName(parts[1])
+
+
 # --------------------------------------------------------------- definitions
 def classify_columns(spark, sf_dir):
     coerced, definition = define(table(spark, sf_dir, "orders"), "o_orderkey", ("o_orderdate",))
@@ -238,6 +272,18 @@ def id_list_pages(spark, sf_dir):
     return id_pages(selection_with_nulls(spark, sf_dir), "run_id", "building_id", CAP)
 
 
+LARGE_CAP = 5000
+STATUS_SQL = "SELECT CAST(instr('FOP', o_orderstatus) AS BIGINT) AS run_id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS building_id FROM orders"
+
+
+def bounded_id_list_large(spark, sf_dir):
+    """Three runs of many ids, cut at a number beyond the session's group limit."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.expr("instr('FOP', o_orderstatus)").cast("bigint").alias("run_id"),
+                    F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey")).alias("building_id"))
+    return bounded_ids(rows, "run_id", "building_id", LARGE_CAP)
+
+
 def bounded_id_list_nulls(spark, sf_dir):
     return bounded_ids(selection_with_nulls(spark, sf_dir), "run_id", "building_id", CAP)
 
@@ -258,7 +304,8 @@ def view_links_run(spark, sf_dir):
 
 # ------------------------------------------------------ conversion, scans
 def _roundtrip_sql(name: str) -> str:
-    """Names, types and contents of a lossless copy, counted over the table itself."""
+    """What a lossless copy must give, whatever the table: a constant (the queries with
+    planted differences are the ones whose SQL can differ)."""
     copy = f"SELECT * FROM {name}"
     return f"""WITH d AS (
   SELECT (SELECT count(*) FROM ({copy} EXCEPT ALL {copy}) l) + (SELECT count(*) FROM ({copy} EXCEPT ALL {copy}) r) AS n)
@@ -283,6 +330,57 @@ def compare_planted(spark, sf_dir):
     return compare_tables(spark, orders, orders.where("o_orderkey % 101 <> 0").withColumn("o_orderpriority", changed))
 
 
+def differing_rows(spark, sf_dir):
+    """The rows themselves of that comparison, each with how often one side has it more."""
+    orders = table(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderpriority"))
+    return row_differences(orders, orders.where("o_orderkey % 101 <> 0").withColumn("o_orderpriority", changed))
+
+
+DIFFERING_SQL = f"""WITH b AS (SELECT * REPLACE ({PLANTED_CHANGED} AS o_orderpriority) FROM orders WHERE o_orderkey % 101 <> 0)
+SELECT count(*) AS only_left, CAST(0 AS BIGINT) AS only_right, l.* FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM b) l GROUP BY ALL
+UNION ALL
+SELECT CAST(0 AS BIGINT), count(*), r.* FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM orders) r GROUP BY ALL"""
+
+
+def differing_columns(spark, sf_dir):
+    """Orders against a copy with a column renamed, one retyped, one with other values and one more."""
+    orders = table(spark, sf_dir, "orders")
+    other = (orders.withColumn("o_custkey", F.col("o_custkey").cast("string"))
+             .withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderpriority")))
+             .withColumnRenamed("o_totalprice", "price").withColumn("extra", F.lit(1)))
+    return column_differences(orders, other)
+
+
+def _differing_columns_sql() -> str:
+    """Names and types as DuckDB describes both tables; values by EXCEPT ALL, column by column."""
+    other = (f"SELECT * REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey, {PLANTED_CHANGED} AS o_orderpriority) "
+             "RENAME (o_totalprice AS price), 1 AS extra FROM orders")
+    pairs = [(c, "price" if c == "o_totalprice" else c) for c in ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")]
+    counts = " UNION ALL ".join(
+        f"SELECT '{x}' AS c, (SELECT count(*) FROM (SELECT {x} FROM orders EXCEPT ALL SELECT {y} FROM o) l) AS only_left, "
+        f"(SELECT count(*) FROM (SELECT {y} FROM o EXCEPT ALL SELECT {x} FROM orders) r) AS only_right" for x, y in pairs)
+    described = "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name, column_type FROM (DESCRIBE {})"
+    return f"""WITH o AS ({other}), a AS ({described.format("SELECT * FROM orders")}), b AS ({described.format(other)}), n AS ({counts})
+SELECT position, a.column_name AS left_column, b.column_name AS right_column,
+       coalesce(a.column_name = b.column_name, false) AS same_name, coalesce(a.column_type = b.column_type, false) AS same_type, only_left, only_right
+FROM a FULL JOIN b USING (position) LEFT JOIN n ON n.c = a.column_name"""
+
+
+# Text that a CSV is apt to lose: breaks, quotes, the null marker, blanks, nothing.  One text for both engines.
+AWKWARD = """CASE doc_id % 6 WHEN 0 THEN replace(text, ' ', chr(13) || chr(10)) WHEN 1 THEN replace(text, 'e', chr(92) || 'N","' || chr(92))
+WHEN 2 THEN chr(92) || 'N' WHEN 3 THEN '  ' || text || chr(9) WHEN 4 THEN '' END"""
+
+
+def csv_text_scan(spark, sf_dir):
+    """Documents with awkward text through a CSV that splits, row by row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(AWKWARD).alias("text"))
+    path = scratch_path(spark, "csv-text")
+    write_csv(docs, path)
+    back = read_exact_csv(spark, path, docs.schema)
+    return back.select("doc_id", "lang", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def roundtrip_parquet(spark, sf_dir):
     return roundtrip_check(spark, table(spark, sf_dir, "customer"), scratch_path(spark, "roundtrip-parquet"))
 
@@ -298,8 +396,7 @@ def convert_csv_parquet(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     csv_path = scratch_path(spark, "convert-csv")
     write_csv(orders, csv_path)
-    parquet = csv_to_parquet(spark, csv_path, scratch_path(spark, "convert-parquet"), orders.schema,
-                             **CSV_READBACK_OPTIONS)
+    parquet = csv_to_parquet(spark, csv_path, scratch_path(spark, "convert-parquet"), orders.schema, exact=True)
     return compare_tables(spark, orders, parquet)
 
 
@@ -316,6 +413,15 @@ def split_json_scan(spark, sf_dir):
     return read_split_json(spark, path, orders.schema, index_col=None)
 
 
+def split_document_scan(spark, sf_dir):
+    """Documents as whole-file split documents, one a partition, read back by byte ranges."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
+    path = scratch_path(spark, "split-documents")
+    write_split_json(docs, path, rows_per_doc=2 ** 31)
+    back = read_split_document(spark, path, docs.schema, index_col=None, range_bytes=1 << 20)
+    return back.select("doc_id", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def drift_stream_events(spark, sf_dir):
     """Events from 2024-01-16 on arrive as a stream (the events file is the
     source); each micro-batch is scored against the earlier events."""
@@ -357,6 +463,34 @@ def experiments_table(spark, sf_dir):
                     F.size("tags").alias("n_tags"))
 
 
+def _run_exports(spark, sf_dir) -> list[DataFrame]:
+    """Three run exports with different columns, derived from customer, supplier and orders."""
+    c, s, o = (table(spark, sf_dir, n) for n in ("customer", "supplier", "orders"))
+    start = F.lit(1_700_000_000_000)
+    return [
+        c.select(F.concat(F.lit("c"), "c_custkey").alias("run_id"), F.col("c_nationkey").cast("string").alias("experiment_id"),
+                 F.lit("FINISHED").alias("status"), (start + F.col("c_custkey") * 1000).alias("start_time"),
+                 F.col("c_mktsegment").alias("params.segment"), F.col("c_acctbal").alias("metrics.balance"),
+                 F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("tags.owner")),
+        s.select(F.concat(F.lit("s"), "s_suppkey").alias("run_id"), F.col("s_nationkey").cast("bigint").alias("experiment_id"),
+                 F.col("s_acctbal").cast("string").alias("metrics.balance"), F.lit(1).alias("metrics.rank"),
+                 F.lit("x").alias("stage")),
+        o.select(F.concat(F.lit("o"), "o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"),
+                 F.col("o_orderdate").alias("end_time"), F.col("o_custkey").alias("params.customer"),
+                 F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("metrics.price"), F.col("o_orderpriority").alias("tags.priority"))]
+
+
+def runs_table(spark, sf_dir):
+    """Runs of three exports as one typed table, its maps listed as text."""
+    def listed(name):
+        pairs = F.transform(F.array_sort(F.map_keys(name)), lambda k: F.concat(k, F.lit("="), F.col(name)[k].cast("string")))
+        return F.array_join(pairs, ";").alias(name)
+
+    every = merge_runs(_run_exports(spark, sf_dir))
+    return every.select("run_id", "experiment_id", "status", "start_time", "end_time", listed("params"), listed("tags"), listed("others"),
+                        F.col("metrics")["balance"].alias("balance"), F.col("metrics")["price"].alias("price"), F.size("metrics").alias("n_metrics"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_columns_orders": drift_columns_orders,
     "drift_summary_orders": drift_summary_orders,
@@ -389,6 +523,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drift_tests_edges": drift_tests_edges,
     "drift_columns_edges": drift_columns_edges,
     "drift_stream_events": drift_stream_events,
+    "differing_rows": differing_rows,
+    "differing_columns": differing_columns,
+    "csv_text_scan": csv_text_scan,
+    "split_document_scan": split_document_scan,
+    "runs_table": runs_table,
+    "bounded_id_list_large": bounded_id_list_large,
+    "drift_unpaired": drift_unpaired,
+    "aligned_sides": aligned_sides,
 }
 
 _ORDERS_COLS = oracle.drift_columns_sql(ORDERS_SRC, ["o_custkey", "o_totalprice"],
@@ -398,7 +540,34 @@ _EVENTS_COLS = oracle.drift_columns_sql(EVENTS_SRC, ["user_id", "value"], ["even
 
 _EDGES_COLS = oracle.drift_columns_sql(EDGES_SRC, ["odd", "same", "one_side", "shifted"], ["status"])
 
+_NULL_RUN = "CAST(NULL AS VARCHAR)"
+
 ORACLE_SQL: dict[str, str] = {
+    "differing_rows": DIFFERING_SQL,
+    "differing_columns": _differing_columns_sql(),
+    "csv_text_scan": f"""SELECT doc_id, lang, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256
+FROM (SELECT *, {AWKWARD} AS t FROM documents) d""",
+    "split_document_scan": "SELECT doc_id, lang, n_chars, sha256(text) AS text_sha256 FROM documents",
+    "bounded_id_list_large": oracle.bounded_ids_sql(STATUS_SQL, 5000),
+    "drift_unpaired": f"""{oracle.drift_columns_sql(LOOSE_SRC, ["half"], ["status"])}
+UNION ALL SELECT 'o_totalprice', 'unpaired', CAST(0 AS BIGINT), count(o_totalprice), CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(NULL AS BOOLEAN) FROM orders
+UNION ALL SELECT 'day', 'unpaired', CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(o_orderdate), CAST(NULL AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(NULL AS BOOLEAN) FROM orders""",
+    "aligned_sides": """
+WITH n AS (SELECT count(o_orderkey) AS k, count(o_custkey) AS c, count(o_orderpriority) AS p, count(o_orderstatus) AS s FROM orders)
+SELECT 'reference' AS side, CAST(1 AS INTEGER) AS position, 'key' AS column_name, 'id' AS kind, k AS non_null FROM n
+UNION ALL SELECT 'reference', 2, 'half', 'numerical', c FROM n UNION ALL SELECT 'reference', 3, 'status', 'categorical', p FROM n
+UNION ALL SELECT 'current', 1, 'key', 'id', k FROM n UNION ALL SELECT 'current', 2, 'half', 'numerical', c FROM n
+UNION ALL SELECT 'current', 3, 'status', 'categorical', s FROM n""",
+    "runs_table": f"""
+SELECT 'c' || CAST(c_custkey AS VARCHAR) AS run_id, CAST(c_nationkey AS BIGINT) AS experiment_id, 'FINISHED' AS status,
+       epoch_ms(1700000000000 + c_custkey * 1000) AS start_time, CAST(NULL AS TIMESTAMP) AS end_time, 'segment=' || c_mktsegment AS params,
+       CASE WHEN c_custkey % 3 = 0 THEN 'owner=' || c_name ELSE '' END AS tags, '' AS others, CAST(c_acctbal AS DOUBLE) AS balance,
+       CAST(NULL AS DOUBLE) AS price, CAST(1 AS INTEGER) AS n_metrics FROM customer
+UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS BIGINT), {_NULL_RUN}, NULL, NULL, '', '', 'stage=x', CAST(s_acctbal AS DOUBLE),
+       NULL, 2 FROM supplier
+UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), NULL, o_orderstatus, NULL, CAST(o_orderdate AS TIMESTAMP), 'customer=' || CAST(o_custkey AS VARCHAR),
+       'priority=' || o_orderpriority, '', NULL, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS DOUBLE) END,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) FROM orders""",
     "compare_planted": PLANTED_SQL,
     "drift_columns_edges": _EDGES_COLS,
     "drift_tests_edges": oracle.drift_tests_sql(_EDGES_COLS),

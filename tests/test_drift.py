@@ -229,7 +229,7 @@ def test_compare_frames_end_to_end_property(spark, data):
     if not scored:
         return
     got = {r.column_name: r for r in compare_frames(spark.createDataFrame(ref, schema),
-                                                    spark.createDataFrame(cur, schema), spec).columns.collect()}
+                                                    spark.createDataFrame(cur, schema), spec, empty="null").columns.collect()}
     assert set(got) == set(scored)      # booleans are not scored
     for j, (n, t) in enumerate(zip(names, types)):
         if t == "boolean":

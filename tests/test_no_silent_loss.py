@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from driftwise import session
 from driftwise.__main__ import main
 from driftwise.functions.scalar import parse_timestamp
-from driftwise.operators.align import align_positional
+from driftwise.operators.align import ColumnGroups, align_positional
+from driftwise.operators.compare import compare_frames, compare_groups
 from driftwise.operators.roundtrip import compare_tables
 from driftwise.sources.files import read_csv
 from driftwise.sources.split_json import read_split_json
@@ -92,3 +93,29 @@ def test_no_local_scratch_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session())
+
+
+def test_unpaired_columns_are_in_the_report(spark):
+    """Loose sides: what has no partner is listed with its own count, tested as skipped, not scored."""
+    ref = spark.createDataFrame([(1, 2.0, "x", None), (2, 3.0, "y", "z")], "rid bigint, a double, b string, `c d` string")
+    cur = spark.createDataFrame([(2.0, "x", "2024-01-01")], "x double, y string, t string")
+    report = compare_frames(ref, cur, DatasetSpec(features=("a", "b", "c d"), id="rid"),
+                            DatasetSpec(features=("x", "y"), datetimes=("t",)), strict=False)
+    rows = {r.column_name: r for r in report.columns.collect()}
+    assert {n: (r.kind, r.ref_count, r.cur_count, r.psi is None) for n, r in rows.items()} == {
+        "x": ("numerical", 2, 1, False), "y": ("categorical", 2, 1, False), "rid": ("unpaired", 2, 0, True),
+        "c d": ("unpaired", 1, 0, True), "t": ("unpaired", 0, 1, True)}
+    assert report.summary.first().scored_columns == 2
+    assert {r.column_name: r.status for r in report.tests.collect() if r.column_name in ("rid", "t", "c d")} == dict.fromkeys(("rid", "t", "c d"), "SKIPPED")
+
+
+def test_an_empty_side_raises(spark):
+    df, spec = spark.range(5).selectExpr("CAST(id AS DOUBLE) v"), DatasetSpec(features=("v",))
+    for ref, cur, what in ((df.limit(0), df, "empty reference"), (df, df.where("v > 9"), "empty current"), (None, df, "missing reference")):
+        with pytest.raises(ValueError, match=what):
+            compare_frames(ref, cur, spec)
+    assert compare_frames(df, df.limit(0), spec, empty="null").columns.first().psi is None
+    with pytest.raises(ValueError, match="empty data"):
+        compare_groups(df.withColumn("w", F.col("v")).limit(0), ColumnGroups(new_features=("v",), ref_features=("w",)))
+    with pytest.raises(ValueError, match="raise"):
+        compare_frames(df, df, spec, empty="maybe")
