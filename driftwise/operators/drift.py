@@ -7,30 +7,30 @@ string); see :mod:`driftwise.operators.align`.
 PSI over bins *i* is ``sum_i (c_i - r_i) * ln(c_i / r_i)`` with ``r_i``,
 ``c_i`` the shares of reference and current rows in bin *i*.
 
-Plan shape (every step is a built-in operator, no UDF).  Columns are
-processed in chunks of ``CHUNK_COLUMNS``, numerical and categorical ones
-separately.
-
-Numerical chunk (two passes over the chunk's columns):
-
-1. one global aggregate over the paired rows -> a single row holding, per
-   column, min / max of the usable values and the usable count per side; it
-   is unrolled into one row per column (``inline``).  Partial aggregation
-   leaves one row per task before the single-partition exchange.
-2. each row is unpivoted with ``stack`` (an int column id, the usable
-   double) and joined on the id with that per-column table (broadcast: its
-   size is the number of columns, fixed by the schema); values get an
-   equal-width bin over the pooled range and are counted per
-   ``(column id, bin)`` and side.  Partial aggregation shrinks every task's
+Plan shape (every step is a built-in operator, no UDF), for any number of columns.
+
+Numerical columns, two passes over their columns:
+
+1. every row becomes one narrow row per column, ``posexplode`` of an array: the
+   column's number and its usable double.  They are aggregated by number to
+   min / max and the count per side; partial aggregation leaves one row per
+   column and task before the exchange.
+2. the same narrow rows are joined on the number with that per-column table
+   (broadcast: its size is the number of columns, fixed by the schema); values get
+   an equal-width bin over the pooled range and are counted per
+   ``(column number, bin)`` and side.  Partial aggregation shrinks every task's
    output to at most columns x bins rows before the shuffle.
 
-Categorical chunk (one pass): each row is unpivoted with ``stack`` (an int
-column id, the text value) and counted per ``(column id, value)`` and side;
-partial aggregation folds a hot value map-side.  The per-side totals are a
-per-column sum over those counts (one row per column), broadcast back.
+No aggregate grows with the number of columns, so the generated code stays small
+and the table is scanned twice, however wide it is.
 
-Finally the chunks' counts (small) are unioned and a second aggregation sums
-the PSI terms per column; names and kinds come back from the column id
+Categorical columns, one pass: the same narrow rows with the text value, counted
+per ``(column number, value)`` and side; partial aggregation folds a hot value
+map-side.  The per-side totals are a per-column sum over those counts (one row per
+column), broadcast back.
+
+Finally both counts (small) are unioned and a second aggregation sums
+the PSI terms per column; names and kinds come back from the column number
 through literal arrays.  Nothing is collected to the driver.
 """
 
@@ -96,13 +96,6 @@ def _markers(paired: DataFrame, definition: DataDefinition) -> DataFrame:
                         "CAST(NULL AS INT) AS k"))
 
 
-# Scored columns are processed in chunks of this many: four aggregates a column
-# have to stay below the 100 fields up to which Spark generates code (wider
-# aggregates are evaluated several times slower per row).  On Parquet each
-# chunk's scan reads only its own columns.
-CHUNK_COLUMNS = 24
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """``UNION ALL`` of many frames with the same columns, as a balanced
     tree: each step re-analyzes only its own subtree, so building the plan
@@ -115,34 +108,18 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def _chunks(definition: DataDefinition) -> list[tuple[int, list[tuple[str, str]]]]:
-    """(first column id, columns) per chunk; numerical and categorical
-    columns are chunked separately since they are counted differently."""
-    cols = _columns(definition)
-    n_num = len(definition.numerical)
-    out = []
-    for lo, hi in ((0, n_num), (n_num, len(cols))):
-        out += [(i, cols[i:min(i + CHUNK_COLUMNS, hi)]) for i in range(lo, hi, CHUNK_COLUMNS)]
-    return out
+def _long(paired: DataFrame, first: int, cells: list[str], value: str) -> DataFrame:
+    """One row per row and column: side, ``cid`` (``first``, ``first + 1``, ...) and the non-null value."""
+    exploded = paired.selectExpr(SIDE, f"posexplode(array({', '.join(cells)})) AS (pos, {value})")
+    return exploded.where(F.col(value).isNotNull()).selectExpr(SIDE, f"pos + {first} AS cid", value)
 
 
-def _chunk_stats(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
-    """``cid, lo, hi, nr, nc, k`` for the numerical columns ``first, first + 1, ...``:
-    range and per-side count of usable values, number of equal-width bins.
-
-    One global aggregate over the chunk's columns, written as SQL text: one
-    call to the JVM per step instead of several per column.
-    """
-    aggs, rows = [], []
-    for i, (c, _) in enumerate(cols, start=first):
-        v = _usable_sql(c)
-        aggs += [f"min({v}) AS lo{i}", f"max({v}) AS hi{i}",
-                 f"count_if({v} IS NOT NULL AND {SIDE} = {REF}) AS nr{i}",
-                 f"count_if({v} IS NOT NULL AND {SIDE} = {CUR}) AS nc{i}"]
-        k = _sturges_sql(f"(nr{i} + nc{i})")
-        rows.append(f"named_struct('cid', {i}, 'lo', lo{i}, 'hi', hi{i}, 'nr', nr{i}, 'nc', nc{i}, 'k', {k})")
-    wide = paired.selectExpr(*aggs)          # aggregates only: one global aggregate
-    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
+def _stats(long: DataFrame) -> DataFrame:
+    """``cid, lo, hi, nr, nc, k``: range and per-side count of a column's usable
+    values, and its number of equal-width bins."""
+    found = long.groupBy("cid").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                    F.expr(f"count_if({SIDE} = {REF})").alias("nr"), F.expr(f"count_if({SIDE} = {CUR})").alias("nc"))
+    return found.selectExpr("*", f"{_sturges_sql('(nr + nc)')} AS k")
 
 
 # Equal-width bin of v over [lo, hi] in k bins, the top edge in the last bin.
@@ -164,9 +141,8 @@ def _categorical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str
     aggregated) counts, broadcast back on the column id (one row per
     column).  Both read the same counts exchange, which Spark reuses.
     """
-    cells = [f"{i}, CAST({ident(c)} AS STRING)" for i, (c, _) in enumerate(cols, start=first)]
-    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, value)")
-    counts = (long.where(F.col("value").isNotNull()).groupBy("cid", "value")
+    long = _long(paired, first, [f"CAST({ident(c)} AS STRING)" for c, _ in cols], "value")
+    counts = (long.groupBy("cid", "value")
                   .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
                        F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count")))
     if totals:
@@ -180,10 +156,8 @@ def _categorical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str
 
 
 def _numerical_counts(paired: DataFrame, first: int, cols: list[tuple[str, str]]) -> DataFrame:
-    stats = _chunk_stats(paired, first, cols)
-    cells = [f"{i}, {_usable_sql(c)}" for i, (c, _) in enumerate(cols, start=first)]
-    long = paired.selectExpr(SIDE, f"stack({len(cells)}, {', '.join(cells)}) AS (cid, v)")
-    joined = long.join(F.broadcast(stats), "cid")
+    long = _long(paired, first, [_usable_sql(c) for c, _ in cols], "v")
+    joined = long.join(F.broadcast(_stats(long)), "cid")      # a row a column
     counts = (joined.groupBy("cid", F.expr(_BIN_SQL).alias("bin"))
                     .agg(F.expr(f"count_if({SIDE} = {REF})").alias("ref_count"),
                          F.expr(f"count_if({SIDE} = {CUR})").alias("cur_count"),
@@ -197,23 +171,18 @@ def bin_counts(paired: DataFrame, definition: DataDefinition, totals: bool = Tru
     """Counts per side of every bin (numerical) and value (categorical):
     ``cid, bin, value, ref_count, cur_count, nr, nc, lo, hi, k``.
 
-    ``bin`` is set for numerical columns, ``value`` for categorical ones; a
-    numerical row with a null bin counts the unusable values (null, NaN,
-    infinity).  Without ``totals`` the categorical ``nr`` / ``nc`` stay null.
-
-    Per chunk of numerical columns, each row becomes one row per column (``stack``:
-    an int column id and the usable double), is joined on
-    the id with the chunk's statistics (broadcast; one row per column) and
-    counted per ``(cid, bin)``.  The per-column constants ride along
-    as ``max`` aggregates instead of widening the grouping key.  Equal-width
-    bins over [lo, hi]; the top edge belongs to the last bin.  Categorical
-    chunks are counted in one pass (see :func:`_categorical_counts`).
+    ``bin`` is set for numerical columns, ``value`` for categorical ones; unusable
+    values (null, NaN, infinity) are in no row.  Without ``totals`` the categorical
+    ``nr`` / ``nc`` stay null.  The per-column constants of numerical columns ride
+    along as ``max`` aggregates instead of widening the grouping key.
     """
-    chunks = _chunks(definition)
-    if not chunks:
+    cols, n = _columns(definition), len(definition.numerical)
+    if not cols:
         raise ValueError("nothing to score: no numerical or categorical column")
-    return union_all([_numerical_counts(paired, first, cols) if cols[0][1] == "numerical"
-                      else _categorical_counts(paired, first, cols, totals) for first, cols in chunks])
+    parts = [_numerical_counts(paired, 0, cols[:n])] if n else []
+    if cols[n:]:
+        parts.append(_categorical_counts(paired, n, cols[n:], totals))
+    return union_all(parts)
 
 
 def _lookup(definition: DataDefinition, which: int, cid: str = "cid") -> Column:

@@ -66,7 +66,7 @@ def test_drift_plan_prunes_and_broadcasts_bounded_side(spark):
         assert cols <= allowed, sch          # never the id, never unused columns
     assert "PushedFilters: [IsNotNull(o_orderdate)]" in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "Generate stack(" in plan and "PythonUDF" not in plan and "BatchEvalPython" not in plan
+    assert "Generate posexplode(" in plan and "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
 def test_links_plan_has_group_limit(spark):
