@@ -334,7 +334,8 @@ def divide(big: DataFrame, points: DataFrame, percent: int, leaf_points: int, pi
               .where(F.col("d") <= F.col("least") + 2 * limit + 1e-9)
               .join(cells.withColumnRenamed("home", "j"), ["region", "j"])
               .where((F.col("d") >= F.col("lo") - limit - 1e-9) & (F.col("d") <= F.col("hi") + limit + 1e-9)))
-    kind = F.when(F.col("joined"), 2).when((F.col("kind") == 1) & (F.col("j") == F.col("home")), 1).otherwise(0)
+    # a connected set that was not taken is compared like any other point
+    kind = F.when(F.col("joined"), 2).when((F.col("kind") > 0) & (F.col("j") == F.col("home")), 1).otherwise(0)
     return edges, window.select(F.xxhash64("region", "j", F.lit("cell")).alias("region"), "p", kind.cast("int").alias("kind"))
 
 

@@ -149,10 +149,12 @@ class PieceEncoder:
 
 
 def encode_block(buf: np.ndarray, offsets: np.ndarray, encoder: PieceEncoder,
-                 whole: Callable[[list[str]], list[list[int]]] | None, splitter=split) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a block, and how many each text has.  ``whole`` encodes texts beyond ``LATIN``;
-    without it ``splitter`` takes every text."""
+                 whole: Callable[[list[str]], list[list[int]]] | None, splitter=split, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block, and how many each text has.  ``whole`` encodes texts beyond ``LATIN``
+    and the texts marked in ``more``; without it ``splitter`` takes every text."""
     odd = foreign(buf, offsets) if whole else np.zeros(len(offsets) - 1, dtype=bool)
+    if whole and more is not None:
+        odd |= more
     if not odd.any():
         return _encode_plain(buf, offsets, encoder, splitter)
     plain = np.flatnonzero(~odd)

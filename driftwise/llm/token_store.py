@@ -14,6 +14,9 @@ Files are written under a name of the task attempt and then moved to their own,
 so a task run again after a lost executor leaves one whole file.  They live below
 the given folder, on whatever file system its URI names.
 
+Texts are encoded as the tokenizers library does by default, strings of special tokens
+included: a text that holds one goes to the library whole.
+
 Defined cases: a null text counts as empty; a null key is stored under the
 smallest 64-bit integer; keys are integers (cast to long); rows with one key are
 separate records of that key, in the order of their text's hash; a missing key
@@ -112,7 +115,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def whole(texts: list[str]) -> list[list[int]]:
         out = []
@@ -141,7 +144,19 @@ def _tokenizer(path: str):
         at[order] = np.cumsum(sizes[order]) - sizes[order]
         return np.concatenate(parts)[ragged(at, sizes)], sizes
 
-    return tokenizer.get_vocab_size(), PieceEncoder(new), whole
+    return tokenizer.get_vocab_size(), PieceEncoder(new), whole, added
+
+
+def _holding(data: bytes, offsets: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """Which texts of a block hold one of the tokenizer's added tokens: the library cuts a text there first."""
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    for token in added:
+        at = data.find(token)
+        while at >= 0:
+            text = int(np.searchsorted(offsets, at, "right")) - 1
+            out[text] |= at + len(token) <= offsets[text + 1]
+            at = data.find(token, at + 1)
+    return out
 
 
 class _Shard:
@@ -186,14 +201,14 @@ class _Shard:
 
 def _write(batches, root, tokenizer, end_id, shard_bytes):
     fs, folder = FileSystem.from_uri(root)
-    size, encoder, whole = _tokenizer(tokenizer)
+    size, encoder, whole, added = _tokenizer(tokenizer)
     width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
     context = TaskContext.get()
     part, seq, shard, rows = context.partitionId(), 0, None, []
     for batch in batches:
         keys = batch["key"].fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
         for first, last, buf, offsets in blocks(batch["text"]):
-            ids, counts = encode_block(buf, offsets, encoder, whole, split)
+            ids, counts = encode_block(buf, offsets, encoder, whole, split, _holding(buf.tobytes(), offsets, added))
             closed = np.full(len(ids) + len(counts), end_id, np.uint32)
             inner = np.ones(len(closed), dtype=bool)
             inner[np.cumsum(counts + 1) - 1] = False

@@ -7,6 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from driftwise.llm import (bpe, decontaminate, jaccard_join, language, language_model, line_dedup, neighbours, pieces, quality,
                            queries, substring_dedup, token_store)
@@ -135,7 +136,7 @@ def test_pieces_and_tree_match_the_libraries():
     for cutter in (partial(pieces.split, kinds=kinds), partial(bpe.tree_split, leaf_bytes=8, kinds=kinds), partial(bpe.tree_split, kinds=kinds)):
         ids, counts = next((pieces.encode_block(b, o, encoder, None, cutter)) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoding.encode_ordinary(t) for t in texts]
-    _, encoder, whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))
+    _, encoder, whole, _ = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))
     ids, counts = next(pieces.encode_block(b, o, encoder, whole) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole(texts)
 
@@ -148,9 +149,28 @@ def test_bpe_round_trip(spark, corpus):
     assert bpe.encode_and_decode(frame.limit(0), path).count() == 0
 
 
+def _library():
+    """The tokenizers library as it comes, apart from the module's own object."""
+    fresh = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    return lambda texts: [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>\n", "<|endoftext|", "|endoftext|>", "<|endo", "ftext|>é日<|endoftext|>"]
+
+
+def test_special_strings(spark, tmp_dir):
+    """Strings of special tokens, whole, cut, and side by side with other rows."""
+    docs = list(enumerate(SPECIAL * 3 + ["word " * 300_000 + "<|endoftext|>"]))
+    store = token_store.write_store(_frame(spark, docs), f"{tmp_dir}/store", public_tokenizers.path(queries.TOKENIZER))
+    rows = token_store.fetch(spark, store, _frame(spark, docs).select("doc_id")).collect()
+    want = _library()([t for _, t in docs])
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*ids, 0] for (i, _), ids in zip(docs, want, strict=True)}
+    assert 50256 in want[0]
+
+
 def test_token_store(spark, tmp_dir, corpus):
     docs = [*corpus, (900, "a second text"), (None, "no key")]
-    whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))[2]
+    whole = _library()
     store = token_store.write_store(_frame(spark, docs), f"{tmp_dir}/store", public_tokenizers.path(queries.TOKENIZER), shard_bytes=2000)
     assert store.manifest.count() > 3
     keys = spark.createDataFrame([(i,) for i in {d[0] for d in docs} | {-5, 10 ** 9}], "doc_id bigint")
@@ -259,7 +279,7 @@ def test_contamination(spark):
 
 def test_token_store_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
-    whole = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))[2]
+    whole = _library()
     got = {r.doc_id: tuple(r)[1:] for r in queries.op1_token_store(spark, SF).collect()}
     at = 0
     for d, ids in zip(docs, whole([d.text or "" for d in docs]), strict=True):

@@ -39,6 +39,48 @@ def test_families_in_divided_cells(spark, seed, shift):
     assert got == {i: c for i, (_, c) in brute.components(docs).items()}
 
 
+def _links(spark, sets, kinds, pivots):
+    """What ``divide`` makes of one region: its edges and its cells."""
+    points = spark.createDataFrame([(p, np.array(sorted(s), np.uint64).tobytes()) for p, s in sets.items()], "s1 long, shingles binary")
+    big = spark.createDataFrame([(1, p, kinds[p]) for p in sets], "region long, p long, kind int")
+    edges, cells = jaccard_join.divide(big, points, 80, 3, pivots)
+    rows = {}
+    for r in cells.collect():
+        rows.setdefault(r.region, {})[r.p] = r.kind
+    return {frozenset((e.u, e.v)) for e in edges.collect()}, [c for c in rows.values() if 1 in c.values() and len(c) > 1]
+
+
+def test_a_connected_set_that_is_not_taken_is_compared(spark):
+    """Seven copies of P, b linked to P; a, connected before, is linked to b alone."""
+    p = set(range(1, 101))
+    b = set(range(11, 101)) | set(range(201, 206))
+    a = set(range(21, 101)) | set(range(201, 216))
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert near(p, b) and near(b, a) and not near(p, a)
+    sets = {10 + i: p for i in range(7)} | {20: b, 30: a}
+    edges, cells = _links(spark, sets, {k: 2 if k == 30 else 1 for k in sets}, 1)
+    together = [c for c in cells if 20 in c and 30 in c]
+    assert frozenset((20, 30)) in edges or any(1 in (c[20], c[30]) for c in together)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_random_tables_with_tiny_leaves(spark, seed):
+    """Five tables of near copies a seed, in one table of their own words each."""
+    docs = []
+    for table in range(5):
+        r = random.Random(1000 * seed + table)
+        base = [f"t{table}w{i}" for i in range(60)]
+        texts = [base]
+        for _ in range(r.randint(8, 14)):
+            w = list(r.choice(texts))
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"t{table}x{r.randrange(40)}"
+            texts.append(w)
+        docs += [(100 * table + i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in jaccard_join.join(_docs(spark, docs), leaf_points=3, pivots=2, depth=3).collect()}
+    assert got == {i: c for i, (_, c) in brute.components(docs).items()}
+
+
 def test_substrings_of_every_period(spark):
     """Periodic texts, alone and as copies: each unit has letters of its own, so periods do not meet."""
     r = random.Random(4)
