@@ -98,6 +98,17 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
+def to_planes(x: np.ndarray) -> bytes:
+    """An array byte by byte, all lowest bytes first: planes that hardly change compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def of_planes(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    flat = np.frombuffer(data, np.uint8).reshape(dtype.itemsize, len(data) // dtype.itemsize)
+    return np.ascontiguousarray(flat.T).view(dtype).ravel()
+
+
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     """Deal packed rows to their shards, a shard's rows side by side."""
     spark = rows.sparkSession

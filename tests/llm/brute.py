@@ -78,6 +78,51 @@ def base_scores(docs):
             for i, ws in tokens.items()}
 
 
+def interpolated(docs, parts, rounds=30):
+    """id -> log10 probability under plain deleted interpolation; part 0 is not learned from, part 1 is held out for the weights."""
+    texts = {i: [*words(t), "\n"] for i, t in docs}
+    pairs = {i: list(zip(["\t", *t], t)) for i, t in texts.items()}
+
+    def counts(which):
+        own = [i for i in texts if which(parts[i])]
+        single, both = Counter(w for i in own for w in texts[i]), Counter(p for i in own for p in pairs[i])
+        return single, both, single | Counter({"\t": len(own)}), sum(single.values())
+
+    def parts_of(u, v, model):
+        single, both, context, total = model
+        c = context[u]
+        return int(math.log2(c + 1)), both[u, v] / max(c, 1), single[v] / max(total, 1)
+
+    every, fit, held = counts(lambda p: p > 0), counts(lambda p: p > 1), counts(lambda p: p == 1)
+    uniform = 1 / (len(every[0]) + 1)
+    seen = defaultdict(list)
+    for (u, v), n in held[1].items():
+        bucket, pair, one = parts_of(u, v, fit)
+        seen[bucket].append((n, (uniform, one, pair)))
+    weights = {}
+    for bucket, rows in seen.items():
+        w, total = [0.2, 0.3, 0.5], sum(n for n, _ in rows)
+        for _ in range(rounds):
+            share = [0.0] * 3
+            for n, p in rows:
+                mixed = sum(a * b for a, b in zip(w, p))
+                for k in range(3):
+                    share[k] += n * w[k] * p[k] / mixed
+            w = [max(x / total, 1e-6) for x in share]
+            w = [x / sum(w) for x in w]
+        weights[bucket] = w
+    near = [weights[min(weights, key=lambda k: (abs(k - b), k))] for b in range(64)] if weights else [[0.2, 0.3, 0.5]] * 64
+
+    def score(i):
+        out = 0.0
+        for u, v in pairs[i]:
+            bucket, pair, one = parts_of(u, v, every)
+            out += math.log10(sum(a * b for a, b in zip(near[bucket], (uniform, one, pair))))
+        return out
+
+    return {i: score(i) for i in texts}, near
+
+
 def plain_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

@@ -117,7 +117,7 @@ def test_language_model_beats_single_words(spark):
 
 def test_mixture_is_a_probability(spark):
     """The classes' probabilities after a context add up to one."""
-    docs = _frame(spark, [(i, "a b a c") for i in range(30)]).select(F.lit(2).alias("part"), "text")
+    docs = language_model.placed(_frame(spark, [(i, "a b a c") for i in range(30)]).select(F.lit(2).alias("part"), "text"))
     model = language_model.train(docs)
     classes = np.arange(model.rare + 1, dtype=np.uint32)
     words = model.classes(language_model.words(*list(blocks(pa.array(["a b c"])))[0][2:])[0])

@@ -132,3 +132,52 @@ def test_scores_do_not_depend_on_the_vocabulary(spark):
     for other in (few, one):
         assert {i: x[:3] for i, x in other.items()} == {i: x[:3] for i, x in whole.items()}
         assert all(other[i] == pytest.approx(x, rel=1e-5) for i, x in whole.items())
+
+
+def _prose(seed, n, most=60):
+    r = random.Random(seed)
+    return [(i, " ".join(f"w{min(r.randrange(1, 400), r.randrange(1, 400))}" for _ in range(r.randrange(most)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [65_532, 40])
+def test_scores_of_plain_deleted_interpolation(spark, size):
+    """Score and weights against plain counts and plain expectation-maximisation over them."""
+    docs = [*_prose(8, 300), (900, None), (901, ""), (902, "never seen words"), (903, "w1 w1 unseen w1")]
+    parts = {i: (0 if i % 10 == 0 or i >= 900 else 1 if i % 10 in (1, 2, 3) else 2) for i, _ in docs}
+    part = F.when((F.col("doc_id") % 10 == 0) | (F.col("doc_id") >= 900), 0).when(F.col("doc_id") % 10 < 4, 1).otherwise(2)
+    want, weights = brute.interpolated(docs, parts)
+    got = {x.doc_id: x.score for x in language_model.score_corpus(_docs(spark, docs), part, size=size).collect()}
+    assert all(got[i] == pytest.approx(x, rel=5e-3) for i, x in want.items())
+    frame = _docs(spark, docs).select(part.alias("part"), "text")
+    model = language_model.train(language_model.placed(frame), size)
+    assert np.abs(model.weights[:8] - np.array(weights[:8])).max() < 0.03
+
+
+def test_cells_tell_small_probabilities_apart():
+    small = np.array([1.0, 1e-2, 1e-3, 1e-4, 1e-6, 1e-12, 0.0])
+    names = language_model._cells(np.ones(7), np.zeros(7, np.int64), small, np.full(7, 0.5))["cell"]
+    assert len(names) == 7
+
+
+def test_more_short_texts_than_a_block_numbers(spark):
+    """Long texts fill a block with tokens; thousands of empty and short ones follow in the same partition."""
+    r = random.Random(2)
+    docs = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(240))) for i in range(4000)]
+    docs += [(4000 + i, "") for i in range(65_000)] + [(69_000 + i, "w1 w2 other") for i in range(1000)]
+    part = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 1).otherwise(2)
+    rows = language_model.score_corpus(_docs(spark, docs).coalesce(1), part, size=20).collect()
+    assert len(rows) == len(docs)
+    for x in rows:
+        n = 241 if x.doc_id < 4000 else 1 if x.doc_id < 69_000 else 4
+        assert (x.n_tokens, x.n_known) == (n, n) and x.score < 0 and x.base_score < 0
+    empty = {(round(x.score, 9), round(x.base_score, 9)) for x in rows if 4000 <= x.doc_id < 69_000}
+    short = {(round(x.score, 9), round(x.base_score, 9)) for x in rows if x.doc_id >= 69_000}
+    assert len(empty) == len(short) == 1 and min(empty) > min(short)
+
+
+def test_texts_out_of_a_shuffle(spark):
+    docs = _prose(9, 200)
+    part = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 1).otherwise(2)
+    first, again = ({x.doc_id: x.score for x in language_model.score_corpus(d, part).collect()}
+                    for d in (_docs(spark, docs), _docs(spark, docs).repartition(5, "doc_id")))
+    assert set(first) == set(again) and all(again[i] == pytest.approx(x, rel=1e-9) for i, x in first.items())
