@@ -98,15 +98,20 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
 def to_planes(x: np.ndarray) -> bytes:
-    """An array byte by byte, all lowest bytes first: planes that hardly change compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """An array byte by byte, all lowest bytes first, compressed: planes of high bytes hardly
+    change.  In front stands the array's size in bytes."""
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + _ZSTD.compress(flat, asbytes=True)
 
 
 def of_planes(data: bytes, dtype) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    flat = np.frombuffer(data, np.uint8).reshape(dtype.itemsize, len(data) // dtype.itemsize)
-    return np.ascontiguousarray(flat.T).view(dtype).ravel()
+    dtype, size = np.dtype(dtype), int.from_bytes(data[:8], "little")
+    flat = np.frombuffer(_ZSTD.decompress(data[8:], size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(dtype.itemsize, size // dtype.itemsize).T).view(dtype).ravel()
 
 
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
