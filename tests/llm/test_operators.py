@@ -277,6 +277,21 @@ def test_contamination(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_only_what_meets_a_sketch_is_looked_at(spark):
+    """A document with shingles outside the sketch alone is no candidate; one with a single sketch hash is."""
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, "ab cd")], "item_id bigint, text string")
+    wanted = {n: decontaminate.item_shingles(items, n, 0.8, "item_id", "text").collect() for n in (2, 5)}
+    long = wanted[5]
+    assert len(long) == 26 and sum(r.in_sketch for r in long) == 6 and {r.part for r in long} == {9} and {r.part for r in wanted[2]} == {2}
+    inside, outside = (next(r.s for r in long if r.in_sketch == k) for k in (True, False))
+    texts = spark.createDataFrame([(1, f"x {inside} y"), (2, f"x {outside} y"), (3, f"{outside} ab cd"), (4, "nothing here at all today")], "doc bigint, t string")
+    both = decontaminate.item_shingles(items, 2, 0.8, "item_id", "text").unionByName(decontaminate.item_shingles(items, 5, 0.8, "item_id", "text"))
+    sketches = both.where("in_sketch").select("h", "part").distinct()
+    for small in (True, False):
+        found = decontaminate.candidates(texts, sketches, [2, 5], small)
+        assert {(r.doc, r.part) for r in found.collect()} == {(1, 9), (3, 2)}
+
+
 def test_token_store_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     whole = _library()

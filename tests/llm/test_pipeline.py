@@ -32,3 +32,22 @@ def test_sql_twin(spark, name):
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns named like results, an empty table."""
+    odd = [(1, None, "x"), (2, "", None), (None, "some words here", "y"), (3, "one two three", "z"), (3, "one two three", "z"),
+           (4, "very long " * 50_000, "w"), (5, " \n\t", "v"), (6, "A line that many hold\nown words six", "u"), (7, "a line THAT many hold\nother words seven", "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, 7, 0.25, "mine", 3) for i, t, s in odd],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, predicted string, n_lines int")
+    for empty in (False, True):
+        at = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.stored(stage(spark, at, SF), name)
+            rows = out.collect()
+            if name != "tokens":
+                assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+                assert {(r.score, r.predicted, r.n_lines) for r in rows} <= {(0.25, "mine", 3)}
+            assert empty == (not rows) or name == "quality"
+            if name == "line_dedup" and not empty:
+                assert sorted(r.text for r in rows if r.doc_id in (6, 7)) == ["A line that many hold\nown words six", "other words seven"]
