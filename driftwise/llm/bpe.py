@@ -1,17 +1,23 @@
 """Byte-level BPE encoding and decoding by a monoid tree.
 
-An encoded stretch of text is the list of its pieces.  A text is halved until its
-leaves hold at most ``leaf_bytes``; leaves are cut into pieces as if they stood
-alone, and neighbours are joined up the tree.  To join, the window from the last
-piece of the left side that ends well before the seam into the right side is cut
-anew and grows (doubling) until one of its cuts meets a cut of the right side
-far enough from the window's end.  The cut at a place depends only on text from
-there to at most three characters past the piece's end, so pieces before the
-window and after the meeting cut provably stay as they are.  The merges of a piece
-are its own, so ids are taken piece by piece, each distinct one once a block.
-Decoding concatenates the bytes of the ids.  Every text goes this way, in whatever
-script: which code points are letters, numbers or white space is read once a worker
-from the tokenizer library's own pattern engine.
+An encoded stretch of text is the list of its pieces with the ids of each.  A text is
+halved until its leaves hold at most ``leaf_bytes``; leaves are cut into pieces and
+encoded as if they stood alone, and neighbours are joined up the tree.  To join, the
+window from the last piece of the left side that ends well before the seam into the
+right side is cut and encoded anew and grows (doubling) until one of its cuts meets a
+cut of the right side far enough from the window's end.  The cut at a place depends
+only on text from there to at most three characters past the piece's end, so pieces
+before the window and after the meeting cut, and their ids, provably stay as they are.
+
+A piece of more than ``PIECE_BYTES`` is a tree of its own: its halves are encoded
+recursively, and at the seam a window of the last ids of the left and the first of the
+right is encoded anew and doubles on the side where it does not fit yet.  It fits when
+the ids on either side of its edge, taken as text, are encoded as those same two ids:
+a list of ids is what the merges give exactly if every two neighbours in it are.
+
+Decoding halves the ids, and concatenates the bytes up the tree.  Every text goes this
+way, in whatever script: which code points are letters, numbers or white space is read
+once a worker from the tokenizer library's own pattern engine.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are
 encoded each; special tokens do not exist, their strings are ordinary text;
@@ -22,7 +28,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from functools import partial
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -34,9 +41,11 @@ from pyspark.sql import functions as F
 
 from driftwise.llm.common import Lean, ragged, ranks
 from driftwise.llm.hashing import blocks
-from driftwise.llm.pieces import LATIN, LETTER, NUMBER, POINTS, SPACE, PieceEncoder, encode_block, split
+from driftwise.llm.pieces import LATIN, LETTER, NUMBER, POINTS, SPACE, PieceEncoder, split
 
 LEAF_BYTES = 1 << 14
+PIECE_BYTES = 1 << 10
+LEAF_IDS = 1 << 14
 SEAM = 16
 RESULTS = ("ids", "n_tokens")
 
@@ -57,42 +66,87 @@ def _bounds(tree: list) -> list[tuple[int, int]]:
     return [tuple(tree)] if isinstance(tree[0], int) else _bounds(tree[0]) + _bounds(tree[1])
 
 
-def join(buf: np.ndarray, left: np.ndarray, right: np.ndarray, seam: int, end: int, kinds: np.ndarray) -> np.ndarray:
-    """Cuts of a stretch from those of its two sides; ``seam`` is where the right starts."""
-    at = max(0, int(np.searchsorted(left, seam - SEAM, "right")) - 1)
-    start, reach = int(left[at]), 4 * SEAM
+@dataclass
+class Encoded:
+    """Pieces of the stretch ``lo .. hi``: where they start, how many ids each has, and the ids."""
+
+    lo: int
+    hi: int
+    cuts: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+
+def join(buf: np.ndarray, left: Encoded, right: Encoded, encoder: PieceEncoder, kinds: np.ndarray) -> Encoded:
+    """A stretch from its two sides: what lies around the seam is cut and encoded anew."""
+    seam, end = right.lo, right.hi
+    at = max(0, int(np.searchsorted(left.cuts, seam - SEAM, "right")) - 1)
+    start, reach = int(left.cuts[at]), 4 * SEAM
     while True:
         stop = min(end, seam + reach)
         while stop < end and buf[stop] & 0xC0 == 0x80:
             stop += 1
         fresh = split(buf[start:stop], np.array([0, stop - start]), kinds) + start
-        if stop == end:
-            return np.concatenate([left[:at], fresh])
-        meet = np.intersect1d(fresh[(fresh >= seam) & (fresh <= stop - SEAM)], right, assume_unique=True)
-        if len(meet):
-            return np.concatenate([left[:at], fresh[fresh < meet[0]], right[right >= meet[0]]])
-        reach *= 2
-
-
-def _joined(buf: np.ndarray, tree: list, cut: dict, kinds: np.ndarray) -> tuple[np.ndarray, int, int]:
+        met, after = stop, len(right.cuts)
+        if stop < end:
+            meet = np.intersect1d(fresh[(fresh >= seam) & (fresh <= stop - SEAM)], right.cuts, assume_unique=True)
+            if not len(meet):
+                reach *= 2
+                continue
+            met = int(meet[0])
+            fresh, after = fresh[fresh < met], int(np.searchsorted(right.cuts, met))
+        ids, sizes = encoder.encode(buf[start:met], fresh - start)
+        return Encoded(left.lo, end, np.concatenate([left.cuts[:at], fresh, right.cuts[after:]]),
+                       np.concatenate([left.sizes[:at], sizes, right.sizes[after:]]),
+                       np.concatenate([left.ids[:int(left.sizes[:at].sum())], ids, right.ids[int(right.sizes[:after].sum()):]]))
+
+
+def _joined(buf: np.ndarray, tree: list, leaf: dict[int, Encoded], encoder: PieceEncoder, kinds: np.ndarray) -> Encoded:
     if isinstance(tree[0], int):
-        return cut[tree[0]], tree[0], tree[1]
-    left, lo, seam = _joined(buf, tree[0], cut, kinds)
-    right, _, hi = _joined(buf, tree[1], cut, kinds)
-    return join(buf, left, right, seam, hi, kinds), lo, hi
-
-
-def tree_split(buf: np.ndarray, offsets: np.ndarray, leaf_bytes: int = LEAF_BYTES, kinds: np.ndarray = LATIN) -> np.ndarray:
-    """Start of every piece: all leaves of the block are cut at once, then joined."""
-    trees = [leaves(buf, int(a), int(b), leaf_bytes) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if b > a]
+        return leaf[tree[0]]
+    return join(buf, _joined(buf, tree[0], leaf, encoder, kinds), _joined(buf, tree[1], leaf, encoder, kinds), encoder, kinds)
+
+
+def encode_texts(buf: np.ndarray, offsets: np.ndarray, encoder: PieceEncoder, leaf_bytes: int = LEAF_BYTES,
+                 kinds: np.ndarray = LATIN) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block, and how many each has: all leaves are encoded at once, then joined."""
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if not len(some):
+        return np.zeros(0, np.uint32), counts
+    trees = [leaves(buf, int(offsets[i]), int(offsets[i + 1]), leaf_bytes) for i in some]
     bounds = [x for t in trees for x in _bounds(t)]
-    if not bounds:
-        return np.zeros(0, np.int64)
     edges = np.array([b[0] for b in bounds] + [len(buf)])
     cuts = split(buf, edges, kinds)
-    by_leaf = np.split(cuts, np.searchsorted(cuts, edges[1:-1]))
-    cut = {b[0]: c for b, c in zip(bounds, by_leaf, strict=True)}
-    return np.concatenate([_joined(buf, t, cut, kinds)[0] for t in trees])
+    ids, sizes = encoder.encode(buf, cuts)
+    first = np.searchsorted(cuts, edges)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = total[first]
+    if all(isinstance(t[0], int) for t in trees):       # every text is a leaf
+        counts[some] = np.diff(at)
+        return ids, counts
+    leaf = {lo: Encoded(lo, hi, cuts[a:b], sizes[a:b], ids[x:y])
+            for (lo, hi), a, b, x, y in zip(bounds, first[:-1], first[1:], at[:-1], at[1:], strict=True)}
+    done = [_joined(buf, t, leaf, encoder, kinds).ids for t in trees]
+    counts[some] = [len(x) for x in done]
+    return np.concatenate(done), counts
+
+
+def encode_long(piece: bytes, single: Callable[[bytes], list[int]], fits: Callable[[int, int], bool], tokens: list[bytes],
+                leaf: int = PIECE_BYTES) -> list[int]:
+    """Ids of one long piece: halves are encoded, then joined by windows of ids that grow around the seam."""
+    if len(piece) <= leaf:
+        return single(piece)
+    mid = len(piece) // 2
+    left, right = encode_long(piece[:mid], single, fits, tokens, leaf), encode_long(piece[mid:], single, fits, tokens, leaf)
+    a = b = 1
+    while True:
+        window = single(b"".join(tokens[i] for i in (*left[-a:], *right[:b])))
+        before = a == len(left) or fits(left[-a - 1], window[0])
+        after = b == len(right) or fits(window[-1], right[b])
+        if before and after:
+            return left[:-a] + window + right[b:]
+        a, b = (a if before else min(2 * a, len(left))), (b if after else min(2 * b, len(right)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -107,13 +161,30 @@ def library_kinds() -> np.ndarray:
     return kinds
 
 
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> list[bytes]:
+    """The bytes of every id."""
+    table = ranks(path)
+    out = [b""] * (max(table.values()) + 1)
+    for token, i in table.items():
+        out[i] = token
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def _codec(path: str) -> tuple[tiktoken.Encoding, PieceEncoder]:
     name = "own-" + hashlib.md5(path.encode()).hexdigest()
     encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
+    tokens = _tokens(path)
+    single = encoding._encode_single_piece
+
+    @functools.lru_cache(maxsize=1 << 16)
+    def fits(x: int, y: int) -> bool:
+        return single(tokens[x] + tokens[y]) == [x, y]
+
     def new(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [encoding.encode_ordinary(p.decode()) for p in pieces]
+        ids = [encoding.encode_ordinary(p.decode()) if len(p) <= PIECE_BYTES else encode_long(p, single, fits, tokens) for p in pieces]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
@@ -122,11 +193,11 @@ def _codec(path: str) -> tuple[tiktoken.Encoding, PieceEncoder]:
 
 def _encode(batches, path, leaf_bytes):
     _, encoder = _codec(path)
-    cutter = partial(tree_split, leaf_bytes=leaf_bytes, kinds=library_kinds())
+    kinds = library_kinds()
     for batch in batches:
         rest = [n for n in batch.schema.names if n != "_text"]
         for first, last, buf, offsets in blocks(batch["_text"]):
-            ids, counts = encode_block(buf, offsets, encoder, None, cutter)
+            ids, counts = encode_texts(buf, offsets, encoder, leaf_bytes, kinds)
             ends = np.cumsum(counts, dtype=np.int64) * 4
             packed = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(
@@ -143,24 +214,27 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf_bytes: int =
 
 @functools.lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = ranks(path)
-    size = max(table.values()) + 1
-    tokens = [b""] * size
-    for token, i in table.items():
-        tokens[i] = token
-    sizes = np.fromiter(map(len, tokens), np.int64, size)
+    tokens = _tokens(path)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def decoded(ids: np.ndarray, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, leaf_ids: int = LEAF_IDS) -> bytes:
+    """The bytes of a list of ids: leaves are looked up, halves concatenated."""
+    if len(ids) <= leaf_ids:
+        return flat[ragged(at[ids], sizes[ids])].tobytes()
+    mid = len(ids) // 2
+    return decoded(ids[:mid], flat, at, sizes, leaf_ids) + decoded(ids[mid:], flat, at, sizes, leaf_ids)
+
+
 def _decode(batches, path):
-    flat, at, sizes = _token_bytes(path)
+    table = _token_bytes(path)
     for batch in batches:
         rest = [n for n in batch.schema.names if n != "_ids"]
         step = 256
         for first in range(0, batch.num_rows, step):
             part = batch.slice(first, step)
-            lists = [np.frombuffer(x or b"", "<u4") for x in part["_ids"].to_pylist()]
-            out = [flat[ragged(at[i], sizes[i])].tobytes() for i in lists]
+            out = [decoded(np.frombuffer(x or b"", "<u4"), *table) for x in part["_ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([part[n] for n in rest] + [pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
 

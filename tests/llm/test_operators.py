@@ -133,14 +133,39 @@ def test_pieces_and_tree_match_the_libraries():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(1500)] + [""]
     encoding, encoder = bpe._codec(public_tokenizers.path(queries.BPE_RANKS))
     kinds = bpe.library_kinds()
-    for cutter in (partial(pieces.split, kinds=kinds), partial(bpe.tree_split, leaf_bytes=8, kinds=kinds), partial(bpe.tree_split, kinds=kinds)):
-        ids, counts = next((pieces.encode_block(b, o, encoder, None, cutter)) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
-        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoding.encode_ordinary(t) for t in texts]
+    want = [encoding.encode_ordinary(t) for t in texts]
+    ids, counts = next((pieces.encode_block(b, o, encoder, None, partial(pieces.split, kinds=kinds))) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    for leaf in (8, 13, 64, bpe.LEAF_BYTES):
+        ids, counts = next(bpe.encode_texts(b, o, encoder, leaf, kinds) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
     _, encoder, whole, _ = token_store._tokenizer(public_tokenizers.path(queries.TOKENIZER))
     ids, counts = next(pieces.encode_block(b, o, encoder, whole) for _, _, b, o in blocks(pa.array(texts), 1 << 24))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole(texts)
 
 
+def test_long_texts_and_pieces_by_trees():
+    """Texts of many leaves; pieces without any cut, of letters, repeats, marks and blanks; every leaf size."""
+    r = random.Random(7)
+    encoding, encoder = bpe._codec(public_tokenizers.path(queries.BPE_RANKS))
+    tokens, single = bpe._tokens(public_tokenizers.path(queries.BPE_RANKS)), encoding._encode_single_piece
+    fits = lambda x, y: single(tokens[x] + tokens[y]) == [x, y]
+    alphabets = ["a", "ab", "abc", "the", "=", "=-", "é", "жи", "日本", "etaoinshrdlu", "\u0301a"]
+    long = ["".join(r.choice(a) for _ in range(r.choice([40, 700, 3000]))) for a in alphabets for _ in range(4)]
+    long += ["ing" * 900, "token" * 600, "aab" * 700, "abcabd" * 300, " " * 5000]
+    for text in long:
+        want = single(text.encode())
+        for leaf in (1, 2, 3, 7, 50, 1024):
+            assert bpe.encode_long(text.encode(), single, fits, tokens, leaf) == want
+    mixed = ["".join(r.choice([*long, " ", "\n", " the", "'s", "12"]) for _ in range(12)) for _ in range(6)] + ["word " * 40_000, "x" * 100_000]
+    kinds, table = bpe.library_kinds(), bpe._token_bytes(public_tokenizers.path(queries.BPE_RANKS))
+    for leaf in (64, 1 << 10, bpe.LEAF_BYTES):
+        ids, counts = next(bpe.encode_texts(b, o, encoder, leaf, kinds) for _, _, b, o in blocks(pa.array(mixed), 1 << 26))
+        for text, found in zip(mixed, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert found.tolist() == encoding.encode_ordinary(text)
+            assert all(bpe.decoded(found, *table, leaf_ids=n) == text.encode() for n in (7, bpe.LEAF_IDS))
+
+
 def test_bpe_round_trip(spark, corpus):
     path = public_tokenizers.path(queries.BPE_RANKS)
     frame = _frame(spark, [*corpus, (None, "x")]).withColumn("ids", F.lit("mine"))
