@@ -123,6 +123,35 @@ def interpolated(docs, parts, rounds=30):
     return {i: score(i) for i in texts}, near
 
 
+def byte_grams(text, most=4):
+    data = lower(text).encode()
+    return {data[i:i + n] for n in range(1, most + 1) for i in range(len(data) - n + 1)}
+
+
+def string_kernel(a, b):
+    x, y = byte_grams(a), byte_grams(b)
+    return len(x & y) / math.sqrt(len(x) * len(y)) if x and y else 0.0
+
+
+def ftrl(rows, epochs, alpha, beta, l1, l2):
+    """Plain follow-the-regularised-leader over (buckets, label) rows; weight of each bucket, the intercept under None."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for found, label in rows:
+            value = {i: 1 / math.sqrt(max(1, len(found))) for i in found} | {None: 1.0}
+            w = {i: weight(i) for i in value}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * value[i] for i in value)))))
+            for i, x in value.items():
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
 def plain_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

@@ -260,6 +260,87 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def _sentences(seed, n):
+    r = random.Random(seed)
+    vocab = {"en": "the and of to in that is was he for it with".split(), "fr": "le la les des une est dans qui été où".split(),
+             "de": "der die und das ist nicht über für".split(), "ja": ["日本", "語の", "文章", "です"]}
+    out = [(" ".join(r.choice(vocab[lang]) for _ in range(r.randint(1, 60))), lang) for lang in vocab for _ in range(n)]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("most_pairs", [language.MOST_PAIRS, 3])
+@pytest.mark.parametrize("product", [language.PRODUCT, 50])
+def test_kernel_is_exact(monkeypatch, most_pairs, product):
+    """Against sets of n-grams; by tables and by sorting, in one product and in many."""
+    monkeypatch.setattr(language, "MOST_PAIRS", most_pairs)
+    monkeypatch.setattr(language, "PRODUCT", product)
+    texts = [t for t, _ in _sentences(1, 12)] + ["", "a", "Ab", "abc", "zzzz" * 50, "\x00\xff é"]
+    landmarks = [texts[0], texts[5], "AB", "the end", "日本"]
+    model = language.landmark_model([language.grams(np.frombuffer(t.encode(), np.uint8)) for t in landmarks])
+    got = language.kernel(*language._block(texts), model)
+    assert got == pytest.approx(np.array([[brute.string_kernel(t, m) for m in landmarks] for t in texts]), abs=1e-12)
+    assert language.kernel(*language._block([""]), model).tolist() == [[0.0] * 5]
+
+
+def test_ridge_on_landmarks():
+    """Scores of the fitted model against the plain normal equations on the same landmarks."""
+    rows = _sentences(2, 20)
+    model = language.fit(rows, per_language=3)
+    names, taken, marks = sorted({lang for _, lang in rows}), {}, []
+    for t, lang in rows:
+        if taken.setdefault(lang, 0) < 3:
+            taken[lang] += 1
+            marks.append(t)
+    k = np.array([[brute.string_kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x = np.array([[brute.string_kernel(t, m) for m in marks] for t, _ in rows]) @ root
+    y = np.array([[lang == n for n in names] for _, lang in rows], float)
+    want = x @ np.linalg.solve(x.T @ x + language.RIDGE * len(rows) * np.eye(x.shape[1]), x.T @ y)
+    got = language._kernels([t for t, _ in rows], model) @ model["matrix"]
+    assert model["names"] == names and got == pytest.approx(want, abs=1e-7)
+    assert np.mean([names[i] == lang for i, (_, lang) in zip(got.argmax(axis=1), rows)]) > 0.95
+
+
+def test_language_of_odd_rows(spark):
+    rows = _sentences(3, 15)
+    docs = spark.createDataFrame([*((i, t, lang, "s") for i, (t, lang) in enumerate(rows)), (3, "other text of one id", "en", "s"),
+                                  (900, "the and of " * 60_000, None, "s")], "doc_id bigint, text string, lang string, score string")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    assert got[900].lang_pred == "en" and 0 <= got[900].score <= 1
+    assert language.predict(docs.limit(0), model).count() == 0 and "score" in language.predict(docs, model).columns
+
+
+def test_classifier_is_plain_ftrl(spark):
+    """Weights and scores against a plain loop over the same rows in the same order."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("good fine bad poor a b c d e f".split()) for _ in range(r.randint(0, 40)))) for i in range(120)]
+    docs += [(500, "long text " * 30_000), (501, None), (502, ""), (503, docs[0][1])]
+    marks = [(i, int("good" in (t or "").split())) for i, t in docs[:121]]
+    frame, labels = _frame(spark, docs), spark.createDataFrame(marks, "doc_id bigint, quality int")
+    weights = quality.train(frame, labels)
+    order = {x.doc_id: x.o for x in frame.select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+
+    def buckets(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return quality.features(data, np.array([0, len(data)]), quality.BUCKET_BITS)[0].tolist()
+
+    rows = [(buckets(dict(docs)[i]), y) for i, y in sorted(marks, key=lambda m: order[m[0]])]
+    want = brute.ftrl(rows, quality.EPOCHS, 5.0, 1.0, 0.02, 1e-4)
+    assert weights[-1] == pytest.approx(want[None], abs=1e-5)
+    assert all(weights[i] == pytest.approx(w, abs=1e-5) for i, w in want.items() if i is not None)
+    assert np.count_nonzero(weights) == sum(abs(np.float32(w)) > 0 for w in want.values())
+    for x in quality.score_texts(frame, weights).collect():
+        found = buckets(x.text)
+        margin = sum(want.get(i, 0.0) for i in found) / max(1, len(found)) ** 0.5 + want[None]
+        assert x.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-5) and x.predicted == int(x.score >= 0.3)
+    same = [x.score for x in quality.score_texts(frame, weights).collect() if x.doc_id in (0, 503)]
+    assert len(set(same)) == 1
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 8)).astype(np.float32)
