@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwise.llm import jaccard_join, language_model, neighbours, substring_dedup
+from driftwise.llm import jaccard_join, language_model, neighbours, queries, substring_dedup
 from tests.llm import brute
 
 
@@ -181,3 +181,20 @@ def test_texts_out_of_a_shuffle(spark):
     first, again = ({x.doc_id: x.score for x in language_model.score_corpus(d, part).collect()}
                     for d in (_docs(spark, docs), _docs(spark, docs).repartition(5, "doc_id")))
     assert set(first) == set(again) and all(again[i] == pytest.approx(x, rel=1e-9) for i, x in first.items())
+
+
+def test_recall_of_the_query(spark):
+    """The registered query, as it stands, against the exact nearest five."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    column = next(c for c in rows[0].__fields__ if c != "vec_id" and isinstance(rows[0][c], list))
+    ids, x = np.array([r.vec_id for r in rows]), neighbours.unit(np.array([r[column] for r in rows], np.float64))
+    got = {}
+    for r in queries.op9_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[q]
+        near[q] = -2
+        best = set(ids[np.lexsort((ids, -near))[:5]].tolist())
+        hits, total = hits + len(best & got[int(ids[q])]), total + 5
+    assert total and hits >= 0.9 * total
