@@ -48,14 +48,12 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 def _pattern(words: int) -> regex.Pattern:
     """Runs of so many words; a line feed stands between texts."""
-    return regex.compile(rb"(?<![^ \n])[^ \n]+" + rb"(?: [^ \n]+){%d}" % (words - 1) + rb"(?![^ \n])")
+    return regex.compile(rb"(?<![^ \n])" + b" ".join([rb"[^ \n]+"] * words) + rb"(?![^ \n])")
 
 
 def _codes(text: bytes, pattern: regex.Pattern) -> Iterator[int]:
-    crc32, view = zlib.crc32, memoryview(text)
-    for found in pattern.finditer(text, overlapped=True):
-        start, end = found.span()
-        yield crc32(view[start:end])
+    crc32 = zlib.crc32
+    return (crc32(span[0]) for span in pattern.finditer(text, overlapped=True))
 
 
 def scan_block(buf: np.ndarray, offsets: np.ndarray, buckets: int, patterns: list[regex.Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
