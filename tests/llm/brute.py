@@ -214,3 +214,18 @@ def importance(docs, items, buckets=10_000, least=20, percent=25):
     able = sorted((i for i, r in rows.items() if r[3] >= least), key=lambda i: (-rows[i][2], i))
     rank = {i: k + 1 for k, i in enumerate(able[:percent * len(able) // 100])}
     return {i: (*r[:3], rank.get(i)) for i, r in rows.items()}
+
+
+def holds_item(text, items, share=0.8):
+    """Does a text hold ``share`` of the distinct shingles (of five words, or of all of a shorter item) of any item?"""
+    w = words(text)
+    for item in items:
+        own = words(item)
+        n = min(5, len(own))
+        if not n:
+            continue
+        wanted = {tuple(own[i:i + n]) for i in range(len(own) - n + 1)}
+        found = {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+        if 10 * len(wanted & found) >= 10 * share * len(wanted) - 1e-9:
+            return True
+    return False

@@ -1,8 +1,18 @@
+import hashlib
+import math
+import zlib
+from collections import defaultdict
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftwise.llm import queries
+from driftwise.llm import quality, queries
+from driftwise.llm.common import ranks
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +61,39 @@ def test_stages_on_odd_rows(spark):
             assert empty == (not rows) or name == "quality"
             if name == "line_dedup" and not empty:
                 assert sorted(r.text for r in rows if r.doc_id in (6, 7)) == ["A line that many hold\nown words six", "other words seven"]
+
+
+def test_whole_run_against_plain_code(spark):
+    """Every stage again in plain Python and the tokenizer library: the same documents, the same digests."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    order = {r.doc_id: r.o for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+
+    def buckets(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return quality.features(data, np.array([0, len(data)]), quality.BUCKET_BITS)[0].tolist()
+
+    found = {i: buckets(t) for i, t in docs}
+    weights = brute.ftrl([(found[i], labels[i]) for i in sorted((i for i in labels if i in found), key=order.get)], quality.EPOCHS, 5.0, 1.0, 0.02, 1e-4)
+    margin = {i: sum(weights.get(b, 0.0) for b in f) / max(1, len(f)) ** 0.5 + weights.get(None, 0.0) for i, f in found.items()}
+    score = {i: 1 / (1 + math.exp(-max(-35.0, min(35.0, m)))) for i, m in margin.items()}
+    assert all(abs(s - quality.THRESHOLD) > 1e-5 for s in score.values())       # no decision hangs on the last digit
+    kept = [(i, t) for i, t in docs if score[i] >= quality.THRESHOLD]
+    keys = defaultdict(set)
+    for i, t in kept:
+        for line in (t or "").split("\n"):
+            keys[brute.lower(line.strip(" \t\n\x0b\f\r"))].add(i)
+    lined = []
+    for i, t in kept:
+        own = [(x, brute.lower(x.strip(" \t\n\x0b\f\r"))) for x in (t or "").split("\n")]
+        lined.append((i, "\n".join(x for x, k in own if not (len(k) >= 10 and len(keys[k]) > 1 and min(keys[k]) != i))))
+    first = {c for _, c in brute.components(lined).values()}
+    clean = [(i, t) for i, t in lined if i in first and not brute.holds_item(t, items)]
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(public_tokenizers.path(queries.BPE_RANKS)), special_tokens={})
+    want = {}
+    for i, t in clean:
+        ids = encoding.encode_ordinary(t)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and 0 < len(got) < len(docs)
