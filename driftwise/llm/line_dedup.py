@@ -5,13 +5,16 @@ first filter when it is seen once and the second when the first has it already.
 The filters are built shard by shard from packed hash arrays (each block of
 documents sends a hash once, so a line that every document holds costs one entry
 a block), and only the second filter, whose size is the parameter
-``filter_bits``, goes to all tasks.  Lines that it holds are shuffled with their
-text and confirmed exactly; everything else never leaves its task.  A filter too
-small for the data lets more lines through to the exact step and changes no result.
+``filter_bits``, goes to all tasks.  Of the lines that it holds, those with the same
+text in an earlier document of their block are repeats already and go on as numbers;
+the others are shuffled with their text and confirmed exactly, so a line that every
+document holds meets itself once a block.  Everything else never leaves its task.  A filter
+too small for the data lets more lines through to the exact step and changes no result.
 
 Defined cases: a null or empty text is one empty line; a row with a null id is
 returned unchanged and takes no part; rows with one id are one document; a line
-repeated only within one document stays; an empty table gives an empty table.
+repeated only within one document stays; an empty table gives an empty table; ids that
+are neither integers nor strings are compared by the exact step alone.
 Columns of the input named like the results are replaced.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +114,19 @@ def _streams(batches):
         yield shard, (r["keys"] for r in rows)
 
 
+def _repeats_here(ids: pa.Array, keys: pa.Array) -> np.ndarray:
+    """Which lines have the same text in a row of a smaller id among these."""
+    if not len(keys) or not (pa.types.is_integer(ids.type) or pa.types.is_string(ids.type)):
+        return np.zeros(len(keys), dtype=bool)
+    turn = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    text = keys.dictionary_encode().indices.to_numpy()
+    least = np.full(int(text.max()) + 1, len(ids) + 1, np.int64)
+    np.minimum.at(least, text, turn)
+    return turn > least[text]
+
+
 def _suspects(batches, bits, min_chars):
+    """The suspects with their text as key; without it those that are repeats already."""
     seen = bits.value
     for batch in batches:
         for first, _, buf, offsets in blocks(batch["text"]):
@@ -118,9 +134,11 @@ def _suspects(batches, bits, min_chars):
             hit = np.flatnonzero(seen.has(keys))
             lower = LOWER[buf].tobytes()
             rows = pa.array(first + doc[hit])
+            ids = batch["doc"].take(rows)
+            texts = pa.array([lower[a:b].decode() for a, b in zip(starts[hit], ends[hit], strict=True)], pa.string())
+            sure = pa.array(_repeats_here(ids, texts))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"].take(rows), batch["tag"].take(rows), pa.array(line[hit].astype(np.int32)),
-                 pa.array([lower[a:b].decode() for a, b in zip(starts[hit], ends[hit], strict=True)], pa.string())],
+                [ids, batch["tag"].take(rows), pa.array(line[hit].astype(np.int32)), pc.if_else(sure, pa.scalar(None, pa.string()), texts)],
                 names=["doc", "tag", "line", "key"])
 
 
@@ -163,8 +181,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = spark.sparkContext.broadcast(twice_seen(lines, min_chars, filter_bits))
     kind = lines.schema["doc"].dataType.simpleString()
     suspects = stored(lines.mapInArrow(Lean(_suspects, bits=bits, min_chars=min_chars), f"doc {kind}, tag long, line int, key string"), "line-suspects")
-    repeats = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
-    gone = (suspects.join(repeats, "key").where("doc > first")
+    open_ = suspects.where("key IS NOT NULL")
+    repeats = open_.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
+    late = open_.join(repeats, "key").where("doc > first").select("doc", "tag", "line")
+    gone = (late.union(suspects.where("key IS NULL").select("doc", "tag", "line"))
             .groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("line").alias("gone")))
     rest = [c for c in docs.columns if c not in RESULTS and c != "gone"]
     left = docs.select(*rest, F.col(text_col).alias("kept_text"), F.col(id_col).alias("_doc"), tag.alias("_tag"))
