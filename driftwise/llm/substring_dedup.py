@@ -17,9 +17,10 @@ to find which ranks are unique.  Starting from a quarter of ``length`` bytes:
   full length, shuffled and sorted with their places, and every position but the
   first of its rank starts a repeat.
 
-Rows carry packed arrays (a block of texts and a range of ranks each), so a passage
-that everything holds costs eight bytes a place and no row of its own, and ranks of
-one value are spread over blocks until the one sort that compares them.  Repeats
+Rows carry packed arrays (a block of texts and a range of ranks each).  Of equal entries
+of a block only the first meets the other blocks': the rest are repeats whatever those
+hold, and go past the sort, dealt by block.  So a passage that everything holds sends one
+entry a block to the task that compares it, and each shard is a task of its own.  Repeats
 become byte spans per document, which are merged and cut out of the texts.
 
 Defined cases: a null text counts as empty; ids are integers (cast to long); rows
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import Bits, Lean, block_ids, by_shard, collect_segments, cuts, groups, partitions, ragged, run_starts, stored
+from driftwise.llm.common import Bits, Lean, block_ids, collect_segments, cuts, groups, partitions, ragged, run_starts, stored
 from driftwise.llm.hashing import _POWERS, blocks, mix, prefix, span_hash
 
 LENGTH = 100
@@ -142,17 +143,35 @@ def _runs(least: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start[some], end[some], own[start[some]]
 
 
-def _pack(block, shards, keys, prints, places, sizes, docs, tags, offsets) -> pa.RecordBatch | None:
-    """Entries of one block by the shard of their key, with the texts that each shard's entries lie in."""
+def _late(some, keys, prints, doc, start):
+    """``some`` entries in order, which of them open a group of one key and print, and, of
+    all entries, which lie elsewhere than the first of their group."""
+    some = some[np.lexsort((start[some], doc[some], prints[some], keys[some]))]
+    head = np.ones(len(some), dtype=bool)
+    head[1:] = (keys[some][1:] != keys[some][:-1]) | (prints[some][1:] != prints[some][:-1])
+    lead = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
+    late = np.zeros(len(keys), dtype=bool)
+    late[some] = (doc[some] != doc[lead]) | (start[some] != start[lead])
+    return some, head, late
+
+
+def _pack(block, shards, keys, prints, places, sizes, docs, tags, offsets) -> pa.RecordBatch:
+    """Entries of one block by the shard of their key, with the texts that each shard's entries
+    lie in.  Entries with an earlier equal in the block are repeats already: they are one
+    more row, without keys, for a shard taken from the block."""
+    own = np.searchsorted(offsets, places, "right") - 1
+    late = _late(np.arange(len(keys)), keys, prints, docs[own], places - offsets[own])[2]
     which = np.searchsorted(np.array([(i << 64) // shards for i in range(shards)], dtype=_U), keys, "right") - 1
+    which[late] = shards
     order = np.argsort(which, kind="stable")
-    at = np.searchsorted(which[order], np.arange(shards + 1))
+    at = np.searchsorted(which[order], np.arange(shards + 2))
     keys, prints, places, sizes = keys[order], prints[order], places[order].astype(np.uint32), sizes[order].astype(np.uint32)
     out = {n: [] for n in ("shard", "keys", "prints", "block", "places", "sizes", "docs", "tags", "offsets")}
     for s in np.flatnonzero(np.diff(at)).tolist():
         a, b = at[s], at[s + 1]
         used = np.unique(np.searchsorted(offsets, places[a:b], "right") - 1)
-        row = (s, keys[a:b].tobytes(), prints[a:b].tobytes(), block, np.diff(places[a:b], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
+        to, compared = (s, (keys[a:b].tobytes(), prints[a:b].tobytes())) if s < shards else (((block >> 32) + block) % shards, (b"", b""))
+        row = (to, *compared, block, np.diff(places[a:b], prepend=np.uint32(0)).astype(np.uint32).tobytes(),
                sizes[a:b].tobytes(), docs[used], tags[used], offsets[used])
         for name, value in zip(out, row, strict=True):
             out[name].append(value)
@@ -227,6 +246,13 @@ def _judge(batches, shards, whole):
     """Of equal entries all but the first.  Of runs (``whole``) also the keys of those
     whose places are to be ranked at full length."""
     for _, rows in groups(batches, "shard"):
+        for r in rows:
+            if not r["keys"]:
+                yield _judged(None, None, r, np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64),
+                              np.frombuffer(r["sizes"], np.uint32) & ~_AGAIN)
+        rows = [r for r in rows if r["keys"]]
+        if not rows:
+            continue
         keys, places, doc, start = _entries(rows)
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
         prints = np.concatenate([np.frombuffer(r["prints"], _U) for r in rows]) if whole else keys
@@ -234,12 +260,7 @@ def _judge(batches, shards, whole):
         order = np.argsort(keys)
         size = np.diff(np.append(run_starts(keys[order]), len(keys)))
         some = order[np.repeat(size > 1, size)] if not whole else order
-        some = some[np.lexsort((start[some], doc[some], prints[some], keys[some]))]
-        head = np.ones(len(some), dtype=bool)
-        head[1:] = (keys[some][1:] != keys[some][:-1]) | (prints[some][1:] != prints[some][:-1])
-        lead = some[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(some) else some
-        late = np.zeros(len(keys), dtype=bool)
-        late[some] = (doc[some] != doc[lead]) | (start[some] != start[lead])
+        some, head, late = _late(some, keys, prints, doc, start)
         if whole:
             at = run_starts(keys[some])
             kinds = np.add.reduceat(head.astype(np.int64), at)
@@ -311,6 +332,11 @@ def _cut(batches):
             names=[*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """Each shard's rows in a task of their own."""
+    return rows.repartitionById(shards, "shard")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                      filter_bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``;
@@ -322,14 +348,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
     anchors = texts.select("text").mapInArrow(Lean(_anchors, shards=shards, length=length), "shard int, keys binary")
-    repeated = by_shard(anchors, shards).mapInArrow(Lean(_repeated, most_bits=max(64, filter_bits // shards)), "shard int, bits binary")
+    repeated = _dealt(anchors, shards).mapInArrow(Lean(_repeated, most_bits=max(64, filter_bits // shards)), "shard int, bits binary")
     bits = spark.sparkContext.broadcast(collect_segments(repeated, shards))
     most = max(64, filter_bits // shards)
-    sent = by_shard(texts.mapInArrow(Lean(_send_runs, bits=bits, shards=shards, length=length), SENT), shards)
+    sent = _dealt(texts.mapInArrow(Lean(_send_runs, bits=bits, shards=shards, length=length), SENT), shards)
     runs = stored(sent.mapInArrow(Lean(_judge, shards=shards, whole=True), JUDGED), "runs")
-    open_ = by_shard(runs.where("shard IS NOT NULL").select("shard", "keys"), shards).mapInArrow(Lean(_segments, most_bits=most), "shard int, bits binary")
+    open_ = _dealt(runs.where("shard IS NOT NULL").select("shard", "keys"), shards).mapInArrow(Lean(_segments, most_bits=most), "shard int, bits binary")
     chosen = spark.sparkContext.broadcast(collect_segments(open_, shards))
-    placed = by_shard(texts.mapInArrow(Lean(_send_places, bits=chosen, shards=shards, length=length), SENT), shards)
+    placed = _dealt(texts.mapInArrow(Lean(_send_places, bits=chosen, shards=shards, length=length), SENT), shards)
     places = placed.mapInArrow(Lean(_judge, shards=shards, whole=False), JUDGED)
     names = ["block", "places", "sizes", "docs", "tags", "offsets"]
     late = runs.where("block IS NOT NULL").select(F.lit(0).alias("step"), *names).union(places.select(F.lit(1), *names))

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftwise.llm import jaccard_join, language_model, neighbours, queries, substring_dedup
+from driftwise.llm import hashing, jaccard_join, language_model, line_dedup, neighbours, queries, substring_dedup
 from tests.llm import brute
 
 
@@ -98,6 +99,65 @@ def test_substrings_of_every_period(spark):
     assert want[1000][1] > 0
 
 
+def _hot(n=240, seed=12):
+    """A passage and lines that most texts hold, smaller ids behind larger ones, and one id with a third of the rows."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    passage, line = " ".join(word() for _ in range(45)), " ".join(word() for _ in range(6))
+    docs = []
+    for i in range(n):
+        own = " ".join(word() for _ in range(r.randint(0, 30)))
+        docs.append((1000 - i if i % 3 else i, f"{line.upper()}\n{own} {passage}\n\t{line} \n{passage}{r.choice(['', ' end', chr(10) + passage])}"))
+    return docs, [(5000, docs[0][1])] * (n // 3)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_hot_passages_and_lines(spark, parts):
+    """Equal entries of a block are decided there; what they decide must hold for all blocks."""
+    docs, again = _hot()
+    frame = _docs(spark, [*docs, *again]).repartition(parts)
+    got = substring_dedup.dedup_substrings(frame).collect()
+    want = brute.substrings([*docs, again[0]])
+    assert len(got) == len(docs) + len(again)
+    assert {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got} == {(i, *v) for i, v in want.items()}
+    got = line_dedup.dedup_lines(frame).collect()
+    want = brute.lines([*docs, again[0]])
+    assert len(got) == len(docs) + len(again)
+    assert {(x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in got} == {(i, *v) for i, v in want.items()}
+    texts = {i: v for i, v in [*docs, again[0]]}
+    named = spark.createDataFrame([(f"d{i:05}", v) for i, v in texts.items()], "doc_id string, text string").repartition(parts)
+    assert {(int(x.doc_id[1:]), x.n_dropped) for x in line_dedup.dedup_lines(named).collect()} == {(i, v[1]) for i, v in want.items()}
+    split = spark.createDataFrame([(i + 0.5, v) for i, v in texts.items()], "doc_id double, text string").repartition(parts)
+    assert {(int(x.doc_id), x.n_dropped) for x in line_dedup.dedup_lines(split).collect()} == {(i, v[1]) for i, v in want.items()}
+
+
+def test_hot_entries_meet_once_a_block():
+    """What one block sends of a line and a passage that all its texts hold does not grow with their number."""
+    class Every:
+        value = type("All", (), {"has": staticmethod(lambda keys: np.ones(len(keys), dtype=bool))})
+
+    sizes = []
+    for n in (60, 240):
+        docs, _ = _hot(n)
+        texts = pa.array([t for _, t in docs])
+        ids = pa.array([i for i, _ in docs], pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, ids, texts], names=["doc", "tag", "text"])
+        lines = pa.Table.from_batches(line_dedup._suspects([batch], Every, 10)).to_pylist()
+        first = min(i for i, _ in docs)
+        hot = docs[0][1].split("\n")[0].lower()
+        assert {x["doc"] for x in lines if x["key"] == hot} == {first}
+        assert sum(x["key"] is None for x in lines) >= 2 * (n - 1)
+        _, _, buf, offsets = next(substring_dedup._texts([batch], 100))
+        _, least, _ = substring_dedup._least(buf, offsets, 100)
+        start, end, own = substring_dedup._runs(least, offsets)
+        prints = hashing.span_hash(hashing.prefix(buf, lower=False), start, end + 99)
+        late = substring_dedup._late(np.arange(len(start)), least[start], prints, ids.to_numpy()[own], start - offsets[own])[2]
+        common = {p for p, k in zip(*np.unique(prints, return_counts=True), strict=True) if k >= n}
+        assert common
+        sizes.append(sum(p in common for p in prints[~late]))
+    assert sizes[0] == sizes[1]
+
+
 @pytest.mark.parametrize("times", [2, 7])
 def test_neighbours_of_repeated_rows(spark, times):
     """Each row stands several times, and one id holds many near vectors."""
