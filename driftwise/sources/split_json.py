@@ -14,6 +14,9 @@ Writing: neighbouring rows of a partition become documents of at most
 ``rows_per_doc`` rows, one a line.  Rows are turned into JSON text by Spark's own
 functions and grouped where they lie, a batch after the other, so nothing is
 shuffled; with ``rows_per_doc=1`` each row is a document without any grouping.
+A document leaves its task piece by piece, its index last, so a task holds a few
+pieces however large the document is; only :func:`split_documents`, which returns a
+document as one value, holds it whole.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from driftwise.functions.sqltext import col
 from driftwise.session import workers_find_package
 
 DOC_SCHEMA = "columns array<string>, index array<bigint>, data array<array<string>>"
+PIECE_ROWS = 256        # rows, or 16 times as many index entries, that are text at a time
+PIECE_CHARS = 1 << 20   # characters that leave a task at a time
 
 
 def _typed(cell, dtype: T.DataType):
@@ -100,6 +105,58 @@ def _grouped(batches: Iterator[pa.RecordBatch], header: str, rows_per_doc: int)
         yield pa.RecordBatch.from_arrays([pa.array([document()], pa.string())], names=["value"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], header: str, rows_per_doc: int) -> Iterator[str]:
+    """The documents of :func:`_grouped` as pieces of text, cut between two rows or entries:
+    a line break before every document but the first, and the index, whose entries
+    are consecutive in a partition, behind the rows."""
+    first = n = 0
+    begin = ""
+
+    def index() -> Iterator[str]:
+        yield '],"index":['
+        for a in range(0, n, 16 * PIECE_ROWS):
+            yield ("," if a else "") + ",".join(map(str, range(first + a, first + min(a + 16 * PIECE_ROWS, n))))
+        yield "]}"
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            take = min(batch.num_rows - at, rows_per_doc - n, PIECE_ROWS)
+            if not n:
+                first = batch["_i"][at].as_py()
+                yield f'{begin}{{"columns":{header},"data":['
+                begin = "\n"
+            yield ("," if n else "") + ",".join(batch["_row"].slice(at, take).to_pylist())
+            at += take
+            n += take
+            if n == rows_per_doc:
+                yield from index()
+                n = 0
+    if n:
+        yield from index()
+
+
+def _written(batches: Iterator[pa.RecordBatch], header: str, rows_per_doc: int) -> Iterator[pa.RecordBatch]:
+    """The pieces, put together up to ``PIECE_CHARS`` characters."""
+    held: list[str] = []
+    chars = 0
+    for piece in _pieces(batches, header, rows_per_doc):
+        held.append(piece)
+        chars += len(piece)
+        if chars >= PIECE_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+
+
+def _lined(df: DataFrame) -> DataFrame:
+    """Rows as JSON text with their index entries."""
+    workers_find_package(df.sparkSession)
+    cells = F.array(*[col(c).cast("string") for c in df.columns])
+    return df.select(F.monotonically_increasing_id().alias("_i"), F.to_json(cells).alias("_row"))
+
+
 def split_documents(df: DataFrame, rows_per_doc: int = 1000) -> DataFrame:
     """``df`` as split documents: one column ``value``, one JSON document a row.
 
@@ -109,19 +166,23 @@ def split_documents(df: DataFrame, rows_per_doc: int = 1000) -> DataFrame:
     if rows_per_doc < 1:
         raise ValueError("rows_per_doc must be at least 1")
     names = df.columns
-    idx = F.monotonically_increasing_id()
-    cells = F.array(*[col(c).cast("string") for c in names])
     if rows_per_doc == 1:
         header = F.array(*[F.lit(c) for c in names]).alias("columns")
+        idx = F.monotonically_increasing_id()
+        cells = F.array(*[col(c).cast("string") for c in names])
         return df.select(F.to_json(F.struct(header, F.array(idx).alias("index"), F.array(cells).alias("data"))).alias("value"))
-    workers_find_package(df.sparkSession)
     header = json.dumps(names, ensure_ascii=False)
-    lined = df.select(idx.alias("_i"), F.to_json(cells).alias("_row"))
-    return lined.mapInArrow(lambda batches: _grouped(batches, header, rows_per_doc), "value string")
+    return _lined(df).mapInArrow(lambda batches: _grouped(batches, header, rows_per_doc), "value string")
 
 
 def write_split_json(df: DataFrame, path: str, rows_per_doc: int = 1000,
                      mode: str = "overwrite") -> None:
-    """Write ``df`` as split documents (:func:`split_documents`), one a line.  No
-    row leaves its partition; a document is held whole by its task."""
-    split_documents(df, rows_per_doc).write.mode(mode).text(path)
+    """Write ``df`` as split documents, one a line.  No row leaves its partition; a
+    task holds a piece of a document at a time, and the pieces of a line are parted
+    by blanks, which JSON allows there."""
+    if rows_per_doc <= 1:
+        split_documents(df, rows_per_doc).write.mode(mode).text(path)
+        return
+    header = json.dumps(df.columns, ensure_ascii=False)
+    pieces = _lined(df).mapInArrow(lambda batches: _written(batches, header, rows_per_doc), "value string")
+    pieces.write.mode(mode).option("lineSep", " ").text(path)

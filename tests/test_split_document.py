@@ -5,6 +5,7 @@ import os
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,53 @@ def test_large_partition_numbers_keep_exact_ids(spark):
     docs = split_documents(spark.range(0, 3000, 1, 1500), 2)
     ids = sorted(i for r in docs.collect() for i in json.loads(r.value)["index"])
     assert ids == sorted((p << 33) + k for p in range(1500) for k in range(2))
+
+
+@pytest.mark.parametrize("rows_per_doc", [2, 300, 2 ** 31])
+def test_documents_written_in_pieces_stay_one_a_line(spark, tmp_dir, rows_per_doc):
+    """More rows, characters and index entries than a piece holds; strings that look like its ends."""
+    nasty = F.element_at(F.array(*[F.lit(x) for x in NASTY]), (F.col("id") % len(NASTY) + 1).cast("int"))
+    df = spark.range(0, 12_000, 1, 2).select((F.col("id") * 3).alias("k"), nasty.alias("s"), F.repeat(F.lit("é,"), 100).alias("t"))
+    write_split_json(df, f"{tmp_dir}/j", rows_per_doc)
+    ids, files = [], [f for f in os.listdir(f"{tmp_dir}/j") if f.startswith("part-")]
+    assert len(files) == 2
+    for f in files:
+        with open(f"{tmp_dir}/j/{f}") as lines:
+            docs = [json.loads(line) for line in lines]
+        assert len(docs) == -(-6000 // rows_per_doc)
+        for d in docs:
+            assert d["columns"] == ["k", "s", "t"] and 0 < len(d["data"]) == len(d["index"]) <= rows_per_doc
+            ids += d["index"]
+    assert sorted(ids) == [(p << 33) + k for p in range(2) for k in range(6000)]
+    back = read_split_json(spark, f"{tmp_dir}/j", df.schema, index_col=None)
+    assert tuple(content_differences(df, back).first()) == (0, 0)
+    if rows_per_doc == 2 ** 31:
+        indexed = read_split_document(spark, f"{tmp_dir}/j", df.schema, range_bytes=100_000)
+        assert tuple(content_differences(read_split_json(spark, f"{tmp_dir}/j", df.schema), indexed).first()) == (0, 0)
+    write_split_json(df.limit(0), f"{tmp_dir}/none", rows_per_doc)
+    assert read_split_json(spark, f"{tmp_dir}/none", df.schema).count() == 0
+
+
+def test_a_task_holds_pieces_and_no_document(spark, tmp_dir, monkeypatch):
+    """What a writing task has taken in and not given out stays small, whatever the document's size."""
+    df, given = spark.range(3).select("id", F.lit("x").alias("s")), []
+    whole = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: given.append(f) or whole(self, f, *a, **b))
+    write_split_json(df, f"{tmp_dir}/j", rows_per_doc=2 ** 31)
+    taken = passed = most = 0
+
+    def batches():
+        nonlocal taken, most
+        for k in range(200):
+            most = max(most, taken - passed)
+            rows = [json.dumps([str(k), "x" * 1000]) for _ in range(200)]
+            taken += sum(map(len, rows))
+            yield pa.RecordBatch.from_arrays([pa.array(range(200 * k, 200 * k + 200)), pa.array(rows)], names=["_i", "_row"])
+
+    texts = []
+    for out in given[0](batches()):
+        texts += out["value"].to_pylist()
+        passed = sum(map(len, texts))
+    doc = json.loads(" ".join(texts))
+    assert doc["index"] == list(range(40_000)) and len(doc["data"]) == 40_000 and taken > 40_000_000
+    assert most < 4_000_000
