@@ -158,6 +158,57 @@ def test_hot_entries_meet_once_a_block():
     assert sizes[0] == sizes[1]
 
 
+def _random_texts(n, size, seed=21):
+    r = np.random.default_rng(seed)
+    texts = pa.array(["".join(map(chr, r.integers(97, 123, size).tolist())) for _ in range(n)])
+    ids = pa.array(range(n), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, texts], names=["doc", "tag", "text"])
+
+
+def test_smallest_ranks_fill_shards_alike():
+    """Smallest ranks lie near zero: one shard of 32 had most of them."""
+    sizes = {}
+    for batch in substring_dedup._anchors([_random_texts(4, 100_000)], 32, 100):
+        for row in batch.to_pylist():
+            sizes[row["shard"]] = sizes.get(row["shard"], 0) + len(row["keys"])
+    assert len(sizes) == 32
+    assert max(sizes.values()) < 1.5 * sum(sizes.values()) / 32
+
+
+def test_rows_of_runs_do_not_grow_with_blocks_times_shards(monkeypatch):
+    """Blocks whose shards hold few entries each go together; all their runs are sent."""
+    class Every:
+        value = type("All", (), {"has": staticmethod(lambda keys: np.ones(len(keys), dtype=bool))})
+
+    rows, shards = [], 2000
+    for n in (3, 9):
+        monkeypatch.setattr(substring_dedup, "block_ids", lambda: iter(range(100)))
+        batch = _random_texts(n, 300_000)
+        assert len(list(substring_dedup._texts([batch], 100))) == n
+        sent = [r for b in substring_dedup._send_runs([batch], Every, shards, 100) for r in b.to_pylist()]
+        runs = 0
+        for _, _, buf, offsets in substring_dedup._texts([batch], 100):
+            runs += len(substring_dedup._runs(substring_dedup._least(buf, offsets, 100)[1], offsets)[0])
+        assert sum(len(r["places"]) // 4 for r in sent) == runs
+        rows.append(len(sent))
+    assert rows[1] < 1.5 * rows[0]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substrings_of_several_blocks(spark, parts):
+    """Texts of several blocks share passages, one of them an empty text's neighbour, one id twice."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(2, 7)))
+    shared = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    docs = [(500 - i if i % 2 else i, "\n".join(r.choice(shared) if r.random() < 0.3 else " ".join(word() for _ in range(60)) for _ in range(150))) for i in range(34)]
+    docs += [(600, ""), (601, "ab" * 400), (602, None)]
+    frame = _docs(spark, [*docs, docs[3]])
+    got = substring_dedup.dedup_substrings(frame.repartition(parts, "doc_id") if parts > 1 else frame.coalesce(1)).collect()
+    want = brute.substrings(docs)
+    assert len(got) == len(docs) + 1
+    assert {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got} == {(i, *v) for i, v in want.items()}
+
+
 @pytest.mark.parametrize("times", [2, 7])
 def test_neighbours_of_repeated_rows(spark, times):
     """Each row stands several times, and one id holds many near vectors."""
